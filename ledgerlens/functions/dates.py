@@ -1,0 +1,59 @@
+"""Date text helpers. Dates in records are ISO text; they are normalised by
+building text, not by parsing, so no calendar check happens (as in the app:
+``13/45/2026`` normalises to ``2026-13-45``)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Month names the date normaliser and the search variants accept.
+MONTHS_SHORT = ["jan", "feb", "mar", "apr", "may", "jun",
+                "jul", "aug", "sep", "oct", "nov", "dec"]
+MONTHS_LONG = ["january", "february", "march", "april", "may", "june",
+               "july", "august", "september", "october", "november", "december"]
+
+ISO_RE = r"^\d{4}-\d{2}-\d{2}$"
+MDY_RE = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+DMONY_RE = r"^(\d{1,2})-([A-Za-z]{3})-(\d{4})$"
+LONG_RE = r"^([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})$"
+
+
+def _c(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _month_no(name: Column, names: list[str]) -> Column:
+    pos = F.array_position(F.array(*[F.lit(m) for m in names]), F.lower(name))
+    return F.when(pos > 0, F.lpad(pos.cast("string"), 2, "0"))
+
+
+def normalize_date(c) -> Column:
+    """ISO as is; ``M/D/YYYY``; ``D-Mon-YYYY``; ``Month D, YYYY`` (comma
+    optional, month any case) -> ``YYYY-MM-DD``; anything else -> null.
+    The app's last resort, the JS engine's own lenient parser, is not
+    reproduced (engine specific)."""
+    s = _c(c)
+    mdy = F.concat_ws("-", F.regexp_extract(s, MDY_RE, 3),
+                      F.lpad(F.regexp_extract(s, MDY_RE, 1), 2, "0"),
+                      F.lpad(F.regexp_extract(s, MDY_RE, 2), 2, "0"))
+    dmon_m = _month_no(F.regexp_extract(s, DMONY_RE, 2), MONTHS_SHORT)
+    dmon = F.concat_ws("-", F.regexp_extract(s, DMONY_RE, 3), dmon_m,
+                       F.lpad(F.regexp_extract(s, DMONY_RE, 1), 2, "0"))
+    long_m = _month_no(F.regexp_extract(s, LONG_RE, 1), MONTHS_LONG)
+    longd = F.concat_ws("-", F.regexp_extract(s, LONG_RE, 3), long_m,
+                        F.lpad(F.regexp_extract(s, LONG_RE, 2), 2, "0"))
+    return (F.when(s.isNull() | (s == ""), F.lit(None).cast("string"))
+            .when(s.rlike(ISO_RE), s)
+            .when(s.rlike(MDY_RE), mdy)
+            .when(s.rlike(DMONY_RE) & dmon_m.isNotNull(), dmon)
+            .when(s.rlike(LONG_RE) & long_m.isNotNull(), longd))
+
+
+def iso_date_text(c) -> Column:
+    return F.date_format(_c(c), "yyyy-MM-dd")
+
+
+def try_iso_date(c) -> Column:
+    """Parse an ISO date text; unparseable -> null (``new Date`` NaN)."""
+    return F.try_to_date(_c(c), F.lit("yyyy-MM-dd"))

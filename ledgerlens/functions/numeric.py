@@ -1,0 +1,33 @@
+"""Number helpers with the rounding and text rules of the extraction app."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _c(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def round2(c) -> Column:
+    """``Math.round(n * 100) / 100``: ties go toward +infinity.
+
+    Not ``round(n, 2)`` (half-up on the decimal text, 1.005 -> 1.01 there,
+    1.00 here)."""
+    c = _c(c)
+    return F.floor(c * 100 + 0.5) / 100
+
+
+def js_number_text(c) -> Column:
+    """Text of a double the way ``String(n)`` prints it: shortest digits,
+    no ``.0`` on whole numbers, no exponent for money-sized values
+    (``2007`` not ``2007.0``, ``1234567890.5`` not ``1.2345678905E9``)."""
+    s = _c(c).cast("string")
+    plain = F.regexp_replace(s.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    return F.when(s.contains("E"), F.coalesce(plain, s)).otherwise(F.regexp_replace(s, r"\.0$", ""))
+
+
+def fixed2(c) -> Column:
+    """``n.toFixed(2)`` for values that already carry at most 2 decimals."""
+    return F.format_string("%.2f", _c(c))

@@ -1,0 +1,38 @@
+"""String helpers: JS-style trim, CSV cells and rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ledgerlens.functions.numeric import js_number_text
+
+
+def _c(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def js_trim(c) -> Column:
+    """``String.prototype.trim``: strips all Unicode white space at both ends
+    (Spark ``trim`` strips only the space character)."""
+    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+
+
+def blank_to_null(c) -> Column:
+    """``regexp_extract`` gives '' on no match; turn that into null."""
+    return F.nullif(_c(c), F.lit(""))
+
+
+def csv_cell(c, numeric: bool = False) -> Column:
+    """One RFC-4180 cell: null -> empty; quoted when it holds a quote, comma,
+    CR or LF, or has leading/trailing white space; inner quotes doubled.
+    Numbers print as ``String(n)``."""
+    s = js_number_text(_c(c)) if numeric else _c(c).cast("string")
+    needs_quotes = s.rlike("[\",\r\n]") | (js_trim(s) != s)
+    quoted = F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(s.isNull(), F.lit("")).when(needs_quotes, quoted).otherwise(s)
+
+
+def csv_row(cells: list[Column]) -> Column:
+    """Cells joined by commas (cells are already encoded)."""
+    return F.concat_ws(",", *cells)
