@@ -2,175 +2,148 @@
 actual (J3), score fields (F1-F4), roll accuracy up (A3-A7, A11) and pick
 the worst documents (T1).
 
-Scoring is a narrow projection: each document's nine scores are built as an
-array in one row, so per-document pass/fail needs no shuffle; the rollups are
-partial (map-side) aggregates over 9 fields / a handful of categories.
+Scoring is a narrow projection: per document, flat match/note columns and
+plain arithmetic (no higher-order functions, so it stays in whole-stage
+codegen). Rollups are partial (map-side) aggregates over 9 fields or a few
+categories; nothing but the top-k reaches a single task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
-from ledgerlens.functions.dates import normalize_date
-from ledgerlens.functions.numeric import js_number_text
-from ledgerlens.functions.text import js_trim
+from ledgerlens.functions.sql import js_number, js_trim, normalize_date, pct
 
 NUMERIC_TOLERANCE = 0.01
+NF = len(S.GROUND_TRUTH_FIELDS)
 
 
-def ground_truth_columns(record: Column) -> dict[str, Column]:
+def ground_truth_sql(r: str = "record") -> dict[str, str]:
     """The nine scored values of a record (vendor -> ``vendor.name``)."""
-    out = {}
-    for f in S.GROUND_TRUTH_FIELDS:
-        out[f] = record["vendor"]["name"] if f == "vendor_name" else record[f]["value"]
-    return out
+    return {f: (f"{r}.vendor.name" if f == "vendor_name" else f"{r}.{f}.value")
+            for f in S.GROUND_TRUTH_FIELDS}
 
 
 def ground_truth(records: DataFrame, keep=("doc_id",)) -> DataFrame:
-    cols = ground_truth_columns(F.col("record"))
-    return records.select(*keep, *[cols[f].alias(f) for f in S.GROUND_TRUTH_FIELDS])
+    gt = ground_truth_sql()
+    return records.selectExpr(*keep, *[f"{gt[f]} AS {f}" for f in S.GROUND_TRUTH_FIELDS])
 
 
 def pair_by_doc(expected: DataFrame, actual: DataFrame, key: str = "doc_id",
                 keep: tuple = ()) -> DataFrame:
-    """J3 when expected and actual live in separate tables: equi left join on
-    the document key, so a document without an extraction row stays, as an
-    error. ``actual`` may carry an ``error`` column. Columns come out as
-    ``e_<field>`` / ``a_<field>`` plus ``error``."""
-    e = expected.select(key, *keep, *[F.col(f).alias("e_" + f) for f in S.GROUND_TRUTH_FIELDS])
-    err = F.col("error") if "error" in actual.columns else F.lit(None).cast("string")
-    a = actual.select(key, err.alias("_err"), F.lit(True).alias("_seen"),
-                      *[F.col(f).alias("a_" + f) for f in S.GROUND_TRUTH_FIELDS])
-    j = e.join(a, key, "left")
-    return j.withColumn("error", F.when(F.col("_seen").isNull(), F.lit("no extraction"))
-                        .otherwise(F.col("_err"))).drop("_err", "_seen")
-
-
-def _field_score(field: str, e: Column, a: Column, na: Column | None, ne: Column | None):
-    """(match, note, expected text, actual text) for one field."""
-    if field in S.STRING_SCORED:
-        match = (F.when(e.isNull(), F.lit(True)).when(a.isNull(), F.lit(False))
-                 .otherwise(F.lower(js_trim(a)) == F.lower(js_trim(e))))
-        note = F.when(e.isNotNull() & a.isNull(), F.lit("actual is null"))
+    """J3 for separate tables: equi left join on the document key, so a
+    document without an extraction row stays, as an error. ``actual`` may
+    carry an ``error`` column. Output: key, keep, error, e_<f>, a_<f>."""
+    e = expected.selectExpr(key, *keep, *[f"{f} AS e_{f}" for f in S.GROUND_TRUTH_FIELDS])
+    err = "error" if "error" in actual.columns else "CAST(NULL AS STRING)"
+    a = actual.selectExpr(key, f"{err} AS _err", "true AS _seen",
+                          *[f"{f} AS a_{f}" for f in S.GROUND_TRUTH_FIELDS])
+    return e.join(a, key, "left").selectExpr(
+        key, *keep, "CASE WHEN _seen IS NULL THEN 'no extraction' ELSE _err END AS error",
+        *[f"e_{f}" for f in S.GROUND_TRUTH_FIELDS], *[f"a_{f}" for f in S.GROUND_TRUTH_FIELDS])
+
+
+def _field_score(f: str) -> tuple[str, str, str, str]:
+    """(match, note, expected text, actual text) SQL for one field."""
+    e, a = f"e_{f}", f"a_{f}"
+    head = f"CASE WHEN {e} IS NULL THEN true WHEN {a} IS NULL THEN false "
+    if f in S.STRING_SCORED:
+        match = head + f"ELSE lower({js_trim(a)}) = lower({js_trim(e)}) END"
+        note = f"CASE WHEN {e} IS NOT NULL AND {a} IS NULL THEN 'actual is null' END"
         return match, note, e, a
-    if field in S.DATE_SCORED:
-        bad = na.isNull() | ne.isNull()
-        match = (F.when(e.isNull(), F.lit(True)).when(a.isNull(), F.lit(False))
-                 .when(bad, F.lit(False)).otherwise(na == ne))
-        note = (F.when(e.isNull(), F.lit(None).cast("string"))
-                .when(a.isNull(), F.lit("actual is null"))
-                .when(bad, F.concat(F.lit("unparseable date: actual="), a, F.lit(" expected="), e)))
+    if f in S.DATE_SCORED:
+        na, ne = f"_na_{f}", f"_ne_{f}"
+        match = head + f"WHEN {na} IS NULL OR {ne} IS NULL THEN false ELSE {na} = {ne} END"
+        note = (f"CASE WHEN {e} IS NULL THEN NULL WHEN {a} IS NULL THEN 'actual is null' "
+                f"WHEN {na} IS NULL OR {ne} IS NULL THEN concat('unparseable date: actual=', {a}, "
+                f"' expected=', {e}) END")
         return match, note, e, a
-    diff = F.abs(a - e)
-    match = (F.when(e.isNull(), F.lit(True)).when(a.isNull(), F.lit(False))
-             .otherwise(diff <= NUMERIC_TOLERANCE))
-    note = (F.when(e.isNull(), F.lit(None).cast("string"))
-            .when(a.isNull(), F.lit("actual is null"))
-            .when(diff > NUMERIC_TOLERANCE, F.concat(F.lit("diff: "), F.format_string("%.4f", diff))))
-    return match, note, js_number_text(e), js_number_text(a)
+    diff = f"abs({a} - {e})"
+    match = head + f"ELSE {diff} <= {NUMERIC_TOLERANCE}D END"
+    note = (f"CASE WHEN {e} IS NULL THEN NULL WHEN {a} IS NULL THEN 'actual is null' "
+            f"WHEN {diff} > {NUMERIC_TOLERANCE}D THEN concat('diff: ', format_string('%.4f', {diff})) END")
+    return match, note, js_number(e), js_number(a)
 
 
 def document_scores(pairs: DataFrame, keep=("doc_id", "category")) -> DataFrame:
-    """One row per document with, per field i, ``m<i>`` (match), ``n<i>``
-    (note), ``x<i>``/``y<i>`` (expected/actual text); plus ``passed`` (A6),
-    ``n_fields``, ``n_matched``, ``n_failed`` (A11).
-
-    Flat columns and plain arithmetic only (no higher-order functions), so
-    the projection stays in whole-stage codegen; the normalised dates are
-    projected once and referenced by name."""
-    staged = pairs.select(
-        *keep, "error",
-        *[F.col("e_" + f) for f in S.GROUND_TRUTH_FIELDS],
-        *[F.col("a_" + f) for f in S.GROUND_TRUTH_FIELDS],
-        *[normalize_date(F.col("a_" + f)).alias("_na_" + f) for f in S.DATE_SCORED],
-        *[normalize_date(F.col("e_" + f)).alias("_ne_" + f) for f in S.DATE_SCORED])
+    """One row per document: per field i ``m<i>`` (match), ``n<i>`` (note),
+    ``x<i>``/``y<i>`` (expected/actual text), ``s<i>`` (expected present);
+    ``passed`` (A6), ``n_fields``, ``n_matched``, ``n_failed`` (A11)."""
+    staged = pairs.selectExpr(
+        *keep, "error", *[f"e_{f}" for f in S.GROUND_TRUTH_FIELDS],
+        *[f"a_{f}" for f in S.GROUND_TRUTH_FIELDS],
+        *[f"{normalize_date('a_' + f)} AS _na_{f}" for f in S.DATE_SCORED],
+        *[f"{normalize_date('e_' + f)} AS _ne_{f}" for f in S.DATE_SCORED])
     cols = []
     for i, f in enumerate(S.GROUND_TRUTH_FIELDS):
-        dated = f in S.DATE_SCORED
-        m, n, x, y = _field_score(f, F.col("e_" + f), F.col("a_" + f),
-                                  F.col("_na_" + f) if dated else None,
-                                  F.col("_ne_" + f) if dated else None)
-        cols += [m.alias(f"m{i}"), n.alias(f"n{i}"), x.cast("string").alias(f"x{i}"),
-                 y.cast("string").alias(f"y{i}"), F.col("e_" + f).isNotNull().alias(f"s{i}")]
-    scored = staged.select(*keep, "error", *cols)
-    nf = len(S.GROUND_TRUTH_FIELDS)
-    ok = F.col("error").isNull()
-    matched = sum(F.col(f"m{i}").cast("long") for i in range(nf))
-    passed = ok
-    for i in range(nf):
-        passed = passed & (~F.col(f"s{i}") | F.col(f"m{i}"))
-    return scored.select(
-        "*", passed.alias("passed"),
-        F.when(ok, F.lit(nf)).otherwise(F.lit(0)).cast("long").alias("n_fields"),
-        F.when(ok, matched).otherwise(F.lit(0)).cast("long").alias("n_matched"),
-        F.when(ok, nf - matched).otherwise(F.lit(0)).cast("long").alias("n_failed"))
-
-
-def score_array() -> Column:
+        m, n, x, y = _field_score(f)
+        cols += [f"{m} AS m{i}", f"{n} AS n{i}", f"CAST({x} AS STRING) AS x{i}",
+                 f"CAST({y} AS STRING) AS y{i}", f"e_{f} IS NOT NULL AS s{i}"]
+    scored = staged.selectExpr(*keep, "error", *cols)
+    matched = " + ".join(f"CAST(m{i} AS BIGINT)" for i in range(NF))
+    passed = " AND ".join(["error IS NULL"] + [f"(NOT s{i} OR m{i})" for i in range(NF)])
+    return scored.selectExpr(
+        "*", f"{passed} AS passed",
+        f"CAST(CASE WHEN error IS NULL THEN {NF} ELSE 0 END AS BIGINT) AS n_fields",
+        f"CASE WHEN error IS NULL THEN {matched} ELSE 0L END AS n_matched",
+        f"CASE WHEN error IS NULL THEN {NF} - ({matched}) ELSE 0L END AS n_failed")
+
+
+def score_array_sql() -> str:
     """The nine score structs of a document (field order)."""
-    return F.array(*[F.struct(F.lit(i).alias("field_no"), F.lit(f).alias("field"),
-                              F.col(f"m{i}").alias("match"), F.col(f"x{i}").alias("expected"),
-                              F.col(f"y{i}").alias("actual"), F.col(f"n{i}").alias("note"))
-                     for i, f in enumerate(S.GROUND_TRUTH_FIELDS)])
+    return "array(" + ", ".join(
+        f"named_struct('field_no', {i}, 'field', '{f}', 'match', m{i}, 'expected', x{i}, "
+        f"'actual', y{i}, 'note', n{i})" for i, f in enumerate(S.GROUND_TRUTH_FIELDS)) + ")"
 
 
 def field_scores(docs: DataFrame) -> DataFrame:
     """Long table: one row per (document, field); errored documents bring none."""
-    return docs.filter(F.col("error").isNull()).select("doc_id", F.inline(score_array()))
-
-
-def pct_text(n: str, d: str) -> Column:
-    """``n/d*100`` with one decimal and a percent sign; ``n/a`` if d = 0.
-    Rounded half up on the exact ratio, in integer arithmetic."""
-    t = f"((2 * CAST({n} AS BIGINT) * 1000 + CAST({d} AS BIGINT)) div (2 * CAST({d} AS BIGINT)))"
-    return F.when(F.col(d) == 0, F.lit("n/a")).otherwise(
-        F.concat(F.expr(f"{t} div 10").cast("string"), F.lit("."),
-                 F.expr(f"{t} % 10").cast("string"), F.lit("%")))
+    return docs.filter("error IS NULL").selectExpr("doc_id", f"inline({score_array_sql()})")
 
 
 def accuracy_by_field(docs: DataFrame) -> DataFrame:
     return (field_scores(docs).groupBy("field_no", "field")
             .agg(F.count_if("match").alias("matched"), F.count("*").alias("total"))
-            .withColumn("accuracy", pct_text("matched", "total")))
+            .selectExpr("*", f"{pct('matched', 'total')} AS accuracy"))
 
 
 def accuracy_by_category(docs: DataFrame) -> DataFrame:
     return (docs.groupBy("category")
             .agg(F.count("*").alias("invoices"), F.sum("n_matched").alias("matched"),
                  F.sum("n_fields").alias("total"))
-            .withColumn("accuracy", pct_text("matched", "total")))
+            .selectExpr("*", f"{pct('matched', 'total')} AS accuracy"))
 
 
 def accuracy_overall(docs: DataFrame) -> DataFrame:
     return (docs.agg(F.count("*").alias("invoices"), F.count_if("passed").alias("passed"),
                      F.coalesce(F.sum("n_fields"), F.lit(0)).cast("long").alias("fields"),
                      F.coalesce(F.sum("n_matched"), F.lit(0)).cast("long").alias("matched"))
-            .withColumn("pass_rate", pct_text("passed", "invoices"))
-            .withColumn("field_accuracy", pct_text("matched", "fields")))
+            .selectExpr("*", f"{pct('passed', 'invoices')} AS pass_rate",
+                        f"{pct('matched', 'fields')} AS field_accuracy"))
 
 
 def accuracy_rollup(docs: DataFrame) -> DataFrame:
     """A3-A5 in one aggregate: GROUPING SETS ((field), (category), ()) over
     the long table (errored documents kept by ``inline_outer``)."""
-    long = docs.select("doc_id", "category",
-                       F.inline_outer(F.when(F.col("error").isNull(), score_array())))
-    level = (F.when((F.grouping("field") == 0) & F.col("field").isNull(), F.lit(None))
-             .when(F.grouping("field") == 0, F.lit("field"))
-             .when(F.grouping("category") == 0, F.lit("category")).otherwise(F.lit("overall")))
+    long = docs.selectExpr(
+        "doc_id", "category",
+        f"inline_outer(CASE WHEN error IS NULL THEN {score_array_sql()} END)")
     return (long.groupingSets([["field"], ["category"], []], "field", "category")
-            .agg(level.alias("level"),
-                 F.coalesce(F.col("field"), F.col("category"), F.lit("all")).alias("name"),
+            .agg(F.expr("CASE WHEN grouping(field) = 0 AND field IS NULL THEN NULL "
+                        "WHEN grouping(field) = 0 THEN 'field' "
+                        "WHEN grouping(category) = 0 THEN 'category' ELSE 'overall' END").alias("level"),
+                 F.expr("coalesce(field, category, 'all')").alias("name"),
                  F.count_distinct("doc_id").alias("invoices"),
                  F.count("field").alias("total"), F.count_if("match").alias("matched"))
-            .filter(F.col("level").isNotNull())
+            .filter("level IS NOT NULL")
             .select("level", "name", "invoices", "total", "matched"))
 
 
 def bottom_failures(docs: DataFrame, n: int = 15) -> DataFrame:
     """Failed (not passed, no error) documents with most failed fields,
     ties in document-id order; top ``n`` only (TakeOrderedAndProject)."""
-    return (docs.filter(~F.col("passed") & F.col("error").isNull())
-            .select("doc_id", "category", F.col("n_failed").alias("failed_fields"))
+    return (docs.filter("NOT passed AND error IS NULL")
+            .selectExpr("doc_id", "category", "n_failed AS failed_fields")
             .orderBy(F.desc("failed_fields"), F.asc("doc_id")).limit(n))

@@ -6,29 +6,24 @@ document rows."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
 from ledgerlens.operators import scoring
 from ledgerlens.plans.oracle_base import js_num, jtrim, normalize_date, pct, with_base
 from ledgerlens.plans.registry import query
-from ledgerlens.sources.invoices import error_column, extracted_columns, invoice_records
+from ledgerlens.sources.invoices import error_sql, extracted_sql, invoice_records
 
 
 def scoring_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected (P1 of the record) and actual (the perturbed extraction) side
     by side. Both come from the same derived record, so the J3 pairing is a
     projection here; ``scoring.pair_by_doc`` is the join for separate tables."""
-    rec = invoice_records(spark, sf_dir)
-    k, r = F.col("order_key"), F.col("record")
-    gt = scoring.ground_truth_columns(r)
-    ex = extracted_columns(k, r)
-    return rec.select("doc_id", "category", error_column(k).alias("error"),
-                      *[gt[f].alias("e_" + f) for f in S.GROUND_TRUTH_FIELDS],
-                      *[ex[f].alias("a_" + f) for f in S.GROUND_TRUTH_FIELDS])
+    gt, ex = scoring.ground_truth_sql(), extracted_sql()
+    return invoice_records(spark, sf_dir).selectExpr(
+        "doc_id", "category", f"{error_sql()} AS error",
+        *[f"{gt[f]} AS e_{f}" for f in S.GROUND_TRUTH_FIELDS],
+        *[f"{ex[f]} AS a_{f}" for f in S.GROUND_TRUTH_FIELDS])
 
 
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

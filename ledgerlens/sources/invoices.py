@@ -1,90 +1,85 @@
 """The ``invoices`` view: extraction records derived from the given tables.
 
 The test tables hold no invoices, so one record per order is derived by a
-fixed rule (no randomness), and the same rule is written in SQL for the
-DuckDB oracle (``ledgerlens.plans.oracle_base``):
+fixed rule (no randomness); the same rule is written in DuckDB SQL for the
+oracle (``ledgerlens.plans.oracle_base``):
 
 * ``invoice_number = 'INV-' || o_orderkey``; vendor = customer name (null when
   key % 23 = 0), address = segment + suite text (holds a comma);
 * bill date = order date; due = bill + 30 days, bill - 5 when key % 17 = 0,
   null when key % 19 = 0; PO null when key % 3 = 0; currency USD;
-* line items in ``l_linenumber`` order: part name (some with comma + quotes,
-  a leading space, or null), quantity, amount = round2(price * (1 - disc)),
-  unit price = round2(amount / quantity);
-* subtotal = exact sum of amounts (+5 when key % 13 = 0), tax = round2(8 %),
-  total = round2(subtotal + tax) (+1 when key % 11 = 0; 0 when key % 97 = 0);
+* line items ordered by (linenumber, partkey, price, discount, quantity):
+  part name (some with comma + quotes, a leading space, or null), quantity,
+  amount = round2(price * (1 - discount)), unit price = round2(amount / qty);
+* subtotal = exact (decimal) sum of amounts, +5 when key % 13 = 0; tax =
+  round2(8 %); total = round2(subtotal + tax), +1 when key % 11 = 0, 0 when
+  key % 97 = 0;
 * confidence and a box tag per field by (key + field no) mod 5 / mod 7;
 * model flags: copies of rule flags (to exercise the merge) and two others.
 
-The ``extracted`` copy used for scoring perturbs the ground truth by key
-residues (case, white space, date formats, +0.005, +0.02, nulls) and marks
-every 101st document as a failed extraction.
+``extracted_sql`` perturbs the ground truth by key residues (case, white
+space, date formats, +0.005, +0.02, nulls) and marks every 101st document as
+a failed extraction.
+
+Plan: orders ⋈ customer and lineitem ⋈ part are equi joins (Catalyst/AQE
+choose broadcast only under the size threshold); items are aggregated per
+order with a partial aggregate, then joined to orders on the order key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens import schemas as S
-from ledgerlens.functions.numeric import fixed2, round2
+from ledgerlens.functions.sql import fixed2, round2
 from ledgerlens.session import ensure_utc
 from ledgerlens.sources.tables import read_table
 
 AS_OF = "2001-01-01"          # "today" for the future-bill-date rule
 TAX_RATE = 0.08
 
+FIELD_LABELS = ("Invoice Number", "Vendor", "Bill Date", "Due Date", "PO Number",
+                "Subtotal", "Tax", "Total", "Currency")
+
 
-def _conf(k: Column, i: int) -> Column:
-    m = (k + i) % 5
-    return F.when(m == 2, "medium").when(m == 4, "low").otherwise("high")
+def _conf(i: int) -> str:
+    return f"CASE (k + {i}) % 5 WHEN 2 THEN 'medium' WHEN 4 THEN 'low' ELSE 'high' END"
 
 
-def _two_digits(v: Column) -> Column:
-    return F.concat(F.lit("0."), F.lpad(v.cast("string"), 2, "0"))
+def _two(expr: str) -> str:
+    return f"concat('0.', lpad(CAST({expr} AS STRING), 2, '0'))"
 
 
-def _box_tag(k: Column, i: int) -> Column:
-    m = (k + i) % 7
-    x = _two_digits(k % 90)
-    y = _two_digits((k + 7 * i) % 90)
-    return (F.when(m == 0, F.concat(F.lit("[bbox: "), x, F.lit(", "), y, F.lit(", 0.25, 0.04] ")))
-            .when(m == 1, F.lit("[bbox: none] "))
-            .when(m == 2, F.lit("[BBOX: None]  "))
-            .when(m == 3, F.concat(F.lit("[bbox: 1.5, "), y, F.lit(", 0.1, 0.1] ")))
-            .otherwise(F.lit("")))
+def _box(i: int) -> str:
+    y = _two(f"(k + 7 * {i}) % 90")
+    return (f"CASE (k + {i}) % 7 WHEN 0 THEN concat('[bbox: ', {_two('k % 90')}, ', ', {y}, ', 0.25, 0.04] ')"
+            f" WHEN 1 THEN '[bbox: none] ' WHEN 2 THEN '[BBOX: None]  '"
+            f" WHEN 3 THEN concat('[bbox: 1.5, ', {y}, ', 0.1, 0.1] ') ELSE '' END")
 
 
-def _field(value: Column, k: Column, i: int, label: str, shown: Column) -> Column:
-    reasoning = F.concat(_box_tag(k, i), F.lit(label + ": "), F.coalesce(shown, F.lit("not shown")))
-    return F.struct(value.alias("value"), _conf(k, i).alias("confidence"),
-                    reasoning.alias("reasoning"))
+def _field(i: int, value: str, shown: str) -> str:
+    rsn = f"concat({_box(i)}, '{FIELD_LABELS[i]}: ', coalesce({shown}, 'not shown'))"
+    return f"named_struct('value', {value}, 'confidence', {_conf(i)}, 'reasoning', {rsn})"
 
 
 def line_item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item: k, ln, description, quantity, unit_price, amount."""
+    """One row per line item: k, ln, pk, px, dc, description, quantity,
+    unit_price, amount."""
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber",
                     "l_quantity", "l_extendedprice", "l_discount")
-    # (l_orderkey, l_linenumber) is not unique in the test tables: the item
-    # order is (linenumber, partkey, price, discount, quantity).
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_name")
     j = li.join(part, li.l_partkey == part.p_partkey, "left")
-    k, ln = F.col("l_orderkey"), F.col("l_linenumber")
-    r = (k + ln)
-    desc = (F.when(r % 29 == 0, F.lit(None).cast("string"))
-            .when(r % 10 == 0, F.concat(F.col("p_name"), F.lit(', "bulk"')))
-            .when(r % 10 == 5, F.concat(F.lit(" "), F.col("p_name")))
-            .otherwise(F.col("p_name")))
-    amount = round2(F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return j.select(
-        k.alias("k"), ln.alias("ln"), F.col("l_partkey").alias("pk"),
-        F.col("l_extendedprice").alias("px"), F.col("l_discount").alias("dc"),
-        desc.alias("description"),
-        F.col("l_quantity").alias("quantity"),
-        F.try_divide(amount, F.col("l_quantity")).alias("_up"),
-        amount.alias("amount"),
-    ).withColumn("unit_price", round2(F.col("_up"))).drop("_up")
+    r = "(l_orderkey + l_linenumber)"
+    amount = round2("l_extendedprice * (1 - l_discount)")
+    return j.selectExpr(
+        "l_orderkey AS k", "l_linenumber AS ln", "l_partkey AS pk", "l_extendedprice AS px",
+        "l_discount AS dc",
+        f"CASE WHEN {r} % 29 = 0 THEN CAST(NULL AS STRING) "
+        f"WHEN {r} % 10 = 0 THEN concat(p_name, ', \"bulk\"') "
+        f"WHEN {r} % 10 = 5 THEN concat(' ', p_name) ELSE p_name END AS description",
+        "l_quantity AS quantity",
+        f"{round2(f'try_divide({amount}, l_quantity)')} AS unit_price",
+        f"{amount} AS amount")
 
 
 def invoice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,115 +87,127 @@ def invoice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_utc(spark)
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
+    # Per order: items in line order + exact (decimal) sum. The array holds the
+    # items of one invoice (bounded by what one document can list); the sum
+    # is a partial (map-side) aggregate.
     items = line_item_rows(spark, sf_dir)
-    # Per order: items in line order + exact (decimal) sum. The array is bounded
-    # by the items of one invoice; the sum is a partial (map-side) aggregate.
-    per_order = items.groupBy("k").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "ln", "pk", "px", "dc", "quantity", "description", "unit_price", "amount",
-            F.concat(F.lit("Line "), F.col("ln").cast("string")).alias("reasoning")))).alias("its"),
-        F.sum(F.col("amount").cast("decimal(18,2)")).alias("item_sum"))
+    per_order = items.selectExpr(
+        "k", "named_struct('ln', ln, 'pk', pk, 'px', px, 'dc', dc, 'quantity', quantity, "
+        "'description', description, 'unit_price', unit_price, 'amount', amount) AS it",
+        "CAST(amount AS DECIMAL(18,2)) AS amt").groupBy("k").agg(
+        {"it": "collect_list", "amt": "sum"}).withColumnsRenamed(
+        {"collect_list(it)": "its", "sum(amt)": "item_sum"})
     base = (orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
             .join(per_order, orders.o_orderkey == per_order.k, "left"))
-    k = F.col("o_orderkey")
-    bill = F.to_date("o_orderdate")
-    bill_s = F.date_format(bill, "yyyy-MM-dd")
-    due_s = (F.when(k % 19 == 0, F.lit(None).cast("string"))
-             .when(k % 17 == 0, F.date_format(F.date_sub(bill, 5), "yyyy-MM-dd"))
-             .otherwise(F.date_format(F.date_add(bill, 30), "yyyy-MM-dd")))
-    inv_no = F.concat(F.lit("INV-"), k.cast("string"))
-    vname = F.when(k % 23 == 0, F.lit(None).cast("string")).otherwise(F.col("c_name"))
-    vaddr = F.concat(F.coalesce(F.col("c_mktsegment"), F.lit("UNKNOWN")), F.lit(" Plaza, Suite "),
-                     (k % 100).cast("string"))
-    po = F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("PO-"), k.cast("string")))
-    subtotal = (F.coalesce(F.col("item_sum").cast("double"), F.lit(0.0))
-                + F.when(k % 13 == 0, F.lit(5.0)).otherwise(F.lit(0.0)))
-    stage = base.select(
-        k.alias("order_key"), inv_no.alias("doc_id"),
-        F.coalesce(F.col("c_mktsegment"), F.lit("UNKNOWN")).alias("category"),
-        inv_no.alias("_inv"), vname.alias("_vname"), vaddr.alias("_vaddr"),
-        bill_s.alias("_bill"), due_s.alias("_due"), po.alias("_po"),
-        subtotal.alias("_sub"), F.col("its").alias("_its"))
-    stage = stage.withColumn("_tax", round2(F.col("_sub") * TAX_RATE))
-    stage = stage.withColumn(
-        "_total",
-        F.when(F.col("order_key") % 97 == 0, F.lit(0.0))
-        .otherwise(round2(F.col("_sub") + F.col("_tax"))
-                   + F.when(F.col("order_key") % 11 == 0, F.lit(1.0)).otherwise(F.lit(0.0))))
-    kk = F.col("order_key")
-    vendor = F.struct(
-        F.col("_vname").alias("name"), F.col("_vaddr").alias("address"),
-        _conf(kk, 1).alias("confidence"),
-        F.concat(_box_tag(kk, 1), F.lit("Vendor: "), F.coalesce(F.col("_vname"), F.lit("not shown"))).alias("reasoning"))
-    empty_items = F.array().cast(T.ArrayType(S.LINE_ITEM))
-    line_items = F.coalesce(F.transform(F.col("_its"), lambda x: F.struct(
-        x["description"].alias("description"), x["quantity"].alias("quantity"),
-        x["unit_price"].alias("unit_price"), x["amount"].alias("amount"),
-        x["reasoning"].alias("reasoning"))), empty_items)
-    def flag(sev: str, msg: str) -> Column:
-        return F.struct(F.lit(sev).alias("severity"), F.lit(msg).alias("message"))
-    dup = flag("warning", "Possible duplicate invoice.")
-    model_flags = F.filter(F.array(
-        F.when((kk % 23 == 0) & (kk % 2 == 0), flag("warning", "Vendor name could not be extracted.")),
-        F.when(kk % 31 == 0, flag("info", "Currency could not be determined.")),
-        F.when(kk % 37 == 0, dup),
-        F.when(kk % 37 == 0, dup),
-    ), lambda x: x.isNotNull())
-    record = F.struct(
-        _field(F.col("_inv"), kk, 0, "Invoice Number", F.col("_inv")).alias("invoice_number"),
-        vendor.alias("vendor"),
-        _field(F.col("_bill"), kk, 2, "Bill Date", F.col("_bill")).alias("bill_date"),
-        _field(F.col("_due"), kk, 3, "Due Date", F.col("_due")).alias("due_date"),
-        _field(F.col("_po"), kk, 4, "PO Number", F.col("_po")).alias("po_number"),
-        _field(F.col("_sub"), kk, 5, "Subtotal", fixed2(F.col("_sub"))).alias("subtotal"),
-        _field(F.col("_tax"), kk, 6, "Tax", fixed2(F.col("_tax"))).alias("tax"),
-        _field(F.col("_total"), kk, 7, "Total", fixed2(F.col("_total"))).alias("total"),
-        _field(F.lit("USD"), kk, 8, "Currency", F.lit("USD")).alias("currency"),
-        line_items.alias("line_items"),
-        model_flags.alias("flags"),
-    )
-    return stage.select("doc_id", "order_key", "category", record.alias("record"))
-
-
-def error_column(k: Column) -> Column:
-    return F.when(k % 101 == 0, F.lit("Extraction failed: model-API-failure"))
-
-
-def extracted_columns(k: Column, r: Column) -> dict[str, Column]:
+    stage = base.selectExpr(
+        "o_orderkey AS k",
+        "concat('INV-', CAST(o_orderkey AS STRING)) AS inv",
+        "coalesce(c_mktsegment, 'UNKNOWN') AS category",
+        "CASE WHEN o_orderkey % 23 = 0 THEN CAST(NULL AS STRING) ELSE c_name END AS vname",
+        "concat(coalesce(c_mktsegment, 'UNKNOWN'), ' Plaza, Suite ', CAST(o_orderkey % 100 AS STRING)) AS vaddr",
+        "to_date(o_orderdate) AS bill_d",
+        "coalesce(CAST(item_sum AS DOUBLE), 0.0D) + CASE WHEN o_orderkey % 13 = 0 THEN 5.0D ELSE 0.0D END AS sub",
+        "its")
+    stage = stage.selectExpr(
+        "*", "date_format(bill_d, 'yyyy-MM-dd') AS bill",
+        "CASE WHEN k % 19 = 0 THEN CAST(NULL AS STRING) "
+        "WHEN k % 17 = 0 THEN date_format(date_sub(bill_d, 5), 'yyyy-MM-dd') "
+        "ELSE date_format(date_add(bill_d, 30), 'yyyy-MM-dd') END AS due",
+        "CASE WHEN k % 3 = 0 THEN CAST(NULL AS STRING) ELSE concat('PO-', CAST(k AS STRING)) END AS po",
+        f"{round2(f'sub * {TAX_RATE}D')} AS tax")
+    stage = stage.selectExpr(
+        "*", f"CASE WHEN k % 97 = 0 THEN 0.0D ELSE {round2('sub + tax')} "
+             "+ CASE WHEN k % 11 = 0 THEN 1.0D ELSE 0.0D END END AS total")
+    vendor = (f"named_struct('name', vname, 'address', vaddr, 'confidence', {_conf(1)}, "
+              f"'reasoning', concat({_box(1)}, 'Vendor: ', coalesce(vname, 'not shown')))")
+    items_sql = ("coalesce(transform(array_sort(its), x -> named_struct('description', x.description, "
+                 "'quantity', x.quantity, 'unit_price', x.unit_price, 'amount', x.amount, "
+                 "'reasoning', concat('Line ', CAST(x.ln AS STRING)))), "
+                 "CAST(array() AS ARRAY<STRUCT<description:STRING,quantity:DOUBLE,unit_price:DOUBLE,"
+                 "amount:DOUBLE,reasoning:STRING>>))")
+    dup = "named_struct('severity', 'warning', 'message', 'Possible duplicate invoice.')"
+    flags_sql = ("filter(array("
+                 "CASE WHEN k % 23 = 0 AND k % 2 = 0 THEN named_struct('severity', 'warning', "
+                 "'message', 'Vendor name could not be extracted.') END, "
+                 "CASE WHEN k % 31 = 0 THEN named_struct('severity', 'info', "
+                 "'message', 'Currency could not be determined.') END, "
+                 f"CASE WHEN k % 37 = 0 THEN {dup} END, CASE WHEN k % 37 = 0 THEN {dup} END), "
+                 "f -> f IS NOT NULL)")
+    record = ("named_struct("
+              f"'invoice_number', {_field(0, 'inv', 'inv')}, "
+              f"'vendor', {vendor}, "
+              f"'bill_date', {_field(2, 'bill', 'bill')}, "
+              f"'due_date', {_field(3, 'due', 'due')}, "
+              f"'po_number', {_field(4, 'po', 'po')}, "
+              f"'subtotal', {_field(5, 'sub', fixed2('sub'))}, "
+              f"'tax', {_field(6, 'tax', fixed2('tax'))}, "
+              f"'total', {_field(7, 'total', fixed2('total'))}, "
+              f"'currency', {_field(8, "'USD'", "'USD'")}, "
+              f"'line_items', {items_sql}, "
+              f"'flags', {flags_sql})")
+    return stage.selectExpr("inv AS doc_id", "k AS order_key", "category", f"{record} AS record")
+
+
+def error_sql(k: str = "order_key") -> str:
+    return f"CASE WHEN {k} % 101 = 0 THEN 'Extraction failed: model-API-failure' END"
+
+
+def extracted_sql(k: str = "order_key", r: str = "record") -> dict[str, str]:
     """The "model output" used for scoring: ground truth with perturbations,
-    as the nine flat fields of ``schemas.GROUND_TRUTH``."""
-    inv = r["invoice_number"]["value"]
-    vname = r["vendor"]["name"]
-    bill = r["bill_date"]["value"]
-    bill_d = F.to_date(bill, "yyyy-MM-dd")
-    due = r["due_date"]["value"]
-    sub, tax, tot = r["subtotal"]["value"], r["tax"]["value"], r["total"]["value"]
+    as SQL for the nine flat fields of ``schemas.GROUND_TRUTH``."""
+    inv, vname = f"{r}.invoice_number.value", f"{r}.vendor.name"
+    bill, due = f"{r}.bill_date.value", f"{r}.due_date.value"
+    bill_d = f"to_date({bill}, 'yyyy-MM-dd')"
+    sub, tax, tot = f"{r}.subtotal.value", f"{r}.tax.value", f"{r}.total.value"
     return {
-        "invoice_number": F.when(k % 43 == 0, F.concat(inv, F.lit("X")))
-        .when(k % 41 == 0, F.concat(F.lit(" "), inv, F.lit(" ")))
-        .when(k % 7 == 0, F.lower(inv)).otherwise(inv),
-        "vendor_name": F.when(k % 47 == 0, F.lit(None).cast("string"))
-        .when(k % 11 == 0, F.upper(vname)).otherwise(vname),
-        "bill_date": F.when(k % 53 == 0, F.lit("not a date"))
-        .when(k % 13 == 0, F.date_format(bill_d, "MMMM d, yyyy"))
-        .when(k % 5 == 0, F.date_format(bill_d, "d-MMM-yyyy"))
-        .when(k % 3 == 0, F.date_format(bill_d, "M/d/yyyy")).otherwise(bill),
-        "due_date": F.when(k % 59 == 0, F.lit(None).cast("string"))
-        .when(k % 6 == 0, F.date_format(F.date_add(F.to_date(due, "yyyy-MM-dd"), 1), "yyyy-MM-dd"))
-        .otherwise(due),
-        "po_number": F.when(k % 9 == 0, F.lit(None).cast("string")).otherwise(r["po_number"]["value"]),
-        "subtotal": F.when(k % 29 == 0, sub + 0.02).when(k % 8 == 0, sub + 0.005).otherwise(sub),
-        "tax": F.when(k % 61 == 0, F.lit(None).cast("double")).otherwise(tax),
-        "total": F.when(k % 31 == 0, F.lit(None).cast("double"))
-        .when(k % 67 == 0, tot + 0.5).otherwise(tot),
-        "currency": F.when(k % 17 == 0, F.lit("usd")).when(k % 71 == 0, F.lit("EUR"))
-        .otherwise(r["currency"]["value"]),
+        "invoice_number": f"CASE WHEN {k} % 43 = 0 THEN concat({inv}, 'X') "
+                          f"WHEN {k} % 41 = 0 THEN concat(' ', {inv}, ' ') "
+                          f"WHEN {k} % 7 = 0 THEN lower({inv}) ELSE {inv} END",
+        "vendor_name": f"CASE WHEN {k} % 47 = 0 THEN CAST(NULL AS STRING) "
+                       f"WHEN {k} % 11 = 0 THEN upper({vname}) ELSE {vname} END",
+        "bill_date": f"CASE WHEN {k} % 53 = 0 THEN 'not a date' "
+                     f"WHEN {k} % 13 = 0 THEN date_format({bill_d}, 'MMMM d, yyyy') "
+                     f"WHEN {k} % 5 = 0 THEN date_format({bill_d}, 'd-MMM-yyyy') "
+                     f"WHEN {k} % 3 = 0 THEN date_format({bill_d}, 'M/d/yyyy') ELSE {bill} END",
+        "due_date": f"CASE WHEN {k} % 59 = 0 THEN CAST(NULL AS STRING) "
+                    f"WHEN {k} % 6 = 0 THEN date_format(date_add(to_date({due}, 'yyyy-MM-dd'), 1), 'yyyy-MM-dd') "
+                    f"ELSE {due} END",
+        "po_number": f"CASE WHEN {k} % 9 = 0 THEN CAST(NULL AS STRING) ELSE {r}.po_number.value END",
+        "subtotal": f"CASE WHEN {k} % 29 = 0 THEN {sub} + 0.02D WHEN {k} % 8 = 0 THEN {sub} + 0.005D "
+                    f"ELSE {sub} END",
+        "tax": f"CASE WHEN {k} % 61 = 0 THEN CAST(NULL AS DOUBLE) ELSE {tax} END",
+        "total": f"CASE WHEN {k} % 31 = 0 THEN CAST(NULL AS DOUBLE) WHEN {k} % 67 = 0 THEN {tot} + 0.5D "
+                 f"ELSE {tot} END",
+        "currency": f"CASE WHEN {k} % 17 = 0 THEN 'usd' WHEN {k} % 71 = 0 THEN 'EUR' "
+                    f"ELSE {r}.currency.value END",
     }
 
 
 def extracted_values(records: DataFrame) -> DataFrame:
     """doc_id, error and the nine perturbed fields, as a table of its own."""
-    k, r = F.col("order_key"), F.col("record")
-    cols = extracted_columns(k, r)
-    return records.select("doc_id", error_column(k).alias("error"),
-                          *[cols[f].alias(f) for f in S.GROUND_TRUTH_FIELDS])
+    ex = extracted_sql()
+    return records.selectExpr("doc_id", f"{error_sql()} AS error",
+                              *[f"{ex[f]} AS {f}" for f in S.GROUND_TRUTH_FIELDS])
+
+
+def derived_edits(records: DataFrame) -> DataFrame:
+    """Test edits derived from the records (doc_id, field, raw, ts, seq):
+    corrected totals typed with thousands separators, a later junk total
+    (ignored: not a number), vendor names with padding, corrected due dates,
+    cleared and unparseable subtotals."""
+    r = "record"
+    rows = (
+        f"CASE WHEN order_key % 9 = 0 THEN named_struct('field', 'total', 'raw', "
+        f"format_number({round2(f'{r}.subtotal.value + {r}.tax.value')}, 2), 'ts', 2L) END",
+        "CASE WHEN order_key % 18 = 0 THEN named_struct('field', 'total', 'raw', 'abc', 'ts', 3L) END",
+        "CASE WHEN order_key % 23 = 0 AND order_key % 4 = 0 THEN named_struct('field', 'vendor_name', "
+        "'raw', '  Acme Supply Co  ', 'ts', 1L) END",
+        f"CASE WHEN order_key % 17 = 0 THEN named_struct('field', 'due_date', 'raw', "
+        f"date_format(date_add(to_date({r}.bill_date.value), 30), 'yyyy-MM-dd'), 'ts', 1L) END",
+        "CASE WHEN order_key % 13 = 0 AND order_key % 2 = 1 THEN named_struct('field', 'subtotal', "
+        "'raw', '   ', 'ts', 1L) END",
+        "CASE WHEN order_key % 26 = 0 THEN named_struct('field', 'subtotal', 'raw', '$12', 'ts', 1L) END",
+    )
+    arr = "filter(array(" + ", ".join(rows) + "), e -> e IS NOT NULL)"
+    return (records.selectExpr("doc_id", f"posexplode({arr}) AS (seq, e)")
+            .selectExpr("doc_id", "e.field AS field", "e.raw AS raw", "e.ts AS ts", "CAST(seq AS BIGINT) AS seq"))
