@@ -73,13 +73,14 @@ def q_flag_rule_counts(spark, sf_dir):
             .withColumnsRenamed({"f.rule": "rule", "f.severity": "severity"}))
 
 
-MERGE_SQL = """,
+MERGE_CTES = """,
 all_flags AS (
   SELECT k, doc_id, 0 AS src, rule_no AS ord, severity, message FROM det
   UNION ALL SELECT m.k, inv.doc_id, 1, m.pos, m.severity, m.message FROM mflags m JOIN inv ON inv.k = m.k),
 firsts AS (
   SELECT k, doc_id, severity, message, min(src * 1000 + ord) AS o FROM all_flags
-  GROUP BY k, doc_id, severity, message)
+  GROUP BY k, doc_id, severity, message)"""
+MERGE_SQL = MERGE_CTES + """
 SELECT doc_id, row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS pos, severity, message FROM firsts"""
 
 
