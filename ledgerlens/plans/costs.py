@@ -1 +1,123 @@
-"""placeholder"""
+"""M4 - pricing, spend, budget gates over the usage rows derived from
+``events``."""
+
+from __future__ import annotations
+
+from ledgerlens.operators import costs as C
+from ledgerlens.operators import folds
+from ledgerlens.plans.registry import query
+from ledgerlens.sources.usage import HAIKU, MODEL_SQL, OPUS, SONNET, usage_rows
+
+BUDGET = C.MONTHLY_BUDGET_DEFAULT
+
+
+def priced_usage(spark, sf_dir):
+    pricing = C.resolve_pricing(C.builtin_pricing(spark), C.parse_pricing_overrides(spark, None)[0])
+    return C.call_costs(usage_rows(spark, sf_dir), pricing)
+
+
+USAGE_CTES = f"""
+usage AS (
+  SELECT event_id, user_id, ts, epoch_us(ts) AS ts_us, event_type, {MODEL_SQL} AS model,
+         CAST(floor(value * 100) AS BIGINT) AS input_tokens, CAST(floor(value * 10) AS BIGINT) AS output_tokens
+  FROM events),
+pricing AS (SELECT * FROM (VALUES ('{SONNET}', 3.0::DOUBLE, 15.0::DOUBLE, 0), ('{OPUS}', 15.0::DOUBLE, 75.0::DOUBLE, 1),
+                                  ('{HAIKU}', 1.0::DOUBLE, 5.0::DOUBLE, 2)) t(prefix, pin, pout, ord)),
+mp AS (SELECT model, arg_min(pin, ord) AS pin, arg_min(pout, ord) AS pout
+       FROM (SELECT DISTINCT model FROM usage) m JOIN pricing p ON starts_with(m.model, p.prefix) GROUP BY model),
+costs AS (SELECT u.*, CAST(u.input_tokens AS DOUBLE) / 1e6 * mp.pin + CAST(u.output_tokens AS DOUBLE) / 1e6 * mp.pout AS cost
+          FROM usage u LEFT JOIN mp ON mp.model = u.model)"""
+
+
+def with_usage(sql: str, recursive: bool = False) -> str:
+    body = sql.strip()
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + USAGE_CTES + ("\n" + body if body.upper().startswith("SELECT") else body)
+
+
+@query("call_cost", with_usage("""
+SELECT event_id, user_id, model, input_tokens, output_tokens, cost FROM costs"""))
+def q_call_cost(spark, sf_dir):
+    return priced_usage(spark, sf_dir).select("event_id", "user_id", "model", "input_tokens",
+                                              "output_tokens", "cost")
+
+
+@query("monthly_spend", with_usage("""
+SELECT strftime(ts, '%Y-%m') AS month, count(*) AS calls, count(cost) AS priced_calls,
+       round(coalesce(sum(CASE WHEN cost >= 0 THEN cost END), 0.0), 6) AS spend
+FROM costs GROUP BY 1"""))
+def q_monthly_spend(spark, sf_dir):
+    return C.monthly_spend(priced_usage(spark, sf_dir))
+
+
+@query("monthly_budget_gate", with_usage(f""",
+g AS (SELECT event_id, strftime(ts, '%Y-%m') AS month,
+        coalesce(sum(CASE WHEN cost >= 0 THEN cost ELSE 0.0 END) OVER (PARTITION BY strftime(ts, '%Y-%m')
+          ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS sb FROM costs)
+SELECT event_id, month, round(sb, 6) AS spend_before, round(sb, 9) >= {BUDGET} AS refused FROM g"""))
+def q_monthly_budget_gate(spark, sf_dir):
+    g = C.monthly_budget_gate(priced_usage(spark, sf_dir), BUDGET)
+    return g.selectExpr("event_id", "month", "round(spend_before, 6) AS spend_before", "refused")
+
+
+def _median(h: str) -> str:
+    s = f"list_sort({h})"
+    n = f"len({h})"
+    return (f"CASE WHEN {n} = 0 THEN NULL WHEN {n} % 2 = 0 THEN ({s}[{n} // 2] + {s}[{n} // 2 + 1]) / 2 "
+            f"ELSE {s}[{n} // 2 + 1] END")
+
+
+@query("median_cost_cap", with_usage(f""",
+pc AS (SELECT user_id, event_id, cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+       FROM costs WHERE cost IS NOT NULL),
+r AS (
+  SELECT user_id, rn, event_id, cost, exceeded, cap, med,
+         CASE WHEN NOT exceeded AND cost >= 0 THEN [cost] ELSE CAST([] AS DOUBLE[]) END AS hist
+  FROM (SELECT *, cost > 1.0 AS exceeded, CASE WHEN cost > 1.0 THEN 1.0::DOUBLE END AS cap,
+               CAST(NULL AS DOUBLE) AS med FROM pc WHERE rn = 1) f
+  UNION ALL
+  SELECT user_id, rn, event_id, cost, exceeded, cap, med,
+         CASE WHEN NOT exceeded AND cost >= 0 THEN list_append(hist, cost)[-50:] ELSE hist END
+  FROM (SELECT *, cost > 1.0 OR (med IS NOT NULL AND med <> 0 AND cost > med * 3.0) AS exceeded,
+               CASE WHEN cost > 1.0 THEN 1.0::DOUBLE WHEN med IS NULL OR med = 0 THEN NULL ELSE med * 3.0 END AS cap
+        FROM (SELECT pc.user_id, pc.rn, pc.event_id, pc.cost, r.hist, {_median('r.hist')} AS med
+              FROM r JOIN pc ON pc.user_id = r.user_id AND pc.rn = r.rn + 1) x) y)
+SELECT event_id, user_id, cost, exceeded, cap, med AS median FROM r""", recursive=True))
+def q_median_cost_cap(spark, sf_dir):
+    priced = priced_usage(spark, sf_dir).filter("cost IS NOT NULL")
+    w = folds.median_cost_cap(priced.select("event_id", "user_id", "ts", "cost"), ["user_id"], "cost",
+                              ["ts", "event_id"])
+    return w.select("event_id", "user_id", "cost", "exceeded", "cap", "median")
+
+
+@query("rolling_median", with_usage("""
+SELECT event_id, user_id, round(quantile_cont(cost, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id
+       ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 9) AS median_prev50
+FROM costs WHERE cost IS NOT NULL"""))
+def q_rolling_median(spark, sf_dir):
+    """Median of the previous 50 priced calls of the user (no
+    feedback). ``percentile`` with a ROWS frame (``median`` cannot take a
+    frame); a hot user is one window task that spills, not one in memory."""
+    return priced_usage(spark, sf_dir).filter("cost IS NOT NULL").selectExpr(
+        "event_id", "user_id",
+        "round(percentile(cost, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id "
+        "ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 9) AS median_prev50")
+
+
+@query("budget_settings", """
+SELECT user_id, raw,
+  CASE WHEN raw IS NULL OR raw = '' THEN 25.0::DOUBLE
+       WHEN NOT regexp_matches(trim(raw), '^\\d+(\\.\\d+)?$') THEN 25.0::DOUBLE
+       WHEN TRY_CAST(trim(raw) AS DOUBLE) <= 0 THEN 25.0::DOUBLE ELSE TRY_CAST(trim(raw) AS DOUBLE) END AS budget,
+  CASE WHEN raw IS NULL OR raw = '' THEN NULL
+       WHEN NOT regexp_matches(trim(raw), '^\\d+(\\.\\d+)?$') THEN 'non-numeric'
+       WHEN TRY_CAST(trim(raw) AS DOUBLE) <= 0 THEN 'non-positive' END AS reason
+FROM (SELECT DISTINCT user_id, CASE user_id % 6 WHEN 0 THEN '50' WHEN 1 THEN ' 12.5 ' WHEN 2 THEN '50 USD'
+        WHEN 3 THEN '0' WHEN 4 THEN '' ELSE '-3' END AS raw FROM events) t""")
+def q_budget_settings(spark, sf_dir):
+    """P20 over a per-tenant settings table (one raw setting per user)."""
+    from ledgerlens.sources.tables import read_table
+    t = read_table(spark, sf_dir, "events", "user_id").distinct().selectExpr(
+        "user_id", "CASE user_id % 6 WHEN 0 THEN '50' WHEN 1 THEN ' 12.5 ' WHEN 2 THEN '50 USD' "
+        "WHEN 3 THEN '0' WHEN 4 THEN '' ELSE '-3' END AS raw")
+    return t.selectExpr("user_id", "raw", *C.budget_setting("raw"))
