@@ -1 +1,140 @@
-"""placeholder"""
+"""M5 - rendered document text, rule extraction round trip, evidence lookup,
+box tags."""
+
+from __future__ import annotations
+
+from ledgerlens.operators import evidence as EV
+from ledgerlens.operators import extraction as X
+from ledgerlens.plans.oracle_base import js_num, with_base
+from ledgerlens.plans.registry import query
+from ledgerlens.sources.invoices import invoice_records
+
+
+def _texts(spark, sf_dir):
+    return X.render_text(invoice_records(spark, sf_dir))
+
+
+def _ps(s: str, n: int) -> str:
+    return f"(CASE WHEN length({s}) >= {n} THEN {s} ELSE lpad({s}, {n}, ' ') END)"
+
+
+def _pe(s: str, n: int) -> str:
+    return f"(CASE WHEN length({s}) >= {n} THEN {s} ELSE rpad({s}, {n}, ' ') END)"
+
+
+TEXT_CTE = f""",
+item_lines AS (
+  SELECT k, string_agg({_pe("coalesce(description, '')", 48)} || '  ' || {_ps(js_num('quantity'), 3)} || '   ' ||
+         {_ps("printf('%.2f', unit_price)", 10)} || '   ' || {_ps("printf('%.2f', quantity * unit_price)", 10)},
+         chr(10) ORDER BY pos) AS lines
+  FROM items GROUP BY k),
+texts AS (
+  SELECT inv.k, inv.doc_id, concat_ws(chr(10), 'INVOICE', coalesce(vendor_name, ''), '',
+    'Invoice Number: ' || inv_no, 'Bill Date: ' || bill,
+    CASE WHEN due IS NOT NULL AND due <> '' THEN 'Due Date: ' || due END,
+    CASE WHEN po IS NOT NULL AND po <> '' THEN 'PO Number: ' || po END,
+    'Currency: ' || currency, '', '{X.ITEM_HEADER}', il.lines, '',
+    'Subtotal: ' || printf('%.2f', sub), 'Tax (8%): ' || printf('%.2f', tax),
+    'Total: ' || printf('%.2f', total)) AS text
+  FROM inv LEFT JOIN item_lines il ON il.k = inv.k)"""
+
+
+@query("invoice_text", with_base(TEXT_CTE + "\nSELECT doc_id, text FROM texts"))
+def q_invoice_text(spark, sf_dir):
+    return _texts(spark, sf_dir)
+
+
+def _lab(label: str) -> str:
+    return f"nullif(regexp_extract(text, '(?m)^{label}: (.*)$', 1), '')"
+
+
+@query("rule_extraction", with_base(TEXT_CTE + f"""
+SELECT doc_id, {_lab('Invoice Number')} AS invoice_number, nullif(string_split(text, chr(10))[2], '') AS vendor_name,
+  {_lab('Bill Date')} AS bill_date, {_lab('Due Date')} AS due_date, {_lab('PO Number')} AS po_number,
+  {_lab('Currency')} AS currency, TRY_CAST({_lab('Subtotal')} AS DOUBLE) AS subtotal,
+  TRY_CAST(nullif(regexp_extract(text, '(?m)^Tax \\([^)]*\\): (.*)$', 1), '') AS DOUBLE) AS tax,
+  TRY_CAST({_lab('Total')} AS DOUBLE) AS total
+FROM texts"""))
+def q_rule_extraction(spark, sf_dir):
+    ex = X.rule_extract_sql("text")
+    return _texts(spark, sf_dir).selectExpr("doc_id", *[f"{v} AS {k}" for k, v in ex.items()])
+
+
+_MONTHS = "[" + ", ".join(f"'{m}'" for m in EV.MONTHS) + "]"
+
+
+def _dates(iso: str) -> str:
+    y, mm, dd = (f"regexp_extract({iso}, '^(\\d{{4}})-(\\d{{2}})-(\\d{{2}})$', {i})" for i in (1, 2, 3))
+    ml = f"{_MONTHS}[CAST({mm} AS INTEGER)]"
+    day = f"CAST(CAST({dd} AS INTEGER) AS VARCHAR)"
+    return (f"CASE WHEN {iso} IS NULL OR {iso} = '' THEN CAST([] AS VARCHAR[]) "
+            f"WHEN regexp_matches({iso}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN "
+            f"list_filter([{iso}, {ml} || ' ' || {day} || ', ' || {y}, substr({ml}, 1, 3) || ' ' || {day} || ', ' || {y}, "
+            f"{mm} || '/' || {dd} || '/' || {y}, {dd} || '/' || {mm} || '/' || {y}, {ml} || ' ' || {day}], "
+            f"lambda v: v IS NOT NULL AND v <> '') ELSE [{iso}] END")
+
+
+def _single(s: str) -> str:
+    return f"CASE WHEN {s} IS NULL OR {s} = '' THEN CAST([] AS VARCHAR[]) ELSE [{s}] END"
+
+
+def _money(n: str) -> str:
+    return f"CASE WHEN {n} IS NULL THEN CAST([] AS VARCHAR[]) ELSE [format('{{:,.2f}}', {n}), printf('%.2f', {n})] END"
+
+
+def _words(s: str) -> str:
+    return (f"CASE WHEN {s} IS NULL OR {s} = '' THEN CAST([] AS VARCHAR[]) ELSE list_concat([{s}], "
+            f"list_filter(regexp_split_to_array({s}, '\\s+'), lambda w: length(w) > 3)) END")
+
+
+_VARIANTS = [_single("inv_no"), _words("vendor_name"), _dates("bill"), _dates("due"), _single("po"),
+             _money("sub"), _money("tax"), _money("total"), _single("currency")]
+EVIDENCE_SQL = TEXT_CTE + ",\nvl AS (" + "\nUNION ALL ".join(
+    f"SELECT doc_id, k, {i} AS label_no, '{lb}' AS label, {v} AS vs FROM inv"
+    for i, (lb, v) in enumerate(zip(EV.LABELS, _VARIANTS))) + """),
+v AS (SELECT doc_id, k, label_no, label, unnest(vs) AS variant, generate_subscripts(vs, 1) - 1 AS variant_no FROM vl),
+hits AS (
+  SELECT v.doc_id, v.label_no, v.label, v.variant_no,
+         len(string_split(substr(t.text, 1, instr(lower(t.text), lower(trim(v.variant))) - 1), chr(10))) - 1 AS line_no
+  FROM v JOIN texts t ON t.k = v.k
+  WHERE length(trim(v.variant)) >= 2 AND instr(lower(t.text), lower(trim(v.variant))) > 0),
+best AS (SELECT doc_id, label_no, label, min(variant_no) AS variant_no FROM hits GROUP BY ALL)
+SELECT b.doc_id, b.label_no, b.label, CAST(b.variant_no AS BIGINT) AS variant_no, CAST(min(h.line_no) AS BIGINT) AS line_no
+FROM best b JOIN hits h ON h.doc_id = b.doc_id AND h.label_no = b.label_no AND h.variant_no = b.variant_no
+GROUP BY b.doc_id, b.label_no, b.label, b.variant_no"""
+
+
+@query("evidence_lookup", with_base(EVIDENCE_SQL))
+def q_evidence_lookup(spark, sf_dir):
+    rec = invoice_records(spark, sf_dir)
+    return EV.lookup(EV.field_variants(rec), X.render_text(rec)).selectExpr(
+        "doc_id", "CAST(label_no AS INT) AS label_no", "label", "variant_no", "line_no")
+
+
+_BBOX = r"^\[bbox:\s*([-\d.]+)\s*,\s*([-\d.]+)\s*,\s*([-\d.]+)\s*,\s*([-\d.]+)\s*\]\s*"
+_NONE = r"(?i)^\[bbox:\s*none\s*\]\s*"
+
+
+def _bpart(i: int) -> str:
+    return (f"TRY_CAST(nullif(regexp_extract(regexp_extract(rsn, '{_BBOX}', {i}), '^[+-]?(\\d+\\.?\\d*|\\.\\d+)', 0), '') "
+            f"AS DOUBLE)")
+
+
+_OK = " AND ".join(f"({_bpart(i)} IS NOT NULL AND {_bpart(i)} >= -0.1 AND {_bpart(i)} <= 1.1)" for i in range(1, 5))
+BOX_SQL = ",\nr AS (" + "\nUNION ALL ".join(f"SELECT doc_id, {i} AS field_no, rsn{i} AS rsn FROM inv" for i in range(9)) + ")\n" + \
+    "SELECT doc_id, field_no, " + ", ".join(
+        f"CASE WHEN NOT regexp_matches(rsn, '{_NONE}') AND regexp_matches(rsn, '{_BBOX}') AND {_OK} THEN {_bpart(i)} END AS {n}"
+        for i, n in zip(range(1, 5), "xywh")) + \
+    f", CASE WHEN regexp_matches(rsn, '{_NONE}') THEN regexp_replace(rsn, '{_NONE}', '') " \
+    f"WHEN regexp_matches(rsn, '{_BBOX}') THEN regexp_replace(rsn, '{_BBOX}', '') ELSE rsn END AS text FROM r"
+
+
+@query("box_tags", with_base(BOX_SQL))
+def q_box_tags(spark, sf_dir):
+    rec = invoice_records(spark, sf_dir)
+    fields = ("invoice_number", "vendor", "bill_date", "due_date", "po_number", "subtotal", "tax",
+              "total", "currency")
+    arr = "array(" + ", ".join(f"record.{f}.reasoning" for f in fields) + ")"
+    b = X.bbox_sql("rsn")
+    return (rec.selectExpr("doc_id", f"posexplode({arr}) AS (field_no, rsn)")
+            .selectExpr("doc_id", "field_no", *[f"{b[n]} AS {n}" for n in ("x", "y", "w", "h", "text")]))

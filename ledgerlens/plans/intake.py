@@ -1 +1,102 @@
-"""placeholder"""
+"""M5 - request logs, error taxonomy, retry class, client keys, URL guard,
+box tags, custom fields, prompt rows, file triage."""
+
+from __future__ import annotations
+
+from ledgerlens.operators import admission as A
+from ledgerlens.operators import errors as ER
+from ledgerlens.plans.costs import priced_usage, with_usage
+from ledgerlens.plans.registry import query
+
+CODES = [c for c, _, _ in ER.ERROR_TAXONOMY]
+_CODE_ARR = "array(" + ", ".join(f"'{c}'" for c in CODES) + ")"
+_CODE_LIST = "[" + ", ".join(f"'{c}'" for c in CODES) + "]"
+ROUTE_SQL = ("CASE event_type WHEN 'view' THEN 'extract' WHEN 'click' THEN 'extract-stream' "
+             "WHEN 'purchase' THEN 'webhook' WHEN 'signup' THEN 'csv' ELSE 'extract' END")
+
+
+def request_logs(spark, sf_dir):
+    """Request-log rows from the usage rows: route by event type; error
+    events carry an error code (by event id); latency from the value."""
+    u = priced_usage(spark, sf_dir)
+    logs = u.selectExpr(
+        "event_id", "user_id", "ts", f"{ROUTE_SQL} AS route",
+        f"CASE WHEN event_type = 'error' THEN element_at({_CODE_ARR}, CAST(event_id % 9 AS INT) + 1) "
+        "ELSE 'success' END AS category",
+        "CAST(floor(value * 10) AS BIGINT) AS duration_ms",
+        "CASE WHEN event_type = 'error' THEN CAST(NULL AS DOUBLE) ELSE cost END AS cost")
+    return ER.describe_errors(logs, "category").selectExpr(
+        "*", "coalesce(http_status, 200) AS status").drop("http_status").withColumnRenamed(
+        "status", "http_status")
+
+
+LOGS_CTE = f""",
+logs AS (
+  SELECT c.event_id, c.user_id, c.ts, {ROUTE_SQL.replace("event_type", "c.event_type")} AS route,
+    CASE WHEN c.event_type = 'error' THEN {_CODE_LIST}[CAST(c.event_id % 9 AS INTEGER) + 1] ELSE 'success' END AS category,
+    CAST(floor(e.value * 10) AS BIGINT) AS duration_ms,
+    CASE WHEN c.event_type = 'error' THEN NULL ELSE c.cost END AS cost
+  FROM costs c JOIN events e ON e.event_id = c.event_id),
+tax AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {s}, '{t.replace(chr(39), chr(39) * 2)}')" for c, s, t in ER.ERROR_TAXONOMY)}) t(code, http_status, title)),
+logs2 AS (SELECT logs.*, coalesce(tax.http_status, 200) AS http_status, tax.title FROM logs LEFT JOIN tax ON tax.code = logs.category)"""
+
+
+@query("log_rollup", with_usage(LOGS_CTE + """
+SELECT route, category, count(*) AS requests, count_if(http_status >= 400) AS errors,
+       round(avg(duration_ms), 3) AS avg_duration_ms, round(coalesce(sum(cost), 0.0), 6) AS cost_usd
+FROM logs2 GROUP BY route, category"""))
+def q_log_rollup(spark, sf_dir):
+    return ER.log_rollup(request_logs(spark, sf_dir))
+
+
+@query("error_taxonomy_join", with_usage(LOGS_CTE + """
+SELECT event_id, category AS code, CAST(http_status AS INTEGER) AS http_status, title FROM logs2
+WHERE category <> 'success'"""))
+def q_error_taxonomy(spark, sf_dir):
+    return (request_logs(spark, sf_dir).filter("category <> 'success'")
+            .selectExpr("event_id", "category AS code", "CAST(http_status AS INT) AS http_status", "title"))
+
+
+BATCH_STATUS = ("CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'view' AND event_id % 2 = 0 "
+                "THEN 'queued' WHEN event_type = 'view' THEN 'loading' ELSE 'success' END")
+
+
+@query("batch_summary", with_usage(f"""
+SELECT user_id AS batch_id,
+  count_if(status = 'success') AS success, count_if(status = 'error') AS error,
+  count_if(status IN ('queued', 'loading')) AS pending,
+  round(coalesce(sum(cost), 0.0), 6) AS total_cost, bool_or(cost IS NOT NULL) AS any_cost
+FROM (SELECT user_id, {BATCH_STATUS} AS status,
+             CASE WHEN {BATCH_STATUS} = 'success' THEN cost END AS cost FROM costs) t
+GROUP BY user_id"""))
+def q_batch_summary(spark, sf_dir):
+    """A8 with one batch per user; pending entries have no cost yet."""
+    e = priced_usage(spark, sf_dir).selectExpr(
+        "user_id AS batch_id", f"{BATCH_STATUS} AS status",
+        f"CASE WHEN {BATCH_STATUS} = 'success' THEN cost END AS cost")
+    return ER.batch_summary(e)
+
+
+STATUS_SQL = ("CASE event_id % 7 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN 503 WHEN 3 THEN 400 "
+              "WHEN 4 THEN 401 ELSE NULL END")
+MSG_SQL = ("CASE event_id % 7 WHEN 5 THEN 'fetch failed: ECONNRESET' WHEN 6 THEN 'The operation was aborted' "
+           "ELSE 'API error' END")
+NAME_SQL = "CASE WHEN event_id % 7 = 6 THEN 'AbortError' ELSE 'Error' END"
+
+
+@query("retry_class", f"""
+SELECT event_id, status, message,
+  CASE WHEN status IS NOT NULL THEN (status = 429 OR (status >= 500 AND status < 600))
+       WHEN error_name = 'AbortError' THEN false
+       ELSE coalesce(regexp_matches(message, '(?i)network|timeout|ECONN|fetch failed'), false) END AS retryable,
+  CAST(event_id % 3 AS BIGINT) AS attempt, CAST(400 * pow(2, event_id % 3) AS BIGINT) AS backoff_ms
+FROM (SELECT event_id, {STATUS_SQL} AS status, {MSG_SQL} AS message, {NAME_SQL} AS error_name
+      FROM events WHERE event_type = 'error') t""")
+def q_retry_class(spark, sf_dir):
+    """P14 over failed calls (error events): provider status / message by id."""
+    from ledgerlens.sources.tables import read_table
+    f = read_table(spark, sf_dir, "events", "event_id", "event_type").filter("event_type = 'error'")
+    f = f.selectExpr("event_id", f"{STATUS_SQL} AS status", f"{MSG_SQL} AS message",
+                     f"{NAME_SQL} AS error_name", "CAST(event_id % 3 AS BIGINT) AS attempt")
+    return f.selectExpr("event_id", "status", "message", f"{A.retry_class_sql()} AS retryable", "attempt",
+                        f"{A.backoff_ms_sql()} AS backoff_ms")
