@@ -100,3 +100,138 @@ def q_retry_class(spark, sf_dir):
                      f"{NAME_SQL} AS error_name", "CAST(event_id % 3 AS BIGINT) AS attempt")
     return f.selectExpr("event_id", "status", "message", f"{A.retry_class_sql()} AS retryable", "attempt",
                         f"{A.backoff_ms_sql()} AS backoff_ms")
+
+
+# ------------------------------------------------------------- client keys
+from ledgerlens.operators import custom_fields as CF  # noqa: E402
+from ledgerlens.operators import guards as G  # noqa: E402
+from ledgerlens.operators import intake as IN  # noqa: E402
+from ledgerlens.sources.tables import read_table  # noqa: E402
+
+XFF_SQL = ("CASE event_id % 8 WHEN 0 THEN '203.0.113.' || CAST(user_id % 256 AS {s}) || ', 10.0.0.1' "
+           "WHEN 1 THEN 'garbage, 198.51.100.' || CAST(user_id % 256 AS {s}) "
+           "WHEN 2 THEN '2001:db8::' || CAST(user_id AS {s}) WHEN 3 THEN '<script>alert(1)</script>' "
+           "WHEN 4 THEN '' WHEN 5 THEN NULL WHEN 6 THEN ' 192.0.2.' || CAST(user_id % 256 AS {s}) || ' ' "
+           "ELSE '999.1.1.1, unknown' END")
+REAL_SQL = "CASE event_id % 3 WHEN 0 THEN '198.51.100.7' WHEN 1 THEN 'not-an-ip' ELSE NULL END"
+_V4 = r"^((25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(25[0-5]|2[0-4]\d|[01]?\d?\d)$"
+
+
+def _duck_valid(x: str) -> str:
+    t = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return (f"CASE WHEN regexp_matches({t}, '{_V4}') THEN {t} WHEN contains({t}, ':') AND "
+            f"regexp_matches({t}, '^[0-9a-fA-F:]+$') AND length({t}) <= 45 THEN {t} END")
+
+
+@query("client_key", f"""
+SELECT event_id, xff AS x_forwarded_for, xri AS x_real_ip,
+  coalesce(CASE WHEN xff IS NOT NULL AND xff <> '' THEN
+             list_filter(list_transform(string_split(xff, ','), lambda h: {_duck_valid('h')}), lambda h: h IS NOT NULL)[1] END,
+           {_duck_valid('xri')}, 'unknown') AS client_key
+FROM (SELECT event_id, {XFF_SQL.format(s='VARCHAR')} AS xff, {REAL_SQL} AS xri FROM events) t""")
+def q_client_key(spark, sf_dir):
+    """P11 over request headers derived per event (valid hops, injected
+    text, IPv6, blanks)."""
+    ev = read_table(spark, sf_dir, "events", "event_id", "user_id")
+    h = ev.selectExpr("event_id", f"{XFF_SQL.format(s='STRING')} AS x_forwarded_for",
+                      f"{REAL_SQL} AS x_real_ip")
+    return h.selectExpr("*", f"{A.client_key_sql()} AS client_key")
+
+
+# --------------------------------------------------------------- URL guard
+URL_SQL = ("CASE page_id % 20 WHEN 0 THEN 'http://127.0.0.' || CAST(page_id % 250 AS {s}) || '/hook' "
+           "WHEN 1 THEN 'https://10.' || CAST(page_id % 250 AS {s}) || '.0.1/x' "
+           "WHEN 2 THEN 'http://172.' || CAST(16 + page_id % 20 AS {s}) || '.1.1/' "
+           "WHEN 3 THEN 'http://192.168.1.' || CAST(page_id % 250 AS {s}) "
+           "WHEN 4 THEN 'http://169.254.169.254/latest/meta-data' "
+           "WHEN 5 THEN 'http://100.' || CAST(60 + page_id % 70 AS {s}) || '.0.1' "
+           "WHEN 6 THEN 'http://198.' || CAST(17 + page_id % 4 AS {s}) || '.0.1' "
+           "WHEN 7 THEN 'http://0.0.0.0/' WHEN 8 THEN 'http://' || CAST(220 + page_id % 40 AS {s}) || '.0.0.1/' "
+           "WHEN 9 THEN 'http://[::1]/' WHEN 10 THEN 'http://[FE80::1]:8080/' WHEN 11 THEN 'http://[fd12:3456::1]/' "
+           "WHEN 12 THEN 'http://[::ffff:10.0.0.1]/' WHEN 13 THEN 'ftp://files.example.com/x' "
+           "WHEN 14 THEN 'http://localhost:3000/hook' WHEN 15 THEN 'HTTP://Metadata.Google.Internal/' "
+           "WHEN 16 THEN 'https://8.8.' || CAST(page_id % 250 AS {s}) || '.8/' WHEN 17 THEN 'not a url' "
+           "WHEN 18 THEN 'https://user:pw@93.184.216.34/x' ELSE url END")
+_URL_RE = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)"
+_G4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
+
+
+def _duck_priv4(ip: str) -> str:
+    a, b = f"CAST(split_part({ip}, '.', 1) AS INTEGER)", f"CAST(split_part({ip}, '.', 2) AS INTEGER)"
+    return (f"({a} = 127 OR {a} = 10 OR ({a} = 172 AND {b} BETWEEN 16 AND 31) OR ({a} = 192 AND {b} = 168) "
+            f"OR ({a} = 169 AND {b} = 254) OR ({a} = 100 AND {b} BETWEEN 64 AND 127) "
+            f"OR ({a} = 198 AND {b} IN (18, 19)) OR {a} = 0 OR {a} >= 224)")
+
+
+_SCH = f"lower(nullif(regexp_extract(u, '{_URL_RE}', 1), ''))"
+_HOST = f"lower(regexp_extract(u, '{_URL_RE}', 3))"
+_BARE = f"regexp_replace({_HOST}, '^\\[|\\]$', '', 'g')"
+_V6P = (f"({_BARE} = '::1' OR {_BARE} = '::' OR starts_with({_BARE}, 'fe80:') OR starts_with({_BARE}, 'fc') "
+        f"OR starts_with({_BARE}, 'fd') OR (starts_with({_BARE}, '::ffff:') AND regexp_matches(substr({_BARE}, 8), '{_G4}') "
+        f"AND {_duck_priv4(f'substr({_BARE}, 8)')}))")
+_CLS = (f"CASE WHEN {_SCH} IS NULL THEN 'invalid-url' WHEN {_SCH} NOT IN ('http', 'https') THEN 'bad-scheme' "
+        f"WHEN {_HOST} = '' THEN 'invalid-url' WHEN {_HOST} IN ('localhost', 'metadata.google.internal') THEN 'blocked-host' "
+        f"WHEN regexp_matches({_HOST}, '{_G4}') THEN CASE WHEN {_duck_priv4(_HOST)} THEN 'private-ip' ELSE 'public-ip' END "
+        f"WHEN starts_with({_HOST}, '[') THEN CASE WHEN {_V6P} THEN 'private-ip' ELSE 'public-ip' END "
+        f"ELSE 'needs-dns' END")
+
+
+@query("url_guard", f"""
+SELECT page_id, u AS url, {_SCH} AS scheme, {_HOST} AS host, cls AS class,
+  CASE cls WHEN 'bad-scheme' THEN '{G.MSG_SCHEME}' WHEN 'blocked-host' THEN '{G.MSG_HOST}'
+           WHEN 'private-ip' THEN '{G.MSG_PRIVATE}' WHEN 'invalid-url' THEN 'Invalid URL.' END AS reason
+FROM (SELECT page_id, u, {_CLS} AS cls FROM (SELECT page_id, {URL_SQL.format(s='VARCHAR')} AS u FROM pages) a) b""")
+def q_url_guard(spark, sf_dir):
+    """P12 over webhook URLs derived from the page URLs (reserved ranges,
+    schemes, blocked names)."""
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url")
+    u = pages.selectExpr("page_id", f"{URL_SQL.format(s='STRING')} AS url")
+    g = G.guard_sql("url")
+    return u.selectExpr("page_id", "url", f"{g['scheme']} AS scheme", f"{g['host']} AS host",
+                        f"{g['class']} AS class").selectExpr("*", f"{G.reason_sql('class')} AS reason")
+
+
+# ------------------------------------------------------------ file triage
+PREFIX_HEX = ("CASE page_id % 7 WHEN 0 THEN '255044462D312E340A' WHEN 1 THEN 'FFD8FFE0' "
+              "WHEN 2 THEN '89504E470D0A1A0A' WHEN 3 THEN '474946383961' WHEN 4 THEN '524946460000000057454250' "
+              "WHEN 5 THEN '' ELSE '25504446' END")
+MIME_SQL = ("CASE page_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/octet-stream' "
+            "WHEN 2 THEN 'image/jpg' WHEN 3 THEN '' ELSE 'IMAGE/PNG' END")
+NAME_SQL = "'doc' || CAST(page_id AS {s}) || CASE WHEN page_id % 3 = 0 THEN '.pdf' ELSE '.bin' END"
+REPS_SQL = "CASE WHEN page_id % 50 = 4 THEN 4000 ELSE 1 END"
+
+
+@query("file_triage", f"""
+SELECT page_id, name, declared_mime, length, kind, image_mime, error_code, cap_bytes, kind = 'image' AS vision_used
+FROM (SELECT *, CASE WHEN err IS NOT NULL THEN 'error' WHEN img IS NOT NULL THEN 'image' ELSE 'pdf' END AS kind,
+             img AS image_mime, err AS error_code, cap AS cap_bytes
+  FROM (SELECT *, CASE WHEN NOT looks_pdf AND img IS NULL THEN 'non-PDF' WHEN length > cap THEN 'oversized-PDF'
+                       WHEN img IS NULL AND length = 0 THEN 'corrupt-PDF'
+                       WHEN img IS NULL AND NOT starts_with(head, '255044462D') THEN 'non-PDF' END AS err
+    FROM (SELECT *, CASE WHEN img IS NOT NULL THEN {IN.MAX_IMAGE_BYTES} ELSE {IN.MAX_PDF_BYTES} END AS cap
+      FROM (SELECT *, CASE WHEN looks_pdf THEN NULL ELSE coalesce(
+               CASE lower(declared_mime) WHEN 'image/jpeg' THEN 'image/jpeg' WHEN 'image/jpg' THEN 'image/jpeg'
+                 WHEN 'image/png' THEN 'image/png' WHEN 'image/gif' THEN 'image/gif' WHEN 'image/webp' THEN 'image/webp' END,
+               CASE WHEN length >= 3 AND starts_with(head, 'FFD8FF') THEN 'image/jpeg'
+                    WHEN length >= 8 AND starts_with(head, '89504E47') THEN 'image/png'
+                    WHEN length >= 6 AND starts_with(head, '47494638') THEN 'image/gif'
+                    WHEN length >= 12 AND starts_with(head, '52494646') AND substr(head, 17, 8) = '57454250'
+                    THEN 'image/webp' END) END AS img
+        FROM (SELECT page_id, {NAME_SQL.format(s='VARCHAR')} AS name, {MIME_SQL} AS declared_mime,
+                 CASE WHEN page_id % 11 = 0 THEN 0
+                      ELSE CAST(length({PREFIX_HEX}) / 2 + octet_length(encode(html)) * {REPS_SQL} AS BIGINT) END AS length,
+                 CASE WHEN page_id % 11 = 0 THEN '' ELSE substr({PREFIX_HEX} || hex(encode(html)), 1, 24) END AS head,
+                 (lower({MIME_SQL}) = 'application/pdf' OR ends_with(lower({NAME_SQL.format(s='VARCHAR')}), '.pdf')) AS looks_pdf
+              FROM pages) s0) s1) s2) s3) s4""")
+def q_file_triage(spark, sf_dir):
+    """S1-S5, P19 over binary files built from the pages (magic-byte
+    prefixes, declared types, empty files, an oversized image)."""
+    pages = read_table(spark, sf_dir, "pages", "page_id", "html")
+    files = pages.selectExpr(
+        "page_id", f"{NAME_SQL.format(s='STRING')} AS name", f"{MIME_SQL} AS declared_mime",
+        f"CASE WHEN page_id % 11 = 0 THEN X'' ELSE concat(unhex({PREFIX_HEX}), "
+        f"encode(repeat(html, {REPS_SQL}), 'UTF-8')) END AS content").selectExpr(
+        "*", "CAST(length(content) AS BIGINT) AS length")
+    t = IN.triage(files)
+    return t.select("page_id", "name", "declared_mime", "length", "kind", "image_mime", "error_code",
+                    "cap_bytes", "vision_used")
