@@ -235,3 +235,111 @@ def q_file_triage(spark, sf_dir):
     t = IN.triage(files)
     return t.select("page_id", "name", "declared_mime", "length", "kind", "image_mime", "error_code",
                     "cap_bytes", "vision_used")
+
+
+# ----------------------------------------------------------- custom fields
+from ledgerlens.plans.evidence import TEXT_CTE  # noqa: E402
+from ledgerlens.plans.oracle_base import with_base  # noqa: E402
+from ledgerlens.operators.extraction import render_text  # noqa: E402
+from ledgerlens.sources.invoices import AS_OF, invoice_records  # noqa: E402
+
+N_SQL = "CASE WHEN conv_id % 13 = 0 THEN 11 ELSE conv_id % 4 + 1 END"
+_TYPE_LIST = "'string', 'number', 'date', 'string', 'number', 'date', 'text'"
+TENANTS = 997
+
+
+def definition_lists(spark, sf_dir):
+    """Per conversation (its first turn = one tenant's settings), a JSON
+    array of custom-field definitions cut from the text: name and
+    description lengths and types vary, some lists are too long."""
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text").filter("turn = 0")
+    defs = (f"transform(sequence(0, {N_SQL} - 1), i -> named_struct("
+            "'id', concat('cf-', CAST(conv_id AS STRING), '-', CAST(i AS STRING)), "
+            "'name', substr(text, 1, CAST((conv_id + i) % 35 AS INT)), "
+            f"'type', element_at(array({_TYPE_LIST}), CAST((conv_id + i) % 7 AS INT) + 1), "
+            "'description', substr(text, 1, CAST((conv_id * 7 + i * 13) % 210 AS INT))))")
+    return conv.selectExpr("conv_id AS tenant", f"to_json({defs}) AS defs_json")
+
+
+def checked_definitions(spark, sf_dir):
+    c = CF.check_definitions_sql("defs_json")
+    return definition_lists(spark, sf_dir).selectExpr("tenant", f"{c['defs']} AS defs",
+                                                      f"{c['reason']} AS reason")
+
+
+DEFS_CTE = f""",
+d0 AS (SELECT conv_id, text, {N_SQL} AS n FROM conversations WHERE turn = 0),
+d1 AS (SELECT conv_id, text, n, unnest(range(0, n)) AS i FROM d0),
+d2 AS (SELECT conv_id AS tenant, n, i, 'cf-' || CAST(conv_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS id,
+              substr(text, 1, CAST((conv_id + i) % 35 AS INTEGER)) AS name,
+              [{_TYPE_LIST}][CAST((conv_id + i) % 7 AS INTEGER) + 1] AS type,
+              substr(text, 1, CAST((conv_id * 7 + i * 13) % 210 AS INTEGER)) AS description FROM d1),
+d3 AS (SELECT *, length(id) BETWEEN 1 AND 64 AND length(name) BETWEEN 1 AND 30
+                 AND type IN ('string', 'number', 'date') AND length(description) BETWEEN 5 AND 200 AS ok FROM d2),
+tenants AS (SELECT tenant, max(n) AS n_fields,
+                   CASE WHEN max(n) > 10 THEN 'too-many' WHEN NOT bool_and(ok) THEN 'invalid-entry' END AS reason
+            FROM d3 GROUP BY tenant)"""
+
+
+@query("custom_fields", with_base(DEFS_CTE + """
+SELECT tenant, CAST(n_fields AS INTEGER) AS n_fields, reason IS NULL AS valid, reason FROM tenants"""))
+def q_custom_fields(spark, sf_dir):
+    """P5 over each tenant's definition list (JSON text)."""
+    return checked_definitions(spark, sf_dir).selectExpr(
+        "tenant", "size(defs) AS n_fields", "reason IS NULL AS valid", "reason")
+
+
+def _value_sql(kind: str, r: str = "record") -> str:
+    from ledgerlens.functions.sql import js_number
+    return (f"CASE {kind} WHEN 'number' THEN {js_number(f'{r}.total.value')} "
+            f"WHEN 'date' THEN {r}.due_date.value ELSE {r}.vendor.name END")
+
+
+@query("custom_field_values", with_base(DEFS_CTE + f"""
+SELECT inv.doc_id, CAST(d3.i AS INTEGER) AS pos,
+       coalesce(nullif(regexp_replace(d3.name, '^\\s+|\\s+$', '', 'g'), ''), d3.id) AS label,
+       CASE d3.type WHEN 'number' THEN regexp_replace(CAST(inv.total AS VARCHAR), '\\.0$', '')
+                    WHEN 'date' THEN inv.due ELSE inv.vendor_name END AS value
+FROM inv JOIN tenants t ON t.tenant = inv.k % {TENANTS} AND t.reason IS NULL
+JOIN d3 ON d3.tenant = t.tenant
+WHERE (inv.k + d3.i) % 5 <> 0
+  AND (CASE d3.type WHEN 'number' THEN CAST(inv.total AS VARCHAR) WHEN 'date' THEN inv.due ELSE inv.vendor_name END) IS NOT NULL"""))
+def q_custom_field_values(spark, sf_dir):
+    """J5 + P7: each document's extracted custom values (absent for some)
+    joined with its tenant's valid definitions by id, in definition order."""
+    defs = (checked_definitions(spark, sf_dir).filter("reason IS NULL")
+            .selectExpr("tenant", "posexplode(defs) AS (pos, d)")
+            .selectExpr("tenant", "pos", "d.id AS id", "d.name AS name", "d.type AS type"))
+    docs = invoice_records(spark, sf_dir).selectExpr("doc_id", "order_key", f"order_key % {TENANTS} AS tenant",
+                                                     "record")
+    values = (docs.join(defs.select("tenant", "pos", "id", "type"), "tenant")
+              .selectExpr("doc_id", "tenant", "id", "order_key", "pos", f"{_value_sql('type')} AS value")
+              .filter("(order_key + pos) % 5 <> 0 AND value IS NOT NULL")
+              .select("doc_id", "tenant", "id", "value"))
+    return CF.display_values(defs.select("tenant", "pos", "id", "name"), values).selectExpr(
+        "doc_id", "CAST(pos AS INT) AS pos", "label", "value")
+
+
+_HEAD = CF.CUSTOM_BLOCK_HEAD.replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+@query("prompt_rows", with_base(TEXT_CTE + DEFS_CTE + f""",
+blocks AS (SELECT t.tenant, '{_HEAD}' || string_agg('- ID "' || d3.id || '" (' || d3.type || ', displayed as "' ||
+             regexp_replace(d3.name, '^\\s+|\\s+$', '', 'g') || '"): ' ||
+             regexp_replace(d3.description, '^\\s+|\\s+$', '', 'g'), chr(10) ORDER BY d3.i) AS block
+           FROM tenants t JOIN d3 ON d3.tenant = t.tenant WHERE t.reason IS NULL GROUP BY t.tenant),
+p AS (SELECT texts.doc_id, '<today>{AS_OF}</today>' || chr(10) || '<invoice_text>' || chr(10) || texts.text || chr(10) ||
+             '</invoice_text>' || chr(10) || chr(10) || '{CF.PROMPT_INSTRUCTION}' || coalesce(b.block, '') AS prompt
+      FROM texts LEFT JOIN blocks b ON b.tenant = texts.k % {TENANTS})
+SELECT doc_id, CAST(length(prompt) AS INTEGER) AS prompt_chars, md5(prompt) AS prompt_md5 FROM p"""))
+def q_prompt_rows(spark, sf_dir):
+    """Prompt per document for batch inference: today tag, document
+    text, instruction, the tenant's custom-field block."""
+    blocks = checked_definitions(spark, sf_dir).filter("reason IS NULL").selectExpr(
+        "tenant", f"{CF.custom_block_sql('defs')} AS block")
+    rec = invoice_records(spark, sf_dir)
+    texts = render_text(rec.selectExpr("doc_id", "record")).join(
+        rec.selectExpr("doc_id", f"order_key % {TENANTS} AS tenant"), "doc_id")
+    p = texts.join(blocks, "tenant", "left").selectExpr(
+        "doc_id", f"{CF.prompt_sql('text', repr(AS_OF), "coalesce(block, '')")} AS prompt")
+    return p.selectExpr("doc_id", "CAST(char_length(prompt) AS INT) AS prompt_chars", "md5(prompt) AS prompt_md5")
