@@ -1 +1,76 @@
-"""placeholder"""
+"""M6 - chunked responses: reassembly with early field emission (batch form
+of R1; the streaming form is in ``ledgerlens.streaming``)."""
+
+from __future__ import annotations
+
+from ledgerlens.operators import chunks as CH
+from ledgerlens.plans.oracle_base import js_num, with_base
+from ledgerlens.plans.registry import query
+from ledgerlens.sources.invoices import invoice_records
+
+SIZE_SQL = "(16 + order_key % 41)"
+
+
+def responses(spark, sf_dir):
+    """One streamed response per record: its JSON text and a chunk size."""
+    return invoice_records(spark, sf_dir).selectExpr(
+        "doc_id AS response_id", f"{CH.record_json_sql()} AS text", f"CAST({SIZE_SQL} AS INT) AS size")
+
+
+def response_chunks(spark, sf_dir):
+    return CH.chunk_rows(responses(spark, sf_dir))
+
+
+def _js(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN 'null' ELSE '\"' || replace(replace({x}, '\\', '\\\\'), '\"', '\\\"') || '\"' END")
+
+
+def _num(x: str) -> str:
+    return f"coalesce({js_num(x)}, 'null')"
+
+
+def _field(name: str, v: str, conf: str, rsn: str) -> str:
+    return f"'\"{name}\":{{\"value\":' || {v} || ',\"confidence\":' || {_js(conf)} || ',\"reasoning\":' || {_js(rsn)} || '}}'"
+
+
+_PIECES = [
+    _field("invoice_number", _js("inv_no"), "conf0", "rsn0"),
+    (f"'\"vendor\":{{\"name\":' || {_js('vendor_name')} || ',\"address\":' || {_js('vendor_address')} || "
+     f"',\"confidence\":' || {_js('conf1')} || ',\"reasoning\":' || {_js('rsn1')} || '}}'"),
+    _field("bill_date", _js("bill"), "conf2", "rsn2"),
+    _field("due_date", _js("due"), "conf3", "rsn3"),
+    _field("po_number", _js("po"), "conf4", "rsn4"),
+    _field("subtotal", _num("sub"), "conf5", "rsn5"),
+    _field("tax", _num("tax"), "conf6", "rsn6"),
+    _field("total", _num("total"), "conf7", "rsn7"),
+    _field("currency", _js("currency"), "conf8", "rsn8"),
+    "'\"line_items\":[' || coalesce(ij.items, '') || ']'",
+    "'\"flags\":[' || coalesce(fj.flags, '') || ']'",
+]
+_ITEM = (f"'{{\"description\":' || {_js('description')} || ',\"quantity\":' || {_num('quantity')} || "
+         f"',\"unit_price\":' || {_num('unit_price')} || ',\"amount\":' || {_num('amount')} || "
+         f"',\"reasoning\":' || {_js(chr(39) + 'Line ' + chr(39) + ' || CAST(ln AS VARCHAR)')} || '}}'")
+_FLAG = f"'{{\"severity\":' || {_js('severity')} || ',\"message\":' || {_js('message')} || '}}'"
+_KEYS = "[" + ", ".join(f"'{k}'" for k in CH.STREAM_KEYS) + "]"
+
+CHUNK_SQL = f""",
+ij AS (SELECT k, string_agg({_ITEM}, ',' ORDER BY pos) AS items FROM items GROUP BY k),
+fj AS (SELECT k, string_agg({_FLAG}, ',' ORDER BY pos) AS flags FROM mflags GROUP BY k),
+pieces AS (
+  SELECT inv.doc_id, inv.k, {SIZE_SQL.replace('order_key', 'inv.k')} AS size, [{", ".join(_PIECES)}] AS ps
+  FROM inv LEFT JOIN ij ON ij.k = inv.k LEFT JOIN fj ON fj.k = inv.k),
+exploded AS (SELECT doc_id, size, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS field_no FROM pieces),
+pos AS (
+  SELECT *, 2 + coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY field_no
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM exploded)
+SELECT doc_id AS response_id, {_KEYS}[field_no + 1] AS field, CAST(field_no AS INTEGER) AS field_no,
+       CAST((start + length(p) - 2) // size AS BIGINT) AS seq,
+       CAST(length(p) - length({_KEYS}[field_no + 1]) - 3 AS BIGINT) AS value_chars
+FROM pos"""
+
+
+@query("chunk_reassembly", with_base(CHUNK_SQL))
+def q_chunk_reassembly(spark, sf_dir):
+    """R1 batch form over every record's JSON text cut into chunks."""
+    return CH.field_events(response_chunks(spark, sf_dir)).select(
+        "response_id", "field", "field_no", "seq", "value_chars")
