@@ -21,6 +21,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlens.functions.sql import js_number
 
@@ -193,17 +194,12 @@ def field_events(chunks: DataFrame, num_partitions: int | None = None) -> DataFr
             .mapInPandas(_reassemble_sorted, FIELD_EVENT_SCHEMA))
 
 
-def completed(chunks: DataFrame, schema) -> DataFrame:
-    """R2: whole text per response (chunks in order), parsed against the
-    record schema; rows that do not parse or miss a key go to ``error``."""
+def completed(chunks: DataFrame) -> DataFrame:
+    """R2: whole text per response (chunks in order; a response is bounded
+    by the output cap), parsed against the record schema; ``error`` is
+    ``invalid-json`` / ``missing-key`` / ``bad-enum`` as in the S6 source."""
+    from ledgerlens.sources.records import parse_records
     whole = chunks.groupBy("response_id").agg(
-        {"seq": "count"}).withColumnRenamed("count(seq)", "n_chunks")
-    text = chunks.groupBy("response_id").applyInPandas(
-        lambda p: pd.DataFrame({"response_id": [p["response_id"].iloc[0]],
-                                "text": ["".join(p.sort_values("seq")["chunk"].fillna(""))]}),
-        "response_id string, text string")
-    parsed = text.selectExpr("response_id", "text", f"from_json(text, '{schema.simpleString()}') AS record")
-    req = " AND ".join(f"record.{k} IS NOT NULL" for k in STREAM_KEYS)
-    return parsed.join(whole, "response_id").selectExpr(
-        "response_id", "n_chunks", "record",
-        f"CASE WHEN record IS NULL THEN 'invalid-json' WHEN NOT ({req}) THEN 'schema-mismatch' END AS error")
+        F.expr("array_join(transform(array_sort(collect_list(struct(seq, coalesce(chunk, '') AS c))), "
+               "x -> x.c), '')").alias("text"), F.count("*").alias("n_chunks"))
+    return parse_records(whole, "text").select("response_id", "n_chunks", "record", "error")

@@ -45,13 +45,16 @@ def parse_pricing_overrides(spark: SparkSession, raw: str | None) -> tuple[DataF
     head = entries.collect()[0]          # one row: the config text itself
     if head["reason"]:
         return empty, head["reason"]
-    rows = entries.selectExpr("variant_explode(v) AS (pos, key, value)").selectExpr(
+    # keys in text order (JSON.parse keeps insertion order; variant objects sort keys)
+    ordered = spark.createDataFrame([(raw,)], "raw string").selectExpr(
+        "posexplode(from_json(raw, 'MAP<STRING, STRING>')) AS (pos, key, vtext)")
+    rows = ordered.selectExpr("pos", "key", "try_parse_json(vtext) AS value").selectExpr(
         "pos", "key",
         "try_variant_get(value, '$.inputPerMillion', 'double') AS i",
         "try_variant_get(value, '$.outputPerMillion', 'double') AS o",
         "schema_of_variant(value) AS t",
-        "schema_of_variant(variant_get(value, '$.inputPerMillion')) AS ti",
-        "schema_of_variant(variant_get(value, '$.outputPerMillion')) AS to_")
+        "schema_of_variant(try_variant_get(value, '$.inputPerMillion', 'variant')) AS ti",
+        "schema_of_variant(try_variant_get(value, '$.outputPerMillion', 'variant')) AS to_")
     numeric = "({x} RLIKE '^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$')"
     ok = (f"t LIKE 'OBJECT%' AND {numeric.format(x='ti')} AND {numeric.format(x='to_')} "
           "AND i >= 0 AND o >= 0 AND abs(i) < double('Infinity') AND abs(o) < double('Infinity')")
