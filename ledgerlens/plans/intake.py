@@ -81,7 +81,7 @@ STATUS_SQL = ("CASE event_id % 7 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN 503
               "WHEN 4 THEN 401 ELSE NULL END")
 MSG_SQL = ("CASE event_id % 7 WHEN 5 THEN 'fetch failed: ECONNRESET' WHEN 6 THEN 'The operation was aborted' "
            "ELSE 'API error' END")
-NAME_SQL = "CASE WHEN event_id % 7 = 6 THEN 'AbortError' ELSE 'Error' END"
+ERRNAME_SQL = "CASE WHEN event_id % 7 = 6 THEN 'AbortError' ELSE 'Error' END"
 
 
 @query("retry_class", f"""
@@ -90,14 +90,14 @@ SELECT event_id, status, message,
        WHEN error_name = 'AbortError' THEN false
        ELSE coalesce(regexp_matches(message, '(?i)network|timeout|ECONN|fetch failed'), false) END AS retryable,
   CAST(event_id % 3 AS BIGINT) AS attempt, CAST(400 * pow(2, event_id % 3) AS BIGINT) AS backoff_ms
-FROM (SELECT event_id, {STATUS_SQL} AS status, {MSG_SQL} AS message, {NAME_SQL} AS error_name
+FROM (SELECT event_id, {STATUS_SQL} AS status, {MSG_SQL} AS message, {ERRNAME_SQL} AS error_name
       FROM events WHERE event_type = 'error') t""")
 def q_retry_class(spark, sf_dir):
     """P14 over failed calls (error events): provider status / message by id."""
     from ledgerlens.sources.tables import read_table
     f = read_table(spark, sf_dir, "events", "event_id", "event_type").filter("event_type = 'error'")
     f = f.selectExpr("event_id", f"{STATUS_SQL} AS status", f"{MSG_SQL} AS message",
-                     f"{NAME_SQL} AS error_name", "CAST(event_id % 3 AS BIGINT) AS attempt")
+                     f"{ERRNAME_SQL} AS error_name", "CAST(event_id % 3 AS BIGINT) AS attempt")
     return f.selectExpr("event_id", "status", "message", f"{A.retry_class_sql()} AS retryable", "attempt",
                         f"{A.backoff_ms_sql()} AS backoff_ms")
 
