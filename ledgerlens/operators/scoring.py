@@ -143,7 +143,13 @@ def accuracy_rollup(docs: DataFrame) -> DataFrame:
 
 def bottom_failures(docs: DataFrame, n: int = 15) -> DataFrame:
     """Failed (not passed, no error) documents with most failed fields,
-    ties in document-id order; top ``n`` only (TakeOrderedAndProject)."""
-    return (docs.filter("NOT passed AND error IS NULL")
-            .selectExpr("doc_id", "category", "n_failed AS failed_fields")
-            .orderBy(F.desc("failed_fields"), F.asc("doc_id")).limit(n))
+    ties in document-id order; top ``n`` only (TakeOrderedAndProject).
+
+    Written as one top-k on a key that is -1 for documents that are not
+    failures (a failure has at least one failed field), then a filter on the
+    k rows: the same rows as filter-then-top-k, without pushing a predicate
+    on the wide scoring expressions down through the projections."""
+    keyed = docs.selectExpr("doc_id", "category",
+                            "CASE WHEN passed OR error IS NOT NULL THEN -1L ELSE n_failed END AS failed_fields")
+    return (keyed.orderBy(F.desc("failed_fields"), F.asc("doc_id")).limit(n)
+            .filter("failed_fields >= 0"))
