@@ -19,9 +19,12 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from ledgerlens.functions.sql import js_number
 
@@ -85,24 +88,39 @@ class _KeyScan:
         self.i, self.depth, self.in_str, self.done = start, 0, False, False
 
 
+_KEY_RE = re.compile('"(' + "|".join(STREAM_KEYS) + ')":')
+_MAX_PAT = max(len(k) for k in STREAM_KEYS) + 3
+
+
 class FieldParser:
     """Incremental field emission over appended text.
 
     Same decisions as re-scanning the whole buffer on every chunk (the first
     ``"key":`` never moves once found, and a scan of a prefix is a prefix of
-    the scan), but each key's scan resumes where it stopped and jumps between
-    structural characters with a regex, so a response costs linear time."""
+    the scan), but keys are located with one regex over the new text only,
+    each located key's scan resumes where it stopped and jumps between
+    structural characters, so a response costs linear time."""
 
     def __init__(self):
         self.buffer = ""
         self.emitted: set[str] = set()
-        self.scans: dict[str, _KeyScan | None] = {}
+        self.scans: dict[str, _KeyScan] = {}
+        self._located: dict[str, int] = {}     # key -> end of its first '"key":'
+        self._searched = 0
 
     def feed(self, chunk: str) -> list[tuple[str, str]]:
         self.buffer += chunk
+        buf = self.buffer
+        if len(self._located) < len(STREAM_KEYS):
+            start = max(0, self._searched - _MAX_PAT)
+            for m in _KEY_RE.finditer(buf, start):
+                k = m.group(1)
+                if k not in self._located:
+                    self._located[k] = m.end()
+            self._searched = len(buf)
         out = []
         for key in STREAM_KEYS:
-            if key in self.emitted:
+            if key in self.emitted or key not in self._located:
                 continue
             value = self._try(key)
             if value is not None:
@@ -114,59 +132,110 @@ class FieldParser:
         buf = self.buffer
         st = self.scans.get(key)
         if st is None:
-            pat = f'"{key}":'
-            idx = buf.find(pat)
-            if idx < 0:
-                return None
-            start = idx + len(pat)
+            start = self._located[key]
             while start < len(buf) and buf[start].isspace():
                 start += 1
             if start >= len(buf):
                 return None
+            self.scans[key] = st = _KeyScan(start, buf[start])
             if buf[start] not in "{[":
-                self.scans[key] = st = _KeyScan(start, buf[start])
                 st.done = True          # primitive value: never emitted
                 return None
-            self.scans[key] = st = _KeyScan(start, buf[start])
-        if st.done:
+        if st.done or st.i >= len(buf):
             return None
-        n, i, depth, in_str = len(buf), st.i, st.depth, st.in_str
-        while i < n:
-            if in_str:
-                m = _IN_STRING.search(buf, i)
-                if m is None:
-                    i = n
-                    break
-                i = m.start()
-                if buf[i] == "\\":
-                    i += 2
-                    continue
-                in_str = False
-                i += 1
-                continue
-            m = _SPECIAL.search(buf, i)
+        close, st.i, st.depth, st.in_str = scan_value(buf, st.open_c, st.close_c, st.i, st.depth, st.in_str)
+        if close is None:
+            return None
+        st.done = True
+        text = buf[st.start:close + 1]
+        try:
+            json.loads(text)
+        except ValueError:
+            return None
+        return text
+
+
+def scan_value(buf: str, open_c: str, close_c: str, i: int, depth: int, in_str: bool):
+    """Bracket scan from position ``i``: string- and escape-aware, counting
+    only ``open_c``/``close_c``. Returns (close index or None, i, depth,
+    in_str) so a caller can resume when more text arrives."""
+    n = len(buf)
+    while i < n:
+        if in_str:
+            m = _IN_STRING.search(buf, i)
             if m is None:
-                i = n
-                break
+                return None, n, depth, True
             i = m.start()
-            ch = buf[i]
-            if ch == '"':
-                in_str = True
-            elif ch == st.open_c:
-                depth += 1
-            elif ch == st.close_c:
-                depth -= 1
-                if depth == 0:
-                    st.done = True
-                    text = buf[st.start:i + 1]
-                    try:
-                        json.loads(text)
-                    except ValueError:
-                        return None
-                    return text
+            if buf[i] == "\\":
+                i += 2
+                continue
+            in_str = False
             i += 1
-        st.i, st.depth, st.in_str = i, depth, in_str
-        return None
+            continue
+        m = _SPECIAL.search(buf, i)
+        if m is None:
+            return None, n, depth, False
+        i = m.start()
+        ch = buf[i]
+        if ch == '"':
+            in_str = True
+        elif ch == open_c:
+            depth += 1
+        elif ch == close_c:
+            depth -= 1
+            if depth == 0:
+                return i, i + 1, 0, False
+        i += 1
+    return None, i, depth, in_str
+
+
+def final_events(text: str, seqs: list[int], lens: list[int]) -> list[tuple]:
+    """R1 outcome from the whole response at once: for each key, its first
+    ``"key":``, the close of its value and whether that parses; the event's
+    chunk is the one holding the close character. Equal to feeding the
+    chunks one by one (a prefix scan is a prefix of the full scan)."""
+    located = {}
+    for m in _KEY_RE.finditer(text):
+        located.setdefault(m.group(1), m.end())
+        if len(located) == len(STREAM_KEYS):
+            break
+    ends = np.cumsum(lens)
+    out = []
+    for no, key in enumerate(STREAM_KEYS):
+        start = located.get(key)
+        if start is None:
+            continue
+        while start < len(text) and text[start].isspace():
+            start += 1
+        if start >= len(text) or text[start] not in "{[":
+            continue
+        open_c = text[start]
+        close, *_ = scan_value(text, open_c, "}" if open_c == "{" else "]", start, 0, False)
+        if close is None:
+            continue
+        value = text[start:close + 1]
+        try:
+            json.loads(value)
+        except ValueError:
+            continue
+        j = int(np.searchsorted(ends, close, side="right"))
+        out.append((key, no, int(seqs[j]), len(value), value))
+    return out
+
+
+EVENT_TYPE = T.ArrayType(T.StructType([
+    T.StructField("field", T.StringType()), T.StructField("field_no", T.IntegerType()),
+    T.StructField("seq", T.LongType()), T.StructField("value_chars", T.LongType()),
+    T.StructField("value_json", T.StringType())]))
+
+
+@pandas_udf(EVENT_TYPE)
+def _events_udf(texts: pd.Series, seqs: pd.Series, lens: pd.Series) -> pd.Series:
+    rows = []
+    for t, sq, ln in zip(texts, seqs, lens):
+        rows.append([{"field": k, "field_no": n, "seq": q, "value_chars": c, "value_json": v}
+                     for k, n, q, c, v in final_events(t, list(sq), list(ln))])
+    return pd.Series(rows)
 
 
 def _reassemble_sorted(it):
@@ -184,11 +253,24 @@ def _reassemble_sorted(it):
                                           "value_json"])
 
 
-def field_events(chunks: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def field_events(chunks: DataFrame) -> DataFrame:
     """R1 batch form: one row per emitted field (response, field, chunk seq
-    it closed in, value text). Hash-partitioned by response, sorted by
-    (response, seq) inside partitions, streamed through the parser: no
-    group is materialised and per-response state is one buffer."""
+    it closed in, value text). Chunks are gathered per response (bounded by
+    the response cap; partial aggregation is not possible for an ordered
+    concatenation, the group is one response), then each whole text is
+    scanned once in an Arrow-batched pandas UDF."""
+    whole = chunks.groupBy("response_id").agg(F.expr(
+        "array_sort(collect_list(struct(seq, coalesce(chunk, '') AS c))) AS cs")).selectExpr(
+        "response_id", "array_join(transform(cs, x -> x.c), '') AS text",
+        "transform(cs, x -> x.seq) AS seqs", "transform(cs, x -> CAST(char_length(x.c) AS BIGINT)) AS lens")
+    return (whole.select("response_id", F.inline(_events_udf("text", "seqs", "lens")))
+            .select("response_id", "field", "field_no", "seq", "value_chars", "value_json"))
+
+
+def field_events_by_chunk(chunks: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """R1 by simulation: hash-partitioned by response, sorted by (response,
+    seq) inside partitions and streamed through the incremental parser (the
+    micro-batch logic of the stream form, without state)."""
     n = num_partitions or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (chunks.repartition(n, "response_id").sortWithinPartitions("response_id", "seq")
             .mapInPandas(_reassemble_sorted, FIELD_EVENT_SCHEMA))

@@ -56,3 +56,11 @@ def test_completion_split(spark):
     df = spark.createDataFrame(rows, "response_id string, seq long, chunk string")
     got = {r["response_id"]: r["error"] for r in CH.completed(df).collect()}
     assert got == {"a": "missing-key", "b": "invalid-json"}
+
+
+def test_whole_text_equals_simulation(spark, sf_small):
+    from ledgerlens.plans.streams import response_chunks
+    ch = response_chunks(spark, sf_small)
+    a = CH.field_events(ch).select("response_id", "field", "seq", "value_json")
+    b = CH.field_events_by_chunk(ch).select("response_id", "field", "seq", "value_json")
+    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
