@@ -74,3 +74,39 @@ def q_chunk_reassembly(spark, sf_dir):
     """R1 batch form over every record's JSON text cut into chunks."""
     return CH.field_events(response_chunks(spark, sf_dir)).select(
         "response_id", "field", "field_no", "seq", "value_chars")
+
+
+# ------------------------------------------------------------------ SSE
+from ledgerlens.sources.sse import parse_sse  # noqa: E402
+
+SSE_SPARK = ("concat('event: progress\\ndata: {\"phase\":\"parsing\"}\\n\\n', "
+             "'event: field\\ndata: ', record.invoice_number.value, '\\n\\n', "
+             "'data: ', doc_id, '\\n\\n', '\\n\\n', "
+             "'event: x\\nevent:  field \\ndata: first\\ndata: ', coalesce(record.po_number.value, ''), '\\n\\n', "
+             "'event: complete\\ndata: {\"partial')")
+SSE_DUCK = ("'event: progress' || chr(10) || 'data: {\"phase\":\"parsing\"}' || chr(10) || chr(10) || "
+            "'event: field' || chr(10) || 'data: ' || inv_no || chr(10) || chr(10) || "
+            "'data: ' || doc_id || chr(10) || chr(10) || chr(10) || chr(10) || "
+            "'event: x' || chr(10) || 'event:  field ' || chr(10) || 'data: first' || chr(10) || 'data: ' || "
+            "coalesce(po, '') || chr(10) || chr(10) || 'event: complete' || chr(10) || 'data: {\"partial'")
+NL2 = "chr(10) || chr(10)"
+
+
+@query("sse_events", with_base(f""",
+t AS (SELECT doc_id, {SSE_DUCK} AS text FROM inv),
+p AS (SELECT doc_id, text, string_split(text, {NL2}) AS parts FROM t),
+m AS (SELECT doc_id, parts[len(parts)] AS remainder, unnest(parts[1:len(parts) - 1]) AS msg,
+             generate_subscripts(parts[1:len(parts) - 1], 1) - 1 AS pos FROM p),
+e AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, remainder,
+        coalesce(list_filter(list_transform(string_split(msg, chr(10)), lambda l: CASE WHEN starts_with(l, 'event: ')
+          THEN regexp_replace(substr(l, 8), '^\\s+|\\s+$', '', 'g') END), lambda x: x IS NOT NULL)[-1], 'message') AS event,
+        list_filter(list_transform(string_split(msg, chr(10)), lambda l: CASE WHEN starts_with(l, 'data: ')
+          THEN substr(l, 7) END), lambda x: x IS NOT NULL)[-1] AS data
+      FROM m WHERE regexp_replace(msg, '^\\s+|\\s+$', '', 'g') <> '')
+SELECT doc_id, pos, event, data, remainder FROM e WHERE data IS NOT NULL AND data <> ''"""))
+def q_sse_events(spark, sf_dir):
+    """S9 over an event-stream text per document (progress, field, a
+    default-event message, an empty message, repeated event/data lines and
+    an unfinished remainder)."""
+    t = invoice_records(spark, sf_dir).selectExpr("doc_id", f"{SSE_SPARK} AS text")
+    return parse_sse(t, "text")
