@@ -42,7 +42,7 @@ logs2 AS (SELECT logs.*, coalesce(tax.http_status, 200) AS http_status, tax.titl
 
 
 @query("log_rollup", with_usage(LOGS_CTE + """
-SELECT route, category, count(*) AS requests, count_if(http_status >= 400) AS errors,
+SELECT route, category, count(*) AS requests, CAST(count_if(http_status >= 400) AS BIGINT) AS errors,
        round(avg(duration_ms), 3) AS avg_duration_ms, round(coalesce(sum(cost), 0.0), 6) AS cost_usd
 FROM logs2 GROUP BY route, category"""))
 def q_log_rollup(spark, sf_dir):
@@ -63,8 +63,8 @@ BATCH_STATUS = ("CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = '
 
 @query("batch_summary", with_usage(f"""
 SELECT user_id AS batch_id,
-  count_if(status = 'success') AS success, count_if(status = 'error') AS error,
-  count_if(status IN ('queued', 'loading')) AS pending,
+  CAST(count_if(status = 'success') AS BIGINT) AS success, CAST(count_if(status = 'error') AS BIGINT) AS error,
+  CAST(count_if(status IN ('queued', 'loading')) AS BIGINT) AS pending,
   round(coalesce(sum(cost), 0.0), 6) AS total_cost, bool_or(cost IS NOT NULL) AS any_cost
 FROM (SELECT user_id, {BATCH_STATUS} AS status,
              CASE WHEN {BATCH_STATUS} = 'success' THEN cost END AS cost FROM costs) t
