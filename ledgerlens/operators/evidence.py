@@ -80,3 +80,16 @@ def lookup(variants: DataFrame, texts: DataFrame) -> DataFrame:
             .agg(F.min(F.struct("variant_no", "line_no")).alias("m"))
             .selectExpr("doc_id", "label_no", "label", "CAST(m.variant_no AS BIGINT) AS variant_no",
                         "CAST(m.line_no AS BIGINT) AS line_no"))
+
+
+def normalise_box_sql(x: str, y: str, width: str, height: str, t2: str, t3: str, scale: str,
+                      vw: str, vh: str) -> dict[str, str]:
+    """box of a positioned text item on a rendered page, normalised to
+    [0, 1]: width scaled with a 4-unit minimum, height at least the glyph
+    size (hypot of the transform's skew/scale terms), y flipped to the top
+    edge, then clamped. (x, y) are the item origin after the viewport
+    transform."""
+    w = f"greatest({width} * {scale}, 4D)"
+    h = f"greatest({height} * {scale}, hypot({t2}, {t3}))"
+    return {"x": f"greatest(0D, {x} / {vw})", "y": f"greatest(0D, ({y} - {h}) / {vh})",
+            "w": f"least(1D, {w} / {vw})", "h": f"least(1D, {h} / {vh})"}

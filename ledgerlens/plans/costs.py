@@ -121,3 +121,14 @@ def q_budget_settings(spark, sf_dir):
         "user_id", "CASE user_id % 6 WHEN 0 THEN '50' WHEN 1 THEN ' 12.5 ' WHEN 2 THEN '50 USD' "
         "WHEN 3 THEN '0' WHEN 4 THEN '' ELSE '-3' END AS raw")
     return t.selectExpr("user_id", "raw", *C.budget_setting("raw"))
+
+
+@query("median_cost_by_model", with_usage("""
+SELECT model, count(*) AS calls, round(median(cost), 9) AS median_cost FROM costs
+WHERE cost IS NOT NULL GROUP BY model"""))
+def q_median_cost_by_model(spark, sf_dir):
+    """A10: exact median (mean of the two middles for an even count) per
+    model - ``median`` is exact in Spark (not ``percentile_approx``)."""
+    from pyspark.sql import functions as F
+    return (priced_usage(spark, sf_dir).filter("cost IS NOT NULL").groupBy("model")
+            .agg(F.count("*").alias("calls"), F.round(F.median("cost"), 9).alias("median_cost")))

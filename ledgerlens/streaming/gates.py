@@ -97,7 +97,7 @@ def monthly_gate_batch(state_dir: str, out_path: str, budget: float = C.MONTHLY_
         prev = os.path.join(state_dir, f"v{batch_id - 1}")
         carried = (spark.read.parquet(prev) if batch_id > 0 and _exists(spark, prev)
                    else spark.createDataFrame([], "month string, carried double"))
-        gated = C.monthly_budget_gate(batch, budget=float("inf"))
+        gated = C.monthly_budget_gate(batch, budget=1e300)
         g = (gated.join(F.broadcast(carried), "month", "left")
              .withColumn("spend_before", F.coalesce("carried", F.lit(0.0)) + F.col("spend_before"))
              .withColumn("refused", F.expr(f"round(spend_before, 9) >= {budget}D")).drop("carried"))
