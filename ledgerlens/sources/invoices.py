@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens import schemas as S
 from ledgerlens.functions.sql import fixed2, round2
-from ledgerlens.session import ensure_utc
+from ledgerlens.session import ensure_checkpoint_dir, ensure_utc
 from ledgerlens.sources.tables import read_table
 
 AS_OF = "2001-01-01"          # "today" for the future-bill-date rule
@@ -82,8 +82,48 @@ def line_item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{amount} AS amount")
 
 
-def invoice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, order_key, category, record (``schemas.RECORD``)."""
+_VIEWS: dict = {}
+
+
+def invoice_records(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """doc_id, order_key, category, record (``schemas.RECORD``).
+
+    The view is the stand-in for the stored output of an extraction job, so
+    it is written once per application as parquet under the session's
+    checkpoint folder (shared storage on a cluster; survives a lost
+    executor) and read back by every query, with nested column pruning. The
+    key covers the input paths, sizes and modification times."""
+    if not materialize:
+        return build_invoice_records(spark, sf_dir)
+    ensure_utc(spark)
+    key = _view_key(sf_dir)
+    sc = spark.sparkContext
+    cache_key = (sc.applicationId, key)
+    path = _VIEWS.get(cache_key)
+    if path is None:
+        base = ensure_checkpoint_dir(spark)
+        path = f"{base.rstrip('/')}/ledgerlens-views/invoices-{key}"
+        (build_invoice_records(spark, sf_dir).write.mode("overwrite").parquet(path))
+        _VIEWS[cache_key] = path
+    return spark.read.parquet(path)
+
+
+def _view_key(sf_dir: str) -> str:
+    import hashlib
+    import os
+    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    for t in ("orders", "lineitem", "part", "customer"):
+        p = os.path.join(sf_dir, f"{t}.parquet")
+        try:
+            st = os.stat(p)
+            h.update(f"{t}:{st.st_size}:{st.st_mtime_ns}".encode())
+        except OSError:
+            h.update(f"{t}:remote".encode())
+    return h.hexdigest()[:16]
+
+
+def build_invoice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derivation itself (joins + per-order aggregate + record build)."""
     ensure_utc(spark)
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
