@@ -160,7 +160,7 @@ def build_invoice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
              "+ CASE WHEN k % 11 = 0 THEN 1.0D ELSE 0.0D END END AS total")
     vendor = (f"named_struct('name', vname, 'address', vaddr, 'confidence', {_conf(1)}, "
               f"'reasoning', concat({_box(1)}, 'Vendor: ', coalesce(vname, 'not shown')))")
-    items_sql = ("coalesce(transform(array_sort(its), x -> named_struct('description', x.description, "
+    items_sql = ("coalesce(transform(sort_array(its), x -> named_struct('description', x.description, "
                  "'quantity', x.quantity, 'unit_price', x.unit_price, 'amount', x.amount, "
                  "'reasoning', concat('Line ', CAST(x.ln AS STRING)))), "
                  "CAST(array() AS ARRAY<STRUCT<description:STRING,quantity:DOUBLE,unit_price:DOUBLE,"
