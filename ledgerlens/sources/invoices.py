@@ -28,6 +28,8 @@ order with a partial aggregate, then joined to orders on the order key.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens import schemas as S
@@ -83,6 +85,7 @@ def line_item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VIEWS: dict = {}
+_VIEWS_LOCK = threading.Lock()
 
 
 def invoice_records(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
@@ -99,12 +102,13 @@ def invoice_records(spark: SparkSession, sf_dir: str, materialize: bool = True)
     key = _view_key(sf_dir)
     sc = spark.sparkContext
     cache_key = (sc.applicationId, key)
-    path = _VIEWS.get(cache_key)
-    if path is None:
-        base = ensure_checkpoint_dir(spark)
-        path = f"{base.rstrip('/')}/ledgerlens-views/invoices-{key}"
-        (build_invoice_records(spark, sf_dir).write.mode("overwrite").parquet(path))
-        _VIEWS[cache_key] = path
+    with _VIEWS_LOCK:            # one writer per view when queries run in threads
+        path = _VIEWS.get(cache_key)
+        if path is None:
+            base = ensure_checkpoint_dir(spark)
+            path = f"{base.rstrip('/')}/ledgerlens-views/invoices-{key}"
+            build_invoice_records(spark, sf_dir).write.mode("overwrite").parquet(path)
+            _VIEWS[cache_key] = path
     return spark.read.parquet(path)
 
 
