@@ -96,12 +96,14 @@ SELECT event_id, user_id, round(quantile_cont(cost, 0.5) OVER (PARTITION BY user
 FROM costs WHERE cost IS NOT NULL"""))
 def q_rolling_median(spark, sf_dir):
     """Median of the previous 50 priced calls of the user (no
-    feedback). ``percentile`` with a ROWS frame (``median`` cannot take a
-    frame); a hot user is one window task that spills, not one in memory."""
-    return priced_usage(spark, sf_dir).filter("cost IS NOT NULL").selectExpr(
-        "event_id", "user_id",
-        "round(percentile(cost, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id "
-        "ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 9) AS median_prev50")
+    feedback). Range partitions + a bounded halo (``operators.halo``), so a
+    hot user is split across tasks; equal to ``percentile(cost, 0.5) OVER
+    (PARTITION BY user ORDER BY ts, id ROWS BETWEEN 50 PRECEDING AND 1
+    PRECEDING)``."""
+    from ledgerlens.operators.halo import rolling_median_prev
+    priced = priced_usage(spark, sf_dir).filter("cost IS NOT NULL").select("event_id", "user_id", "ts", "cost")
+    return rolling_median_prev(priced, "user_id", ["ts", "event_id"], "cost", 50, "m").selectExpr(
+        "event_id", "user_id", "round(m, 9) AS median_prev50")
 
 
 @query("budget_settings", """

@@ -118,3 +118,16 @@ def test_monthly_spend_ignores_bad(spark):
                                "event_id long, ts timestamp, cost double")
     r = C.monthly_spend(df).collect()[0]
     assert r["month"] == "2024-03" and r["spend"] == 1.5 and r["calls"] == 4
+
+
+def test_rolling_median_halo_matches_brute_force(spark):
+    from ledgerlens.operators.halo import rolling_median_prev
+    rnd = random.Random(11)
+    rows = [(i, "hot" if i % 10 < 7 else f"k{i % 5}", i, float(rnd.randint(1, 100))) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, key string, t long, v double")
+    got = rolling_median_prev(df, "key", ["t", "id"], "v", 50, "m", num_partitions=23).toPandas()
+    pdf = pd.DataFrame(rows, columns=["id", "key", "t", "v"]).sort_values(["key", "t", "id"])
+    pdf["exp"] = pdf.groupby("key")["v"].transform(lambda s: s.shift(1).rolling(50, min_periods=1).median())
+    m = got.merge(pdf, on="id")
+    both_null = m["m"].isna() & m["exp"].isna()
+    assert (both_null | ((m["m"] - m["exp"]).abs() < 1e-9)).all()
