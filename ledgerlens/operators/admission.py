@@ -39,10 +39,35 @@ def admit(requests: DataFrame, key: str = "key", ts_us: str = "ts_us", order=("e
     return sliding_window_admission(requests, [key], ts_us, list(order), limit, window_us)
 
 
-def sliding_count(requests: DataFrame, key: str = "key", ts_us: str = "ts_us",
-                  window_us: int = EXTRACT_LIMIT[1]) -> DataFrame:
+def sliding_count(requests: DataFrame, key: str = "key", ts_us: str = "ts_us", id_col: str = "event_id",
+                  window_us: int = EXTRACT_LIMIT[1], num_partitions: int | None = None) -> DataFrame:
     """Requests of the key in ``(now - window, now]`` counting every
-    call (monitoring: no feedback). RANGE frame on epoch microseconds."""
+    call (monitoring: no feedback), as the RANGE frame ``count(*) OVER
+    (PARTITION BY key ORDER BY ts RANGE BETWEEN window-1 PRECEDING AND
+    CURRENT ROW)`` on epoch microseconds.
+
+    Skew-proof form: count = rank(now) - rank(now - window), where rank(x)
+    is the number of the key's requests at or before x. Each request adds
+    two weight-0 probe rows (at now and now - window) ordered after the
+    requests of the same instant; one distributed prefix sum over requests +
+    probes (range partitions, no key in one task) gives both ranks."""
+    from ledgerlens.operators.prefix import running_sum
+    base = requests.selectExpr(f"{key} AS _k", f"{ts_us} AS _t", f"{id_col} AS _id")
+    data = base.selectExpr("_k", "_t", "0 AS _kind", "_id", "0 AS _which", "1D AS _w")
+    probes = base.selectExpr("_k", f"explode(array(named_struct('t', _t, 'which', 0), "
+                                    f"named_struct('t', _t - {window_us}L, 'which', 1))) AS p", "_id").selectExpr(
+        "_k", "p.t AS _t", "1 AS _kind", "_id", "p.which AS _which", "0D AS _w")
+    rs = running_sum(data.unionByName(probes), "_w", ["_k"], ["_t", "_kind", "_id", "_which"], "_rank",
+                     num_partitions=num_partitions)
+    counts = (rs.filter("_kind = 1").groupBy("_id")
+              .agg(F.expr("CAST(sum(CASE WHEN _which = 0 THEN _rank ELSE -_rank END) AS BIGINT)")
+                   .alias("n_in_window")))
+    return requests.join(counts.withColumnRenamed("_id", id_col), id_col)
+
+
+def sliding_count_window(requests: DataFrame, key: str = "key", ts_us: str = "ts_us",
+                         window_us: int = EXTRACT_LIMIT[1]) -> DataFrame:
+    """W3b as a plain window (one task per key; fine when no key is hot)."""
     w = (F.expr(f"count(*) OVER (PARTITION BY {key} ORDER BY {ts_us} "
                 f"RANGE BETWEEN {window_us - 1} PRECEDING AND CURRENT ROW)"))
     return requests.withColumn("n_in_window", w)

@@ -40,3 +40,13 @@ def test_retry_class(spark):
                                "status int, message string, error_name string")
     got = [r[0] for r in df.select(F.expr(A.retry_class_sql())).collect()]
     assert got == [True, True, False, True, True, False, False]
+
+
+def test_sliding_count_matches_window(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(i, "hot" if i % 4 else f"k{i % 3}", rnd.randint(0, 50) * 1_000_000) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id long, key string, ts_us long")
+    a = A.sliding_count(df, window_us=10_000_000, num_partitions=9).select("event_id", "n_in_window")
+    b = A.sliding_count_window(df, window_us=10_000_000).select("event_id", "n_in_window")
+    assert a.count() == 600 and a.exceptAll(b).count() == 0
