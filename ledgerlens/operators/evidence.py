@@ -71,11 +71,12 @@ def field_variants(records: DataFrame, r: str = "record") -> DataFrame:
 def lookup(variants: DataFrame, texts: DataFrame) -> DataFrame:
     """Per (doc, label) the winning variant and the 0-based line it
     was found on; labels with no hit are absent."""
-    j = variants.join(texts.selectExpr("doc_id", "text", "lower(text) AS lt"), "doc_id")
+    # only the lower-cased text travels (line breaks are unchanged by lower())
+    j = variants.join(texts.selectExpr("doc_id", "lower(text) AS lt"), "doc_id")
     hits = j.selectExpr("doc_id", "label_no", "label", "variant_no",
-                        "instr(lt, lower(trim(variant))) AS p", "text").filter("p > 0").selectExpr(
+                        "instr(lt, lower(trim(variant))) AS p", "lt").filter("p > 0").selectExpr(
         "doc_id", "label_no", "label", "variant_no",
-        "size(split(substr(text, 1, p - 1), '\\n', -1)) - 1 AS line_no")
+        "size(split(substr(lt, 1, p - 1), '\\n', -1)) - 1 AS line_no")
     return (hits.groupBy("doc_id", "label_no", "label")
             .agg(F.min(F.struct("variant_no", "line_no")).alias("m"))
             .selectExpr("doc_id", "label_no", "label", "CAST(m.variant_no AS BIGINT) AS variant_no",
