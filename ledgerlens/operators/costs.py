@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.sql import lit
 from ledgerlens.operators.prefix import running_sum
 from ledgerlens.sources.usage import HAIKU, OPUS, SONNET
 
@@ -142,4 +141,4 @@ def budget_setting(raw_col: str = "raw") -> list[str]:
 
 
 __all__ = ["builtin_pricing", "parse_pricing_overrides", "resolve_pricing", "model_prices",
-           "call_costs", "monthly_spend", "monthly_budget_gate", "budget_setting", "lit"]
+           "call_costs", "monthly_spend", "monthly_budget_gate", "budget_setting"]
