@@ -127,3 +127,23 @@ def webhook_payloads(records: DataFrame, verbose: bool = False, idempotency_key:
     return out.withColumn("payload", F.to_json(
         F.struct("event", "timestamp", "correlation_id", "idempotency_key", "invoice",
                  "confidence_summary"), {"ignoreNullFields": "false"}))
+
+
+def preview_sql(text: str, n: int = 500) -> str:
+    """The first ``n`` characters (500 for a webhook response body, 60
+    for an error line in the evaluation log)."""
+    return f"substring({text}, 1, {n})"
+
+
+MAX_INVOICES_PER_REQUEST = 100
+
+
+def check_request_sizes(requests: DataFrame, request_col: str = "request_id",
+                        max_invoices: int = MAX_INVOICES_PER_REQUEST) -> DataFrame:
+    """S6 batch rule of the CSV export: a request carries 1..100 invoices;
+    returns request, invoices, error (``empty`` / ``too-many`` / null).
+    A partial aggregate, so a huge request costs nothing extra."""
+    return (requests.groupBy(request_col).agg(F.count("record").alias("invoices"))
+            .selectExpr(request_col, "invoices",
+                        f"CASE WHEN invoices = 0 THEN 'empty' WHEN invoices > {max_invoices} THEN 'too-many' "
+                        "END AS error"))
