@@ -283,3 +283,12 @@ def completed(chunks: DataFrame) -> DataFrame:
         F.expr("array_join(transform(sort_array(collect_list(struct(seq, coalesce(chunk, '') AS c))), "
                "x -> x.c), '')").alias("text"), F.count("*").alias("n_chunks"))
     return parse_records(whole, "text").select("response_id", "n_chunks", "record", "error")
+
+
+def progress_rollup(stream_events: DataFrame) -> DataFrame:
+    """Stream events (``type`` progress / field / complete / error, with
+    ``phase`` and ``elapsed_ms`` for progress) rolled up by type and phase:
+    count, responses, mean and max elapsed time. A partial aggregate."""
+    return (stream_events.groupBy("type", "phase").agg(
+        F.count("*").alias("events"), F.count_distinct("response_id").alias("responses"),
+        F.round(F.avg("elapsed_ms"), 3).alias("avg_elapsed_ms"), F.max("elapsed_ms").alias("max_elapsed_ms")))

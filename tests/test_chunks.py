@@ -64,3 +64,12 @@ def test_whole_text_equals_simulation(spark, sf_small):
     a = CH.field_events(ch).select("response_id", "field", "seq", "value_json")
     b = CH.field_events_by_chunk(ch).select("response_id", "field", "seq", "value_json")
     assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+
+
+def test_progress_rollup(spark):
+    rows = [("a", "progress", "parsing", 5), ("a", "progress", "extracting", 40), ("b", "progress", "parsing", 7),
+            ("b", "progress", "retry", 900), ("a", "complete", None, None)]
+    df = spark.createDataFrame(rows, "response_id string, type string, phase string, elapsed_ms long")
+    got = {(r["type"], r["phase"]): (r["events"], r["responses"], r["max_elapsed_ms"])
+           for r in CH.progress_rollup(df).collect()}
+    assert got[("progress", "parsing")] == (2, 2, 7) and got[("complete", None)] == (1, 1, None)
