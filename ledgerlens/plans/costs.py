@@ -130,7 +130,8 @@ SELECT model, count(*) AS calls, round(median(cost), 9) AS median_cost FROM cost
 WHERE cost IS NOT NULL GROUP BY model"""))
 def q_median_cost_by_model(spark, sf_dir):
     """A10: exact median (mean of the two middles for an even count) per
-    model - ``median`` is exact in Spark (not ``percentile_approx``)."""
-    from pyspark.sql import functions as F
-    return (priced_usage(spark, sf_dir).filter("cost IS NOT NULL").groupBy("model")
-            .agg(F.count("*").alias("calls"), F.round(F.median("cost"), 9).alias("median_cost")))
+    model, with counts per value and a distributed running count, so a model
+    with most of the calls is not one task (``operators.quantiles``)."""
+    from ledgerlens.operators.quantiles import exact_median
+    m = exact_median(priced_usage(spark, sf_dir), "model", "cost", "median_cost")
+    return m.selectExpr("model", "n AS calls", "round(median_cost, 9) AS median_cost")

@@ -131,3 +131,16 @@ def test_rolling_median_halo_matches_brute_force(spark):
     m = got.merge(pdf, on="id")
     both_null = m["m"].isna() & m["exp"].isna()
     assert (both_null | ((m["m"] - m["exp"]).abs() < 1e-9)).all()
+
+
+def test_exact_median_matches_pandas(spark):
+    from ledgerlens.operators.quantiles import exact_median
+    rnd = random.Random(2)
+    rows = [("hot" if i % 3 else f"g{i % 4}", float(rnd.randint(0, 40)) / 4) for i in range(1001)]
+    rows += [("odd", 1.0), ("odd", 3.0), ("odd", 2.0), ("even", 1.0), ("even", 4.0), ("nan", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["n"], r["median"]) for r in exact_median(df, "g", "v", num_partitions=7).collect()}
+    exp = pd.DataFrame(rows, columns=["g", "v"]).dropna().groupby("g")["v"].agg(["count", "median"])
+    for g, row in exp.iterrows():
+        assert got[g][0] == row["count"] and abs(got[g][1] - row["median"]) < 1e-12, g
+    assert "nan" not in got and got["even"][1] == 2.5 and got["odd"][1] == 2.0
