@@ -113,3 +113,72 @@ def median_cost_cap(df: DataFrame, key: list[str], cost: str, order: list[str],
     out = [T.StructField("exceeded", T.BooleanType()), T.StructField("cap", T.DoubleType()),
            T.StructField("median", T.DoubleType())]
     return _run_fold(df, key, order, step, out, num_partitions)
+
+
+def gap_segments(df: DataFrame, key: str, ts: str, order: list[str], gap: int,
+                 num_partitions: int | None = None) -> DataFrame:
+    """Adds ``_segment``: per key, a new segment starts at a row whose
+    previous row (in (ts, order)) is at least ``gap`` earlier. Range
+    partitions (a hot key spreads over tasks) with a one-row halo per
+    partition for the previous row, then the distributed running count of
+    segment starts."""
+    from pyspark import TaskContext
+
+    from ledgerlens.operators.prefix import running_sum
+    from ledgerlens.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [key, ts, *order]
+    tagged = T.StructType(df.schema.fields + [T.StructField("_pid", T.IntegerType())])
+
+    def tag(it):
+        pid = TaskContext.get().partitionId()
+        for pdf in it:
+            yield pdf.assign(_pid=pid)
+    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+              .mapInPandas(tag, tagged)).checkpoint()
+
+    def last_row(it):
+        last = None
+        for pdf in it:
+            if not pdf.empty:
+                last = pdf[["_pid", key, ts]].tail(1)
+        if last is not None:
+            yield last
+    tail_schema = T.StructType([T.StructField("_pid", T.IntegerType()), df.schema[key], df.schema[ts]])
+    tails = ranged.mapInPandas(last_row, tail_schema).limit(n + 1).collect()   # one row per partition
+    halo = sorted((r["_pid"], r[key], r[ts]) for r in tails)
+    bc = spark.sparkContext.broadcast(halo)
+    flagged_schema = T.StructType(tagged.fields + [T.StructField("_start", T.DoubleType())])
+
+    def flag(it):
+        prev_key, prev_ts, first = None, None, True
+        for pdf in it:
+            if pdf.empty:
+                continue
+            if first:
+                pid = int(pdf["_pid"].iloc[0])
+                before = [h for h in bc.value if h[0] < pid]
+                if before:
+                    prev_key, prev_ts = before[-1][1], before[-1][2]
+                first = False
+            keys, times = pdf[key].tolist(), pdf[ts].tolist()
+            starts = []
+            for k, t in zip(keys, times):
+                starts.append(1.0 if (k != prev_key or t - prev_ts >= gap) else 0.0)
+                prev_key, prev_ts = k, t
+            yield pdf.assign(_start=starts)
+    flagged = ranged.mapInPandas(flag, flagged_schema).drop("_pid")
+    seg = running_sum(flagged, "_start", [key], [ts, *order], "_before", num_partitions=n)
+    return seg.selectExpr(*df.columns, "CAST(_before + _start AS BIGINT) AS _segment")
+
+
+def segmented_admission(df: DataFrame, key: str, ts_us: str, order: list[str], limit: int,
+                        window_us: int, num_partitions: int | None = None) -> DataFrame:
+    """W3 split at idle gaps of at least one window: there every admitted
+    time has expired, so the fold restarts empty - each (key, segment) is an
+    independent fold and a hot key with idle periods spreads over tasks."""
+    seg = gap_segments(df, key, ts_us, order, window_us, num_partitions)
+    out = sliding_window_admission(seg, [key, "_segment"], ts_us, order, limit, window_us, num_partitions)
+    return out.drop("_segment")

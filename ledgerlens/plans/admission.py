@@ -29,8 +29,9 @@ r AS (
 SELECT event_id, user_id, ok, CAST(remaining AS BIGINT) AS remaining, CAST(retry_after_s AS BIGINT) AS retry_after_s,
        CAST(reset_at_us AS BIGINT) AS reset_at_us FROM r""")
 def q_rate_admission(spark, sf_dir):
+    from ledgerlens.operators.folds import segmented_admission
     req = usage_rows(spark, sf_dir).select("event_id", "user_id", "ts_us")
-    out = A.admit(req, key="user_id", limit=LIMIT, window_us=WINDOW_US)
+    out = segmented_admission(req, "user_id", "ts_us", ["event_id"], LIMIT, WINDOW_US)
     return out.select("event_id", "user_id", "ok", "remaining", "retry_after_s", "reset_at_us")
 
 

@@ -50,3 +50,18 @@ def test_sliding_count_matches_window(spark):
     a = A.sliding_count(df, window_us=10_000_000, num_partitions=9).select("event_id", "n_in_window")
     b = A.sliding_count_window(df, window_us=10_000_000).select("event_id", "n_in_window")
     assert a.count() == 600 and a.exceptAll(b).count() == 0
+
+
+def test_segmented_admission_equals_fold(spark):
+    import random
+    from ledgerlens.operators.folds import segmented_admission
+    rnd = random.Random(9)
+    t, rows = 0, []
+    for i in range(800):
+        t += rnd.choice([1, 5, 20, 90, 200]) * 60_000_000            # minutes apart, some > 1 h gaps
+        rows.append((i, "hot" if i % 5 else "k", t))
+    df = spark.createDataFrame(rows, "event_id long, key string, ts_us long")
+    a = segmented_admission(df, "key", "ts_us", ["event_id"], 3, H, num_partitions=11)
+    b = A.admit(df, limit=3, window_us=H)
+    cols = ["event_id", "ok", "remaining", "retry_after_s", "reset_at_us"]
+    assert a.count() == 800 and a.select(cols).exceptAll(b.select(cols)).count() == 0
