@@ -23,8 +23,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from ledgerlens.functions.sql import js_number
 
@@ -222,21 +220,6 @@ def final_events(text: str, seqs: list[int], lens: list[int]) -> list[tuple]:
     return out
 
 
-EVENT_TYPE = T.ArrayType(T.StructType([
-    T.StructField("field", T.StringType()), T.StructField("field_no", T.IntegerType()),
-    T.StructField("seq", T.LongType()), T.StructField("value_chars", T.LongType()),
-    T.StructField("value_json", T.StringType())]))
-
-
-@pandas_udf(EVENT_TYPE)
-def _events_udf(chunks: pd.Series, seqs: pd.Series) -> pd.Series:
-    rows = []
-    for cs, sq in zip(chunks, seqs):
-        rows.append([{"field": k, "field_no": n, "seq": q, "value_chars": c, "value_json": v}
-                     for k, n, q, c, v in final_events("".join(cs), sq, [len(x) for x in cs])])
-    return pd.Series(rows)
-
-
 def _reassemble_sorted(it):
     """Rows arrive sorted by (response_id, seq): one parser per response,
     state carried across Arrow batches."""
@@ -255,14 +238,23 @@ def _reassemble_sorted(it):
 def field_events(chunks: DataFrame) -> DataFrame:
     """R1 batch form: one row per emitted field (response, field, chunk seq
     it closed in, value text). Chunks are gathered per response (bounded by
-    the response cap; partial aggregation is not possible for an ordered
-    concatenation, the group is one response), then each whole text is
-    scanned once in an Arrow-batched pandas UDF."""
+    the response cap; the group is one response), then each whole text is
+    scanned once over Arrow batches, emitting flat rows."""
     whole = chunks.groupBy("response_id").agg(F.expr(
         "sort_array(collect_list(struct(seq, coalesce(chunk, '') AS c))) AS cs")).selectExpr(
         "response_id", "cs.c AS cs_text", "cs.seq AS seqs")
-    return (whole.select("response_id", F.inline(_events_udf("cs_text", "seqs")))
-            .select("response_id", "field", "field_no", "seq", "value_chars", "value_json"))
+    return whole.mapInPandas(_events_flat, FIELD_EVENT_SCHEMA)
+
+
+def _events_flat(it):
+    """Whole responses in, one flat row per emitted field out."""
+    cols = ["response_id", "field", "field_no", "seq", "value_chars", "value_json"]
+    for pdf in it:
+        rows = []
+        for rid, cs, sq in zip(pdf["response_id"], pdf["cs_text"], pdf["seqs"]):
+            for k, n, q, c, v in final_events("".join(cs), sq, [len(x) for x in cs]):
+                rows.append((rid, k, n, q, c, v))
+        yield pd.DataFrame(rows, columns=cols)
 
 
 def field_events_by_chunk(chunks: DataFrame, num_partitions: int | None = None) -> DataFrame:
