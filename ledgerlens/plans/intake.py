@@ -302,8 +302,9 @@ SELECT inv.doc_id, CAST(d3.i AS INTEGER) AS pos,
                     WHEN 'date' THEN inv.due ELSE inv.vendor_name END AS value
 FROM inv JOIN tenants t ON t.tenant = inv.k % {TENANTS} AND t.reason IS NULL
 JOIN d3 ON d3.tenant = t.tenant
-WHERE (inv.k + d3.i) % 5 <> 0
-  AND (CASE d3.type WHEN 'number' THEN CAST(inv.total AS VARCHAR) WHEN 'date' THEN inv.due ELSE inv.vendor_name END) IS NOT NULL"""))
+WHERE (CASE WHEN (inv.k + d3.i) % 5 = 0 THEN NULL
+            WHEN d3.type = 'number' THEN CAST(inv.total AS VARCHAR) WHEN d3.type = 'date' THEN inv.due
+            ELSE inv.vendor_name END) IS NOT NULL"""))
 def q_custom_field_values(spark, sf_dir):
     """J5 + P7: each document's extracted custom values (absent for some)
     joined with its tenant's valid definitions by id, in definition order."""
@@ -312,9 +313,12 @@ def q_custom_field_values(spark, sf_dir):
             .selectExpr("tenant", "pos", "d.id AS id", "d.name AS name", "d.type AS type"))
     docs = invoice_records(spark, sf_dir).selectExpr("doc_id", "order_key", f"order_key % {TENANTS} AS tenant",
                                                      "record")
+    # the "extracted" value of each defined field; every fifth one (by key +
+    # position) was not extracted and is null, i.e. absent from the map
     values = (docs.join(defs.select("tenant", "pos", "id", "type"), "tenant")
-              .selectExpr("doc_id", "tenant", "id", "order_key", "pos", f"{_value_sql('type')} AS value")
-              .filter("(order_key + pos) % 5 <> 0 AND value IS NOT NULL")
+              .selectExpr("doc_id", "tenant", "id",
+                          f"CASE WHEN (order_key + pos) % 5 = 0 THEN NULL ELSE {_value_sql('type')} END AS value")
+              .filter("value IS NOT NULL")
               .select("doc_id", "tenant", "id", "value"))
     return CF.display_values(defs.select("tenant", "pos", "id", "name"), values).selectExpr(
         "doc_id", "CAST(pos AS INT) AS pos", "label", "value")
