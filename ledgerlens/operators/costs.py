@@ -79,6 +79,10 @@ def model_prices(models: DataFrame, pricing: DataFrame) -> DataFrame:
     """Per distinct model, the first price-map key (map order) that is a
     prefix of the model id; models with none are absent."""
     m = models.select("model").distinct()
+    # the price map is configuration; its size is checked before it is broadcast
+    n_prices = pricing.limit(MAX_PRICE_ROWS + 1).count()
+    if n_prices > MAX_PRICE_ROWS:
+        raise ValueError(f"price map has more than {MAX_PRICE_ROWS} entries; refusing to broadcast it")
     j = m.join(F.broadcast(pricing), F.expr("startswith(model, prefix)"))
     return j.groupBy("model").agg(F.min_by(F.struct("input_per_million", "output_per_million"), "ord")
                                   .alias("p")).selectExpr("model", "p.input_per_million",
