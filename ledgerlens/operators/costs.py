@@ -75,12 +75,14 @@ def resolve_pricing(builtins: DataFrame, overrides: DataFrame) -> DataFrame:
         .selectExpr("prefix", "p.input_per_million", "p.output_per_million", "ord"))
 
 
-def model_prices(models: DataFrame, pricing: DataFrame) -> DataFrame:
+def model_prices(models: DataFrame, pricing: DataFrame, price_entries: int | None = None) -> DataFrame:
     """Per distinct model, the first price-map key (map order) that is a
-    prefix of the model id; models with none are absent."""
+    prefix of the model id; models with none are absent. ``price_entries``
+    is the size of the price map when the caller knows it (built-ins plus
+    parsed overrides); otherwise it is counted."""
     m = models.select("model").distinct()
     # the price map is configuration; its size is checked before it is broadcast
-    n_prices = pricing.limit(MAX_PRICE_ROWS + 1).count()
+    n_prices = price_entries if price_entries is not None else pricing.limit(MAX_PRICE_ROWS + 1).count()
     if n_prices > MAX_PRICE_ROWS:
         raise ValueError(f"price map has more than {MAX_PRICE_ROWS} entries; refusing to broadcast it")
     j = m.join(F.broadcast(pricing), F.expr("startswith(model, prefix)"))
@@ -89,10 +91,10 @@ def model_prices(models: DataFrame, pricing: DataFrame) -> DataFrame:
                                                           "p.output_per_million")
 
 
-def call_costs(usage: DataFrame, pricing: DataFrame) -> DataFrame:
+def call_costs(usage: DataFrame, pricing: DataFrame, price_entries: int | None = None) -> DataFrame:
     """``in/1e6*pin + out/1e6*pout``; null when the model has no price
     (the call is refused before any work)."""
-    prices = model_prices(usage, pricing)
+    prices = model_prices(usage, pricing, price_entries)
     return usage.join(prices, "model", "left").selectExpr(
         *usage.columns,
         "CAST(input_tokens AS DOUBLE) / 1e6 * input_per_million "

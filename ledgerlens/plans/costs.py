@@ -12,8 +12,9 @@ BUDGET = C.MONTHLY_BUDGET_DEFAULT
 
 
 def priced_usage(spark, sf_dir):
+    # no override text here: the price map is the built-ins (size known)
     pricing = C.resolve_pricing(C.builtin_pricing(spark), C.parse_pricing_overrides(spark, None)[0])
-    return C.call_costs(usage_rows(spark, sf_dir), pricing)
+    return C.call_costs(usage_rows(spark, sf_dir), pricing, price_entries=len(C.BUILTIN_PRICING))
 
 
 USAGE_CTES = f"""
