@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.sources.tables import read_table
 
-from . import decontaminate, line_spread, mixing, simhash, token_files
-from .common import documents, text_batches
+from . import decontaminate, line_spread, mixing, simhash, token_files, toxicity
+from .common import documents, fold, no_text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -28,6 +28,18 @@ def op3_token_files(spark, sf_dir):
     return token_files.token_files(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def _held_out(k):
+    return F.coalesce(fold("doc_id") == k, F.lit(False))
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", no_text().alias("text"))
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id", _held_out(0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op8_mix(spark, sf_dir):
     return mixing.mix_report(documents(spark, sf_dir, "doc_id", "text", "source"))
