@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.sources.tables import read_table
 
-from . import decontaminate, line_spread, mixing, simhash, token_files, toxicity
+from . import ctw, decontaminate, embed_dedup, html_extract, langid, line_spread, mixing, simhash, token_files, toxicity
 from .common import documents, fold, no_text
 
 QUERIES: dict = {}
@@ -23,6 +23,24 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+@query
+def op2_embedding_dedup(spark, sf_dir):
+    return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+ORACLES["op2_embedding_dedup"] = f"""
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS (SELECT * FROM r WHERE label IS NOT NULL AND len(e) > 0
+      AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in e if x <> 0]) > 0),
+links AS (SELECT a.rid AS u, b.rid AS w, b.vec_id FROM v a JOIN v b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= {embed_dedup.THRESHOLD}),
+reach(u, w) AS (SELECT rid, rid FROM r UNION SELECT reach.u, links.w FROM reach JOIN links ON reach.w = links.u),
+comp AS (SELECT reach.u AS rid, min(r.vec_id) AS component_id FROM reach JOIN r ON r.rid = reach.w GROUP BY reach.u),
+n AS (SELECT u AS rid, count(*) AS n_links FROM links GROUP BY u)
+SELECT r.vec_id, coalesce(n.n_links, 0) AS n_links, comp.component_id, coalesce(r.vec_id = comp.component_id, true) AS kept
+FROM r JOIN comp USING (rid) LEFT JOIN n USING (rid)"""
+
+
 @query
 def op3_token_files(spark, sf_dir):
     return token_files.token_files(documents(spark, sf_dir, "doc_id", "text"))
@@ -40,6 +58,29 @@ def op4_toxicity(spark, sf_dir):
         "doc_id", _held_out(0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op5_ctw(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    out = ctw.score(docs, fold("doc_id") != 1)
+    return out.select("doc_id", _held_out(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+                      "bits_per_byte")
+
+
+@query
+def op6_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = langid.train(docs.where(fold("doc_id") != 0))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", _held_out(0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_html_extract(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    out = html_extract.extract(pages, html_extract.train(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op8_mix(spark, sf_dir):
     return mixing.mix_report(documents(spark, sf_dir, "doc_id", "text", "source"))
