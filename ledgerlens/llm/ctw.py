@@ -7,14 +7,13 @@ prunings of the context tree. The trained tree then gives every byte after every
 along the path from the root, each node's own estimate has its posterior weight and the deeper nodes the rest; a context that
 was never seen leaves one half for each bit. A text is framed by a mark that no UTF-8 text holds, which also ends it.
 
-How it runs: one pass over the training texts counts (context, next byte) pairs and words, pre-aggregated per task;
-the tree is weighted per pair of last bytes (a pair has at most 65,536 contexts), and the two top levels, 257 nodes, are finished
-on the driver. The result is one row of 256 log probabilities per seen context. Rows are grouped into shards of at
-most ``SHARD_ROWS``, by pair of last bytes; a shard has that size bound and is what a task holds at a time. Every
-text is scored against all shards, so the result does not depend on their number.
-
-The unigram score beside it takes the counts of the ``FREQUENT`` most frequent words from a broadcast table; all
-other words are joined by shuffle.
+How it runs: one pass over the training texts counts grams (context and next byte) and words, pre-aggregated per task. The
+tree's levels from depth ``SPLIT`` down are weighted by Spark, by the last ``SPLIT`` bytes, many such subtrees at a time;
+their sums give the levels above, whose nodes (at most 255 for each context of two bytes) go to every task. The log
+probabilities of the most frequent grams, at most ``FREQUENT_GRAMS``, are a broadcast table that scores most places of a text;
+all other grams, seen or not, are shuffled as (document, gram, count), meet the tree again, and are added by join. Words go
+the same way: the ``FREQUENT`` most frequent from a table, all others by join. Tables thus have a fixed bound, and
+nothing is left out or approximated.
 
 Edge cases: null text counts as empty (its code is the end mark's); a null id is neither learned from nor held out; repeated
 rows count and score as rows of their own; without training rows each bit costs one bit; very long texts are scored in
@@ -27,7 +26,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -35,14 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, no_text, stored, text_batches
 
-DEPTH = 4
-SHARD_ROWS = 1 << 17
-FREQUENT = 1 << 17
+DEPTH, SPLIT = 5, 3
+FREQUENT, FREQUENT_GRAMS = 1 << 17, 1 << 20
+BLOCK_ROWS = 1 << 16
 HELD_WORDS, HELD_GRAMS = 300_000, 1 << 20
 WINDOW = 1 << 19
 MARK = b"\xff"
 END_WORD = b""
-CHUNK = 2048
 HALF = np.log(0.5)
 
 
@@ -134,16 +131,6 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - (1 / 360 - r / 1260) * r) / y - np.log(low)
 
 
-def bits(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of next bytes (m, 256) -> zeros and ones at the 255 bit nodes, in heap order."""
-    zero, one = np.empty((len(count), 255)), np.empty((len(count), 255))
-    for level in range(7, -1, -1):
-        at = slice((1 << level) - 1, (2 << level) - 1)
-        zero[:, at], one[:, at] = count[:, 0::2], count[:, 1::2]
-        count = zero[:, at] + one[:, at]
-    return zero, one
-
-
 def log_kt(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
     out = np.zeros(zero.shape)
@@ -163,220 +150,207 @@ def weigh(own: np.ndarray, deeper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both, np.exp(own + HALF - both)
 
 
-def byte_rows(q: np.ndarray) -> np.ndarray:
-    """Probabilities of a one at the 255 nodes -> log10 probabilities of the 256 bytes."""
-    out = np.zeros((len(q), 1))
-    for level in range(8):
-        at = q[:, (1 << level) - 1:(2 << level) - 1]
-        nxt = np.empty((len(q), 2 << level))
-        nxt[:, 0::2], nxt[:, 1::2] = out + np.log10(1 - at), out + np.log10(at)
-        out = nxt
-    return out.astype(np.float32)
-
-
-def _dense(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted contexts and their counts of next bytes."""
-    ctx, at = np.unique(gram >> 8, return_inverse=True)
-    count = np.zeros((len(ctx), 256))
-    count[at, gram & 255] = n
-    return ctx, count
-
-
-def _low_chunks(gram: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
-    """Deepest contexts in chunks that keep those of one shorter context together: the shorter contexts, their counts and
-    log products of the deepest, and the deepest with their counts and owners."""
-    shorter = (gram >> 8) & 0xFFFFFF
-    order = np.lexsort((gram, shorter))
-    gram, n, shorter = gram[order], n[order], shorter[order]
-    edge = np.flatnonzero(np.diff(gram >> 8, prepend=-1))               # where a deepest context begins
-    start = np.flatnonzero(np.diff(shorter, prepend=-1))
-    i = 0
-    while i < len(start):
-        j = i + 1
-        first = np.searchsorted(edge, start[i])
-        while j < len(start) and np.searchsorted(edge, start[j]) - first < CHUNK:
-            j += 1
-        part = slice(start[i], start[j] if j < len(start) else len(gram))
-        i = j
-        ctx, at = np.unique(gram[part] >> 8, return_inverse=True)
-        count = np.zeros((len(ctx), 256))
-        count[at, gram[part] & 255] = n[part]
-        up, owner = np.unique(ctx & 0xFFFFFF, return_inverse=True)
-        zero, one = bits(count)
-        deep = np.zeros((len(up), 255))
-        np.add.at(deep, owner, log_kt(zero, one))
-        total = np.zeros((len(up), 256))
-        np.add.at(total, owner, count)
-        yield up, total, deep, ctx, count, owner
-
-
-def _pair_sums(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one pair of last bytes: counts of next bytes, log weighted probability and own weight at its nodes."""
-    deeper, total = np.zeros((1, 255)), np.zeros((1, 256))
-    for _, count, deep, *_ in _low_chunks(gram, n):
-        deeper += weigh(log_kt(*bits(count)), deep)[0].sum(0)
-        total += count.sum(0)
-    return total, *weigh(log_kt(*bits(total)), deeper)
-
-
-def _weigh_pair(pdf: pd.DataFrame) -> pd.DataFrame:
-    total, both, _ = _pair_sums(pdf["gram"].to_numpy(), pdf["n"].to_numpy())
-    return pd.DataFrame({"last": [int(pdf["pair"].iloc[0]) & 255], "total": [total.tobytes()], "both": [both.tobytes()]})
-
-
-def _weigh_last(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x) for x in pdf["total"])
-    deeper = sum(np.frombuffer(x) for x in pdf["both"])
-    return pd.DataFrame({"last": [pdf["last"].iloc[0]], "total": [total.tobytes()], "deeper": [deeper.tobytes()]})
-
-
-class Top:
-    """The root and the 256 nodes below it: their share of each bit's probability and what they leave to deeper nodes."""
-
-    def __init__(self, rows: list):
-        last = np.zeros((256, 256))
-        both, self.w1 = np.zeros((256, 255)), np.full((256, 255), 0.5)
-        for r in rows:
-            last[r["last"]] = np.frombuffer(r["total"])
-            own = log_kt(*bits(last[r["last"]][None]))
-            both[r["last"]], self.w1[r["last"]] = (x[0] for x in weigh(own, np.frombuffer(r["deeper"])[None]))
-        self.seen = {r["last"] for r in rows}
-        self.kt1 = kt(*bits(last))
-        root = bits(last.sum(0)[None])
-        self.w0 = weigh(log_kt(*root), both.sum(0)[None])[1]
-        self.kt0 = kt(*root)
-
-    def mix(self, last: int, q2: np.ndarray) -> np.ndarray:
-        """Bit probabilities of contexts that end with ``last``, given those of their depth-2 nodes."""
-        q1 = self.w1[last] * self.kt1[last] + (1 - self.w1[last]) * q2
-        return self.w0 * self.kt0 + (1 - self.w0) * q1
-
-    def short_rows(self) -> np.ndarray:
-        """Rows of the 256 last bytes whose pair was never seen; unseen last bytes have the root's."""
-        half = np.full((1, 255), 0.5)
-        root = self.w0 * self.kt0 + (1 - self.w0) * half
-        return byte_rows(np.concatenate([self.mix(i, half) if i in self.seen else root for i in range(256)]))
-
-
-def _rows_of_pair(top: Broadcast):
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        gram, n = pdf["gram"].to_numpy(), pdf["n"].to_numpy()
-        pair = int(pdf["pair"].iloc[0])
-        total, _, w2 = _pair_sums(gram, n)
-        kt2 = kt(*bits(total))
-        depth, ctx, row = [2], [pair], [byte_rows(top.value.mix(pair & 255, w2 * kt2 + (1 - w2) * 0.5))]
-        for up, count3, deep, ctx4, count4, owner in _low_chunks(gram, n):
-            z3 = bits(count3)
-            w3, kt3 = weigh(log_kt(*z3), deep)[1], kt(*z3)
-            for level, c, q3 in ((3, up, w3 * kt3 + (1 - w3) * 0.5),
-                                 (4, ctx4, w3[owner] * kt3[owner] + (1 - w3[owner]) * kt(*bits(count4)))):
-                depth += [level] * len(c)
-                ctx += c.tolist()
-                row.append(byte_rows(top.value.mix(pair & 255, w2 * kt2 + (1 - w2) * q3)))
-        return pd.DataFrame({"pair": pair, "depth": depth, "ctx": ctx, "row": [r.tobytes() for r in np.concatenate(row)]})
-    return build
+def bit_nodes(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(8, m) node keys on the way to each gram's byte, and the bits taken there. A key is the context and, in the
+    last byte, the bits so far behind a leading one."""
+    byte = gram & 255
+    step = np.arange(8)[:, None]
+    return (gram >> 8 << 8) | (1 << step) | (byte >> (8 - step)), (byte >> (7 - step)) & 1
+
+
+def shorten(key: np.ndarray, depth: int) -> np.ndarray:
+    """The same nodes under the last ``depth`` bytes of their contexts."""
+    return ((key >> 8) & ((1 << 8 * depth) - 1)) << 8 | (key & 255)
+
+
+def _sums(at: np.ndarray, n: int, *weights: np.ndarray) -> tuple:
+    return tuple(np.bincount(at, weights=w, minlength=n) for w in weights)
+
+
+class Level:
+    """Nodes of one depth: sorted keys, log weighted probability, own weight, estimate, and the place of each one's
+    parent in the level above (set when that is made). ``base`` and ``rest`` give the tree's probability of a
+    one as base + rest * (probability one byte deeper)."""
+
+    def __init__(self, key, zero, one, deeper=None):
+        self.key, self.zero, self.one = key, zero, one
+        self.kt = kt(zero, one)
+        own = log_kt(zero, one)
+        self.both, self.own = (own, np.ones(len(key))) if deeper is None else weigh(own, deeper)
+        self.up = self.base = self.rest = None
+
+    def above(self, depth: int) -> tuple:
+        """Keys and sums (zeros, ones, log weighted probabilities) of the parents."""
+        key, self.up = np.unique(shorten(self.key, depth), return_inverse=True)
+        return key, *_sums(self.up, len(key), self.zero, self.one, self.both)
+
+    def mix(self, base, rest) -> None:
+        self.base, self.rest = base + rest * self.own * self.kt, rest * (1 - self.own)
+
+
+def levels(gram: np.ndarray, n: np.ndarray) -> list[Level]:
+    """The levels ``DEPTH`` to ``SPLIT`` of whole subtrees, deepest first."""
+    keys, bit = bit_nodes(gram)
+    key, at = np.unique(keys.ravel(), return_inverse=True)
+    w = np.broadcast_to(n, keys.shape).ravel()
+    bit = bit.ravel()
+    out = [Level(key, *_sums(at, len(key), w * (1 - bit), w * bit))]
+    for depth in range(DEPTH - 1, SPLIT - 1, -1):
+        out.append(Level(*out[-1].above(depth)))
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows (gram, n), sorted by subtree, in blocks of whole subtrees."""
+    held: list[np.ndarray] = []
+    size, mask = 0, (1 << 8 * (SPLIT + 1)) - 256
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], 1))
+        size += b.num_rows
+        if size >= BLOCK_ROWS:
+            rows = np.concatenate(held)
+            tree = rows[:, 0] & mask
+            cut = int(np.searchsorted(tree == tree[-1], True)) if tree[0] != tree[-1] else 0
+            if cut:
+                yield rows[:cut]
+            held, size = [rows[cut:]], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _by_subtree(grams: DataFrame) -> DataFrame:
+    tree = F.col("gram").bitwiseAND(F.lit((1 << 8 * (SPLIT + 1)) - 256))
+    return grams.select("gram", "n", tree.alias("tree")).repartition("tree").sortWithinPartitions("tree").select("gram", "n")
+
+
+def _subtree_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _blocks(batches):
+        parts = levels(rows[:, 0], rows[:, 1])[-1].above(SPLIT - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["key", "zero", "one", "deeper"])
+
+
+def top_levels(grams: DataFrame) -> list[Level]:
+    """The levels above ``SPLIT``, the root first; their nodes are at most 255 for each context of ``SPLIT`` - 1 bytes."""
+    sums = (_by_subtree(grams).mapInArrow(_subtree_sums, "key long, zero double, one double, deeper double")
+            .groupBy("key").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("deeper").alias("deeper"))
+            .toArrow())
+    key, *rest = (sums.column(c).to_numpy() for c in ("key", "zero", "one", "deeper"))
+    order = np.argsort(key)
+    out = [Level(key[order], *(r[order] for r in rest))]
+    for depth in range(SPLIT - 2, -1, -1):
+        out.append(Level(*out[-1].above(depth)))
+    out[-1].mix(0.0, 1.0)
+    for i in range(len(out) - 2, -1, -1):
+        out[i].mix(out[i + 1].base[out[i].up], out[i + 1].rest[out[i].up])
+    return out[::-1]
+
+
+def gram_scores(query: np.ndarray, gram: np.ndarray, n: np.ndarray, top: list[Level]) -> np.ndarray:
+    """Log10 probability of each queried gram's byte after its context, from the subtrees of ``gram`` (which are all that
+    the queries need) and the levels above."""
+    found = levels(gram, n) if len(gram) else []
+    above = top[-1]
+    if found:
+        at = np.searchsorted(above.key, shorten(found[-1].key, SPLIT - 1))
+        found[-1].mix(above.base[at], above.rest[at])
+        for i in range(len(found) - 2, -1, -1):
+            found[i].mix(found[i + 1].base[found[i].up], found[i + 1].rest[found[i].up])
+    keys, bit = bit_nodes(query)
+    p, todo = np.full(keys.size, 0.5), np.arange(keys.size)
+    for depth, level in [*zip(range(DEPTH, SPLIT - 1, -1), found), *zip(range(SPLIT - 1, -1, -1), top[::-1])]:
+        if not len(level.key):
+            continue
+        key = shorten(keys.ravel()[todo], depth)
+        at = np.minimum(np.searchsorted(level.key, key), len(level.key) - 1)
+        hit = level.key[at] == key
+        p[todo[hit]] = level.base[at[hit]] + level.rest[at[hit]] * 0.5
+        todo = todo[~hit]
+    p = p.reshape(keys.shape)
+    return np.log10(np.where(bit == 1, p, 1 - p)).sum(0)
+
+
+def _score_grams(top: Broadcast, least: int):
+    """Scores the rows with count 0, or with at least ``least``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            gram, n = rows[:, 0], rows[:, 1]
+            query = gram[(n == 0) | (n >= least)]
+            seen = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(gram_scores(query, gram[seen], n[seen], top.value))], names=["gram", "lp"])
+    return run
 
 
 # --- scoring ---------------------------------------------------------------
 
-def shard_tables(found: pa.Table, short: np.ndarray, base: bool) -> dict:
-    """One shard as lookup tables. ``pair`` leads from the last two bytes to a line of ``third``, that by the third last byte to a line of
-    ``fourth``, that to a row. ``base``: this shard also has the pairs never seen (the others mark them and pairs of other
-    shards -1)."""
-    depth, ctx = (found.column(c).to_numpy() for c in ("depth", "ctx"))
-    rows = [short, np.frombuffer(b"".join(found.column("row").to_pylist()), np.float32).reshape(-1, 256)]
-    rows = np.concatenate(rows)
-    at2, at3, at4 = (np.flatnonzero(depth == d) for d in (2, 3, 4))
-    n2, n3 = len(at2), len(at3)
-    fourth = np.empty((256 + n2 + n3, 256), np.int32)
-    fourth[:256] = np.arange(256)[:, None]
-    fourth[256:256 + n2] = 256 + at2[:, None]
-    fourth[256 + n2:] = 256 + at3[:, None]
-    order3 = np.argsort(ctx[at3])
-    owner = order3[np.searchsorted(ctx[at3], ctx[at4] & 0xFFFFFF, sorter=order3)] if len(at4) else at4
-    fourth[256 + n2 + owner, ctx[at4] >> 24] = 256 + at4
-    third = np.empty((256 + n2, 256), np.int32)
-    third[:] = np.arange(256 + n2)[:, None]
-    order2 = np.argsort(ctx[at2])
-    owner = order2[np.searchsorted(ctx[at2], ctx[at3] & 0xFFFF, sorter=order2)] if len(at3) else at3
-    third[256 + owner, ctx[at3] >> 16] = 256 + n2 + np.arange(n3)
-    pair = np.tile(np.arange(256), 256).astype(np.int32) if base else np.full(1 << 16, -1, np.int32)
-    pair[ctx[at2]] = 256 + np.arange(n2)
-    return {"pair": pair, "third": third.ravel(), "fourth": fourth.ravel(), "rows": rows.ravel()}
-
-
-def score_texts(texts: list[bytes], shard: dict, foreign: np.ndarray | None = None) -> np.ndarray:
-    """Log10 probability that one shard adds to each text. ``foreign``: pairs of other shards."""
+class GramTable:
+    """Values of known grams, found by hashing without a loop over places."""
+
+    def __init__(self, gram: np.ndarray, value: np.ndarray):
+        self.gram, self.value, self.tables = gram, value.astype(np.float32), []
+        left, width = np.arange(len(gram)), max(10, int(4 * len(gram)).bit_length())
+        mix = 0x9E3779B97F4A7C15
+        while len(left):
+            slot = self._slot(gram[left], mix, width)
+            table = np.full(1 << width, -1, np.int32)
+            table[slot] = left
+            self.tables.append((mix, width, table))
+            left = left[table[slot] != left]
+            mix, width = (mix * 0x5851F42D4C957F2D + 0x14057B7EF767814F) % (1 << 64) | 1, max(10, int(4 * len(left)).bit_length())
+
+    @staticmethod
+    def _slot(gram: np.ndarray, mix: int, width: int) -> np.ndarray:
+        return (gram.view(np.uint64) * np.uint64(mix) >> np.uint64(64 - width)).view(np.int64)
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 for unknown grams) and the places of the unknown."""
+        out, todo = np.zeros(len(gram), np.float32), np.arange(len(gram))
+        for mix, width, table in self.tables:
+            at = table[self._slot(gram, mix, width)]
+            hit = (at >= 0) & (self.gram[at] == gram)
+            out[todo[hit]] = self.value[at[hit]]
+            todo, gram = todo[~hit], gram[~hit]
+        return out, todo
+
+
+def score_texts(texts: list[bytes], table: GramTable) -> tuple[np.ndarray, list, list]:
+    """Per text: the log10 probability of its known grams; the other grams and their counts."""
     buf, first, size = framed(texts)
     out = np.zeros(len(texts))
-    edges = np.stack([first, first + size], 1).ravel()
+    other: list[list[np.ndarray]] = [[] for _ in texts]
     for at in range(DEPTH, len(buf), WINDOW):
-        part = buf[at - DEPTH: at + WINDOW].astype(np.int32)
+        part = buf[at - DEPTH: at + WINDOW].astype(np.int64)
         n = len(part) - DEPTH
-        b1, b2, b3, b4 = (part[DEPTH - d: DEPTH - d + n] for d in (1, 2, 3, 4))
-        pair = (b2 << 8) | b1
-        line = shard["pair"][pair]
-        off = line < 0 if foreign is None else (line < 0) | foreign[pair]
-        line = shard["third"][(line << 8) | b3]
-        line = shard["fourth"][(line << 8) | b4]
-        p = shard["rows"][(line << 8) | part[DEPTH:]]
-        p[off] = 0
-        run = np.concatenate([[0.0], np.cumsum(p, dtype=np.float64)])
-        lo = np.searchsorted(first + size, at, "right")
-        hi = np.searchsorted(first, at + n, "left")
-        cut = np.clip(edges[2 * lo:2 * hi] - at, 0, n)
-        out[lo:hi] += run[cut[1::2]] - run[cut[0::2]]
-    return out
+        gram = part[:n]
+        for j in range(1, DEPTH + 1):
+            gram = (gram << 8) | part[j:j + n]
+        value, unknown = table.find(gram)
+        run = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
+        lo = int(np.searchsorted(first + size, at, "right"))
+        hi = int(np.searchsorted(first, at + n, "left"))
+        start, stop = np.clip(first[lo:hi] - at, 0, n), np.clip((first + size)[lo:hi] - at, 0, n)
+        out[lo:hi] += run[stop] - run[start]
+        for i, a, b in zip(range(lo, hi), np.searchsorted(unknown, start), np.searchsorted(unknown, stop)):
+            if a < b:
+                other[i].append(gram[unknown[a:b]])
+    found = [np.unique(np.concatenate(x), return_counts=True) if x else (np.empty(0, np.int64),) * 2 for x in other]
+    return out, [f[0] for f in found], [f[1] for f in found]
+
+
+def _score_rows(grams: Broadcast, common: Broadcast):
+    """Per document: tokens, the sums over frequent words and grams, and the other words and grams with their counts."""
+    def lists(rows: list, kind: pa.DataType) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else [], kind))
 
-
-def tree_rows(counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``counts(gram, n)`` -> rows of seen contexts ``(pair, depth, ctx, row)`` and the 256 short rows."""
-    spark = counts.sparkSession
-    grams = counts.withColumn("pair", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int"))
-    pairs = grams.groupBy("pair").applyInPandas(_weigh_pair, "last int, total binary, both binary")
-    last = pairs.groupBy("last").applyInPandas(_weigh_last, "last int, total binary, deeper binary")
-    top = Top(last.collect())          # at most 256 rows of 4 kB
-    built = grams.groupBy("pair").applyInPandas(_rows_of_pair(spark.sparkContext.broadcast(top)),
-                                                "pair int, depth int, ctx long, row binary")
-    return stored(built, "contexts"), top.short_rows()
-
-
-def shards(rows: DataFrame, short: np.ndarray, limit: int = SHARD_ROWS) -> list[Broadcast]:
-    """The contexts as broadcast tables of at most ``limit`` rows (or one pair's, if that has more)."""
-    sc = rows.sparkSession.sparkContext
-    size = sorted((r["pair"], r["n"]) for r in rows.groupBy("pair").agg(F.count("*").alias("n")).collect())
-    cuts, held = [0], 0
-    for pair, n in size:
-        if held and held + n > limit:
-            cuts.append(pair)
-            held = 0
-        held += n
-    cuts.append(1 << 16)
-    out = []
-    seen = np.zeros(1 << 16, bool)
-    seen[[p for p, _ in size]] = True
-    for i in range(len(cuts) - 1):
-        part = rows.where((F.col("pair") >= cuts[i]) & (F.col("pair") < cuts[i + 1])).select("depth", "ctx", "row").toArrow()
-        tables = shard_tables(part, short, i == 0)
-        foreign = seen.copy()
-        foreign[cuts[i]:cuts[i + 1]] = False
-        out.append(sc.broadcast({"tables": tables, "foreign": foreign if len(cuts) > 2 else None}))
-    return out
-
-
-def _score_rows(models: list[Broadcast], common: Broadcast, block: int):
-    """Per document: tokens, the unigram sum over frequent words, the other words with their counts, and the tree's score."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, end = common.value.get, common.value.get(END_WORD)
-
-        def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(rows)
-            texts = t.column("t").cast(pa.binary()).to_pylist()
-            score = np.zeros(len(texts))
-            for m in models:
-                score += score_texts(texts, m.value["tables"], m.value["foreign"])
-                if len(models) > 1:
-                    m.__dict__.pop("_value", None)          # one shard in memory at a time; its file stays on the executor
+        get, end, table = common.value.get, common.value.get(END_WORD), grams.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            texts = b.column("t").cast(pa.binary()).to_pylist()
+            score, gram, gn = score_texts(texts, table)
             tokens, known, base, rare, n = [], [], [], [], []
             for text in texts:
                 words = words_of(text)
@@ -388,52 +362,66 @@ def _score_rows(models: list[Broadcast], common: Broadcast, block: int):
                 base.append(float(np.sum(hit)) + (end if end is not None else np.log10(0.5)))
                 rare.append(list(other))
                 n.append(list(other.values()))
-            return pa.RecordBatch.from_arrays(
-                [t.column("rid").combine_chunks(), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(n, pa.list_(pa.int64()))],
-                names=["rid", "n_tokens", "known", "base", "score", "rare", "n"])
-        held, size = [], 0
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                size += b.nbytes
-            if size >= block:
-                yield done(held)
-                held, size = [], 0
-        if held:
-            yield done(held)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rid"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                 pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(n, pa.list_(pa.int64())),
+                 lists(gram, pa.int64()), lists(gn, pa.int64())],
+                names=["rid", "n_tokens", "known", "base", "score", "rare", "n", "gram", "gn"])
     return run
 
 
-def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS,
-          frequent: int = FREQUENT) -> DataFrame:
+def least_count(counts: DataFrame, col: str, most: int) -> int:
+    """The smallest count such that at most ``most`` rows have it or more (from a histogram, so it may be up to 5 %
+    above)."""
+    bucket = F.when(F.col(col) < 64, F.col(col).cast("double")).otherwise(F.floor(F.log2(F.col(col)) * 16) * 4)
+    rows = counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min(col).alias("least")).collect()
+    held, least = 0, 1 << 62
+    for r in sorted(rows, key=lambda r: -r["least"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["least"]
+    return least
+
+
+def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", frequent: int = FREQUENT,
+          frequent_grams: int = FREQUENT_GRAMS) -> DataFrame:
     """One row per document: ``n_tokens, n_known, train_tokens, base_score, score`` (log10 probabilities), ``bits_per_byte``.
 
     ``learn`` is a condition on ``df`` for the rows to learn from."""
     spark = df.sparkSession
     text_batches(spark)
+    sc = spark.sparkContext
     counts = checkpoint(df.where(learn).select(no_text(text).alias("t")).mapInArrow(_counts, "gram long, word binary, n long")
                         .groupBy("gram", "word").agg(F.sum("n").alias("n")))
     words = counts.where("gram is null").select("word", F.col("n").alias("c"))
-    models = shards(*tree_rows(counts.where("gram is not null").select("gram", "n")), shard_rows)
+    grams = counts.where("gram is not null").select("gram", "n")
+    top = sc.broadcast(top_levels(grams))
+    often = (_by_subtree(grams).mapInArrow(_score_grams(top, least_count(grams, "n", frequent_grams)), "gram long, lp double")
+             .toArrow())
+    table = sc.broadcast(GramTable(often.column("gram").to_numpy().astype(np.int64), often.column("lp").to_numpy()))
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    often = words.orderBy(F.desc("c"), "word").limit(frequent).collect()
-    common = spark.sparkContext.broadcast({bytes(r["word"]): float(np.log10(r["c"] + 0.5)) for r in often})
-    rid = F.monotonically_increasing_id()
-    docs = df.select(F.col(id_col).alias("id"), no_text(text).alias("t")).withColumn("rid", F.struct(
-        rid.alias("rid"), F.col("id").alias("id"), F.octet_length("t").alias("bytes"))).select("rid", "t")
+    often = words.where(F.col("c") >= least_count(words, "c", frequent)).collect()
+    common = sc.broadcast({bytes(r["word"]): float(np.log10(r["c"] + 0.5)) for r in often})
+    rid = F.struct(F.monotonically_increasing_id().alias("rid"), F.col("id").alias("id"), F.octet_length("t").alias("bytes"))
+    docs = df.select(F.col(id_col).alias("id"), no_text(text).alias("t")).select(rid.alias("rid"), "t")
     kind = docs.schema["rid"].dataType.simpleString()
-    block = 1 << 20 if len(models) == 1 else 64 << 20
-    rows = stored(docs.mapInArrow(_score_rows(models, common, block),
-                                  f"rid {kind}, n_tokens long, known long, base double, score double, rare array<binary>, n array<long>"), "scored")
+    rows = stored(docs.mapInArrow(_score_rows(table, common),
+                                  f"rid {kind}, n_tokens long, known long, base double, score double, rare array<binary>, n array<long>, "
+                                  "gram array<long>, gn array<long>"), "scored")
     rare = rows.select("rid.rid", F.explode(F.arrays_zip("rare", "n")).alias("x"))
     rare = rare.select("rid", F.col("x.rare").alias("word"), "x.n").join(words, "word", "left")
     added = rare.groupBy("rid").agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"))
+    deep = rows.select("rid.rid", F.explode(F.arrays_zip("gram", "gn")).alias("x")).select("rid", "x.gram", "x.gn")
+    asked = grams.union(deep.select("gram").distinct().select("gram", F.lit(0).cast("long").alias("n")))
+    answers = _by_subtree(asked).mapInArrow(_score_grams(top, 1 << 62), "gram long, lp double")
+    deep = deep.join(answers, "gram").groupBy("rid").agg(F.sum(F.col("gn") * F.col("lp")).alias("deep"))
     norm = float(np.log10(total + 0.5 * (kinds + 1)))
-    return rows.drop("rare", "n").select("rid.*", "n_tokens", "known", "base", "score").join(added, "rid", "left").select(
+    value = F.col("score") + F.coalesce("deep", F.lit(0.0))
+    return (rows.select("rid.*", "n_tokens", "known", "base", "score").join(added, "rid", "left").join(deep, "rid", "left").select(
         F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"), "score",
-        (-F.col("score") / np.log10(2.0) / F.greatest(F.col("bytes"), F.lit(1))).alias("bits_per_byte"))
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"), value.alias("score"),
+        (-value / np.log10(2.0) / F.greatest(F.col("bytes"), F.lit(1))).alias("bits_per_byte")))
