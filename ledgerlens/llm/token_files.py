@@ -9,8 +9,7 @@ column p % length, and a memory-mapped file gives any sequence, or any document'
 An index (file, document, place, count) goes beside the files; a file's name holds its task attempt, and
 only files that the index names count, so a lost executor or a second attempt leaves no trace.
 
-The tokenizer works on pieces that it would cut apart in any case (before a single space that stands between
-other characters), and each worker keeps the ids of pieces it has met, up to ``CACHE`` pieces.
+Each worker keeps the ids of up to about ``CACHE`` stretches of text that it has met.
 
 Edge cases: null text counts as empty; an empty document has just the end id; null ids sort first; repeated rows
 are documents of their own, ordered by text hash; no rows write no file.
@@ -37,11 +36,12 @@ LENGTH = 2048
 BATCH_ROWS = 256
 END_ID = 0
 CACHE = 400_000
+LONG, LINES = 64, 128
 VOCABULARY = "byte_bpe_50k.json"
 #: White space of the tokenizer's own splitting rule (Unicode White_Space).
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Where a single space doesn't stand between other characters.
-_RUN = re.compile(f"[{_SPACE}] | [{_SPACE}]")
+#: Where white space doesn't stand alone between other characters.
+_RUN = re.compile(f"[{_SPACE}][{_SPACE}]")
 _worker: dict = {}
 
 
@@ -51,39 +51,72 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of whole texts by the ``tokenizers`` library, without special tokens."""
+    """Ids of whole texts by the ``tokenizers`` library, without special tokens.
 
-    def __init__(self, path: str):
+    The library cuts a text by a public pattern and never joins ids across cuts; so a distinct cut is given to it
+    once, and, for fewer calls, many at a time on lines of their own."""
+
+    def __init__(self, path: str, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if _RUN.search(text):
-            return [text]
-        parts = text.split(" ")
-        return [parts[0], *map(" ".__add__, parts[1:])]
+        self.cuts = regex.compile(pattern or public_tokenizers.PATTERN).findall
+        self.line = self.lib.encode("\n", add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}       # a piece, without the space before it -> its ids, with the space
+        self.parts: dict[str, bytes] = {}       # a cut -> its ids
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        return [np.array(x.ids, self.dtype) for x in found]
+
+    def _cut_ids(self, cuts: list[str]) -> None:
+        """Ids of new cuts. On a line of its own a cut that has no white space but one space in front stays itself."""
+        plain = [c for c in cuts if not c.isspace()]
+        groups = [plain[i:i + LINES] for i in range(0, len(plain), LINES)]
+        for group, ids in zip(groups, self._ids(["\n".join(g) for g in groups])):
+            ends = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else ids[:0]
+            if len(ends) + 1 == len(group):
+                raw, width = ids.tobytes(), self.dtype.itemsize
+                stop = [*(ends * width).tolist(), len(raw)]
+                self.parts.update(zip(group, [raw[i:j] for i, j in zip([0, *(e + width for e in stop)], stop)]))
+            else:
+                self.parts.update(zip(group, [r.tobytes() for r in self._ids(group)]))
+        rest = [c for c in cuts if c.isspace()]
+        self.parts.update(zip(rest, [r.tobytes() for r in self._ids(rest)]))
+
+    def _piece_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of new stretches of text, each whole between two cuts."""
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        cut = [self.cuts(t) for t in texts]
+        self._cut_ids(list(set(chain.from_iterable(cut)).difference(self.parts)))
+        get = self.parts.__getitem__
+        out = [b"".join(map(get, c)) for c in cut]
+        for c in [c for c in chain.from_iterable(cut) if len(c) > LONG]:
+            self.parts.pop(c, None)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
+        """A single space or line end between other characters always begins a cut, so texts fall into pieces there; a text
+        with longer runs of white space is one piece."""
+        whole = [i for i, t in enumerate(texts) if _RUN.search(t)]
+        odd = set(whole)
+        pieces = [[] if i in odd else t.replace("\n", " \n").split(" ") for i, t in enumerate(texts)]
+        first = [texts[i] if i in odd else p[0] for i, p in enumerate(pieces)]
+        rest = [p[1:] for p in pieces]
         if len(self.known) > CACHE:
             self.known.clear()
-        new = [x for x in dict.fromkeys(chain.from_iterable(cut)) if x not in self.known]
-        short = [x for x in new if len(x) <= 64]
-        self.known.update(zip(short, self._ids(short)))
-        long = [x for x in new if len(x) > 64]
-        once = dict(zip(long, self._ids(long)))
+        new = list(set(chain.from_iterable(rest)).difference(self.known))
+        self.known.update(zip(new, self._piece_ids([x if x[:1] == "\n" else " " + x for x in new])))
         get = self.known.__getitem__
-        if not once:
-            return [b"".join(map(get, c)) for c in cut]
-        return [b"".join(once[x] if x in once else get(x) for x in c) for c in cut]
+        out = [b"".join((head, *map(get, r))) for head, r in zip(self._piece_ids(first), rest)]
+        for x in [x for x in new if len(x) > LONG]:
+            del self.known[x]
+        return out
 
 
 def encoder(path: str) -> Encoder:
