@@ -31,8 +31,8 @@ ORDERS = (4, 5, 6)
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 MAX_FIT_ROWS = 12_000
-MIN_RATIO, MIN_DOCS = 1.0, 6
-L2, STEPS = 1e-3, 60
+MIN_RATIO, MIN_DOCS = 2.0, 4
+L2, STEPS = 1e-3, 150
 WINDOW = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -146,7 +146,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     wanted = np.flatnonzero((np.abs(ratio) >= MIN_RATIO) & (docs.sum(0) >= MIN_DOCS))
     place = np.full(BUCKETS, -1, np.int64)
     place[wanted] = np.arange(len(wanted))
-    got = sample.mapInArrow(_features(wanted), "label int, f binary").collect()
+    got = sorted(sample.mapInArrow(_features(wanted), "label int, f binary").collect())     # in one order, so reruns agree
     rows = [np.sort(place[np.frombuffer(r["f"], np.int32)]) for r in got]
     w, b = fit_weights(rows, np.array([r["label"] for r in got], float), ratio[wanted])
     zero[wanted] = (w * ratio[wanted]).astype(np.float32)
