@@ -8,8 +8,8 @@ top-level keys is emitted once, when its ``{...}`` / ``[...]`` value closes
 parses as JSON; primitive values and unparsable slices are not emitted.
 Within one chunk, emissions follow the key-list order.
 
-Batch form: ``groupBy(response).applyInPandas`` - a group is one response,
-bounded by the response cap (4,096 output tokens), so no unbounded group.
+Batch form: one group per response, bounded by the response cap (4,096
+output tokens).
 The stream form (``ledgerlens.streaming.chunks``) keeps the buffer and the
 emitted keys as state per response.
 """
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.sql import js_number
+from ledgerlens.functions.sql import js_number, json_string
 
 # The top-level keys the parser watches, in emission order.
 STREAM_KEYS = ("invoice_number", "vendor", "bill_date", "due_date", "po_number", "subtotal", "tax",
@@ -34,9 +34,7 @@ FIELD_EVENT_SCHEMA = ("response_id string, field string, field_no int, seq bigin
                       "value_chars bigint, value_json string")
 
 
-def _js(x: str) -> str:
-    return (f"CASE WHEN {x} IS NULL THEN 'null' ELSE concat('\"', "
-            f"replace(replace({x}, '\\\\', '\\\\\\\\'), '\"', '\\\\\"'), '\"') END")
+_js = json_string
 
 
 def _num(x: str) -> str:
@@ -220,21 +218,6 @@ def final_events(text: str, seqs: list[int], lens: list[int]) -> list[tuple]:
     return out
 
 
-def _reassemble_sorted(it):
-    """Rows arrive sorted by (response_id, seq): one parser per response,
-    state carried across Arrow batches."""
-    rid, parser = None, None
-    for pdf in it:
-        rows = []
-        for r, seq, chunk in zip(pdf["response_id"].tolist(), pdf["seq"].tolist(), pdf["chunk"].tolist()):
-            if r != rid:
-                rid, parser = r, FieldParser()
-            for key, text in parser.feed(chunk or ""):
-                rows.append((r, key, STREAM_KEYS.index(key), int(seq), len(text), text))
-        yield pd.DataFrame(rows, columns=["response_id", "field", "field_no", "seq", "value_chars",
-                                          "value_json"])
-
-
 def field_events(chunks: DataFrame) -> DataFrame:
     """R1 batch form: one row per emitted field (response, field, chunk seq
     it closed in, value text). Chunks are gathered per response (bounded by
@@ -257,24 +240,40 @@ def _events_flat(it):
         yield pd.DataFrame(rows, columns=cols)
 
 
-def field_events_by_chunk(chunks: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """R1 by simulation: hash-partitioned by response, sorted by (response,
-    seq) inside partitions and streamed through the incremental parser (the
-    micro-batch logic of the stream form, without state)."""
-    n = num_partitions or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (chunks.repartition(n, "response_id").sortWithinPartitions("response_id", "seq")
-            .mapInPandas(_reassemble_sorted, FIELD_EVENT_SCHEMA))
+#: The code and the two messages of a response that can't be used (own wording), and the cap's code.
+BAD_CODE, BAD_JSON, BAD_SCHEMA = "model-API-failure", "The response is not JSON.", "The response does not match the schema."
+CAP_CODE, CAP_MESSAGE = "cost-budget-exceeded", "Cost exceeded cap."
+
+
+def whole_texts(chunks: DataFrame) -> DataFrame:
+    """One row per response: its text, chunks in order (a response is bounded by the output cap)."""
+    return chunks.groupBy("response_id").agg(
+        F.expr("array_join(sort_array(collect_list(struct(seq, coalesce(chunk, '') AS c))).c, '')").alias("text"),
+        F.count("*").alias("n_chunks"))
 
 
 def completed(chunks: DataFrame) -> DataFrame:
-    """R2: whole text per response (chunks in order; a response is bounded
-    by the output cap), parsed against the record schema; ``error`` is
-    ``invalid-json`` / ``missing-key`` / ``bad-enum`` as in the S6 source."""
+    """R2, first half: whole text per response, parsed against the record schema; ``error`` as in the S6 source."""
     from ledgerlens.sources.records import parse_records
-    whole = chunks.groupBy("response_id").agg(
-        F.expr("array_join(transform(sort_array(collect_list(struct(seq, coalesce(chunk, '') AS c))), "
-               "x -> x.c), '')").alias("text"), F.count("*").alias("n_chunks"))
-    return parse_records(whole, "text").select("response_id", "n_chunks", "record", "error")
+    return parse_records(whole_texts(chunks), "text").select("response_id", "n_chunks", "record", "error")
+
+
+def final_outcome(done: DataFrame, calls: DataFrame, as_of: str) -> DataFrame:
+    """R2: each response ends in one event. ``done(response_id, record, error)``; ``calls(response_id, cost, cap)``, cap null before
+    enough calls are known. ``type`` complete or error, ``code`` and ``message`` of an error, ``record`` of a complete one with the rule
+    flags merged, and its ``cost``. A cost over the absolute ceiling or the cap ends in an error though the text is good; an unknown
+    cost passes."""
+    from ledgerlens.operators.folds import ABSOLUTE_CEILING_USD
+    from ledgerlens.operators.validation import validated
+    j = done.join(calls, "response_id", "left")
+    over = f"coalesce(cost > {ABSOLUTE_CEILING_USD}D OR cost > cap, false)"
+    out = validated(j, as_of).selectExpr(
+        "*", f"CASE WHEN error IS NOT NULL THEN '{BAD_CODE}' WHEN {over} THEN '{CAP_CODE}' END AS code")
+    return out.selectExpr(
+        "response_id", "CASE WHEN code IS NULL THEN 'complete' ELSE 'error' END AS type", "code",
+        f"CASE WHEN error = 'invalid-json' THEN '{BAD_JSON}' WHEN error IS NOT NULL THEN '{BAD_SCHEMA}' "
+        f"WHEN code IS NOT NULL THEN '{CAP_MESSAGE}' END AS message",
+        "CASE WHEN code IS NULL THEN record END AS record", "cost")
 
 
 def progress_rollup(stream_events: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from __future__ import annotations
 from ledgerlens.operators import chunks as CH
 from ledgerlens.plans.oracle_base import js_num, with_base
 from ledgerlens.plans.registry import query
-from ledgerlens.sources.invoices import invoice_records
+from ledgerlens.plans.validation import LINE_SUMS, MERGE_CTES, det_rows
+from ledgerlens.sources.invoices import AS_OF, invoice_records
 
 SIZE_SQL = "(16 + order_key % 41)"
 
@@ -110,3 +111,72 @@ def q_sse_events(spark, sf_dir):
     an unfinished remainder)."""
     t = invoice_records(spark, sf_dir).selectExpr("doc_id", f"{SSE_SPARK} AS text")
     return parse_sse(t, "text")
+
+
+# -------------------------------------------------- record source, completion
+# per residue of the order key: a change to the response text that keeps the head up to the flags, and the reason it must give
+_CUT = "regexp_extract(text, '(?s)^(.*),\"flags\":', 1)"
+_P = "instr(text, '\"reasoning\":')"
+_BROKEN = (
+    ("text", None),
+    (f"concat({_CUT}, ',\"flags\":[{{\"severity\":null,\"message\":\"m\"}}]}}')", "wrong-type"),
+    (f"concat({_CUT}, ',\"flags\":[{{\"message\":\"m\"}}]}}')", "missing-key"),
+    (f"concat({_CUT}, ',\"flags\":[{{\"severity\":\"info\",\"message\":null}}]}}')", "wrong-type"),
+    (f"concat({_CUT}, ',\"flags\":[{{\"severity\":\"info\",\"message\":5}}]}}')", "wrong-type"),
+    (f"concat({_CUT}, ',\"flags\":[{{\"severity\":\"fatal\",\"message\":\"m\"}}]}}')", "bad-enum"),
+    (f"concat({_CUT}, '}}')", "missing-key"),
+    (f"concat({_CUT}, ',\"flags\":{{}}}}')", "wrong-type"),
+    (f"concat({_CUT}, ',\"flags\":[],\"more\":[1, {{}}]}}')", None),
+    (_CUT, "invalid-json"),
+    ("concat('[', text, ']')", "wrong-type"),
+    ("regexp_replace(text, '^(\\\\{\"invoice_number\":\\\\{\"value\":\"[^\"]*\",\"confidence\":)\"[a-z]+\"', '$1\"certain\"')", "bad-enum"),
+    (f"concat(substr(text, 1, {_P} - 1), '\"reason\":', substr(text, {_P} + 12))", "missing-key"),
+    ("regexp_replace(text, '^\\\\{\"invoice_number\":\\\\{\"value\":\"INV-(\\\\d+)\"', '{{\"invoice_number\":{{\"value\":$1')".replace("{{", "{"), "wrong-type"),
+    ("regexp_replace(text, '^\\\\{\"invoice_number\":\\\\{\"value\":\"[^\"]*\",', '{{\"invoice_number\":{{')".replace("{{", "{"), "missing-key"),
+    ("replace(text, ',\"amount\":', ',\"amt\":')", "missing-key"),
+)
+
+
+def _reason_sql(k: str, n_items: str) -> str:
+    last = len(_BROKEN) - 1
+    return (f"CASE {k} % {len(_BROKEN)} " + " ".join(f"WHEN {i} THEN {'NULL' if r is None else repr(r)}" for i, (_, r) in enumerate(_BROKEN[:last]))
+            + f" ELSE CASE WHEN {n_items} > 0 THEN '{_BROKEN[last][1]}' END END")
+
+
+def broken_responses(spark, sf_dir):
+    r = invoice_records(spark, sf_dir).selectExpr("doc_id", "order_key", f"{CH.record_json_sql()} AS text")
+    cases = " ".join(f"WHEN {i} THEN {x}" for i, (x, _) in enumerate(_BROKEN))
+    return r.selectExpr("doc_id", "order_key", f"CASE order_key % {len(_BROKEN)} {cases} END AS value")
+
+
+@query("record_source", with_base(f"""
+SELECT doc_id, error, CASE WHEN error IS NULL THEN total END AS total,
+       CASE WHEN error IS NULL THEN CAST(n_items AS INTEGER) END AS n_items
+FROM (SELECT doc_id, total, n_items, {_reason_sql('k', 'n_items')} AS error FROM inv) t"""))
+def q_record_source(spark, sf_dir):
+    """Records as JSON text, fifteen in sixteen of them changed; every rejection with its reason."""
+    from ledgerlens.sources.records import parse_records
+    return parse_records(broken_responses(spark, sf_dir), "value").selectExpr(
+        "doc_id", "error", "record.total.value AS total", "size(record.line_items) AS n_items")
+
+
+@query("response_completion", with_base(LINE_SUMS + f""",
+det AS ({det_rows('src')})""" + MERGE_CTES + f""",
+n AS (SELECT k, count(*) AS n_flags FROM firsts GROUP BY k),
+model_n AS (SELECT d.k, count(*) AS n_flags FROM det d GROUP BY d.k),
+o AS (SELECT inv.k, inv.doc_id, {_reason_sql('inv.k', 'inv.n_items')} AS error, (inv.k % 90) / 75.0 AS cost,
+        CASE WHEN inv.k % 3 = 0 THEN 0.5 END AS cap, inv.k % {len(_BROKEN)} AS slot FROM inv)
+SELECT o.doc_id AS response_id, CASE WHEN error IS NULL AND NOT coalesce(cost > 1.0 OR cost > cap, false) THEN 'complete' ELSE 'error' END AS type,
+  CASE WHEN error IS NOT NULL THEN '{CH.BAD_CODE}' WHEN coalesce(cost > 1.0 OR cost > cap, false) THEN '{CH.CAP_CODE}' END AS code,
+  CASE WHEN error = 'invalid-json' THEN '{CH.BAD_JSON}' WHEN error IS NOT NULL THEN '{CH.BAD_SCHEMA}'
+       WHEN coalesce(cost > 1.0 OR cost > cap, false) THEN '{CH.CAP_MESSAGE}' END AS message,
+  CASE WHEN error IS NULL AND NOT coalesce(cost > 1.0 OR cost > cap, false) THEN
+       CAST(coalesce(CASE WHEN slot = 8 THEN model_n.n_flags ELSE n.n_flags END, 0) AS INTEGER) END AS n_flags
+FROM o LEFT JOIN n ON n.k = o.k LEFT JOIN model_n ON model_n.k = o.k"""))
+def q_response_completion(spark, sf_dir):
+    """R2: chunked responses, some broken and some over the cost cap, each to its closing event."""
+    src = broken_responses(spark, sf_dir)
+    chunks = CH.chunk_rows(src.selectExpr("doc_id AS response_id", "value AS text", f"CAST({SIZE_SQL} AS INT) AS size"))
+    calls = src.selectExpr("doc_id AS response_id", "(order_key % 90) / 75D AS cost", "CASE WHEN order_key % 3 = 0 THEN 0.5D END AS cap")
+    return CH.final_outcome(CH.completed(chunks), calls, AS_OF).selectExpr(
+        "response_id", "type", "code", "message", "CASE WHEN type = 'complete' THEN size(record.flags) END AS n_flags")

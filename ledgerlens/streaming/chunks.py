@@ -1,12 +1,12 @@
 """R1/R2 as a stream: per response id, the state holds the text received so
-far, the keys already emitted, the next expected chunk number and chunks
-that arrived early. Field events are emitted once, in chunk order; state is
-dropped when all keys are out or after ``idle_timeout`` without chunks
-(processing time)."""
+far, the keys already emitted, the next expected chunk number and the chunks
+that arrived early. Field events are emitted once, in chunk order.
 
-from __future__ import annotations
+A response always ends in one row without a value: ``complete`` in place of the field name when all keys are out, or
+``error`` after ``idle_timeout_ms`` without chunks (processing time). A finished response keeps an empty state for one more
+timeout, so trailing or repeated chunks neither start it again nor add rows."""
 
-import json
+from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,43 +14,58 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ledgerlens.operators.chunks import FIELD_EVENT_SCHEMA, STREAM_KEYS, FieldParser
 
-STATE_SCHEMA = "buffer string, emitted string, next_seq long, pending string"
+STATE_SCHEMA = "buffer string, emitted array<string>, next_seq long, early_seq array<long>, early array<string>, done boolean"
+COMPLETE, ERROR = "complete", "error"
+_COLS = ["response_id", "field", "field_no", "seq", "value_chars", "value_json"]
 
 
-def _restore(state) -> tuple[FieldParser, int, dict]:
+def _restore(state) -> tuple[FieldParser, int, dict, bool]:
     p = FieldParser()
-    if state.exists:
-        buf, emitted, nxt, pending = state.get
-        p.buffer = buf or ""
-        p.emitted = set(filter(None, (emitted or "").split(",")))
-        return p, int(nxt), {int(k): v for k, v in json.loads(pending or "{}").items()}
-    return p, 0, {}
+    if not state.exists:
+        return p, 0, {}, False
+    buf, emitted, nxt, early_seq, early, done = state.get
+    p.buffer, p.emitted = buf, set(emitted)
+    return p, nxt, dict(zip(early_seq, early)), done
+
+
+def _ended(rid, kind: str, seq: int) -> tuple:
+    return rid, kind, -1, seq, 0, None
 
 
-def stream_field_events(chunks: DataFrame, idle_timeout: str = "10 minutes") -> DataFrame:
-    """Streaming DataFrame of (response_id, seq, chunk) -> field events."""
+def stream_field_events(chunks: DataFrame, idle_timeout_ms: int = 600_000) -> DataFrame:
+    """Streaming DataFrame of (response_id, seq, chunk) -> field events and one closing row per response."""
     def fn(key, pdfs, state):
+        rid = key[0]
+        parser, nxt, early, done = _restore(state)
         if state.hasTimedOut:
-            state.remove()
+            if done:
+                state.remove()
+            else:
+                state.update(("", [], nxt, [], [], True))
+                state.setTimeoutDuration(idle_timeout_ms)
+                yield pd.DataFrame([_ended(rid, ERROR, nxt)], columns=_COLS)
             return
-        rid = key[0]
-        parser, nxt, pending = _restore(state)
+        rows = []
         for pdf in pdfs:
+            if done:
+                continue
             for s, c in zip(pdf["seq"].tolist(), pdf["chunk"].tolist()):
-                pending[int(s)] = c or ""
-        rows = []
-        while nxt in pending:
-            for k, text in parser.feed(pending.pop(nxt)):
-                rows.append((rid, k, STREAM_KEYS.index(k), nxt, len(text), text))
-            nxt += 1
-        if len(parser.emitted) == len(STREAM_KEYS) and not pending:
-            state.remove()
+                if s >= nxt:
+                    early[int(s)] = c or ""
+            while nxt in early and not done:
+                for k, text in parser.feed(early.pop(nxt)):
+                    rows.append((rid, k, STREAM_KEYS.index(k), nxt, len(text), text))
+                nxt += 1
+                if len(parser.emitted) == len(STREAM_KEYS):
+                    done = True
+                    rows.append(_ended(rid, COMPLETE, nxt - 1))
+        if done:
+            state.update(("", [], nxt, [], [], True))
         else:
-            # buffer is bounded by the response cap; re-scans restart from it
-            state.update((parser.buffer, ",".join(sorted(parser.emitted)), nxt, json.dumps(pending)))
-            state.setTimeoutDuration(idle_timeout)
+            # the buffer is bounded by the response cap
+            state.update((parser.buffer, sorted(parser.emitted), nxt, list(early), list(early.values()), False))
+        state.setTimeoutDuration(idle_timeout_ms)
         if rows:
-            yield pd.DataFrame(rows, columns=["response_id", "field", "field_no", "seq", "value_chars",
-                                              "value_json"])
+            yield pd.DataFrame(rows, columns=_COLS)
     return chunks.groupBy("response_id").applyInPandasWithState(
         fn, FIELD_EVENT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,23 +1,22 @@
 """R4 / R5 as streams.
 
-* ``stream_admission`` - W3 with the admitted times of a key as state; a key
-  with nothing for 24 h (event time, behind the watermark) is dropped (the
-  app's stale-bucket eviction as a state timeout).
-* ``stream_median_cap`` - W1 with the last 50 accepted costs of a key as
-  state.
-* ``monthly_gate_batch`` - W2 per micro-batch with ``foreachBatch``: the
-  batch operator's distributed prefix sum plus the month totals carried from
-  earlier batches in a small table under the checkpoint folder (one row per
-  month), so no month ever sits in one state key.
-
-Rows are decided in (event time, id) order within a micro-batch and in
-arrival order across micro-batches, as the app decides by arrival.
+* ``stream_admission`` - W3 with the admitted times of a key as state. Every request is decided when it arrives, however late its
+  own time is; a key without requests for 24 h (processing time) is dropped, as the app evicts stale buckets by its clock.
+* ``stream_median_cap`` - W1 with the last 50 accepted costs of a key as state; a key without calls for
+  ``evict_after_ms`` is dropped.
+* ``monthly_gate_batch`` - W2 per micro-batch with ``foreachBatch``: the batch operator's distributed prefix sum plus the month
+  totals carried from earlier batches. Results and totals of a batch go to folders named by its id and are overwritten when it is
+  run again, and totals are read from the latest earlier batch that has them.
+
+Rows are decided in (event time, id) order within an Arrow batch and in
+arrival order across batches, as the app decides by arrival.
 """
 
 from __future__ import annotations
 
 import math
 import os
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,81 +26,78 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ledgerlens.operators import costs as C
 from ledgerlens.operators.folds import ABSOLUTE_CEILING_USD, CAP_MULTIPLIER, HISTORY_CAP, _median
 
-DAY_US = 86_400_000_000
 ADMISSION_OUT = ("event_id long, key string, ts_us long, ok boolean, remaining long, "
                  "retry_after_s long, reset_at_us long")
 
 
-def stream_admission(requests: DataFrame, limit: int, window_us: int, watermark: str = "1 hour",
-                     evict_after_ms: int = DAY_US // 1000) -> DataFrame:
-    """requests: streaming (event_id, key, ts TIMESTAMP, ts_us)."""
+def stream_admission(requests: DataFrame, limit: int, window_us: int, evict_after_ms: int = 86_400_000) -> DataFrame:
+    """requests: streaming (event_id, key, ts_us)."""
     def fn(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        times = [int(x) for x in state.get[0].split(",") if x] if state.exists else []
-        pdf = pd.concat(list(pdfs)).sort_values(["ts_us", "event_id"])
-        out = []
-        for eid, t in zip(pdf["event_id"].tolist(), pdf["ts_us"].tolist()):
-            t = int(t)
-            times = [x for x in times if x > t - window_us]
-            if len(times) >= limit:
-                oldest = times[0]
-                out.append((eid, key[0], t, False, 0, math.ceil(max(0, oldest + window_us - t) / 1e6),
-                            oldest + window_us))
-            else:
-                times.append(t)
-                out.append((eid, key[0], t, True, max(0, limit - len(times)), 0, t + window_us))
-        state.update((",".join(map(str, times)),))
-        last_ms = max(times) // 1000 if times else int(pdf["ts_us"].max()) // 1000
-        state.setTimeoutTimestamp(last_ms + evict_after_ms)
-        yield pd.DataFrame(out, columns=["event_id", "key", "ts_us", "ok", "remaining", "retry_after_s",
-                                         "reset_at_us"])
-    return (requests.withWatermark("ts", watermark).groupBy("key")
-            .applyInPandasWithState(fn, ADMISSION_OUT, "times string", "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+        times = list(state.get[0]) if state.exists else []
+        for pdf in pdfs:
+            pdf = pdf.sort_values(["ts_us", "event_id"])
+            out = []
+            for eid, t in zip(pdf["event_id"].tolist(), pdf["ts_us"].tolist()):
+                times = [x for x in times if x > t - window_us]
+                if len(times) >= limit:
+                    oldest = times[0]
+                    out.append((eid, key[0], t, False, 0, math.ceil(max(0, oldest + window_us - t) / 1e6), oldest + window_us))
+                else:
+                    times.append(t)
+                    out.append((eid, key[0], t, True, max(0, limit - len(times)), 0, t + window_us))
+            yield pd.DataFrame(out, columns=["event_id", "key", "ts_us", "ok", "remaining", "retry_after_s", "reset_at_us"])
+        state.update((times,))
+        state.setTimeoutDuration(evict_after_ms)
+    return requests.groupBy("key").applyInPandasWithState(fn, ADMISSION_OUT, "times array<long>", "append",
+                                                          GroupStateTimeout.ProcessingTimeTimeout)
 
 
 MEDIAN_OUT = "event_id long, key string, cost double, exceeded boolean, cap double, median double"
 
 
-def stream_median_cap(costs: DataFrame) -> DataFrame:
+def stream_median_cap(costs: DataFrame, evict_after_ms: int = 30 * 86_400_000) -> DataFrame:
     """costs: streaming (event_id, key, ts_us, cost) with non-null cost."""
     def fn(key, pdfs, state):
-        hist = [float(x) for x in state.get[0].split(",") if x] if state.exists else []
-        pdf = pd.concat(list(pdfs)).sort_values(["ts_us", "event_id"])
-        out = []
-        for eid, c in zip(pdf["event_id"].tolist(), pdf["cost"].tolist()):
-            med = _median(hist)
-            if c > ABSOLUTE_CEILING_USD:
-                out.append((eid, key[0], c, True, ABSOLUTE_CEILING_USD, med))
-                continue
-            cap = None if med is None or med == 0 else med * CAP_MULTIPLIER
-            exceeded = cap is not None and c > cap
-            if not exceeded and math.isfinite(c) and c >= 0:
-                hist = (hist + [c])[-HISTORY_CAP:]
-            out.append((eid, key[0], c, exceeded, cap, med))
-        state.update((",".join(repr(x) for x in hist),))
-        yield pd.DataFrame(out, columns=["event_id", "key", "cost", "exceeded", "cap", "median"])
-    return costs.groupBy("key").applyInPandasWithState(fn, MEDIAN_OUT, "hist string", "append",
-                                                       GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        hist = list(state.get[0]) if state.exists else []
+        for pdf in pdfs:
+            pdf = pdf.sort_values(["ts_us", "event_id"])
+            out = []
+            for eid, c in zip(pdf["event_id"].tolist(), pdf["cost"].tolist()):
+                med = _median(hist)
+                if c > ABSOLUTE_CEILING_USD:
+                    out.append((eid, key[0], c, True, ABSOLUTE_CEILING_USD, med))
+                    continue
+                cap = None if med is None or med == 0 else med * CAP_MULTIPLIER
+                exceeded = cap is not None and c > cap
+                if not exceeded and math.isfinite(c) and c >= 0:
+                    hist = (hist + [c])[-HISTORY_CAP:]
+                out.append((eid, key[0], c, exceeded, cap, med))
+            yield pd.DataFrame(out, columns=["event_id", "key", "cost", "exceeded", "cap", "median"])
+        state.update((hist,))
+        state.setTimeoutDuration(evict_after_ms)
+    return costs.groupBy("key").applyInPandasWithState(fn, MEDIAN_OUT, "hist array<double>", "append",
+                                                       GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def monthly_gate_batch(state_dir: str, out_path: str, budget: float = C.MONTHLY_BUDGET_DEFAULT):
-    """``foreachBatch`` handler for W2. ``state_dir`` (under the shared
-    checkpoint folder) keeps one row per month: spend so far. Each batch
-    writes a new version of it, so a retried batch reads the version it was
-    given (batch id in the path) and stays idempotent."""
+    """``foreachBatch`` handler for W2. ``state_dir`` (under the shared checkpoint folder) gets one folder per batch with the spend
+    of each month so far; ``out_path`` one folder ``batch=<id>`` with its decisions."""
     def handler(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = os.path.join(state_dir, f"v{batch_id - 1}")
-        carried = (spark.read.parquet(prev) if batch_id > 0 and _exists(spark, prev)
+        earlier = [n for n in _versions(spark, state_dir) if n < batch_id]
+        carried = (spark.read.schema("month string, carried double").parquet(os.path.join(state_dir, f"v{max(earlier)}")) if earlier
                    else spark.createDataFrame([], "month string, carried double"))
         gated = C.monthly_budget_gate(batch, budget=1e300)
-        g = (gated.join(F.broadcast(carried), "month", "left")
+        g = (gated.join(carried, "month", "left")
              .withColumn("spend_before", F.coalesce("carried", F.lit(0.0)) + F.col("spend_before"))
              .withColumn("refused", F.expr(f"round(spend_before, 9) >= {budget}D")).drop("carried"))
-        g.write.mode("append").parquet(out_path)
+        g.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
         totals = (batch.selectExpr("date_format(ts, 'yyyy-MM') AS month",
                                    f"CASE WHEN {C.VALID_COST} THEN cost ELSE 0D END AS c")
                   .groupBy("month").agg(F.sum("c").alias("c"))
@@ -111,7 +107,12 @@ def monthly_gate_batch(state_dir: str, out_path: str, budget: float = C.MONTHLY_
     return handler
 
 
-def _exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _versions(spark, folder: str) -> list[int]:
+    """Batch ids whose totals are committed (the writer's success mark is there)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path)]
+    return [int(p.getName()[1:]) for p in found if re.fullmatch(r"v\d+", p.getName())
+            and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]

@@ -45,6 +45,9 @@ def test_batch_equals_stream(spark, sf_small):
     q.awaitTermination(300)
     q.stop()
     got = spark.sql("SELECT response_id, field, seq, value_json FROM fe_test")
+    n = ch.select("response_id").distinct().count()
+    assert got.where("field = 'complete'").count() == n
+    got = got.where("field <> 'complete'")
     exp = CH.field_events(ch).select("response_id", "field", "seq", "value_json")
     assert got.count() == exp.count() > 0
     assert got.exceptAll(exp).count() == 0
@@ -58,18 +61,46 @@ def test_completion_split(spark):
     assert got == {"a": "missing-key", "b": "invalid-json"}
 
 
-def test_whole_text_equals_simulation(spark, sf_small):
+def test_whole_text_equals_parser(spark, sf_small):
+    """Each whole response's events are those of the incremental parser fed chunk by chunk."""
     from ledgerlens.plans.streams import response_chunks
-    ch = response_chunks(spark, sf_small)
-    a = CH.field_events(ch).select("response_id", "field", "seq", "value_json")
-    b = CH.field_events_by_chunk(ch).select("response_id", "field", "seq", "value_json")
-    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
-
-
-def test_progress_rollup(spark):
-    rows = [("a", "progress", "parsing", 5), ("a", "progress", "extracting", 40), ("b", "progress", "parsing", 7),
-            ("b", "progress", "retry", 900), ("a", "complete", None, None)]
-    df = spark.createDataFrame(rows, "response_id string, type string, phase string, elapsed_ms long")
-    got = {(r["type"], r["phase"]): (r["events"], r["responses"], r["max_elapsed_ms"])
-           for r in CH.progress_rollup(df).collect()}
-    assert got[("progress", "parsing")] == (2, 2, 7) and got[("complete", None)] == (1, 1, None)
+    ch = response_chunks(spark, sf_small).filter("response_id < 'INV-12'")
+    got = sorted(tuple(r) for r in CH.field_events(ch).collect())
+    want, parsers = [], {}
+    for r in sorted(ch.collect()):
+        for key, text in parsers.setdefault(r["response_id"], FieldParser()).feed(r["chunk"] or ""):
+            want.append((r["response_id"], key, CH.STREAM_KEYS.index(key), r["seq"], len(text), text))
+    assert got == sorted(want) and got
+
+
+def _stream(spark, rows, idle=600_000, wait=0):
+    """Feeds lists of chunks as micro-batches, then waits."""
+    import time
+
+    from ledgerlens.streaming.chunks import stream_field_events
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    name = "s" + os.path.basename(d).replace("-", "_")
+    schema = "response_id string, seq long, chunk string"
+    os.makedirs(os.path.join(d, "in"))
+    src = spark.readStream.schema(schema).json(os.path.join(d, "in"))
+    q = (stream_field_events(src, idle).writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", os.path.join(d, "ck")).start())
+    for i, part in enumerate(rows):
+        with open(os.path.join(d, f"p{i}"), "w") as f:
+            f.writelines(json.dumps(dict(zip(("response_id", "seq", "chunk"), r))) + "\n" for r in part)
+        os.rename(os.path.join(d, f"p{i}"), os.path.join(d, "in", f"p{i}"))
+        q.processAllAvailable()
+        time.sleep(wait)
+    q.stop()
+    return [tuple(r)[:4] for r in spark.sql(f"SELECT * FROM {name}").collect()]
+
+
+def test_stream_ends_once_and_ignores_what_follows(spark):
+    text = "{" + ",".join(f'"{k}":{{}}' for k in CH.STREAM_KEYS) + "}"
+    got = _stream(spark, [[("a", 1, text[40:])], [("a", 0, text[:40])], [("a", 0, text[:40]), ("a", 2, "x")]])
+    assert [g[1] for g in got] == [*CH.STREAM_KEYS, "complete"]
+
+
+def test_idle_response_ends_in_an_error(spark):
+    got = _stream(spark, [[("a", 0, '{"tax":{}'), ("c", 0, "")], [("b", 0, "{")], [("b", 1, " ")], [("b", 2, " ")]], 1000, 1.5)
+    assert ("a", "tax", 6, 0) in got and ("a", "error", -1, 1) in got and ("c", "error", -1, 1) in got

@@ -77,3 +77,26 @@ def test_validation_stream(spark):
     g = spark.read.parquet(os.path.join(d, "good"))
     assert g.count() == 2 and spark.read.parquet(os.path.join(d, "dead")).count() == 1
     assert sorted(r[0] for r in g.selectExpr("size(record.flags)").collect()) == [0, 1]
+
+
+def test_late_requests_are_decided(spark):
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    schema = "event_id long, key string, ts_us long"
+    for part, rows in enumerate([[(1, "k", 10**12)], [(2, "k", 10**12 + 10**11)], [(3, "k", 5), (4, "z", 7)], [(5, "k", 10**12 + 10**11 + 1)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(d, "in", f"p{part}"))
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(os.path.join(d, "in")))
+    q = (gates.stream_admission(src, limit=3, window_us=3_600_000_000).writeStream.format("memory").queryName("late_test")
+         .outputMode("append").option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
+    assert sorted(r["event_id"] for r in _run(q, "late_test", spark).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_repeated_batch_changes_nothing(spark):
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    handler = gates.monthly_gate_batch(os.path.join(d, "state"), os.path.join(d, "out"), budget=3.0)
+    batch = [spark.createDataFrame([(i * 10 + j, dt.datetime(2024, 1, 1, i, j), 1.0) for j in range(2)], "event_id long, ts timestamp, cost double")
+             for i in range(3)]
+    for i, b in ((0, 0), (0, 0), (5, 1), (5, 1), (9, 2)):           # batch ids with gaps, each run twice
+        handler(batch[b], i)
+    got = {r["event_id"]: r["refused"] for r in spark.read.parquet(os.path.join(d, "out")).collect()}
+    assert spark.read.parquet(os.path.join(d, "out")).count() == 6
+    assert got == {0: False, 1: False, 10: False, 11: True, 20: True, 21: True}
