@@ -82,6 +82,25 @@ def normalize_date(x: str) -> str:
             f"lpad(CAST({lm} AS STRING), 2, '0'), '-', lpad({ex(LONG_RE, 2)}, 2, '0')) END)")
 
 
+def parsed_date(x: str) -> str:
+    """The calendar date of a date text in any form that ``normalize_date`` knows; null for other texts."""
+    return f"try_to_date({normalize_date(x)}, 'yyyy-MM-dd')"
+
+
+#: The short escapes of JSON text; other control characters are written as four lower-case hex digits.
+_SHORT = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+
+
+def json_string(x: str) -> str:
+    """``JSON.stringify`` of a text: quotes, backslashes and control characters escaped; null -> ``null``."""
+    s = f"replace(replace({x}, '\\\\', '\\\\\\\\'), '\"', '\\\\\"')"
+    full = s
+    for c in range(32):
+        full = f"replace({full}, char({c}), '\\\\{_SHORT.get(c, f'u{c:04x}')}')"
+    return (f"(CASE WHEN {x} IS NULL THEN 'null' WHEN {x} RLIKE '[\\\\x00-\\\\x1f]' THEN concat('\"', {full}, '\"') "
+            f"ELSE concat('\"', {s}, '\"') END)")
+
+
 def pct(n: str, d: str) -> str:
     """``n/d*100`` with one decimal and '%', ``n/a`` when d = 0; rounded
     half up on the exact ratio (integer arithmetic)."""

@@ -8,31 +8,69 @@ from pyspark.sql import types as T
 
 from ledgerlens import schemas as S
 
-REQUIRED_KEYS = ("invoice_number", "vendor", "bill_date", "due_date", "po_number", "subtotal", "tax",
-                 "total", "currency", "line_items", "flags")
-
-_CONF = "('high', 'medium', 'low')"
-_SEV = "('info', 'warning', 'error')"
-
-
-def parse_records(df: DataFrame, text_col: str = "value", max_batch: int | None = None) -> DataFrame:
-    """Parse JSON text to ``record``; ``error`` says why a row is rejected:
-    not JSON / wrong types (the corrupt-record column of a PERMISSIVE
-    parse), a missing key (``from_json`` fills nulls where the app's schema
-    check rejects), or an enum outside its domain. Unknown keys are dropped,
-    as the app's schema parse strips them."""
-    schema = T.StructType(S.RECORD.fields + [T.StructField("_corrupt", T.StringType(), True)])
-    opts = "map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_corrupt')"
-    p = df.selectExpr("*", f"from_json({text_col}, '{schema.simpleString()}', {opts}) AS _p")
-    missing = " OR ".join(f"_p.{k} IS NULL" for k in REQUIRED_KEYS)
-    confs = " OR ".join(f"NOT coalesce(_p.{f}.confidence IN {_CONF}, false)" for f in S.CONFIDENCE_FIELDS)
-    sev = f"NOT coalesce(forall(_p.flags, f -> f.severity IN {_SEV}), true)"
-    err = (f"CASE WHEN _p IS NULL OR _p._corrupt IS NOT NULL THEN 'invalid-json' "
-           f"WHEN {missing} THEN 'missing-key' WHEN {confs} OR {sev} THEN 'bad-enum' END")
-    out = p.selectExpr("*", f"{err} AS error").selectExpr(
-        *[c for c in df.columns], "CASE WHEN error IS NULL THEN struct(" +
-        ", ".join(f"_p.{f.name} AS {f.name}" for f in S.RECORD.fields) + ") END AS record", "error")
-    return out
+_NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
+
+
+def _kind(v: str, path: str) -> str:
+    """Type name of a JSON value at a path: ``VOID`` for null, SQL null where the path is absent."""
+    return f"schema_of_variant(try_variant_get({v}, '$.{path}', 'variant'))"
+
+
+def _enum(values: tuple) -> str:
+    return ", ".join(f"'{x}'" for x in values)
+
+
+def _checks(v: str, paths: dict[str, str]) -> dict[str, list[str]]:
+    """Conditions under which an object is rejected, by reason. ``paths``: path -> ``text``, ``text?`` or ``number?``
+    (null allowed), ``confidence``, ``severity`` or ``text-`` (may be absent)."""
+    missing, wrong, outside = [], [], []
+    for path, want in paths.items():
+        kind = _kind(v, path)
+        ok = f"{kind} RLIKE '{_NUMBER}'" if want.startswith("number") else f"{kind} = 'STRING'"
+        if want.endswith("?"):
+            ok = f"({ok} OR {kind} = 'VOID')"
+        if want != "text-":
+            missing.append(f"{kind} IS NULL")
+        wrong.append(f"NOT coalesce({ok}, true)")
+        if want in ("confidence", "severity"):
+            allowed = S.CONFIDENCES if want == "confidence" else S.SEVERITIES
+            outside.append(f"NOT coalesce(try_variant_get({v}, '$.{path}', 'string') IN ({_enum(allowed)}), true)")
+    return {"missing-key": missing, "wrong-type": wrong, "bad-enum": outside}
+
+
+def _header() -> dict[str, str]:
+    out = {}
+    for f in S.STRING_FIELDS + S.NUMBER_FIELDS:
+        out |= {f"{f}.value": "number?" if f in S.NUMBER_FIELDS else "text?", f"{f}.confidence": "confidence", f"{f}.reasoning": "text"}
+    return out | {"vendor.name": "text?", "vendor.address": "text?", "vendor.confidence": "confidence", "vendor.reasoning": "text"}
+
+
+_ITEM = {"description": "text?", "quantity": "number?", "unit_price": "number?", "amount": "number?", "reasoning": "text-"}
+_FLAG = {"severity": "severity", "message": "text"}
+
+
+def parse_records(df: DataFrame, text_col: str = "value") -> DataFrame:
+    """Parse JSON text to ``record``; ``error`` says why a row is rejected, first reason first: ``invalid-json``;
+    ``wrong-type`` (the text, a field or a list entry is of another kind than the schema's, null included where the schema has
+    none); ``missing-key`` (a required key is absent, at any depth); ``bad-enum``. Kinds are read from the JSON itself, so
+    nothing is coerced or filled in. Unknown keys are dropped; an item's reasoning may be absent."""
+    p = df.selectExpr("*", f"try_parse_json({text_col}) AS _v")
+    lists = {k: f"try_variant_get(_v, '$.{k}', 'array<variant>')" for k in ("line_items", "flags")}
+    p = p.selectExpr("*", "schema_of_variant(_v) AS _kind", *[f"{x} AS _{k}" for k, x in lists.items()])
+    head, item, flag = _checks("_v", _header()), _checks("x", _ITEM), _checks("x", _FLAG)
+
+    def any_of(reason: str) -> str:
+        parts = [*head[reason], *[f"exists(_{k}, x -> {' OR '.join(c[reason])})" for k, c in (("line_items", item), ("flags", flag)) if c[reason]]]
+        return "coalesce(" + " OR ".join(f"({x})" for x in parts) + ", false)"
+    tops = [f for f in (*S.STRING_FIELDS, *S.NUMBER_FIELDS, "vendor")]
+    shape = " OR ".join([f"NOT coalesce({_kind('_v', f)} LIKE 'OBJECT%', true)" for f in tops]
+                        + [f"NOT coalesce({_kind('_v', k)} LIKE 'ARRAY%', true)" for k in lists]
+                        + [f"exists(_{k}, x -> NOT schema_of_variant(x) LIKE 'OBJECT%')" for k in lists])
+    absent = " OR ".join(f"{_kind('_v', f)} IS NULL" for f in (*tops, *lists))
+    err = (f"CASE WHEN _v IS NULL THEN 'invalid-json' WHEN _kind NOT LIKE 'OBJECT%' OR coalesce({shape}, false) OR {any_of('wrong-type')} THEN 'wrong-type' "
+           f"WHEN {absent} OR {any_of('missing-key')} THEN 'missing-key' WHEN {any_of('bad-enum')} THEN 'bad-enum' END")
+    return p.selectExpr(*df.columns, f"{err} AS error").selectExpr(
+        *df.columns, f"CASE WHEN error IS NULL THEN from_json({text_col}, '{S.RECORD.simpleString()}') END AS record", "error")
 
 
 def split_records(df: DataFrame, text_col: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -1,15 +1,62 @@
+import json
+
+import pytest
+
 from ledgerlens.operators.chunks import record_json_sql
-from ledgerlens.sources.records import parse_records
-from tests.util import record, records_df
-
-
-def test_dead_letters(spark):
-    good = records_df(spark, [record(), record(vendor=None)]).selectExpr(f"{record_json_sql()} AS value")
-    bad = spark.createDataFrame([("{not json",), ('{"invoice_number": 5}',), ("[1, 2]",),
-                                 (good.collect()[0]["value"].replace('"high"', '"certain"'),)], "value string")
-    got = parse_records(good.unionByName(bad), "value").collect()
-    errs = sorted(str(r["error"]) for r in got)
-    assert errs == ["None", "None", "bad-enum", "invalid-json", "invalid-json", "missing-key"] or \
-        errs.count("None") == 2
-    ok = [r for r in got if r["error"] is None]
-    assert ok[0]["record"]["invoice_number"]["value"] == "INV-1"
+from ledgerlens.sources.records import parse_records, split_records
+from tests.util import item, record, records_df
+
+
+@pytest.fixture
+def text(spark):
+    return records_df(spark, [record(items=[item()], flags=[{"severity": "info", "message": "m"}])]).selectExpr(
+        f"{record_json_sql()} AS v").first()["v"]
+
+
+def _change(text, path, value):
+    """The text with one value replaced, or taken away (value = ...)."""
+    obj = json.loads(text)
+    at = obj
+    for k in path[:-1]:
+        at = at[k]
+    if value is ...:
+        del at[path[-1]]
+    else:
+        at[path[-1]] = value
+    return json.dumps(obj)
+
+
+def test_every_fault_is_named(spark, text):
+    cases = [
+        (("flags", 0, "severity"), None, "wrong-type"), (("flags", 0, "severity"), ..., "missing-key"), (("flags", 0, "message"), None, "wrong-type"),
+        (("flags", 0, "severity"), "fatal", "bad-enum"), (("invoice_number", "value"), 5, "wrong-type"), (("invoice_number", "value"), ..., "missing-key"),
+        (("invoice_number", "reasoning"), ..., "missing-key"), (("line_items", 0, "amount"), ..., "missing-key"), (("line_items", 0, "amount"), "5", "wrong-type"),
+        (("total", "value"), "12", "wrong-type"), (("total", "value"), True, "wrong-type"), (("vendor",), None, "wrong-type"), (("vendor",), ..., "missing-key"),
+        (("vendor", "confidence"), "sure", "bad-enum"), (("tax", "confidence"), None, "wrong-type"), (("line_items",), {}, "wrong-type"),
+        (("flags",), ..., "missing-key"), (("flags", 0), "x", "wrong-type"), (("line_items", 0, "reasoning"), 5, "wrong-type"),
+        (("line_items", 0, "reasoning"), ..., None), (("invoice_number", "value"), None, None), (("total", "value"), 1e300, None), (("extra",), [1], None),
+        (("line_items", 0, "quantity"), None, None), (("line_items",), [], None),
+    ]
+    rows = [(i, _change(text, path, value)) for i, (path, value, _) in enumerate(cases)]
+    rows += [(100, "{not json"), (101, "[1, 2]"), (102, ""), (103, None), (104, "null"), (105, '{"invoice_number": 5}')]
+    got = {r["i"]: r for r in parse_records(spark.createDataFrame(rows, "i int, value string"), "value").collect()}
+    for i, (path, value, want) in enumerate(cases):
+        assert got[i]["error"] == want, (path, value)
+        assert (got[i]["record"] is None) == (want is not None)
+    assert [got[i]["error"] for i in range(100, 106)] == ["invalid-json", "wrong-type", "invalid-json", "invalid-json", "wrong-type", "wrong-type"]
+
+
+def test_split_and_values(spark, text):
+    good, dead = split_records(spark.createDataFrame([(text,), ("{",)], "value string"))
+    r = good.first()["record"]
+    assert r["invoice_number"]["value"] == "INV-1" and r["line_items"][0]["amount"] == 10.0
+    assert [x["error"] for x in dead.collect()] == ["invalid-json"]
+
+
+def test_control_characters_round_trip(spark):
+    odd = "".join(map(chr, range(1, 32))) + "\x00\"\\/é\u2028"
+    df = records_df(spark, [record(vendor=odd, items=[item(description="a\nb\tc")])]).selectExpr(f"{record_json_sql()} AS value")
+    v = df.first()["value"]
+    assert json.loads(v)["vendor"]["name"] == odd and json.loads(v)["line_items"][0]["description"] == "a\nb\tc"
+    assert json.dumps(odd, ensure_ascii=False) in v
+    assert parse_records(df).first()["record"]["vendor"]["name"] == odd
