@@ -2,10 +2,10 @@
 by prefix (J1), call cost (F5), monthly spend (A9, F11), monthly budget gate
 (W2) and the budget setting parse (P20).
 
-J1 is a theta join (``startswith``) against the price map, which is config
-sized (built-ins + the parsed override text, bounded by that text), so it is
-broadcast; it runs on the *distinct* models only, and the per-model result
-is joined back with an equi join that AQE plans by measured size.
+J1 matches a model id with the first key of the price map that it starts
+with. A map of up to ``INLINE_PRICES`` entries (the built-ins and most
+override texts) becomes an expression, so usage rows are not shuffled at
+all; a longer map is joined by equality on the prefixes of the distinct models.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.sql import js_trim, lit
 from ledgerlens.operators.prefix import running_sum
 from ledgerlens.sources.usage import HAIKU, OPUS, SONNET
 
 # Built-in prices per million tokens (input, output), in map order.
 BUILTIN_PRICING = ((SONNET, 3.0, 15.0), (OPUS, 15.0, 75.0), (HAIKU, 1.0, 5.0))
 MONTHLY_BUDGET_DEFAULT = 25.0
-MAX_PRICE_ROWS = 100_000     # broadcast guard for the price map
+INLINE_PRICES = 1_000        # a price map up to this size is part of the plan; a longer one is joined
 
 
 def builtin_pricing(spark: SparkSession) -> DataFrame:
@@ -64,6 +65,40 @@ def parse_pricing_overrides(spark: SparkSession, raw: str | None) -> tuple[DataF
     return checked.drop("ok"), None
 
 
+def override_entries_sql(raw: str = "raw") -> dict[str, str]:
+    """P21 per row: ``reason`` (null when the text is empty or good) and ``entries``, the override entries as
+    array<struct<prefix, input_per_million, output_per_million>> in text order (empty unless good)."""
+    price = "STRUCT<inputPerMillion: DOUBLE, outputPerMillion: DOUBLE>"
+    kind = f"schema_of_variant(try_parse_json({raw}))"
+    values = f"map_values(from_json({raw}, 'MAP<STRING, STRING>'))"
+    number = "RLIKE '^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$'"
+
+    def good(v: str, key: str) -> str:
+        x = f"try_parse_json({v})"
+        n = f"try_variant_get({x}, '$.{key}', 'double')"
+        return (f"coalesce(schema_of_variant({x}) LIKE 'OBJECT%' AND schema_of_variant(try_variant_get({x}, '$.{key}', 'variant')) {number} "
+                f"AND {n} >= 0 AND {n} < double('Infinity'), false)")
+    fine = f"forall({values}, v -> {good('v', 'inputPerMillion')} AND {good('v', 'outputPerMillion')})"
+    blank = f"coalesce({js_trim(raw)}, '') = ''"
+    reason = (f"CASE WHEN {blank} THEN CAST(NULL AS STRING) WHEN {kind} IS NULL THEN 'non-json' WHEN {kind} NOT LIKE 'OBJECT%' THEN 'non-object' "
+              f"WHEN NOT coalesce({fine}, false) THEN 'invalid-entry' END")
+    entries = (f"CASE WHEN {blank} OR ({reason}) IS NOT NULL THEN array() ELSE transform(map_entries(from_json({raw}, 'MAP<STRING, {price}>')), "
+               "e -> named_struct('prefix', e.key, 'input_per_million', e.value.inputPerMillion, 'output_per_million', e.value.outputPerMillion)) END")
+    return {"reason": reason, "entries": entries}
+
+
+def resolved_price_sql(entries: str = "entries", model: str = "model") -> dict[str, str]:
+    """U3s + J1 per row: the price of ``model`` under the built-ins with the row's overrides laid over them (a built-in
+    keeps its place in map order; new keys follow)."""
+    built = ", ".join(f"named_struct('prefix', {lit(p)}, 'input_per_million', {i!r}D, 'output_per_million', {o!r}D)"
+                      for p, i, o in BUILTIN_PRICING)
+    over = f"coalesce(try_element_at(filter({entries}, e -> e.prefix = b.prefix), 1), b)"
+    fresh = f"filter({entries}, e -> NOT exists(array({built}), b -> b.prefix = e.prefix))"
+    hit = (f"try_element_at(filter(concat(transform(array({built}), b -> {over}), {fresh}), "
+           f"e -> startswith({model}, e.prefix)), 1)")
+    return {"input_per_million": f"{hit}.input_per_million", "output_per_million": f"{hit}.output_per_million"}
+
+
 def resolve_pricing(builtins: DataFrame, overrides: DataFrame) -> DataFrame:
     """U3s: overrides replace built-ins by key (keeping the built-in
     position); new keys follow in override order."""
@@ -75,30 +110,34 @@ def resolve_pricing(builtins: DataFrame, overrides: DataFrame) -> DataFrame:
         .selectExpr("prefix", "p.input_per_million", "p.output_per_million", "ord"))
 
 
-def model_prices(models: DataFrame, pricing: DataFrame, price_entries: int | None = None) -> DataFrame:
-    """Per distinct model, the first price-map key (map order) that is a
-    prefix of the model id; models with none are absent. ``price_entries``
-    is the size of the price map when the caller knows it (built-ins plus
-    parsed overrides); otherwise it is counted."""
-    m = models.select("model").distinct()
-    # the price map is configuration; its size is checked before it is broadcast
-    n_prices = price_entries if price_entries is not None else pricing.limit(MAX_PRICE_ROWS + 1).count()
-    if n_prices > MAX_PRICE_ROWS:
-        raise ValueError(f"price map has more than {MAX_PRICE_ROWS} entries; refusing to broadcast it")
-    j = m.join(F.broadcast(pricing), F.expr("startswith(model, prefix)"))
-    return j.groupBy("model").agg(F.min_by(F.struct("input_per_million", "output_per_million"), "ord")
-                                  .alias("p")).selectExpr("model", "p.input_per_million",
-                                                          "p.output_per_million")
+def price_sql(entries: list, model: str = "model") -> tuple[str, str]:
+    """J1 as expressions: input and output price of the first entry (map order) whose prefix starts the model id."""
+    def pick(i: int) -> str:
+        cases = " ".join(f"WHEN startswith({model}, {lit(e[0])}) THEN {float(e[i])!r}D" for e in entries)
+        return f"CASE {cases} END" if entries else "CAST(NULL AS DOUBLE)"
+    return pick(1), pick(2)
+
+
+def model_prices(models: DataFrame, pricing: DataFrame) -> DataFrame:
+    """J1 as a join, for a price map of any length: every prefix of each distinct model id meets the map by equality;
+    the entry that is first in map order wins. Models with none are absent."""
+    m = models.where("model is not null").select("model").distinct().selectExpr(
+        "model", "explode(sequence(0, char_length(model))) AS n").selectExpr("model", "substr(model, 1, n) AS prefix")
+    return (m.join(pricing, "prefix").groupBy("model")
+            .agg(F.min_by(F.struct("input_per_million", "output_per_million"), "ord").alias("p"))
+            .selectExpr("model", "p.input_per_million", "p.output_per_million"))
 
 
-def call_costs(usage: DataFrame, pricing: DataFrame, price_entries: int | None = None) -> DataFrame:
+def call_costs(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     """``in/1e6*pin + out/1e6*pout``; null when the model has no price
-    (the call is refused before any work)."""
-    prices = model_prices(usage, pricing, price_entries)
-    return usage.join(prices, "model", "left").selectExpr(
-        *usage.columns,
-        "CAST(input_tokens AS DOUBLE) / 1e6 * input_per_million "
-        "+ CAST(output_tokens AS DOUBLE) / 1e6 * output_per_million AS cost")
+    (the call is refused before any work). Only up to ``INLINE_PRICES`` map entries reach the driver."""
+    cost = "CAST(input_tokens AS DOUBLE) / 1e6 * {} + CAST(output_tokens AS DOUBLE) / 1e6 * {} AS cost"
+    head = pricing.orderBy("ord").limit(INLINE_PRICES + 1).collect()
+    if len(head) <= INLINE_PRICES:
+        return usage.selectExpr("*", cost.format(*price_sql(
+            [(r["prefix"], r["input_per_million"], r["output_per_million"]) for r in head])))
+    return usage.join(model_prices(usage, pricing), "model", "left").selectExpr(
+        *usage.columns, cost.format("input_per_million", "output_per_million"))
 
 
 VALID_COST = "(cost IS NOT NULL AND NOT isnan(cost) AND cost >= 0 AND cost < double('Infinity'))"
@@ -134,7 +173,7 @@ def budget_setting(raw_col: str = "raw") -> list[str]:
     """P20: strict ``^\\d+(\\.\\d+)?$`` after trim; malformed -> default 25 with
     reason ``non-numeric``; <= 0 -> default with ``non-positive``; missing or
     empty -> default, no reason."""
-    t = f"trim({raw_col})"
+    t = js_trim(raw_col)
     num = f"try_cast({t} AS DOUBLE)"
     return [
         f"CASE WHEN {raw_col} IS NULL OR {raw_col} = '' THEN {MONTHLY_BUDGET_DEFAULT}D "

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from ledgerlens.functions.sql import lit
 from ledgerlens.operators import costs as C
 from ledgerlens.operators import folds
 from ledgerlens.plans.registry import query
@@ -12,9 +13,9 @@ BUDGET = C.MONTHLY_BUDGET_DEFAULT
 
 
 def priced_usage(spark, sf_dir):
-    # no override text here: the price map is the built-ins (size known)
+    # no override text here: the price map is the built-ins
     pricing = C.resolve_pricing(C.builtin_pricing(spark), C.parse_pricing_overrides(spark, None)[0])
-    return C.call_costs(usage_rows(spark, sf_dir), pricing, price_entries=len(C.BUILTIN_PRICING))
+    return C.call_costs(usage_rows(spark, sf_dir), pricing)
 
 
 USAGE_CTES = f"""
@@ -110,22 +111,63 @@ def q_rolling_median(spark, sf_dir):
 @query("budget_settings", """
 SELECT user_id, raw,
   CASE WHEN raw IS NULL OR raw = '' THEN 25.0::DOUBLE
-       WHEN NOT regexp_matches(trim(raw), '^\\d+(\\.\\d+)?$') THEN 25.0::DOUBLE
-       WHEN TRY_CAST(trim(raw) AS DOUBLE) <= 0 THEN 25.0::DOUBLE ELSE TRY_CAST(trim(raw) AS DOUBLE) END AS budget,
+       WHEN NOT regexp_matches(cut, '^\\d+(\\.\\d+)?$') THEN 25.0::DOUBLE
+       WHEN TRY_CAST(cut AS DOUBLE) <= 0 THEN 25.0::DOUBLE ELSE TRY_CAST(cut AS DOUBLE) END AS budget,
   CASE WHEN raw IS NULL OR raw = '' THEN NULL
-       WHEN NOT regexp_matches(trim(raw), '^\\d+(\\.\\d+)?$') THEN 'non-numeric'
-       WHEN TRY_CAST(trim(raw) AS DOUBLE) <= 0 THEN 'non-positive' END AS reason
-FROM (SELECT DISTINCT user_id, CASE user_id % 6 WHEN 0 THEN '50' WHEN 1 THEN ' 12.5 ' WHEN 2 THEN '50 USD'
-        WHEN 3 THEN '0' WHEN 4 THEN '' ELSE '-3' END AS raw FROM events) t""")
+       WHEN NOT regexp_matches(cut, '^\\d+(\\.\\d+)?$') THEN 'non-numeric'
+       WHEN TRY_CAST(cut AS DOUBLE) <= 0 THEN 'non-positive' END AS reason
+FROM (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS cut FROM (SELECT DISTINCT user_id, CASE user_id % 7 WHEN 0 THEN '50' WHEN 1 THEN ' 12.5 ' WHEN 2 THEN '50 USD'
+        WHEN 3 THEN '0' WHEN 4 THEN '' WHEN 5 THEN chr(9) || '50' || chr(10) ELSE '-3' END AS raw FROM events) u) t""")
 def q_budget_settings(spark, sf_dir):
     """P20 over a per-tenant settings table (one raw setting per user)."""
     from ledgerlens.sources.tables import read_table
     t = read_table(spark, sf_dir, "events", "user_id").distinct().selectExpr(
-        "user_id", "CASE user_id % 6 WHEN 0 THEN '50' WHEN 1 THEN ' 12.5 ' WHEN 2 THEN '50 USD' "
-        "WHEN 3 THEN '0' WHEN 4 THEN '' ELSE '-3' END AS raw")
+        "user_id", "CASE user_id % 7 WHEN 0 THEN '50' WHEN 1 THEN ' 12.5 ' WHEN 2 THEN '50 USD' "
+        "WHEN 3 THEN '0' WHEN 4 THEN '' WHEN 5 THEN char(9) || '50' || char(10) ELSE '-3' END AS raw")
     return t.selectExpr("user_id", "raw", *C.budget_setting("raw"))
 
 
+_OVERRIDES = (   # a text per setting, and what it is worth: (reason, prefix, input, output) of its entries
+    ("", None, []), ("{bad", "non-json", []), ("[1, 2]", "non-object", []), ("null", "non-object", []),
+    ('{"m": {"inputPerMillion": -1, "outputPerMillion": 1}}', "invalid-entry", []),
+    ('{"m": {"inputPerMillion": "3", "outputPerMillion": 1}}', "invalid-entry", []),
+    ('{"m": {"inputPerMillion": 1}}', "invalid-entry", []),
+    ('{"a": {"inputPerMillion": 1, "outputPerMillion": 1}, "b": 3}', "invalid-entry", []),
+    ('{"' + SONNET + '": {"inputPerMillion": 1, "outputPerMillion": 2.5}, "legacy": {"inputPerMillion": 0.5, "outputPerMillion": 0}}',
+     None, [(SONNET, 1.0, 2.5), ("legacy", 0.5, 0.0)]),
+    (' {"claude": {"inputPerMillion": 7, "outputPerMillion": 8, "note": "x"}}', None, [("claude", 7.0, 8.0)]),
+)
+
+
+def _override_oracle() -> str:
+    rows, n = [], 0
+    for i, (raw, reason, entries) in enumerate(_OVERRIDES):
+        mine = dict((p, (a, b)) for p, a, b in entries)
+        built = [(p, *mine.pop(p, (a, b))) for p, a, b in C.BUILTIN_PRICING]
+        for o, (p, a, b) in enumerate([*built, *((p, *v) for p, v in mine.items())]):
+            rows.append(f"({i}, {o}, '{p}', {a}::DOUBLE, {b}::DOUBLE)")
+    reasons = ", ".join(f"({i}, {'NULL' if r is None else repr(r)}, {len(e)})" for i, (_, r, e) in enumerate(_OVERRIDES))
+    return f""",
+prices AS (SELECT * FROM (VALUES {", ".join(rows)}) t(setting, ord, prefix, pin, pout)),
+reasons AS (SELECT * FROM (VALUES {reasons}) t(setting, reason, n_entries)),
+u AS (SELECT event_id, model, event_id % {len(_OVERRIDES)} AS setting, input_tokens, output_tokens FROM usage),
+hit AS (SELECT u.event_id, arg_min(pin, ord) AS pin, arg_min(pout, ord) AS pout
+        FROM u JOIN prices p ON p.setting = u.setting AND starts_with(u.model, p.prefix) GROUP BY u.event_id)
+SELECT u.event_id, u.model, r.reason, CAST(r.n_entries AS INTEGER) AS n_entries, hit.pin AS input_per_million, hit.pout AS output_per_million
+FROM u JOIN reasons r ON r.setting = u.setting LEFT JOIN hit ON hit.event_id = u.event_id"""
+
+
+@query("price_overrides", with_usage(_override_oracle()))
+def q_price_overrides(spark, sf_dir):
+    """P21, U3s, J1 per row: each call under one of ten override texts."""
+    texts = ", ".join(lit(t) for t, _, _ in _OVERRIDES)
+    o, p = C.override_entries_sql("raw"), C.resolved_price_sql()
+    calls = usage_rows(spark, sf_dir).selectExpr(
+        "event_id", "model", f"element_at(array({texts}), CAST(event_id % {len(_OVERRIDES)} AS INT) + 1) AS raw")
+    return calls.selectExpr("*", f"{o['reason']} AS reason", f"{o['entries']} AS entries").selectExpr(
+        "event_id", "model", "reason", "size(entries) AS n_entries", *[f"{v} AS {k}" for k, v in p.items()])
+
+
 @query("median_cost_by_model", with_usage("""
 SELECT model, count(*) AS calls, round(median(cost), 9) AS median_cost FROM costs
 WHERE cost IS NOT NULL GROUP BY model"""))

@@ -47,9 +47,9 @@ def test_bad_overrides(spark):
 
 
 def test_budget_setting_parse(spark):
-    df = spark.createDataFrame([("50",), (" 12.5 ",), ("50 USD",), ("0",), ("",), (None,), ("-3",)], "raw string")
+    df = spark.createDataFrame([("50",), ("\t50\n",), (" 12.5 ",), ("50 USD",), ("0",), ("",), (None,), ("-3",)], "raw string")
     got = [(r["budget"], r["reason"]) for r in df.selectExpr(*C.budget_setting("raw")).collect()]
-    assert got == [(50.0, None), (12.5, None), (25.0, "non-numeric"), (25.0, "non-positive"),
+    assert got == [(50.0, None), (50.0, None), (12.5, None), (25.0, "non-numeric"), (25.0, "non-positive"),
                    (25.0, None), (25.0, None), (25.0, "non-numeric")]
 
 
@@ -144,3 +144,17 @@ def test_exact_median_matches_pandas(spark):
     for g, row in exp.iterrows():
         assert got[g][0] == row["count"] and abs(got[g][1] - row["median"]) < 1e-12, g
     assert "nan" not in got and got["even"][1] == 2.5 and got["odd"][1] == 2.0
+
+
+def test_long_price_map_is_joined(spark, monkeypatch):
+    import datetime as dt
+    u = usage(spark, [(i, 1, dt.datetime(2024, 1, 1), m, 1_000_000, 0) for i, m in enumerate(["claude-opus-4-7-x", "m1-a", "m12", "zz", None, ""])])
+    pricing = spark.createDataFrame([("claude-opus-4-7", 15.0, 75.0, 0), ("m1", 1.0, 1.0, 1), ("m12", 2.0, 1.0, 2)],
+                                    "prefix string, input_per_million double, output_per_million double, ord int")
+    want = {0: 15.0, 1: 1.0, 2: 1.0, 3: None, 4: None, 5: None}
+    short = C.call_costs(u, pricing)
+    assert {r["event_id"]: r["cost"] for r in short.collect()} == want
+    assert "Exchange" not in short._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(C, "INLINE_PRICES", 2)
+    joined = C.call_costs(u, pricing)
+    assert {r["event_id"]: r["cost"] for r in joined.collect()} == want

@@ -1,6 +1,5 @@
-"""Plan shape of every registered query: no cartesian products, nested-loop
-joins only against the config-sized price map, and parquet scans that read a
-pruned schema of the given tables."""
+"""Plan shape of every registered query: no cartesian products, no nested-loop
+joins, and parquet scans that read a pruned schema of the given tables."""
 
 import re
 
@@ -8,9 +7,6 @@ import pytest
 
 import __spark_entry__ as E
 
-NESTED_LOOP_ALLOWED = {"call_cost", "monthly_spend", "monthly_budget_gate", "median_cost_cap",
-                       "rolling_median", "median_cost_by_model", "log_rollup", "error_taxonomy_join",
-                       "batch_summary"}
 WIDE = {"lineitem": 11, "orders": 6, "events": 6, "pages": 3}
 
 
@@ -19,8 +15,7 @@ def test_plan_shape(spark, sf_small, name):
     df = E.queries()[name](spark, sf_small)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
-    if "BroadcastNestedLoopJoin" in plan:
-        assert name in NESTED_LOOP_ALLOWED, "theta join outside the price map"
+    assert "BroadcastNestedLoopJoin" not in plan
     for table, ncols in WIDE.items():
         for m in re.finditer(rf"{table}\.parquet.*?ReadSchema: struct<([^>]*)>", plan, re.S):
             assert m.group(1).count(":") < ncols, f"{table} read with all columns"
