@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.sql import js_trim
 from ledgerlens.operators.folds import sliding_window_admission
 
 IPV4_RE = r"^((25[0-5]|2[0-4]\\d|[01]?\\d?\\d)\\.){3}(25[0-5]|2[0-4]\\d|[01]?\\d?\\d)$"
@@ -19,7 +20,7 @@ DAY_US = 86_400_000_000
 
 
 def valid_ip_sql(x: str) -> str:
-    t = f"trim({x})"
+    t = js_trim(x)
     return (f"CASE WHEN {t} RLIKE '{IPV4_RE}' THEN {t} "
             f"WHEN instr({t}, ':') > 0 AND {t} RLIKE '{IPV6_RE}' AND char_length({t}) <= 45 THEN {t} END")
 
@@ -59,18 +60,13 @@ def sliding_count(requests: DataFrame, key: str = "key", ts_us: str = "ts_us", i
         "_k", "p.t AS _t", "1 AS _kind", "_id", "p.which AS _which", "0D AS _w")
     rs = running_sum(data.unionByName(probes), "_w", ["_k"], ["_t", "_kind", "_id", "_which"], "_rank",
                      num_partitions=num_partitions)
-    counts = (rs.filter("_kind = 1").groupBy("_id")
-              .agg(F.expr("CAST(sum(CASE WHEN _which = 0 THEN _rank ELSE -_rank END) AS BIGINT)")
+    # equal requests (one key, instant and id) have equal probes, so the ranks are the same for each
+    counts = (rs.filter("_kind = 1").selectExpr("_k", "_id", f"CASE WHEN _which = 0 THEN _t ELSE _t + {window_us}L END AS _at",
+                                                "_which", "_rank").groupBy("_k", "_id", "_at")
+              .agg(F.expr("CAST(max(CASE WHEN _which = 0 THEN _rank END) - max(CASE WHEN _which = 1 THEN _rank END) AS BIGINT)")
                    .alias("n_in_window")))
-    return requests.join(counts.withColumnRenamed("_id", id_col), id_col)
-
-
-def sliding_count_window(requests: DataFrame, key: str = "key", ts_us: str = "ts_us",
-                         window_us: int = EXTRACT_LIMIT[1]) -> DataFrame:
-    """W3b as a plain window (one task per key; fine when no key is hot)."""
-    w = (F.expr(f"count(*) OVER (PARTITION BY {key} ORDER BY {ts_us} "
-                f"RANGE BETWEEN {window_us - 1} PRECEDING AND CURRENT ROW)"))
-    return requests.withColumn("n_in_window", w)
+    same = [F.col(key).eqNullSafe(F.col("_k")), F.col(ts_us) == F.col("_at"), F.col(id_col) == F.col("_id")]
+    return requests.join(counts, same).drop("_k", "_id", "_at")
 
 
 def retry_class_sql(status: str = "status", message: str = "message", name: str = "error_name") -> str:

@@ -4,6 +4,7 @@ definition join (J5), display projection (P7), prompt block (P13)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import schemas as S
@@ -23,16 +24,24 @@ CUSTOM_BLOCK_HEAD = ('\n\nAdditionally, extract these user-defined custom fields
 
 def check_definitions_sql(json_col: str) -> dict[str, str]:
     """P5: the JSON array parses, has at most 10 entries, and every entry
-    has id 1..64, name 1..30, a known type and description 5..200 chars;
-    otherwise the whole list is rejected."""
-    d = f"from_json({json_col}, '{DEF_SCHEMA}')"
+    has id 1..64, name 1..30, a known type and description 5..200 chars, all
+    of them JSON strings (a number is not taken for text); otherwise the
+    whole list is rejected."""
+    v = f"try_parse_json({json_col})"
+    is_list = f"coalesce(schema_of_variant({v}) LIKE 'ARRAY%', false)"
+    entries = f"try_variant_get({v}, '$', 'array<variant>')"
+
+    def text(key: str) -> str:
+        return (f"CASE WHEN schema_of_variant(try_variant_get(d, '$.{key}', 'variant')) = 'STRING' "
+                f"THEN try_variant_get(d, '$.{key}', 'string') END")
     types = ", ".join(f"'{t}'" for t in TYPES)
-    entry_ok = (f"d -> d IS NOT NULL AND char_length(d.id) BETWEEN 1 AND {ID_MAX} "
-                f"AND char_length(d.name) BETWEEN {NAME_MIN} AND {NAME_MAX} AND d.type IN ({types}) "
-                f"AND char_length(d.description) BETWEEN {DESC_MIN} AND {DESC_MAX}")
-    reason = (f"CASE WHEN {d} IS NULL THEN 'non-array' WHEN size({d}) > {MAX_FIELDS} THEN 'too-many' "
-              f"WHEN NOT coalesce(forall({d}, {entry_ok}), false) THEN 'invalid-entry' END")
-    return {"defs": d, "reason": reason}
+    entry_ok = (f"d -> coalesce(char_length({text('id')}) BETWEEN 1 AND {ID_MAX} "
+                f"AND char_length({text('name')}) BETWEEN {NAME_MIN} AND {NAME_MAX} AND {text('type')} IN ({types}) "
+                f"AND char_length({text('description')}) BETWEEN {DESC_MIN} AND {DESC_MAX}, false)")
+    defs = f"CASE WHEN {is_list} THEN from_json({json_col}, '{DEF_SCHEMA}') END"
+    reason = (f"CASE WHEN NOT {is_list} THEN 'non-array' WHEN size({entries}) > {MAX_FIELDS} THEN 'too-many' "
+              f"WHEN NOT forall({entries}, {entry_ok}) THEN 'invalid-entry' END")
+    return {"defs": defs, "reason": reason}
 
 
 def extraction_schema(definitions: list[dict]) -> T.StructType:
@@ -60,9 +69,14 @@ def prompt_sql(text: str, today: str, block: str) -> str:
             f"'\\n</invoice_text>\\n\\n{PROMPT_INSTRUCTION}', {block})")
 
 
+def value_map(values: DataFrame) -> DataFrame:
+    """One MAP id -> value per document (at most ``MAX_FIELDS`` entries; null values are kept)."""
+    return values.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "value"))).alias("custom_fields"))
+
+
 def display_values(defs: DataFrame, values: DataFrame) -> DataFrame:
     """J5 + P7: definitions (tenant, pos, id, name) joined with extracted
-    values (doc_id, tenant, id, value) by (tenant, id); absent values are
-    skipped; label = trimmed name, or the id when that is empty."""
+    values (doc_id, tenant, id, value) by (tenant, id); a field without a
+    value row is absent and skipped, one whose value is null is shown; label = trimmed name, or the id when that is empty."""
     j = defs.join(values, ["tenant", "id"])
     return j.selectExpr("doc_id", "pos", f"coalesce(nullif({js_trim('name')}, ''), id) AS label", "value")

@@ -63,11 +63,12 @@ def latest_edits(edits: DataFrame) -> DataFrame:
     return valid.groupBy("doc_id").agg(*aggs)
 
 
-def apply_edits(records: DataFrame, edits: DataFrame, how: str = "inner") -> DataFrame:
+def apply_edits(records: DataFrame, edits: DataFrame) -> DataFrame:
     """Overlay the last edits on the records; keeps ``original`` and adds
-    ``edited_fields`` (P10: value differs from the original)."""
+    ``edited_fields`` (P10: values that differ from the original). Documents
+    without edits stay as they are; a field edited to empty is null."""
     latest = latest_edits(edits)
-    j = records.join(latest, "doc_id", how)
+    j = records.join(latest, "doc_id", "left")
     rec = F.col("record")
     for f, (path, _) in EDITABLE.items():
         rec = rec.withField(path, F.expr(f"CASE WHEN coalesce(has_{f}, false) THEN new_{f} "
@@ -79,11 +80,22 @@ def apply_edits(records: DataFrame, edits: DataFrame, how: str = "inner") -> Dat
             .selectExpr("*", f"({marker}) AS edited_fields"))
 
 
-def display_flags_sql(as_of: str, original: str = "original", edited: str = "edited") -> str:
-    """J7 + U2s: flags stored with the extraction (rule flags of the original
-    merged with the model's) minus the original rule flags, merged after the
-    rule flags of the edited record."""
-    det_orig = rule_flags_sql(as_of, original)
-    stored = merge_flags_sql(f"{original}.flags", det_orig)
-    model_only = f"filter({stored}, f -> NOT array_contains({det_orig}, f))"
-    return merge_flags_sql(model_only, rule_flags_sql(as_of, edited))
+def edited_markers(edited: DataFrame) -> DataFrame:
+    """P10: one row per document and header field: whether the shown value
+    differs from the original, with both values as text."""
+    rows = ", ".join(f"named_struct('field', '{f}', 'original', CAST(original.{p} AS STRING), "
+                     f"'shown', CAST(edited.{p} AS STRING), 'edited', NOT (edited.{p} <=> original.{p}))"
+                     for f, (p, _) in EDITABLE.items())
+    return edited.selectExpr("doc_id", f"inline(array({rows}))")
+
+
+def with_display_flags(edited: DataFrame, as_of: str) -> DataFrame:
+    """J7 + U2s, as column ``flags``: flags stored with the extraction (rule
+    flags of the original merged with the model's) minus the original rule
+    flags, merged after the rule flags of the edited record. Each rule array
+    is built once, in a projection of its own."""
+    stored = merge_flags_sql("original.flags", "_det")
+    return (edited.selectExpr("*", f"{rule_flags_sql(as_of, 'original')} AS _det",
+                              f"{rule_flags_sql(as_of, 'edited')} AS _now")
+            .selectExpr("*", f"array_except({stored}, _det) AS _model")
+            .selectExpr("*", f"{merge_flags_sql('_model', '_now')} AS flags").drop("_det", "_now", "_model"))

@@ -26,7 +26,8 @@ PDF_ERROR_MAP = (("empty_file", "corrupt-PDF"), ("not_a_pdf", "non-PDF"),
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ERROR_TAXONOMY), "code string, http_status int, title string")
+    return spark.createDataFrame([(c, s, t, *ERROR_HELP[c]) for c, s, t in ERROR_TAXONOMY],
+                                 "code string, http_status int, title string, message string, next_step string")
 
 
 def describe_errors(df: DataFrame, code_col: str = "code") -> DataFrame:
@@ -41,12 +42,29 @@ def pdf_error_code_sql(outcome: str) -> str:
     return f"try_element_at(map({pairs}), {outcome})"
 
 
+#: What to tell the user, in our own words: what happened, what to do.
+ERROR_HELP = {
+    "corrupt-PDF": ("The file could not be read as a PDF.", "Save it again as a plain PDF and retry."),
+    "oversized-PDF": ("The file is over the size limit for its kind.", "Compress it or lower its resolution."),
+    "non-PDF": ("Only PDF and common image files are read.", "Export the document as a PDF or an image."),
+    "not-an-invoice": ("No invoice fields were found in the file.", "Check that it is an invoice, or scan it more sharply."),
+    "model-API-failure": ("The extraction service failed after its retries.", "Wait a minute and retry."),
+    "rate-limited": ("The request limit of this client is used up.", "Wait until the window resets."),
+    "extraction-timeout": ("The service did not answer in time.", "Split long documents, or retry once."),
+    "cost-budget-exceeded": ("The call cost more than the safety cap.", "Check whether the document is unusually large."),
+    "monthly-budget-exhausted": ("The budget of this month is spent.", "Wait for the next month."),
+}
+
+
 def log_rollup(logs: DataFrame) -> DataFrame:
-    """Requests by route x category: count, share of errors, mean
-    latency, cost (partial aggregate; the keys are few)."""
+    """Requests by route x category: count, errors and their share,
+    retries, mean and longest latency, cost (partial aggregate; the keys are few)."""
     return (logs.groupBy("route", "category").agg(
         F.count("*").alias("requests"),
         F.count_if(F.col("http_status") >= 400).alias("errors"),
+        F.round(F.count_if(F.col("http_status") >= 400) / F.count("*"), 6).alias("error_share"),
+        F.coalesce(F.sum("retry_count"), F.lit(0)).alias("retries"),
+        F.max("duration_ms").alias("max_duration_ms"),
         F.round(F.avg("duration_ms"), 3).alias("avg_duration_ms"),
         F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("cost_usd")))
 

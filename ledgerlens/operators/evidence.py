@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.sql import lit
+from ledgerlens.functions.sql import js_trim, lit
 
 # English month names for the date variants.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August",
@@ -65,7 +65,7 @@ def field_variants(records: DataFrame, r: str = "record") -> DataFrame:
                                 for i, (lb, v) in enumerate(zip(LABELS, per_label))) + ")"
     return (records.selectExpr("doc_id", f"inline({arr})")
             .selectExpr("doc_id", "label_no", "label", "posexplode(vs) AS (variant_no, variant)")
-            .filter("char_length(trim(variant)) >= 2"))
+            .filter(f"char_length({js_trim('variant')}) >= 2"))
 
 
 def lookup(variants: DataFrame, texts: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def lookup(variants: DataFrame, texts: DataFrame) -> DataFrame:
     # only the lower-cased text travels (line breaks are unchanged by lower())
     j = variants.join(texts.selectExpr("doc_id", "lower(text) AS lt"), "doc_id")
     hits = j.selectExpr("doc_id", "label_no", "label", "variant_no",
-                        "instr(lt, lower(trim(variant))) AS p", "lt").filter("p > 0").selectExpr(
+                        f"instr(lt, lower({js_trim('variant')})) AS p", "lt").filter("p > 0").selectExpr(
         "doc_id", "label_no", "label", "variant_no",
         "size(split(substr(lt, 1, p - 1), '\\n', -1)) - 1 AS line_no")
     return (hits.groupBy("doc_id", "label_no", "label")

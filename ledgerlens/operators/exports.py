@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.sql import csv_cell
+from ledgerlens.schemas import CONFIDENCE_FIELDS
 
 # Column headers of the two CSV formats.
 SUMMARY_HEADERS = ("invoice_number", "vendor_name", "vendor_address", "bill_date", "due_date",
@@ -71,30 +72,25 @@ def to_csv_lines(records: DataFrame, fmt: str = "summary") -> DataFrame:
     return line_item_lines(records) if fmt == "line_items" else summary_lines(records)
 
 
-def write_csv(lines: DataFrame, path: str, fmt: str = "summary", order_cols=("doc_id",)) -> None:
-    """S12 sink: header first, then rows in document order, CRLF between
-    rows. The header row carries a null sort key (nulls sort first), and the
-    output is range-partitioned on the key, so the part files concatenate to
-    one file. (The text sink ends the last row with CRLF too.)"""
-    spark = lines.sparkSession
-    keys = list(order_cols)
-    hdr = spark.createDataFrame([(header_line(fmt),)], "line string").selectExpr(
-        *[f"CAST(NULL AS {dict(lines.dtypes)[k]}) AS {k}" for k in keys], "line")
-    body = lines.select(*keys, "line").unionByName(hdr)
-    (body.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys])
-     .sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys]).select("line")
+def write_csv(records: DataFrame, path: str, fmt: str = "summary") -> None:
+    """S12 / S13 sink: the lines of ``records`` in one format under its own header, in document order and, within a document,
+    item order; CRLF between rows. The header row carries null sort keys (nulls sort first), and the output is
+    range-partitioned on them, so the part files concatenate to one file. (The text sink ends the last row with CRLF too.)"""
+    lines = to_csv_lines(records, fmt)
+    keys = [c for c in lines.columns if c != "line"]
+    order = [F.col("is_row"), *[F.col(k).asc_nulls_first() for k in keys]]
+    hdr = records.sparkSession.createDataFrame([(header_line(fmt),)], "line string").selectExpr(
+        "false AS is_row", *[f"CAST(NULL AS {dict(lines.dtypes)[k]}) AS {k}" for k in keys], "line")
+    body = lines.selectExpr("true AS is_row", *keys, "line").unionByName(hdr)
+    (body.repartitionByRange(*order).sortWithinPartitions(*order).select("line")
      .write.mode("overwrite").option("lineSep", "\r\n").text(path))
 
 
-REDACTED_FIELDS = ("invoice_number", "vendor", "bill_date", "due_date", "po_number",
-                   "subtotal", "tax", "total", "currency")
-
-
 def redact(records: DataFrame, col: str = "record") -> DataFrame:
     """Drop ``reasoning`` from the nine header structs and every line
     item; flags kept; custom fields not carried."""
     rec = F.col(col)
-    for f in REDACTED_FIELDS:
+    for f in CONFIDENCE_FIELDS:
         rec = rec.withField(f, F.col(f"{col}.{f}").dropFields("reasoning"))
     rec = rec.withField("line_items", F.transform(F.col(f"{col}.line_items"),
                                                  lambda x: x.dropFields("reasoning")))

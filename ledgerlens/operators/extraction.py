@@ -52,9 +52,9 @@ def render_lines_sql(r: str = "record", tax_pct: str = "8") -> str:
     return f"filter(concat({head}, {items}, {tail}), l -> l IS NOT NULL)"
 
 
-def render_text(records: DataFrame) -> DataFrame:
-    """doc_id, text (lines joined with LF)."""
-    return records.selectExpr("doc_id", f"array_join({render_lines_sql()}, '\\n') AS text")
+def render_text(records: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, kept columns, text (lines joined with LF)."""
+    return records.selectExpr("doc_id", *keep, f"array_join({render_lines_sql()}, '\\n') AS text")
 
 
 def _label(text: str, label: str) -> str:

@@ -1,20 +1,15 @@
-"""Result and report sinks. Per-document results go out as JSON
-partitioned by run date; the accuracy and failure reports are built from
-the rollups, which are a few dozen rows (9 fields, the categories, 15
-failures), so the Markdown text is assembled from those small results."""
+"""Result and report sinks. Per-document results and edited records go out as JSON partitioned by run date; the
+accuracy and failure reports are tables built and written by Spark, one row per line of a report, so their length is not bounded."""
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens import schemas as S
+from ledgerlens.functions.sql import pct
 from ledgerlens.operators import scoring
 
-MAX_REPORT_ROWS = 10_000     # rollups are per field / category: far below this
+REPORT_ORDER = ("section", "ordinal", "name", "field_no")
 
 
 def write_results(docs: DataFrame, path: str, run_date: str) -> None:
@@ -24,63 +19,41 @@ def write_results(docs: DataFrame, path: str, run_date: str) -> None:
     out.write.mode("overwrite").partitionBy("run_date").json(path)
 
 
-def _small(df: DataFrame) -> list:
-    rows = df.limit(MAX_REPORT_ROWS + 1).collect()
-    if len(rows) > MAX_REPORT_ROWS:
-        raise ValueError("report input is not a rollup")
-    return rows
-
-
-def accuracy_markdown(docs: DataFrame, run_date: str, model: str) -> str:
-    """The accuracy table (overall, per field in fixed order, per
-    category by name)."""
-    o = _small(scoring.accuracy_overall(docs))[0]
-    fields = {r["field"]: r for r in _small(scoring.accuracy_by_field(docs))}
-    cats = sorted(_small(scoring.accuracy_by_category(docs)), key=lambda r: r["category"])
-    lines = ["# Eval Results", "", f"**Run date:** {run_date}", f"**Model:** {model}",
-             f"**Corpus:** {o['invoices']} invoices", "", "## Overall", "", "| Metric | Value |",
-             "|--------|-------|",
-             f"| Invoice pass rate | {o['pass_rate']} ({o['passed']}/{o['invoices']}) |",
-             f"| Field accuracy | {o['field_accuracy']} ({o['matched']}/{o['fields']}) |", "",
-             "## Per-Field Accuracy", "", "| Field | Matched | Total | Accuracy |",
-             "|-------|---------|-------|----------|"]
-    for f in S.GROUND_TRUTH_FIELDS:
-        r = fields.get(f)
-        m, t, a = (r["matched"], r["total"], r["accuracy"]) if r else (0, 0, "n/a")
-        lines.append(f"| {f} | {m} | {t} | {a} |")
-    lines += ["", "## Per-Category Accuracy", "", "| Category | Invoices | Field Accuracy |",
-              "|----------|----------|----------------|"]
-    lines += [f"| {r['category']} | {r['invoices']} | {r['accuracy']} |" for r in cats]
-    return "\n".join(lines) + "\n"
-
-
-def failures_markdown(docs: DataFrame, n: int = 15) -> str:
-    """The worst failures with their failed fields, then errors."""
-    worst = _small(scoring.bottom_failures(docs, n))
-    ids = [r["doc_id"] for r in worst]
-    detail = _small(scoring.field_scores(docs.filter(F.col("doc_id").isin(ids))).filter("NOT match"))
-    by_doc: dict = {}
-    for r in detail:
-        by_doc.setdefault(r["doc_id"], []).append(r)
-    errors = _small(docs.filter("error IS NOT NULL").select("doc_id", "category", "error").orderBy("doc_id"))
-    lines = ["# Eval Failures", "", f"Bottom {len(worst)} invoices by failed-field count. "
-             "Errors (API failures) listed separately.", "", f"## Bottom {len(worst)} Failures"]
-    if not worst:
-        lines += ["", "All invoices passed."]
-    for w in worst:
-        failed = sorted(by_doc.get(w["doc_id"], []), key=lambda r: r["field_no"])
-        lines += ["", f"### {w['doc_id']} ({w['category']})", "", f"**Failed fields ({len(failed)}):**", ""]
-        for f in failed:
-            note = f" ({f['note']})" if f["note"] else ""
-            lines.append(f"- **{f['field']}**: expected `{json.dumps(f['expected'])}`, "
-                         f"got `{json.dumps(f['actual'])}`{note}")
-    if errors:
-        lines += ["", f"## Errors ({len(errors)})", ""]
-        lines += [f"- **{e['doc_id']}** ({e['category']}): {e['error']}" for e in errors]
-    return "\n".join(lines) + "\n"
+def write_records(records: DataFrame, path: str, run_date: str, col: str = "edited") -> None:
+    """One JSON object per document with its record as shown (edits applied), nulls kept."""
+    out = records.selectExpr("doc_id", f"to_json({col}, map('ignoreNullFields', 'false')) AS record").withColumn("run_date", F.lit(run_date))
+    out.write.mode("overwrite").partitionBy("run_date").json(path)
 
 
-def write_text(text: str, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as fh:
-        fh.write(text)
+def accuracy_report(docs: DataFrame) -> DataFrame:
+    """``section, ordinal, name, numerator, denominator, text``: the overall pass rate and field accuracy, one row per
+    field (fixed order) and one per category (by name)."""
+    o = scoring.accuracy_overall(docs).selectExpr(
+        "inline(array(named_struct('section', 'overall', 'ordinal', 0, 'name', 'pass rate', 'numerator', passed, 'denominator', invoices), "
+        "named_struct('section', 'overall', 'ordinal', 1, 'name', 'field accuracy', 'numerator', matched, 'denominator', fields)))")
+    f = scoring.accuracy_by_field(docs).selectExpr("'field' AS section", "field_no AS ordinal", "field AS name", "matched AS numerator",
+                                                   "total AS denominator")
+    c = scoring.accuracy_by_category(docs).selectExpr("'category' AS section", "0 AS ordinal", "category AS name", "matched AS numerator",
+                                                      "total AS denominator")
+    return o.union(f).union(c).selectExpr("*", f"{pct('numerator', 'denominator')} AS text")
+
+
+def failure_report(docs: DataFrame, n: int = 15) -> DataFrame:
+    """``section, ordinal, name, category, field_no, field, expected, actual, text``: the failed fields of the ``n`` worst
+    documents (worst first), then every document with an error, by id."""
+    worst = scoring.bottom_failures(docs, n).selectExpr(
+        "doc_id", "row_number() OVER (ORDER BY failed_fields DESC, doc_id) - 1 AS ordinal")      # n rows
+    detail = (scoring.field_scores(docs).where("NOT match").join(F.broadcast(worst), "doc_id")
+              .join(F.broadcast(scoring.bottom_failures(docs, n).select("doc_id", "category")), "doc_id"))
+    failed = detail.selectExpr("'failure' AS section", "ordinal", "doc_id AS name", "category", "field_no", "field", "expected", "actual",
+                               "note AS text")
+    errors = docs.where("error IS NOT NULL").selectExpr(
+        "'error' AS section", "0 AS ordinal", "doc_id AS name", "category", "CAST(NULL AS INT) AS field_no", "CAST(NULL AS STRING) AS field",
+        "CAST(NULL AS STRING) AS expected", "CAST(NULL AS STRING) AS actual", "error AS text")
+    return failed.union(errors)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """One row per line, as JSON, in report order across the part files."""
+    keys = [F.col(k).asc_nulls_first() for k in REPORT_ORDER if k in report.columns]
+    report.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").json(path)

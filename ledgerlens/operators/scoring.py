@@ -103,9 +103,17 @@ def field_scores(docs: DataFrame) -> DataFrame:
     return docs.filter("error IS NULL").selectExpr("doc_id", f"inline({score_array_sql()})")
 
 
+def _field_sums() -> list:
+    """One row's worth of counts: documents, scored documents, and matches per field."""
+    return [F.count("*").alias("invoices"), F.count_if(F.expr("error IS NULL")).alias("scored"),
+            *[F.count_if(F.expr(f"error IS NULL AND m{i}")).alias(f"k{i}") for i in range(NF)]]
+
+
 def accuracy_by_field(docs: DataFrame) -> DataFrame:
-    return (field_scores(docs).groupBy("field_no", "field")
-            .agg(F.count_if("match").alias("matched"), F.count("*").alias("total"))
+    """A4: one aggregate of nine counts, then nine rows; no field rows are shuffled."""
+    rows = ", ".join(f"named_struct('field_no', {i}, 'field', '{f}', 'matched', k{i}, 'total', scored)"
+                     for i, f in enumerate(S.GROUND_TRUTH_FIELDS))
+    return (docs.agg(*_field_sums()).where("scored > 0").selectExpr(f"inline(array({rows}))")
             .selectExpr("*", f"{pct('matched', 'total')} AS accuracy"))
 
 
@@ -125,20 +133,17 @@ def accuracy_overall(docs: DataFrame) -> DataFrame:
 
 
 def accuracy_rollup(docs: DataFrame) -> DataFrame:
-    """A3-A5 in one aggregate: GROUPING SETS ((field), (category), ()) over
-    the long table (errored documents kept by ``inline_outer``)."""
-    long = docs.selectExpr(
-        "doc_id", "category",
-        f"inline_outer(CASE WHEN error IS NULL THEN {score_array_sql()} END)")
-    return (long.groupingSets([["field"], ["category"], []], "field", "category")
-            .agg(F.expr("CASE WHEN grouping(field) = 0 AND field IS NULL THEN NULL "
-                        "WHEN grouping(field) = 0 THEN 'field' "
-                        "WHEN grouping(category) = 0 THEN 'category' ELSE 'overall' END").alias("level"),
-                 F.expr("coalesce(field, category, 'all')").alias("name"),
-                 F.count_distinct("doc_id").alias("invoices"),
-                 F.count("field").alias("total"), F.count_if("match").alias("matched"))
-            .filter("level IS NOT NULL")
-            .select("level", "name", "invoices", "total", "matched"))
+    """A3-A5 in one pass: counts per category (partial aggregates), from which the field, category and overall rows are
+    summed. ``docs`` has one row per document."""
+    total, matched = f"{NF} * scored", " + ".join(f"k{i}" for i in range(NF))
+    rows = [f"named_struct('level', 'field', 'name', '{f}', 'invoices', scored, 'total', scored, 'matched', k{i})"
+            for i, f in enumerate(S.GROUND_TRUTH_FIELDS)]
+    rows += [f"named_struct('level', {lv}, 'name', {name}, 'invoices', invoices, 'total', {total}, 'matched', {matched})"
+             for lv, name in (("'category'", "category"), ("'overall'", "'all'"))]
+    return (docs.groupBy("category").agg(*_field_sums()).selectExpr(f"inline(array({', '.join(rows)}))")
+            .groupBy("level", "name").agg(F.sum("invoices").alias("invoices"), F.sum("total").alias("total"),
+                                          F.sum("matched").alias("matched"))
+            .where("level <> 'field' OR total > 0"))
 
 
 def bottom_failures(docs: DataFrame, n: int = 15) -> DataFrame:

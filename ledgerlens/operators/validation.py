@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
-from ledgerlens.functions.sql import fixed2, lit, round2
+from ledgerlens.functions.sql import fixed2, lit, parsed_date, round2
 
 MONEY_TOLERANCE = 0.02
 RULES = ("V1", "V2", "V3", "V4", "V5", "V6")
@@ -27,7 +27,7 @@ def rule_flags_sql(as_of: str, r: str = "record", with_rule: bool = False) -> st
     """Array of the flags the rules raise, in rule order."""
     sub, tax, tot = f"{r}.subtotal.value", f"{r}.tax.value", f"{r}.total.value"
     bill, due = f"{r}.bill_date.value", f"{r}.due_date.value"
-    bill_d, due_d = f"try_to_date({bill}, 'yyyy-MM-dd')", f"try_to_date({due}, 'yyyy-MM-dd')"
+    bill_d, due_d = parsed_date(bill), parsed_date(due)
     computed = round2(f"{sub} + {tax}")
     line_sum = round2(line_sum_sql(r))
 
@@ -74,10 +74,9 @@ def confidence_counts_sql(r: str = "record") -> list[str]:
 
 def with_rule_flags(records: DataFrame, as_of: str) -> DataFrame:
     """Adds ``det_flags`` (with rule ids) and ``merged_flags`` to records."""
-    det = rule_flags_sql(as_of)
-    return records.selectExpr(
-        "*", f"{rule_flags_sql(as_of, with_rule=True)} AS det_flags",
-        f"{merge_flags_sql('record.flags', det)} AS merged_flags")
+    det = "transform(det_flags, f -> named_struct('severity', f.severity, 'message', f.message))"
+    return (records.selectExpr("*", f"{rule_flags_sql(as_of, with_rule=True)} AS det_flags")
+            .selectExpr("*", f"{merge_flags_sql('record.flags', det)} AS merged_flags"))
 
 
 def validated(records: DataFrame, as_of: str) -> DataFrame:

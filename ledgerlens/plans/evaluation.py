@@ -120,3 +120,41 @@ SELECT doc_id, category, CAST(n_failed AS BIGINT) AS failed_fields FROM docs
 WHERE NOT passed AND error IS NULL ORDER BY n_failed DESC, doc_id LIMIT 15"""))
 def q_bottom_failures(spark, sf_dir):
     return scoring.bottom_failures(document_scores(spark, sf_dir))
+
+
+@query("paired_scores", with_base(SCORES + DOCS + """
+SELECT d.doc_id, CASE WHEN d.doc_id LIKE '%9' THEN 'no extraction' ELSE d.error END AS error,
+       CASE WHEN d.doc_id LIKE '%9' THEN false ELSE d.passed END AS passed,
+       CAST(CASE WHEN d.doc_id LIKE '%9' THEN 0 ELSE coalesce(d.n_matched, 0) END AS BIGINT) AS n_matched
+FROM docs d"""))
+def q_paired_scores(spark, sf_dir):
+    """Expected and extracted values as two tables; one extraction in ten is missing and counts as an error."""
+    from ledgerlens.sources.invoices import extracted_values
+    rec = invoice_records(spark, sf_dir)
+    pairs = scoring.pair_by_doc(scoring.ground_truth(rec, ("doc_id", "category")), extracted_values(rec).where("doc_id NOT LIKE '%9'"),
+                                keep=("category",))
+    return scoring.document_scores(pairs).select("doc_id", "error", "passed", "n_matched")
+
+
+@query("accuracy_report", with_base(SCORES + DOCS + f""",
+r AS (SELECT 'overall' AS section, 0 AS ordinal, 'pass rate' AS name, count_if(passed) AS a, count(*) AS b FROM docs
+      UNION ALL SELECT 'overall', 1, 'field accuracy', sum(n_matched), sum(n_fields) FROM docs
+      UNION ALL SELECT 'field', field_no, field, count_if(match), count(*) FROM scores GROUP BY field_no, field
+      UNION ALL SELECT 'category', 0, category, sum(n_matched), sum(n_fields) FROM docs GROUP BY category)
+SELECT section, CAST(ordinal AS INTEGER) AS ordinal, name, CAST(a AS BIGINT) AS numerator, CAST(b AS BIGINT) AS denominator, {pct('a', 'b')} AS text FROM r"""))
+def q_accuracy_report(spark, sf_dir):
+    """The accuracy report as a table."""
+    from ledgerlens.operators.reports import accuracy_report
+    return accuracy_report(document_scores(spark, sf_dir))
+
+
+@query("failure_report", with_base(SCORES + DOCS + """,
+worst AS (SELECT doc_id, category, row_number() OVER (ORDER BY n_failed DESC, doc_id) - 1 AS ordinal FROM docs
+          WHERE NOT passed AND error IS NULL ORDER BY n_failed DESC, doc_id LIMIT 15)
+SELECT 'failure' AS section, CAST(w.ordinal AS INTEGER) AS ordinal, w.doc_id AS name, w.category, s.field_no, s.field, s.expected, s.actual, s.note AS text
+FROM worst w JOIN scores s ON s.doc_id = w.doc_id WHERE NOT s.match
+UNION ALL SELECT 'error', 0, doc_id, category, NULL, NULL, NULL, NULL, error FROM docs WHERE error IS NOT NULL"""))
+def q_failure_report(spark, sf_dir):
+    """The failure report as a table."""
+    from ledgerlens.operators.reports import failure_report
+    return failure_report(document_scores(spark, sf_dir))

@@ -3,6 +3,8 @@ box tags, custom fields, prompt rows, file triage."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import admission as A
 from ledgerlens.operators import errors as ER
 from ledgerlens.plans.costs import priced_usage, with_usage
@@ -24,6 +26,7 @@ def request_logs(spark, sf_dir):
         f"CASE WHEN event_type = 'error' THEN element_at({_CODE_ARR}, CAST(event_id % 9 AS INT) + 1) "
         "ELSE 'success' END AS category",
         "CAST(floor(value * 10) AS BIGINT) AS duration_ms",
+        "CAST(event_id % 3 AS BIGINT) AS retry_count",
         "CASE WHEN event_type = 'error' THEN CAST(NULL AS DOUBLE) ELSE cost END AS cost")
     return ER.describe_errors(logs, "category").selectExpr(
         "*", "coalesce(http_status, 200) AS status").drop("http_status").withColumnRenamed(
@@ -34,15 +37,17 @@ LOGS_CTE = f""",
 logs AS (
   SELECT c.event_id, c.user_id, c.ts, {ROUTE_SQL.replace("event_type", "c.event_type")} AS route,
     CASE WHEN c.event_type = 'error' THEN {_CODE_LIST}[CAST(c.event_id % 9 AS INTEGER) + 1] ELSE 'success' END AS category,
-    CAST(floor(e.value * 10) AS BIGINT) AS duration_ms,
+    CAST(floor(e.value * 10) AS BIGINT) AS duration_ms, CAST(c.event_id % 3 AS BIGINT) AS retry_count,
     CASE WHEN c.event_type = 'error' THEN NULL ELSE c.cost END AS cost
   FROM costs c JOIN events e ON e.event_id = c.event_id),
-tax AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {s}, '{t.replace(chr(39), chr(39) * 2)}')" for c, s, t in ER.ERROR_TAXONOMY)}) t(code, http_status, title)),
-logs2 AS (SELECT logs.*, coalesce(tax.http_status, 200) AS http_status, tax.title FROM logs LEFT JOIN tax ON tax.code = logs.category)"""
+tax AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {s}, '{t.replace(chr(39), chr(39) * 2)}', '{ER.ERROR_HELP[c][0]}', '{ER.ERROR_HELP[c][1]}')" for c, s, t in ER.ERROR_TAXONOMY)}) t(code, http_status, title, message, next_step)),
+logs2 AS (SELECT logs.*, coalesce(tax.http_status, 200) AS http_status, tax.title, tax.message, tax.next_step FROM logs LEFT JOIN tax ON tax.code = logs.category)"""
 
 
 @query("log_rollup", with_usage(LOGS_CTE + """
 SELECT route, category, count(*) AS requests, CAST(count_if(http_status >= 400) AS BIGINT) AS errors,
+       round(count_if(http_status >= 400) / count(*), 6) AS error_share, CAST(sum(retry_count) AS BIGINT) AS retries,
+       max(duration_ms) AS max_duration_ms,
        round(avg(duration_ms), 3) AS avg_duration_ms, round(coalesce(sum(cost), 0.0), 6) AS cost_usd
 FROM logs2 GROUP BY route, category"""))
 def q_log_rollup(spark, sf_dir):
@@ -50,11 +55,11 @@ def q_log_rollup(spark, sf_dir):
 
 
 @query("error_taxonomy_join", with_usage(LOGS_CTE + """
-SELECT event_id, category AS code, CAST(http_status AS INTEGER) AS http_status, title FROM logs2
+SELECT event_id, category AS code, CAST(http_status AS INTEGER) AS http_status, title, message, next_step FROM logs2
 WHERE category <> 'success'"""))
 def q_error_taxonomy(spark, sf_dir):
     return (request_logs(spark, sf_dir).filter("category <> 'success'")
-            .selectExpr("event_id", "category AS code", "CAST(http_status AS INT) AS http_status", "title"))
+            .selectExpr("event_id", "category AS code", "CAST(http_status AS INT) AS http_status", "title", "message", "next_step"))
 
 
 BATCH_STATUS = ("CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'view' AND event_id % 2 = 0 "
@@ -111,7 +116,7 @@ from ledgerlens.sources.tables import read_table  # noqa: E402
 XFF_SQL = ("CASE event_id % 8 WHEN 0 THEN '203.0.113.' || CAST(user_id % 256 AS {s}) || ', 10.0.0.1' "
            "WHEN 1 THEN 'garbage, 198.51.100.' || CAST(user_id % 256 AS {s}) "
            "WHEN 2 THEN '2001:db8::' || CAST(user_id AS {s}) WHEN 3 THEN '<script>alert(1)</script>' "
-           "WHEN 4 THEN '' WHEN 5 THEN NULL WHEN 6 THEN ' 192.0.2.' || CAST(user_id % 256 AS {s}) || ' ' "
+           "WHEN 4 THEN '' WHEN 5 THEN NULL WHEN 6 THEN chr(9) || ' 192.0.2.' || CAST(user_id % 256 AS {s}) || ' ' "
            "ELSE '999.1.1.1, unknown' END")
 REAL_SQL = "CASE event_id % 3 WHEN 0 THEN '198.51.100.7' WHEN 1 THEN 'not-an-ip' ELSE NULL END"
 _V4 = r"^((25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(25[0-5]|2[0-4]\d|[01]?\d?\d)$"
@@ -139,56 +144,45 @@ def q_client_key(spark, sf_dir):
 
 
 # --------------------------------------------------------------- URL guard
-URL_SQL = ("CASE page_id % 20 WHEN 0 THEN 'http://127.0.0.' || CAST(page_id % 250 AS {s}) || '/hook' "
-           "WHEN 1 THEN 'https://10.' || CAST(page_id % 250 AS {s}) || '.0.1/x' "
-           "WHEN 2 THEN 'http://172.' || CAST(16 + page_id % 20 AS {s}) || '.1.1/' "
-           "WHEN 3 THEN 'http://192.168.1.' || CAST(page_id % 250 AS {s}) "
-           "WHEN 4 THEN 'http://169.254.169.254/latest/meta-data' "
-           "WHEN 5 THEN 'http://100.' || CAST(60 + page_id % 70 AS {s}) || '.0.1' "
-           "WHEN 6 THEN 'http://198.' || CAST(17 + page_id % 4 AS {s}) || '.0.1' "
-           "WHEN 7 THEN 'http://0.0.0.0/' WHEN 8 THEN 'http://' || CAST(220 + page_id % 40 AS {s}) || '.0.0.1/' "
-           "WHEN 9 THEN 'http://[::1]/' WHEN 10 THEN 'http://[FE80::1]:8080/' WHEN 11 THEN 'http://[fd12:3456::1]/' "
-           "WHEN 12 THEN 'http://[::ffff:10.0.0.1]/' WHEN 13 THEN 'ftp://files.example.com/x' "
-           "WHEN 14 THEN 'http://localhost:3000/hook' WHEN 15 THEN 'HTTP://Metadata.Google.Internal/' "
-           "WHEN 16 THEN 'https://8.8.' || CAST(page_id % 250 AS {s}) || '.8/' WHEN 17 THEN 'not a url' "
-           "WHEN 18 THEN 'https://user:pw@93.184.216.34/x' ELSE url END")
-_URL_RE = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)"
-_G4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
-
-
-def _duck_priv4(ip: str) -> str:
-    a, b = f"CAST(split_part({ip}, '.', 1) AS INTEGER)", f"CAST(split_part({ip}, '.', 2) AS INTEGER)"
-    return (f"({a} = 127 OR {a} = 10 OR ({a} = 172 AND {b} BETWEEN 16 AND 31) OR ({a} = 192 AND {b} = 168) "
-            f"OR ({a} = 169 AND {b} = 254) OR ({a} = 100 AND {b} BETWEEN 64 AND 127) "
-            f"OR ({a} = 198 AND {b} IN (18, 19)) OR {a} = 0 OR {a} >= 224)")
-
-
-_SCH = f"lower(nullif(regexp_extract(u, '{_URL_RE}', 1), ''))"
-_HOST = f"lower(regexp_extract(u, '{_URL_RE}', 3))"
-_BARE = f"regexp_replace({_HOST}, '^\\[|\\]$', '', 'g')"
-_V6P = (f"({_BARE} = '::1' OR {_BARE} = '::' OR starts_with({_BARE}, 'fe80:') OR starts_with({_BARE}, 'fc') "
-        f"OR starts_with({_BARE}, 'fd') OR (starts_with({_BARE}, '::ffff:') AND regexp_matches(substr({_BARE}, 8), '{_G4}') "
-        f"AND {_duck_priv4(f'substr({_BARE}, 8)')}))")
-_CLS = (f"CASE WHEN {_SCH} IS NULL THEN 'invalid-url' WHEN {_SCH} NOT IN ('http', 'https') THEN 'bad-scheme' "
-        f"WHEN {_HOST} = '' THEN 'invalid-url' WHEN {_HOST} IN ('localhost', 'metadata.google.internal') THEN 'blocked-host' "
-        f"WHEN regexp_matches({_HOST}, '{_G4}') THEN CASE WHEN {_duck_priv4(_HOST)} THEN 'private-ip' ELSE 'public-ip' END "
-        f"WHEN starts_with({_HOST}, '[') THEN CASE WHEN {_V6P} THEN 'private-ip' ELSE 'public-ip' END "
-        f"ELSE 'needs-dns' END")
+# a URL per page beside its own, and the class it must have (ranges by the number in it)
+_URLS = (
+    ("'http://127.0.0.' || CAST(page_id % 250 AS {s}) || '/hook'", "'private-ip'"),
+    ("'https://10.' || CAST(page_id % 250 AS {s}) || '.0.1/x'", "'private-ip'"),
+    ("'http://172.' || CAST(10 + page_id % 30 AS {s}) || '.1.1/'", "CASE WHEN 10 + page_id % 30 BETWEEN 16 AND 31 THEN 'private-ip' ELSE 'public-ip' END"),
+    ("'http://192.168.1.' || CAST(page_id % 250 AS {s})", "'private-ip'"),
+    ("'http://169.254.169.254/latest/meta-data'", "'private-ip'"),
+    ("'http://100.' || CAST(60 + page_id % 70 AS {s}) || '.0.1'", "CASE WHEN 60 + page_id % 70 BETWEEN 64 AND 127 THEN 'private-ip' ELSE 'public-ip' END"),
+    ("'http://198.' || CAST(17 + page_id % 4 AS {s}) || '.0.1'", "CASE WHEN page_id % 4 IN (1, 2) THEN 'private-ip' ELSE 'public-ip' END"),
+    ("'http://' || CAST(200 + page_id % 60 AS {s}) || '.0.0.1/'", "CASE WHEN 200 + page_id % 60 > 255 THEN 'invalid-url' WHEN 200 + page_id % 60 >= 224 THEN 'private-ip' ELSE 'public-ip' END"),
+    ("'http://[::1]/'", "'private-ip'"), ("'http://[FE80::1]:8080/'", "'private-ip'"), ("'http://[::ffff:10.0.0.1]/'", "'private-ip'"),
+    ("'http://[2001:db8::1]/'", "'public-ip'"), ("'ftp://files.example.com/x'", "'bad-scheme'"),
+    ("'http://localhost:3000/hook'", "'blocked-host'"), ("'HTTP://Metadata.Google.Internal/'", "'blocked-host'"),
+    ("'https://8.8.' || CAST(page_id % 250 AS {s}) || '.8/'", "'public-ip'"), ("'not a url'", "'invalid-url'"),
+    ("'https://user:pw@93.184.216.34/x'", "'public-ip'"), ("'http://a@b@127.0.0.1/'", "'private-ip'"),
+    ("'http://' || CAST(2130706432 + page_id % 1000 AS {s}) || '/'", "'private-ip'"), ("'http://0x7f.' || CAST(page_id % 99 AS {s}) || '/'", "'private-ip'"),
+    ("'http://127.1/'", "'private-ip'"), ("'http://0177.0.0.1/'", "'private-ip'"), ("'http://0x08080808/'", "'public-ip'"), ("'http://1.2.3.4.5/'", "'invalid-url'"),
+    ("'http://4294967296/'", "'invalid-url'"), ("'http://10.0.0.1./x'", "'private-ip'"), ("'http://127.0.0.1.example.com/'", "'needs-dns'"),
+    ("'http://09.0.0.1/'", "'invalid-url'"), ("'http:///x'", "'invalid-url'"),
+)
+
+
+def _url_case(which: int, s: str) -> str:
+    return f"CASE page_id % {len(_URLS)} " + " ".join(f"WHEN {i} THEN {u[which].format(s=s)}" for i, u in enumerate(_URLS)) + " END"
 
 
 @query("url_guard", f"""
-SELECT page_id, u AS url, {_SCH} AS scheme, {_HOST} AS host, cls AS class,
+SELECT page_id, own, url, cls AS class,
   CASE cls WHEN 'bad-scheme' THEN '{G.MSG_SCHEME}' WHEN 'blocked-host' THEN '{G.MSG_HOST}'
            WHEN 'private-ip' THEN '{G.MSG_PRIVATE}' WHEN 'invalid-url' THEN 'Invalid URL.' END AS reason
-FROM (SELECT page_id, u, {_CLS} AS cls FROM (SELECT page_id, {URL_SQL.format(s='VARCHAR')} AS u FROM pages) a) b""")
+FROM (SELECT page_id, false AS own, {_url_case(0, 'VARCHAR')} AS url, {_url_case(1, 'VARCHAR')} AS cls FROM pages
+      UNION ALL SELECT page_id, true, url, CASE WHEN url IS NULL OR NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]') THEN 'invalid-url'
+        WHEN NOT regexp_matches(url, '^(?i)https?://') THEN 'bad-scheme' ELSE 'needs-dns' END FROM pages) t""")
 def q_url_guard(spark, sf_dir):
-    """P12 over webhook URLs derived from the page URLs (reserved ranges,
-    schemes, blocked names)."""
+    """P12 over the URL of every page and one webhook URL beside it
+    (reserved ranges, spellings of addresses, schemes, blocked names)."""
     pages = read_table(spark, sf_dir, "pages", "page_id", "url")
-    u = pages.selectExpr("page_id", f"{URL_SQL.format(s='STRING')} AS url")
-    g = G.guard_sql("url")
-    return u.selectExpr("page_id", "url", f"{g['scheme']} AS scheme", f"{g['host']} AS host",
-                        f"{g['class']} AS class").selectExpr("*", f"{G.reason_sql('class')} AS reason")
+    u = pages.selectExpr("page_id", f"inline(array(struct(false AS own, {_url_case(0, 'STRING')} AS url), struct(true AS own, url)))")
+    return G.guard(u).selectExpr("page_id", "own", "url", "class").selectExpr("*", f"{G.reason_sql('class')} AS reason")
 
 
 # ------------------------------------------------------------ file triage
@@ -243,50 +237,60 @@ from ledgerlens.plans.oracle_base import with_base  # noqa: E402
 from ledgerlens.operators.extraction import render_text  # noqa: E402
 from ledgerlens.sources.invoices import AS_OF, invoice_records  # noqa: E402
 
-N_SQL = "CASE WHEN conv_id % 13 = 0 THEN 11 ELSE conv_id % 4 + 1 END"
-_TYPE_LIST = "'string', 'number', 'date', 'string', 'number', 'date', 'text'"
-TENANTS = 997
+_TYPE_LIST = "'string', 'number', 'date'"
+_SPLIT = "[.,;:!?]+"
 
 
 def definition_lists(spark, sf_dir):
-    """Per conversation (its first turn = one tenant's settings), a JSON
-    array of custom-field definitions cut from the text: name and
-    description lengths and types vary, some lists are too long."""
-    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text").filter("turn = 0")
-    defs = (f"transform(sequence(0, {N_SQL} - 1), i -> named_struct("
-            "'id', concat('cf-', CAST(conv_id AS STRING), '-', CAST(i AS STRING)), "
-            "'name', substr(text, 1, CAST((conv_id + i) % 35 AS INT)), "
-            f"'type', element_at(array({_TYPE_LIST}), CAST((conv_id + i) % 7 AS INT) + 1), "
-            "'description', substr(text, 1, CAST((conv_id * 7 + i * 13) % 210 AS INT))))")
-    return conv.selectExpr("conv_id AS tenant", f"to_json({defs}) AS defs_json")
+    """Each turn of a conversation is one tenant's settings: a JSON array of custom-field definitions, one for each stretch between
+    punctuation marks of the whole text. Names and descriptions that break a limit, unknown types and too long lists occur."""
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    defs = (f"transform(filter(split(coalesce(text, ''), '{_SPLIT}'), p -> trim(p) <> ''), (p, i) -> named_struct("
+            "'id', concat('cf-', CAST(conv_id AS STRING), '-', CAST(turn AS STRING), '-', CAST(i AS STRING)), "
+            "'name', CASE WHEN length(p) % 43 = 0 THEN concat(p, ' ', md5(p)) WHEN length(p) % 5 = 0 THEN concat('  Field ', substr(md5(p), 1, 8), ' ') "
+            "ELSE concat('Field ', substr(md5(p), 1, 8)) END, "
+            f"'type', CASE WHEN length(p) % 47 = 0 THEN 'text' ELSE element_at(array({_TYPE_LIST}), CAST((conv_id + turn + i) % 3 AS INT) + 1) END, "
+            "'description', CASE WHEN length(p) % 41 = 0 THEN 'x' ELSE concat(coalesce(role, 'a'), ' turn, ', CAST(length(p) AS STRING), ' characters, ', md5(p)) END))")
+    return conv.selectExpr("conv_id", "turn", f"to_json({defs}) AS defs_json")
 
 
 def checked_definitions(spark, sf_dir):
     c = CF.check_definitions_sql("defs_json")
-    return definition_lists(spark, sf_dir).selectExpr("tenant", f"{c['defs']} AS defs",
-                                                      f"{c['reason']} AS reason")
+    return definition_lists(spark, sf_dir).selectExpr("conv_id", "turn", f"{c['defs']} AS defs", f"{c['reason']} AS reason")
+
+
+def document_tenants(spark, sf_dir, docs):
+    """Gives every document a tenant: conversations in turn, and within one its turns in turn."""
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn")
+    last = conv.selectExpr("max(conv_id) + 1 AS n").scalar()
+    sizes = conv.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+    return (docs.withColumn("conv_id", F.expr("order_key") % last).join(sizes, "conv_id")
+            .withColumn("turn", F.expr("order_key % (last_turn + 1)")).drop("last_turn"))
 
 
 DEFS_CTE = f""",
-d0 AS (SELECT conv_id, text, {N_SQL} AS n FROM conversations WHERE turn = 0),
-d1 AS (SELECT conv_id, text, n, unnest(range(0, n)) AS i FROM d0),
-d2 AS (SELECT conv_id AS tenant, n, i, 'cf-' || CAST(conv_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS id,
-              substr(text, 1, CAST((conv_id + i) % 35 AS INTEGER)) AS name,
-              [{_TYPE_LIST}][CAST((conv_id + i) % 7 AS INTEGER) + 1] AS type,
-              substr(text, 1, CAST((conv_id * 7 + i * 13) % 210 AS INTEGER)) AS description FROM d1),
-d3 AS (SELECT *, length(id) BETWEEN 1 AND 64 AND length(name) BETWEEN 1 AND 30
-                 AND type IN ('string', 'number', 'date') AND length(description) BETWEEN 5 AND 200 AS ok FROM d2),
-tenants AS (SELECT tenant, max(n) AS n_fields,
-                   CASE WHEN max(n) > 10 THEN 'too-many' WHEN NOT bool_and(ok) THEN 'invalid-entry' END AS reason
-            FROM d3 GROUP BY tenant)"""
+d0 AS (SELECT conv_id, turn, role, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPLIT}'), lambda p: trim(p) <> '') AS ps FROM conversations),
+d1 AS (SELECT conv_id, turn, role, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS i FROM d0),
+d3 AS (SELECT conv_id, turn, i, 'cf-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS id,
+         CASE WHEN length(p) % 43 = 0 THEN p || ' ' || md5(p) WHEN length(p) % 5 = 0 THEN '  Field ' || substr(md5(p), 1, 8) || ' '
+              ELSE 'Field ' || substr(md5(p), 1, 8) END AS name,
+         CASE WHEN length(p) % 47 = 0 THEN 'text' ELSE [{_TYPE_LIST}][CAST((conv_id + turn + i) % 3 AS INTEGER) + 1] END AS type,
+         CASE WHEN length(p) % 41 = 0 THEN 'x' ELSE coalesce(role, 'a') || ' turn, ' || CAST(length(p) AS VARCHAR) || ' characters, ' || md5(p) END AS description,
+         length(p) % 43 <> 0 AND length(p) % 47 <> 0 AND length(p) % 41 <> 0 AS ok FROM d1),
+tenants AS (SELECT d0.conv_id, d0.turn, len(ps) AS n_fields,
+              CASE WHEN len(ps) > 10 THEN 'too-many' WHEN coalesce(b.bad, false) THEN 'invalid-entry' END AS reason
+            FROM d0 LEFT JOIN (SELECT conv_id, turn, bool_or(NOT ok) AS bad FROM d3 GROUP BY ALL) b ON b.conv_id = d0.conv_id AND b.turn = d0.turn),
+doc_tenant AS (SELECT inv.k, z.conv_id, inv.k % (z.last_turn + 1) AS turn FROM inv
+               JOIN (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id) z
+                 ON z.conv_id = inv.k % (SELECT max(conv_id) + 1 FROM conversations))"""
 
 
 @query("custom_fields", with_base(DEFS_CTE + """
-SELECT tenant, CAST(n_fields AS INTEGER) AS n_fields, reason IS NULL AS valid, reason FROM tenants"""))
+SELECT conv_id, turn, CAST(n_fields AS INTEGER) AS n_fields, reason IS NULL AS valid, reason FROM tenants"""))
 def q_custom_fields(spark, sf_dir):
     """P5 over each tenant's definition list (JSON text)."""
     return checked_definitions(spark, sf_dir).selectExpr(
-        "tenant", "size(defs) AS n_fields", "reason IS NULL AS valid", "reason")
+        "conv_id", "turn", "size(defs) AS n_fields", "reason IS NULL AS valid", "reason")
 
 
 def _value_sql(kind: str, r: str = "record") -> str:
@@ -295,31 +299,24 @@ def _value_sql(kind: str, r: str = "record") -> str:
             f"WHEN 'date' THEN {r}.due_date.value ELSE {r}.vendor.name END")
 
 
-@query("custom_field_values", with_base(DEFS_CTE + f"""
+@query("custom_field_values", with_base(DEFS_CTE + """
 SELECT inv.doc_id, CAST(d3.i AS INTEGER) AS pos,
        coalesce(nullif(regexp_replace(d3.name, '^\\s+|\\s+$', '', 'g'), ''), d3.id) AS label,
        CASE d3.type WHEN 'number' THEN regexp_replace(CAST(inv.total AS VARCHAR), '\\.0$', '')
                     WHEN 'date' THEN inv.due ELSE inv.vendor_name END AS value
-FROM inv JOIN tenants t ON t.tenant = inv.k % {TENANTS} AND t.reason IS NULL
-JOIN d3 ON d3.tenant = t.tenant
-WHERE (CASE WHEN (inv.k + d3.i) % 5 = 0 THEN NULL
-            WHEN d3.type = 'number' THEN CAST(inv.total AS VARCHAR) WHEN d3.type = 'date' THEN inv.due
-            ELSE inv.vendor_name END) IS NOT NULL"""))
+FROM inv JOIN doc_tenant dt ON dt.k = inv.k JOIN tenants t ON t.conv_id = dt.conv_id AND t.turn = dt.turn AND t.reason IS NULL
+JOIN d3 ON d3.conv_id = t.conv_id AND d3.turn = t.turn
+WHERE (inv.k + d3.i) % 5 <> 0"""))
 def q_custom_field_values(spark, sf_dir):
-    """J5 + P7: each document's extracted custom values (absent for some)
-    joined with its tenant's valid definitions by id, in definition order."""
+    """J5 + P7: each document's extracted custom values with its tenant's valid definitions by id, in definition order. Every
+    fifth field (by key and place) was not extracted and is absent; others may be present with a null value."""
     defs = (checked_definitions(spark, sf_dir).filter("reason IS NULL")
-            .selectExpr("tenant", "posexplode(defs) AS (pos, d)")
-            .selectExpr("tenant", "pos", "d.id AS id", "d.name AS name", "d.type AS type"))
-    docs = invoice_records(spark, sf_dir).selectExpr("doc_id", "order_key", f"order_key % {TENANTS} AS tenant",
-                                                     "record")
-    # the "extracted" value of each defined field; every fifth one (by key +
-    # position) was not extracted and is null, i.e. absent from the map
-    values = (docs.join(defs.select("tenant", "pos", "id", "type"), "tenant")
-              .selectExpr("doc_id", "tenant", "id",
-                          f"CASE WHEN (order_key + pos) % 5 = 0 THEN NULL ELSE {_value_sql('type')} END AS value")
-              .filter("value IS NOT NULL")
-              .select("doc_id", "tenant", "id", "value"))
+            .selectExpr("conv_id", "turn", "posexplode(defs) AS (pos, d)")
+            .selectExpr("struct(conv_id, turn) AS tenant", "pos", "d.id AS id", "d.name AS name", "d.type AS type"))
+    docs = document_tenants(spark, sf_dir, invoice_records(spark, sf_dir).select("doc_id", "order_key", "record")).selectExpr(
+        "doc_id", "order_key", "struct(conv_id, turn) AS tenant", "record")
+    values = (docs.join(defs.select("tenant", "pos", "id", "type"), "tenant").where("(order_key + pos) % 5 <> 0")
+              .selectExpr("doc_id", "tenant", "id", f"{_value_sql('type')} AS value"))
     return CF.display_values(defs.select("tenant", "pos", "id", "name"), values).selectExpr(
         "doc_id", "CAST(pos AS INT) AS pos", "label", "value")
 
@@ -328,22 +325,21 @@ _HEAD = CF.CUSTOM_BLOCK_HEAD.replace("'", "''").replace("\n", "' || chr(10) || '
 
 
 @query("prompt_rows", with_base(TEXT_CTE + DEFS_CTE + f""",
-blocks AS (SELECT t.tenant, '{_HEAD}' || string_agg('- ID "' || d3.id || '" (' || d3.type || ', displayed as "' ||
+blocks AS (SELECT t.conv_id, t.turn, '{_HEAD}' || string_agg('- ID "' || d3.id || '" (' || d3.type || ', displayed as "' ||
              regexp_replace(d3.name, '^\\s+|\\s+$', '', 'g') || '"): ' ||
              regexp_replace(d3.description, '^\\s+|\\s+$', '', 'g'), chr(10) ORDER BY d3.i) AS block
-           FROM tenants t JOIN d3 ON d3.tenant = t.tenant WHERE t.reason IS NULL GROUP BY t.tenant),
+           FROM tenants t JOIN d3 ON d3.conv_id = t.conv_id AND d3.turn = t.turn WHERE t.reason IS NULL GROUP BY t.conv_id, t.turn),
 p AS (SELECT texts.doc_id, '<today>{AS_OF}</today>' || chr(10) || '<invoice_text>' || chr(10) || texts.text || chr(10) ||
              '</invoice_text>' || chr(10) || chr(10) || '{CF.PROMPT_INSTRUCTION}' || coalesce(b.block, '') AS prompt
-      FROM texts LEFT JOIN blocks b ON b.tenant = texts.k % {TENANTS})
+      FROM texts JOIN doc_tenant dt ON dt.k = texts.k LEFT JOIN blocks b ON b.conv_id = dt.conv_id AND b.turn = dt.turn)
 SELECT doc_id, CAST(length(prompt) AS INTEGER) AS prompt_chars, md5(prompt) AS prompt_md5 FROM p"""))
 def q_prompt_rows(spark, sf_dir):
     """Prompt per document for batch inference: today tag, document
-    text, instruction, the tenant's custom-field block."""
+    text, instruction, the tenant's custom-field block. One projection of the records; definitions join on the tenant."""
     blocks = checked_definitions(spark, sf_dir).filter("reason IS NULL").selectExpr(
-        "tenant", f"{CF.custom_block_sql('defs')} AS block")
-    rec = invoice_records(spark, sf_dir)
-    texts = render_text(rec.selectExpr("doc_id", "record")).join(
-        rec.selectExpr("doc_id", f"order_key % {TENANTS} AS tenant"), "doc_id")
-    p = texts.join(blocks, "tenant", "left").selectExpr(
+        "conv_id", "turn", f"{CF.custom_block_sql('defs')} AS block")
+    rec = invoice_records(spark, sf_dir).select("doc_id", "order_key", "record")
+    texts = render_text(document_tenants(spark, sf_dir, rec), "conv_id", "turn")
+    p = texts.join(blocks, ["conv_id", "turn"], "left").selectExpr(
         "doc_id", f"{CF.prompt_sql('text', repr(AS_OF), "coalesce(block, '')")} AS prompt")
     return p.selectExpr("doc_id", "CAST(char_length(prompt) AS INT) AS prompt_chars", "md5(prompt) AS prompt_md5")

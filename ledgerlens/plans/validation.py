@@ -11,7 +11,7 @@ from ledgerlens.operators import edits as E
 from ledgerlens.operators import validation as V
 from ledgerlens.plans.oracle_base import round2, with_base
 from ledgerlens.plans.registry import query
-from ledgerlens.sources.invoices import AS_OF, derived_edits, invoice_records
+from ledgerlens.sources.invoices import AS_OF, derived_edits, extracted_sql, invoice_records
 
 
 def _flagged(spark, sf_dir):
@@ -26,6 +26,11 @@ ls AS (SELECT k, list_reduce(list(coalesce(amount, 0.0::DOUBLE) ORDER BY pos),
 src AS (SELECT inv.*, ls.line_sum FROM inv LEFT JOIN ls ON ls.k = inv.k)"""
 
 
+def _any_date(x: str) -> str:
+    """A date in one of the forms that documents use."""
+    return "coalesce(" + ", ".join(f"try_strptime({x}, '{f}')" for f in ("%Y-%m-%d", "%m/%d/%Y", "%d-%b-%Y", "%B %d, %Y")) + ")"
+
+
 def det_rows(src: str) -> str:
     """DuckDB rows (k, doc_id, rule_no, rule, severity, message) of V1-V6
     over a flat relation with sub, tax, total, bill, due, vendor_name,
@@ -33,7 +38,7 @@ def det_rows(src: str) -> str:
     f2 = "printf('%.2f', {})".format
     comp = round2("sub + tax")
     lsr = round2("line_sum")
-    bd, dd = "try_strptime(bill, '%Y-%m-%d')", "try_strptime(due, '%Y-%m-%d')"
+    bd, dd = _any_date("bill"), _any_date("due")
     parts = [
         (1, "error", f"'Math doesn''t add up: subtotal ($' || {f2('sub')} || ') + tax ($' || {f2('tax')} "
                      f"|| ') = $' || {f2(comp)} || ', but total is $' || {f2('total')} || '.'",
@@ -133,7 +138,6 @@ ed AS (
     inv.tax AS tax,
     CASE WHEN t.k IS NOT NULL THEN t.num ELSE inv.total END AS total
   FROM inv
-  JOIN (SELECT DISTINCT k FROM valid) e ON e.k = inv.k
   LEFT JOIN ls ON ls.k = inv.k
   LEFT JOIN latest v ON v.k = inv.k AND v.field = 'vendor_name'
   LEFT JOIN latest d ON d.k = inv.k AND d.field = 'due_date'
@@ -150,7 +154,7 @@ model_only AS (
   WHERE NOT EXISTS (SELECT 1 FROM det d WHERE d.k = s.k AND d.severity = s.severity AND d.message = s.message)),
 disp0 AS (
   SELECT k, rule_no AS o, severity, message FROM det_ed
-  UNION ALL SELECT m.k, 100000 + m.o, m.severity, m.message FROM model_only m JOIN (SELECT DISTINCT k FROM valid) e ON e.k = m.k),
+  UNION ALL SELECT m.k, 100000 + m.o, m.severity, m.message FROM model_only m),
 disp AS (SELECT k, severity, message, min(o) AS o FROM disp0 GROUP BY k, severity, message)
 SELECT 'INV-' || CAST(k AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS pos,
        severity, message FROM disp"""
@@ -158,8 +162,42 @@ SELECT 'INV-' || CAST(k AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY k
 
 @query("edit_overlay_revalidated", with_base(LINE_SUMS + EDITS_SQL))
 def q_edit_overlay(spark, sf_dir):
+    """J4, J7, U2s: the flags shown for every document, edited or not."""
     rec = invoice_records(spark, sf_dir)
-    edited = E.apply_edits(rec, derived_edits(rec))
-    return (edited.selectExpr("doc_id", f"posexplode({E.display_flags_sql(AS_OF)}) AS (pos, f)")
+    shown = E.with_display_flags(E.apply_edits(rec, derived_edits(rec)), AS_OF)
+    return (shown.selectExpr("doc_id", "posexplode(flags) AS (pos, f)")
             .selectExpr("doc_id", "CAST(pos AS BIGINT) AS pos", "f.severity AS severity",
                         "f.message AS message"))
+
+
+_CHANGED = {"vendor_name": "ed.vendor_name IS DISTINCT FROM inv.vendor_name", "due_date": "ed.due IS DISTINCT FROM inv.due",
+            "subtotal": "ed.sub IS DISTINCT FROM inv.sub", "total": "ed.total IS DISTINCT FROM inv.total"}
+
+
+@query("edited_markers", with_base(LINE_SUMS + EDITS_SQL.split(",\ndet AS (")[0] + "\n" + "\nUNION ALL ".join(
+    f"SELECT inv.doc_id, '{f}' AS field, {_CHANGED.get(f, 'false')} AS edited FROM inv JOIN ed ON ed.k = inv.k" for f in E.EDITABLE)))
+def q_edited_markers(spark, sf_dir):
+    """P10: per document and header field, whether the shown value differs
+    from the extracted one."""
+    rec = invoice_records(spark, sf_dir)
+    return E.edited_markers(E.apply_edits(rec, derived_edits(rec))).select("doc_id", "field", "edited")
+
+
+@query("date_rule_flags", with_base(LINE_SUMS + f""",
+exr AS (SELECT ex.k, ex.doc_id, a_subtotal AS sub, a_tax AS tax, a_total AS total, a_bill_date AS bill, a_due_date AS due,
+               a_vendor_name AS vendor_name, ls.line_sum, inv.n_items
+        FROM ex JOIN inv ON inv.k = ex.k LEFT JOIN ls ON ls.k = ex.k),
+det AS ({det_rows('exr')})
+SELECT doc_id, rule, severity, message FROM det WHERE rule_no >= 4"""))
+def q_date_rule_flags(spark, sf_dir):
+    """V4-V6 over the extracted copy, whose dates come in four forms and as
+    texts that are no dates."""
+    rec, ex = invoice_records(spark, sf_dir), extracted_sql()
+    paths = {f: path for f, (path, _) in E.EDITABLE.items()}
+    read = rec.selectExpr("doc_id", "record", *[f"{ex[f]} AS x_{f}" for f in paths])
+    col = F.col("record")
+    for f, path in paths.items():
+        col = col.withField(path, F.col(f"x_{f}"))
+    flags = V.rule_flags_sql(AS_OF, with_rule=True)
+    return (read.select("doc_id", col.alias("record")).selectExpr("doc_id", f"inline({flags})")
+            .where("rule >= 'V4'").select("doc_id", "rule", "severity", "message"))

@@ -48,7 +48,8 @@ def test_sliding_count_matches_window(spark):
     rows = [(i, "hot" if i % 4 else f"k{i % 3}", rnd.randint(0, 50) * 1_000_000) for i in range(600)]
     df = spark.createDataFrame(rows, "event_id long, key string, ts_us long")
     a = A.sliding_count(df, window_us=10_000_000, num_partitions=9).select("event_id", "n_in_window")
-    b = A.sliding_count_window(df, window_us=10_000_000).select("event_id", "n_in_window")
+    b = df.withColumn("n_in_window", F.expr(
+        "count(*) OVER (PARTITION BY key ORDER BY ts_us RANGE BETWEEN 9999999 PRECEDING AND CURRENT ROW)")).select("event_id", "n_in_window")
     assert a.count() == 600 and a.exceptAll(b).count() == 0
 
 
@@ -65,3 +66,15 @@ def test_segmented_admission_equals_fold(spark):
     b = A.admit(df, limit=3, window_us=H)
     cols = ["event_id", "ok", "remaining", "retry_after_s", "reset_at_us"]
     assert a.count() == 800 and a.select(cols).exceptAll(b.select(cols)).count() == 0
+
+
+def test_sliding_count_with_repeated_ids(spark):
+    rows = [("a", 1, 7), ("a", 1, 7), ("b", 1, 7), ("a", 5, 8), ("b", 100, 8)]
+    df = spark.createDataFrame(rows, "key string, ts_us long, event_id long")
+    got = sorted((r["key"], r["ts_us"], r["n_in_window"]) for r in A.sliding_count(df, window_us=10, num_partitions=3).collect())
+    assert got == [("a", 1, 2), ("a", 1, 2), ("a", 5, 3), ("b", 1, 1), ("b", 100, 1)]
+
+
+def test_client_key_trims_any_white_space(spark):
+    df = spark.createDataFrame([("\t203.0.113.9\n, 10.0.0.1", None), (None, "\t2001:db8::1 ")], "x_forwarded_for string, x_real_ip string")
+    assert [r[0] for r in df.selectExpr(f"{A.client_key_sql()} AS k").collect()] == ["203.0.113.9", "2001:db8::1"]

@@ -8,6 +8,7 @@ from ledgerlens.operators import custom_fields as CF
 from ledgerlens.operators import evidence as EV
 from ledgerlens.operators import extraction as X
 from ledgerlens.operators import reports as R
+from ledgerlens.schemas import GROUND_TRUTH_FIELDS
 from ledgerlens.sources.fixtures import read_corpus
 from ledgerlens.sources.sse import parse_sse
 
@@ -41,13 +42,23 @@ def test_corpus_scan(spark):
 def test_reports(spark, sf_small):
     from ledgerlens.plans.evaluation import document_scores
     docs = document_scores(spark, sf_small)
-    md = R.accuracy_markdown(docs, "2026-01-01", "m")
-    assert "| invoice_number |" in md and "## Per-Category Accuracy" in md
-    fm = R.failures_markdown(docs)
-    assert fm.startswith("# Eval Failures") and "## Errors" in fm
+    acc = R.accuracy_report(docs)
+    assert [r["name"] for r in acc.where("section = 'field'").orderBy("ordinal").collect()] == list(GROUND_TRUTH_FIELDS)
+    fail = R.failure_report(docs, 3)
+    assert fail.where("section = 'failure'").select("name").distinct().count() == 3
+    assert fail.where("section = 'error'").count() == docs.where("error IS NOT NULL").count()
     out = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     R.write_results(docs, os.path.join(out, "res"), "2026-01-01")
     assert spark.read.json(os.path.join(out, "res")).filter("run_date = '2026-01-01'").count() == docs.count()
+    R.write_report(fail, os.path.join(out, "fail"))
+    got = [json.loads(x) for p in sorted(os.listdir(os.path.join(out, "fail"))) if p.startswith("part-") for x in open(os.path.join(out, "fail", p))]
+    assert len(got) == fail.count() and [g["section"] for g in got] == sorted(g["section"] for g in got)
+    from ledgerlens.operators.exports import header_line, write_csv
+    from ledgerlens.sources.invoices import invoice_records
+    for fmt in ("summary", "line_items"):
+        write_csv(invoice_records(spark, sf_small).where("order_key < 40"), os.path.join(out, fmt), fmt)
+        text = "".join(open(os.path.join(out, fmt, p), newline="").read() for p in sorted(os.listdir(os.path.join(out, fmt))) if p.startswith("part-"))
+        assert text.split("\r\n")[0] == header_line(fmt) and text.count(header_line(fmt)) == 1
 
 
 def test_box_normalisation(spark):
@@ -79,3 +90,19 @@ def test_sse(spark):
     got = [(r["event"], r["data"]) for r in parse_sse(df).orderBy("pos").collect()]
     assert got == [("field", '{"a":1}'), ("message", "x"), ("b", "2")]
     assert parse_sse(df).first()["remainder"] == "event: e\ndata: par"
+
+
+def test_definition_values_must_be_strings(spark):
+    c = CF.check_definitions_sql("j")
+    rows = ['[{"id":"a","name":5,"type":"string","description":"12345"}]', '[{"id":"a","name":"n","type":"string","description":"12345"}]',
+            '{"id":"a"}', "5", "nope", "[]", '[{"id":"a","name":"n","type":"string"}]', "[null]", None]
+    df = spark.createDataFrame([(r,) for r in rows], "j string")
+    assert [r[0] for r in df.selectExpr(f"{c['reason']} AS r").collect()] == \
+        ["invalid-entry", None, "non-array", "non-array", "non-array", None, "invalid-entry", "invalid-entry", "non-array"]
+
+
+def test_present_null_is_shown(spark):
+    defs = spark.createDataFrame([("t", 0, "a", " A "), ("t", 1, "b", "B")], "tenant string, pos int, id string, name string")
+    values = spark.createDataFrame([("d", "t", "a", None)], "doc_id string, tenant string, id string, value string")
+    assert [tuple(r) for r in CF.display_values(defs, values).collect()] == [("d", 0, "A", None)]
+    assert CF.value_map(values).first()["custom_fields"] == {"a": None}

@@ -88,7 +88,24 @@ def test_edit_overlay_revalidates(spark):
                                    ("D0", "vendor_name", "  Acme  ", 1, 2)],
                                   "doc_id string, field string, raw string, ts long, seq long")
     ed = E.apply_edits(recs, edits)
-    r = ed.selectExpr("edited.total.value AS t", "edited.vendor.name AS v", "edited_fields",
-                      f"{E.display_flags_sql(AS_OF)} AS flags").collect()[0]
+    r = E.with_display_flags(ed, AS_OF).selectExpr("edited.total.value AS t", "edited.vendor.name AS v", "edited_fields", "flags").collect()[0]
     assert r["t"] == 108.0 and r["v"] == "Acme" and r["edited_fields"] == 2
     assert [(f["severity"], f["message"]) for f in r["flags"]] == [("info", "model note")]
+
+
+def test_dates_in_other_forms(spark):
+    for bill, due in (("04/15/2026", "April 1, 2026"), ("15-Apr-2026", "04/01/2026"), ("April 15 2026", "2026-04-01")):
+        det, _ = flags_of(spark, record(bill=bill, due=due))
+        assert det == [("V4", "error", f"Due date ({due}) is before bill date ({bill}).")]
+    det, _ = flags_of(spark, record(bill="July 1, 2026", due="02/30/2027"))
+    assert [d[0] for d in det] == ["V5"]
+
+
+def test_unedited_records_stay(spark):
+    recs = records_df(spark, [record(), record(vendor=None)])
+    edits = spark.createDataFrame([("D0", "po_number", "  ", 1, 0)], "doc_id string, field string, raw string, ts long, seq long")
+    ed = E.apply_edits(recs, edits)
+    assert {r["doc_id"]: (r["po"], r["edited_fields"]) for r in ed.selectExpr("doc_id", "edited.po_number.value AS po", "edited_fields").collect()} == \
+        {"D0": (None, 1), "D1": ("PO-1", 0)}
+    marks = E.edited_markers(ed).collect()
+    assert len(marks) == 18 and [(r["doc_id"], r["field"]) for r in marks if r["edited"]] == [("D0", "po_number")]
