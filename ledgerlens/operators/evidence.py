@@ -2,17 +2,15 @@
 
 For each (document, field) the variants are tried in order; the first
 variant (>= 2 characters after trim) that occurs in any text line wins, and
-the first such line. Instead of pairing every variant with every line, each
-variant row gets its document's text through one equi join on the document
-key and ``instr`` finds the first occurrence; the line number is the count
-of line breaks before it. Work is one row per variant, never variants x
-lines.
+the first such line. A document's variants stand as an array beside its text
+and ``instr`` finds the first occurrence of each; the line number is the count
+of line breaks before it. Work is one row per document: no variant rows, no
+variants x lines, and no shuffle when text and values are in one table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ledgerlens.functions.sql import js_trim, lit
 
@@ -54,33 +52,38 @@ def single_sql(s: str) -> str:
     return f"CASE WHEN {s} IS NULL OR {s} = '' THEN CAST(array() AS ARRAY<STRING>) ELSE array({s}) END"
 
 
-def field_variants(records: DataFrame, r: str = "record") -> DataFrame:
-    """doc_id, label_no, label, variant_no, variant (usable variants only)."""
+def labels_sql(r: str = "record") -> str:
+    """The nine labels of a record with their variants, as one array."""
     per_label = [single_sql(f"{r}.invoice_number.value"), word_fallbacks_sql(f"{r}.vendor.name"),
                  date_variants_sql(f"{r}.bill_date.value"), date_variants_sql(f"{r}.due_date.value"),
                  single_sql(f"{r}.po_number.value"), money_variants_sql(f"{r}.subtotal.value"),
                  money_variants_sql(f"{r}.tax.value"), money_variants_sql(f"{r}.total.value"),
                  single_sql(f"{r}.currency.value")]
-    arr = "array(" + ", ".join(f"named_struct('label_no', {i}, 'label', {lit(lb)}, 'vs', {v})"
+    return "array(" + ", ".join(f"named_struct('label_no', {i}, 'label', {lit(lb)}, 'vs', {v})"
                                 for i, (lb, v) in enumerate(zip(LABELS, per_label))) + ")"
-    return (records.selectExpr("doc_id", f"inline({arr})")
-            .selectExpr("doc_id", "label_no", "label", "posexplode(vs) AS (variant_no, variant)")
-            .filter(f"char_length({js_trim('variant')}) >= 2"))
+
+
+def field_variants(records: DataFrame) -> DataFrame:
+    """doc_id, labels: array of (label_no, label, vs)."""
+    return records.selectExpr("doc_id", f"{labels_sql()} AS labels")
+
+
+def lookup_within(docs: DataFrame) -> DataFrame:
+    """J6 over one table (doc_id, text, labels): per (doc, label) the winning variant and the 0-based line it was found on;
+    labels with no hit are absent."""
+    v = js_trim("v")
+    hit = (f"try_element_at(filter(transform(l.vs, (v, i) -> named_struct('no', i, 'p', CASE WHEN char_length({v}) >= 2 "
+           f"THEN instr(lt, lower({v})) ELSE 0 END)), x -> x.p > 0), 1)")
+    found = docs.selectExpr("doc_id", "lower(text) AS lt", "labels").selectExpr(
+        "doc_id", "lt", f"inline(filter(transform(labels, l -> named_struct('label_no', l.label_no, 'label', l.label, 'm', {hit})), "
+        "x -> x.m IS NOT NULL))")
+    return found.selectExpr("doc_id", "label_no", "label", "CAST(m.no AS BIGINT) AS variant_no",
+                            "CAST(size(split(substr(lt, 1, m.p - 1), '\\n', -1)) - 1 AS BIGINT) AS line_no")
 
 
 def lookup(variants: DataFrame, texts: DataFrame) -> DataFrame:
-    """Per (doc, label) the winning variant and the 0-based line it
-    was found on; labels with no hit are absent."""
-    # only the lower-cased text travels (line breaks are unchanged by lower())
-    j = variants.join(texts.selectExpr("doc_id", "lower(text) AS lt"), "doc_id")
-    hits = j.selectExpr("doc_id", "label_no", "label", "variant_no",
-                        f"instr(lt, lower({js_trim('variant')})) AS p", "lt").filter("p > 0").selectExpr(
-        "doc_id", "label_no", "label", "variant_no",
-        "size(split(substr(lt, 1, p - 1), '\\n', -1)) - 1 AS line_no")
-    return (hits.groupBy("doc_id", "label_no", "label")
-            .agg(F.min(F.struct("variant_no", "line_no")).alias("m"))
-            .selectExpr("doc_id", "label_no", "label", "CAST(m.variant_no AS BIGINT) AS variant_no",
-                        "CAST(m.line_no AS BIGINT) AS line_no"))
+    """J6 for values and texts in two tables: one equi join on the document."""
+    return lookup_within(variants.join(texts.select("doc_id", "text"), "doc_id"))
 
 
 def normalise_box_sql(x: str, y: str, width: str, height: str, t2: str, t3: str, scale: str,

@@ -147,7 +147,7 @@ def gap_segments(df: DataFrame, key: str, ts: str, order: list[str], gap: int,
         if last is not None:
             yield last
     tail_schema = T.StructType([T.StructField("_pid", T.IntegerType()), df.schema[key], df.schema[ts]])
-    tails = ranged.mapInPandas(last_row, tail_schema).limit(n + 1).collect()   # one row per partition
+    tails = ranged.mapInPandas(last_row, tail_schema).collect()   # one row per partition
     halo = sorted((r["_pid"], r[key], r[ts]) for r in tails)
     bc = spark.sparkContext.broadcast(halo)
     flagged_schema = T.StructType(tagged.fields + [T.StructField("_start", T.DoubleType())])

@@ -58,25 +58,25 @@ def rolling_median_prev(df: DataFrame, key: str, order: list[str], value: str, n
             yield last.assign(_rank=range(len(last)))[["_pid", key, value, "_rank"]]
 
     halo_rows = ranged.mapInPandas(tails, tail_schema)
-    rows = halo_rows.limit(n * parts + 1).collect()      # <= n rows per partition
+    rows = halo_rows.collect()      # at most n rows per partition, by construction
     halo = pd.DataFrame([r.asDict() for r in rows], columns=["_pid", key, value, "_rank"])
     bc = spark.sparkContext.broadcast(halo)
 
     out_schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
 
     def compute(it):
-        h = bc.value
-        pdfs = [p for p in it if not p.empty]
-        if not pdfs:
-            return
-        pdf = pd.concat(pdfs, ignore_index=True)
-        pid = int(pdf["_pid"].iloc[0])
-        first = pdf[key].iloc[0]
-        prev = h[(h["_pid"] < pid) & (h[key] == first)].sort_values(["_pid", "_rank"]).tail(n)
-        vals = pd.concat([prev[[key, value]], pdf[[key, value]]], ignore_index=True)
-        med = (vals.groupby(key, sort=False)[value]
-               .transform(lambda s: s.shift(1).rolling(n, min_periods=1).median()))
-        res = pdf.drop(columns=["_pid"]).copy()
-        res[out] = med.iloc[len(prev):].to_numpy()
-        yield res
+        h, tail = bc.value, None
+        for pdf in it:
+            if pdf.empty:
+                continue
+            if tail is None:
+                pid, first = int(pdf["_pid"].iloc[0]), pdf[key].iloc[0]
+                tail = h[(h["_pid"] < pid) & (h[key] == first)].sort_values(["_pid", "_rank"])[[key, value]].tail(n)
+            vals = pd.concat([tail, pdf[[key, value]]], ignore_index=True)
+            med = (vals.groupby(key, sort=False)[value]
+                   .transform(lambda s: s.shift(1).rolling(n, min_periods=1).median()))
+            res = pdf.drop(columns=["_pid"]).copy()
+            res[out] = med.iloc[len(tail):].to_numpy()
+            tail = vals[vals[key] == vals[key].iloc[-1]].tail(n)       # all that the next batch needs
+            yield res
     return ranged.mapInPandas(compute, out_schema)

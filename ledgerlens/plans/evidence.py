@@ -107,7 +107,8 @@ GROUP BY b.doc_id, b.label_no, b.label, b.variant_no"""
 @query("evidence_lookup", with_base(EVIDENCE_SQL))
 def q_evidence_lookup(spark, sf_dir):
     rec = invoice_records(spark, sf_dir)
-    return EV.lookup(EV.field_variants(rec), X.render_text(rec)).selectExpr(
+    docs = X.render_text(rec.select("doc_id", "record"), "record").selectExpr("doc_id", "text", f"{EV.labels_sql()} AS labels")
+    return EV.lookup_within(docs).selectExpr(
         "doc_id", "CAST(label_no AS INT) AS label_no", "label", "variant_no", "line_no")
 
 
