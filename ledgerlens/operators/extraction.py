@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ledgerlens import schemas as S
 from ledgerlens.functions.sql import fixed2, js_number
 
 # The item table header of the rendered documents.
@@ -62,9 +63,7 @@ def _label(text: str, label: str) -> str:
 
 
 def rule_extract_sql(text: str = "text") -> dict[str, str]:
-    """P15 (default extractor): labelled lines -> values. Confidence is
-    ``high`` when a labelled line was found (explicit label), else null
-    with reasoning "not found" - never a guess."""
+    """P15, header values: labelled lines -> values, null where there is no such line."""
     num = lambda label: f"try_cast({_label(text, label)} AS DOUBLE)"
     return {
         "invoice_number": _label(text, "Invoice Number"),
@@ -79,6 +78,37 @@ def rule_extract_sql(text: str = "text") -> dict[str, str]:
     }
 
 
+_LABELS = {"invoice_number": "Invoice Number", "bill_date": "Bill Date", "due_date": "Due Date", "po_number": "PO Number",
+           "subtotal": "Subtotal", "tax": "Tax", "total": "Total", "currency": "Currency"}
+ITEM_RE = r"^(.*?) {2,}(\\S+) {3,}(\\S+) {3,}(\\S+)$"
+
+
+def rule_records(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Full records (``schemas.RECORD``) from rendered texts. A value from its labelled line has confidence ``high`` and
+    names the line; a missing one is null with confidence ``low``. Items come from the lines between the table header and the next
+    empty line; no flags are raised here. One row per input row; input columns are kept."""
+    cols = texts.columns
+    ex = rule_extract_sql(text)
+    lines = f"split({text}, '\\n')"
+    staged = texts.selectExpr("*", *[f"{v} AS _{k}" for k, v in ex.items()], f"{lines} AS _lines")
+    staged = staged.selectExpr("*", f"array_position(_lines, '{ITEM_HEADER}') AS _head")
+    staged = staged.selectExpr("*", "CASE WHEN _head > 0 THEN slice(_lines, CAST(_head AS INT) + 1, size(_lines)) ELSE CAST(array() AS ARRAY<STRING>) END AS _rest")
+    staged = staged.selectExpr("*", "slice(_rest, 1, greatest(CAST(array_position(_rest, '') AS INT) - 1, 0)) AS _items")
+
+    def field(f: str, where: str) -> str:
+        return (f"named_struct('value', _{f}, 'confidence', CASE WHEN _{f} IS NULL THEN 'low' ELSE 'high' END, "
+                f"'reasoning', CASE WHEN _{f} IS NULL THEN 'No such line.' ELSE '{where}' END)")
+    vendor = ("named_struct('name', _vendor_name, 'address', CAST(NULL AS STRING), 'confidence', CASE WHEN _vendor_name IS NULL THEN 'low' ELSE 'high' END, "
+              "'reasoning', CASE WHEN _vendor_name IS NULL THEN 'No such line.' ELSE 'Line under the title.' END)")
+    part = lambda i: f"regexp_extract(x, '{ITEM_RE}', {i})"
+    items = (f"transform(filter(_items, x -> x RLIKE '{ITEM_RE}'), x -> named_struct('description', nullif(rtrim({part(1)}), ''), "
+             f"'quantity', try_cast({part(2)} AS DOUBLE), 'unit_price', try_cast({part(3)} AS DOUBLE), 'amount', try_cast({part(4)} AS DOUBLE), "
+             "'reasoning', 'Row of the item table.'))")
+    head = {f: field(f, f"Line labelled {_LABELS[f]}.") for f in _LABELS} | {"vendor": vendor, "line_items": items,
+                                                                          "flags": "CAST(array() AS ARRAY<STRUCT<severity: STRING, message: STRING>>)"}
+    return staged.selectExpr(*cols, "named_struct(" + ", ".join(f"'{f.name}', {head[f.name]}" for f in S.RECORD.fields) + ") AS record")
+
+
 BBOX_RE = (r"^\\[bbox:\\s*([-\\d.]+)\\s*,\\s*([-\\d.]+)\\s*,\\s*([-\\d.]+)\\s*,\\s*([-\\d.]+)\\s*\\]\\s*")
 BBOX_NONE_RE = r"(?i)^\\[bbox:\\s*none\\s*\\]\\s*"
 NUM_PREFIX = r"^[+-]?(\\d+\\.?\\d*|\\.\\d+)"

@@ -6,7 +6,9 @@ inspected, as column expressions over the ``binaryFile`` schema."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerlens.functions.sql import js_trim
 from ledgerlens.operators.errors import pdf_error_code_sql
 
 MAX_PDF_BYTES = 25 * 1024 * 1024
@@ -18,11 +20,11 @@ IMAGE_MIME = (("image/jpeg", "image/jpeg"), ("image/jpg", "image/jpeg"), ("image
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """One row per file (path, modificationTime, length, content)."""
+    """One row per file (path, modificationTime, length, content, name; no declared type), ready for ``triage``."""
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.load(path)
+    return r.load(path).selectExpr("*", "regexp_extract(path, '([^/]+)$', 1) AS name", "CAST(NULL AS STRING) AS declared_mime")
 
 
 def triage_sql(name: str = "name", mime: str = "declared_mime", content: str = "content",
@@ -57,3 +59,19 @@ def triage(files: DataFrame) -> DataFrame:
     t = triage_sql()
     return files.selectExpr("*", *[f"{v} AS {k}" for k, v in t.items()]).selectExpr(
         "*", "kind = 'image' AS vision_used")
+
+
+def route(files: DataFrame) -> DataFrame:
+    """S3, S5, P19 after a text extractor has run over the PDFs of ``triage``: columns ``pdf_text`` (the text layer), ``pdf_pages`` and
+    ``pdf_failed`` (the extractor gave up) come in, ``outcome``, ``input`` (image, pdf, text or error), ``vision_used``, ``num_pages``
+    (1 unless known) and ``category`` (of the log line) go out. A PDF without text is no error: its bytes go to vision."""
+    out = files.selectExpr(
+        "*", "CASE WHEN kind <> 'pdf' THEN NULL WHEN coalesce(pdf_failed, false) THEN 'parse_failed' "
+             f"WHEN coalesce({js_trim('pdf_text')}, '') = '' THEN 'image_only' END AS outcome").drop("vision_used")
+    out = out.withColumn("error_code", F.expr(f"CASE WHEN outcome = 'parse_failed' THEN {pdf_error_code_sql('outcome')} ELSE error_code END"))
+    return out.selectExpr(
+        "*", "CASE WHEN error_code IS NOT NULL THEN 'error' WHEN kind = 'image' THEN 'image' WHEN outcome = 'image_only' THEN 'pdf' ELSE 'text' END AS input",
+        ).selectExpr("*", "input IN ('image', 'pdf') AS vision_used",
+                     "CASE WHEN kind = 'pdf' AND input <> 'error' THEN coalesce(pdf_pages, 1) ELSE 1 END AS num_pages",
+                     "CASE input WHEN 'image' THEN 'image-received' WHEN 'pdf' THEN 'pdf-vision-fallback' WHEN 'text' THEN 'pdf-parsed' "
+                     "ELSE error_code END AS category")

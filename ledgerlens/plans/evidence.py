@@ -60,6 +60,23 @@ def q_rule_extraction(spark, sf_dir):
     return _texts(spark, sf_dir).selectExpr("doc_id", *[f"{v} AS {k}" for k, v in ex.items()])
 
 
+@query("rule_records", with_base(TEXT_CTE + """,
+it AS (SELECT k, count(*) AS n, round(sum(CAST(printf('%.2f', quantity * unit_price) AS DOUBLE)), 2) AS amount, sum(quantity) AS quantity,
+              md5(string_agg(coalesce(nullif(rtrim(description), ''), '-'), '|' ORDER BY pos)) AS names FROM items GROUP BY k)
+SELECT inv.doc_id, CAST(coalesce(it.n, 0) AS INTEGER) AS n_items, coalesce(it.amount, 0.0) AS amount, coalesce(it.quantity, 0.0) AS quantity,
+       coalesce(it.names, md5('')) AS names, CAST(7 + CASE WHEN vendor_name IS NULL THEN 0 ELSE 1 END + CASE WHEN po IS NULL THEN 0 ELSE 1 END
+         - CASE WHEN due IS NULL THEN 1 ELSE 0 END AS BIGINT) AS high, inv.total
+FROM inv LEFT JOIN it ON it.k = inv.k"""))
+def q_rule_records(spark, sf_dir):
+    """Whole records back from the rendered texts, with confidence and line items."""
+    from ledgerlens.operators.validation import confidence_counts_sql
+    r = X.rule_records(_texts(spark, sf_dir))
+    add = "aggregate(record.line_items, 0D, (s, x) -> s + coalesce(x.{0}, 0D))"
+    return r.selectExpr("doc_id", "size(record.line_items) AS n_items", f"round({add.format('amount')}, 2) AS amount", f"{add.format('quantity')} AS quantity",
+                        "md5(array_join(transform(record.line_items, x -> coalesce(x.description, '-')), '|')) AS names",
+                        confidence_counts_sql()[0], "record.total.value AS total")
+
+
 _MONTHS = "[" + ", ".join(f"'{m}'" for m in EV.MONTHS) + "]"
 
 

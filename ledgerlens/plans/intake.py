@@ -195,7 +195,7 @@ NAME_SQL = "'doc' || CAST(page_id AS {s}) || CASE WHEN page_id % 3 = 0 THEN '.pd
 REPS_SQL = "CASE WHEN page_id % 50 = 4 THEN 4000 ELSE 1 END"
 
 
-@query("file_triage", f"""
+_TRIAGE = f"""
 SELECT page_id, name, declared_mime, length, kind, image_mime, error_code, cap_bytes, kind = 'image' AS vision_used
 FROM (SELECT *, CASE WHEN err IS NOT NULL THEN 'error' WHEN img IS NOT NULL THEN 'image' ELSE 'pdf' END AS kind,
              img AS image_mime, err AS error_code, cap AS cap_bytes
@@ -216,7 +216,10 @@ FROM (SELECT *, CASE WHEN err IS NOT NULL THEN 'error' WHEN img IS NOT NULL THEN
                       ELSE CAST(length({PREFIX_HEX}) / 2 + octet_length(encode(html)) * {REPS_SQL} AS BIGINT) END AS length,
                  CASE WHEN page_id % 11 = 0 THEN '' ELSE substr({PREFIX_HEX} || hex(encode(html)), 1, 24) END AS head,
                  (lower({MIME_SQL}) = 'application/pdf' OR ends_with(lower({NAME_SQL.format(s='VARCHAR')}), '.pdf')) AS looks_pdf
-              FROM pages) s0) s1) s2) s3) s4""")
+              FROM pages) s0) s1) s2) s3) s4"""
+
+
+@query("file_triage", _TRIAGE)
 def q_file_triage(spark, sf_dir):
     """S1-S5, P19 over binary files built from the pages (magic-byte
     prefixes, declared types, empty files, an oversized image)."""
@@ -231,6 +234,27 @@ def q_file_triage(spark, sf_dir):
                     "cap_bytes", "vision_used")
 
 
+_TEXT_SQL = "CASE WHEN page_id % 4 = 0 THEN ' ' || {nl} || '  ' WHEN page_id % 4 = 1 THEN NULL ELSE html END"
+
+
+@query("input_routing", f"""
+SELECT page_id, outcome, error_code, input, input IN ('image', 'pdf') AS vision_used,
+       CAST(CASE WHEN kind = 'pdf' AND input <> 'error' THEN coalesce(pages, 1) ELSE 1 END AS INTEGER) AS num_pages,
+       CASE input WHEN 'image' THEN 'image-received' WHEN 'pdf' THEN 'pdf-vision-fallback' WHEN 'text' THEN 'pdf-parsed' ELSE error_code END AS category
+FROM (SELECT page_id, kind, pages, outcome, CASE WHEN outcome = 'parse_failed' THEN 'corrupt-PDF' ELSE error_code END AS error_code,
+        CASE WHEN error_code IS NOT NULL OR outcome = 'parse_failed' THEN 'error' WHEN kind = 'image' THEN 'image'
+             WHEN outcome = 'image_only' THEN 'pdf' ELSE 'text' END AS input
+      FROM (SELECT t.*, nullif(p.page_id % 6, 0) AS pages, CASE WHEN kind <> 'pdf' THEN NULL WHEN p.page_id % 10 = 3 THEN 'parse_failed'
+              WHEN coalesce(regexp_replace({_TEXT_SQL.format(nl='chr(10)').replace('page_id', 'p.page_id').replace('html', 'p.html')}, '^\\s+|\\s+$', '', 'g'), '') = '' THEN 'image_only' END AS outcome
+            FROM ({_TRIAGE}) t JOIN pages p ON p.page_id = t.page_id) a) b""")
+def q_input_routing(spark, sf_dir):
+    """The files of ``file_triage`` with a text layer beside each PDF (some blank, some missing, some unreadable)."""
+    text = read_table(spark, sf_dir, "pages", "page_id", "html").selectExpr(
+        "page_id", f"{_TEXT_SQL.format(nl='char(10)')} AS pdf_text", "CAST(nullif(page_id % 6, 0) AS INT) AS pdf_pages", "page_id % 10 = 3 AS pdf_failed")
+    return IN.route(q_file_triage(spark, sf_dir).join(text, "page_id")).select(
+        "page_id", "outcome", "error_code", "input", "vision_used", "num_pages", "category")
+
+
 # ----------------------------------------------------------- custom fields
 from ledgerlens.plans.evidence import TEXT_CTE  # noqa: E402
 from ledgerlens.plans.oracle_base import with_base  # noqa: E402

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens import schemas as S
 from ledgerlens.functions.sql import fixed2, round2
 from ledgerlens.session import ensure_checkpoint_dir, ensure_utc
-from ledgerlens.sources.tables import read_table
+from ledgerlens.sources.tables import read_table, table_path
 
 AS_OF = "2001-01-01"          # "today" for the future-bill-date rule
 TAX_RATE = 0.08
@@ -99,7 +99,7 @@ def invoice_records(spark: SparkSession, sf_dir: str, materialize: bool = True)
     if not materialize:
         return build_invoice_records(spark, sf_dir)
     ensure_utc(spark)
-    key = _view_key(sf_dir)
+    key = _view_key(spark, sf_dir)
     sc = spark.sparkContext
     cache_key = (sc.applicationId, key)
     with _VIEWS_LOCK:            # one writer per view when queries run in threads
@@ -112,17 +112,16 @@ def invoice_records(spark: SparkSession, sf_dir: str, materialize: bool = True)
     return spark.read.parquet(path)
 
 
-def _view_key(sf_dir: str) -> str:
+def _view_key(spark: SparkSession, sf_dir: str) -> str:
+    """Hash of the input folder and its files' names, sizes and modification times, by Spark's own file system."""
     import hashlib
-    import os
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    h = hashlib.sha1(sf_dir.encode())
+    sc = spark.sparkContext
     for t in ("orders", "lineitem", "part", "customer"):
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{st.st_mtime_ns}".encode())
-        except OSError:
-            h.update(f"{t}:remote".encode())
+        path = sc._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, t))
+        found = path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
+        for x in sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in found):
+            h.update(f"{t}:{x}".encode())
     return h.hexdigest()[:16]
 
 
