@@ -87,7 +87,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
         at = at.withColumn("word", F.lower("word")).join(probe, F.col("word") == F.col("token"))
         start, size = F.col("pos") - F.col("off"), F.size("win")
         at = at.where((start >= 0) & (start + size <= F.size("w")))
-        same = F.concat_ws(" ", F.slice("w", start + 1, size))
+        same = F.concat_ws(" ", F.slice("w", F.greatest(start + 1, F.lit(1)), size))     # filters may run in any order
         found.append(at.where((size == 0) | (_lower(same) == F.concat_ws(" ", "win")))
                      .select("id", "key", F.size("w").cast("long").alias("n_words"), start.alias("start"), size.alias("len"), "win"))
     return reduce(DataFrame.union, found)
