@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import no_text, text_batches
 
-MAX_FIT_PAGES, MAX_FIT_BYTES = 300, 1 << 18
+MAX_FIT_PAGES, MAX_FIT_BYTES = 200, 1 << 16
 PATH_BUCKETS, WORD_BUCKETS, WIDTH, HIDDEN = 512, 1024, 12, 16
 NUMBERS = 6
 ROUNDS, BATCH, RATE = 5, 16, 0.01
@@ -269,7 +269,7 @@ def _varied(blocks: list[Block], rng: np.random.Generator, texts: list[str]) ->
     outer = blocks[0].path[:2]
 
     def pick(words: int) -> str:
-        return " ".join(str(rng.choice(texts)).split()[:words])
+        return " ".join(texts[int(rng.integers(len(texts)))].split()[:words])
     extra: list[tuple[int, list[Block]]] = []
     for kind in ("comments", "sidebar", "notice", "ad", "form"):
         if rng.random() < 0.5 or not body or not texts:
