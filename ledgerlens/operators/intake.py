@@ -20,7 +20,8 @@ IMAGE_MIME = (("image/jpeg", "image/jpeg"), ("image/jpg", "image/jpeg"), ("image
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """One row per file (path, modificationTime, length, content, name; no declared type), ready for ``triage``."""
+    """One row per file (path, modificationTime, length, content, name; no declared type), ready for ``triage``.
+    Spark's file sources pass over files of length 0, so those need a listing of their own."""
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)

@@ -4,6 +4,7 @@ oracle text is present for the queries that claim one."""
 import pytest
 
 import __spark_entry__ as E
+from ledgerlens.plans import registry
 
 
 def test_entry(spark):
@@ -11,9 +12,9 @@ def test_entry(spark):
     assert df.count() == 9
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_runs(spark, sf_small, name):
-    df = E.queries()[name](spark, sf_small)
+    df = registry.queries()[name](spark, sf_small)
     assert df.count() >= 0
     assert len(df.columns) == len(set(df.columns))
 

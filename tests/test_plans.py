@@ -5,14 +5,14 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from ledgerlens.plans import registry
 
 WIDE = {"lineitem": 11, "orders": 6, "events": 6, "pages": 3}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_plan_shape(spark, sf_small, name):
-    df = E.queries()[name](spark, sf_small)
+    df = registry.queries()[name](spark, sf_small)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
