@@ -9,7 +9,7 @@ column p % length, and a memory-mapped file gives any sequence, or any document'
 An index (file, document, place, count) goes beside the files; a file's name holds its task attempt, and
 only files that the index names count, so a lost executor or a second attempt leaves no trace.
 
-Each worker keeps the ids of up to about ``CACHE`` stretches of text that it has met.
+Each worker keeps the ids of up to about ``CACHE`` stretches and ``CUT_CACHE`` cuts that it has met.
 
 Edge cases: null text counts as empty; an empty document has just the end id; null ids sort first; repeated rows
 are documents of their own, ordered by text hash; no rows write no file.
@@ -35,7 +35,7 @@ from .common import checkpoint, no_text, shared_path, text_batches
 LENGTH = 2048
 BATCH_ROWS = 256
 END_ID = 0
-CACHE = 400_000
+CACHE, CUT_CACHE = 500_000, 1_000_000
 LONG, LINES = 64, 128
 VOCABULARY = "byte_bpe_50k.json"
 #: White space of the tokenizer's own splitting rule (Unicode White_Space).
@@ -45,6 +45,12 @@ _RUN = re.compile(f"[{_SPACE}][{_SPACE}]")
 _worker: dict = {}
 
 
+def _plain(text: str) -> bool:
+    """A quick yes for ASCII texts whose white space is single spaces and line ends between words."""
+    return (text.isascii() and len(text.split()) == text.count(" ") + text.count("\n") + 1
+            and not any(c in text for c in "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"))
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
     return str(public_tokenizers.path(name))
@@ -90,7 +96,7 @@ class Encoder:
 
     def _piece_ids(self, texts: list[str]) -> list[bytes]:
         """Ids of new stretches of text, each whole between two cuts."""
-        if len(self.parts) > CACHE:
+        if len(self.parts) > CUT_CACHE:
             self.parts.clear()
         cut = [self.cuts(t) for t in texts]
         self._cut_ids(list(set(chain.from_iterable(cut)).difference(self.parts)))
@@ -103,8 +109,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """A single space or line end between other characters always begins a cut, so texts fall into pieces there; a text
         with longer runs of white space is one piece."""
-        whole = [i for i, t in enumerate(texts) if _RUN.search(t)]
-        odd = set(whole)
+        odd = {i for i, t in enumerate(texts) if not _plain(t) and _RUN.search(t)}
         pieces = [[] if i in odd else t.replace("\n", " \n").split(" ") for i, t in enumerate(texts)]
         first = [texts[i] if i in odd else p[0] for i, p in enumerate(pieces)]
         rest = [p[1:] for p in pieces]
