@@ -120,7 +120,8 @@ def _round(units: DataFrame, seed: int, level: int, one: int) -> DataFrame:
         pi = flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(), np.random.default_rng(key),
                     int(pdf["blocks"].iloc[0]) == 1)
         return pdf[["rid", "skey", "size", "ord"]].assign(pi=pi)
-    return units.groupBy("skey", "block").applyInPandas(fly, "rid long, skey long, size long, ord long, pi double")
+    # dealt out by block: the join before leaves a source's rows together
+    return units.repartition("skey", "block").groupBy("skey", "block").applyInPandas(fly, "rid long, skey long, size long, ord long, pi double")
 
 
 def choose(units: DataFrame, seed: int = 8) -> DataFrame:
