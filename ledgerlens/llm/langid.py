@@ -8,8 +8,10 @@ pass gives the expected count of each piece in each language.
 Words are runs of letters in lower case, so a text's score needs each distinct word's forward pass only
 once per batch. Passes run over many words side by side, for all languages at once.
 
-Fitting takes the labelled rows up to ``MAX_FIT_ROWS`` (by a hash of the id, a documented bound); its word counts
-and expected counts are aggregated by Spark, and what reaches the driver is one number per piece and language.
+Fitting takes the labelled rows up to ``MAX_FIT_ROWS`` (a documented bound): every language has an equal share of them,
+drawn by a hash of the id, and languages with fewer rows are taken whole, so each language with a letter in its rows is
+learned at every table size. Word counts and expected counts are aggregated by Spark, and what reaches the driver is one
+number per piece and language.
 
 Edge cases: text that is null or has no letter is ``und`` with score 0; without any labelled row every text is ``und``; one language
 gets score 1; ties go to the smallest language; repeated rows score alike; letters outside the vocabulary are single
@@ -199,15 +201,34 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def shares(rows: dict[str, int], total: int) -> dict[str, int]:
+    """How many rows of each language to fit on: equal shares of ``total``, what small languages leave goes to the others; one row at least."""
+    out, left = {}, total
+    for k, x in enumerate(sorted(rows, key=lambda x: (rows[x], x))):
+        out[x] = min(rows[x], max(1, left // (len(rows) - k)))
+        left -= out[x]
+    return out
+
+
+def _fit_rows(rows: DataFrame, max_rows: int) -> DataFrame:
+    """About ``max_rows`` of the rows (i, t, lang), by language."""
+    spread = 1 << 40
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("i"), F.lit(spread)))
+    found = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()}
+    if sum(r["n"] for r in found.values()) <= max_rows:
+        return rows
+    take = shares({x: r["n"] for x, r in found.items()}, max_rows)
+    cuts = [(x, max(take[x] * spread // r["n"], r["least"] + 1)) for x, r in found.items()]
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(cuts, "lang string, cut long")), "lang").where("h < cut")
+
+
 def train(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_FIT_ROWS,
           rounds: int = ROUNDS) -> dict:
     """``langs`` (sorted) and ``logp`` (pieces + 1, langs). ``df`` has the rows to learn from."""
     spark = df.sparkSession
     text_batches(spark)
     rows = df.select(F.col(id_col).cast("string").alias("i"), no_text(text).alias("t"), F.col(lang).cast("string").alias("lang")).where("lang is not null")
-    n = rows.select("lang").count()
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 40)) < int(max_rows / n * (1 << 40)))
+    rows = _fit_rows(rows.where(F.col("t").rlike(r"\p{L}")), max_rows)     # rows without a letter teach nothing
     words = checkpoint(rows.select("t", "lang").mapInArrow(_word_counts, "lang string, word string, n long")
                        .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     size = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}

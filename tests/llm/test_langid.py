@@ -71,3 +71,22 @@ def test_edge_cases(docs):
     empty = langid.train(df.limit(0))
     assert {r["lang_pred"] for r in langid.predict(df.select("doc_id", "text"), empty).collect()} == {"und"}
     assert langid.predict(df.limit(0), model).count() == 0
+
+
+def test_rare_languages_are_learned_at_every_size(docs):
+    """Few rows of one language, some without letters, among many of others."""
+    words = {"en": "the station and the house", "fr": "la gare et la maison"}
+    rows = [(i, words["en" if i % 3 else "fr"], "en" if i % 3 else "fr") for i in range(2000)]
+    rows += [(5000 + i, "das haus und der hund", "de") for i in range(3)]
+    rows += [(6000 + i, "12 !!" if i else "la casa y el perro", "es") for i in range(400)]
+    for max_rows in (40, 400, 4000):
+        model = langid.train(docs(rows), max_rows=max_rows, rounds=2)
+        assert model["langs"] == ["de", "en", "es", "fr"]
+    got = langid.predict(docs([(1, "das haus und der hund")]).select("doc_id", "text"), langid.train(docs(rows), max_rows=40)).collect()
+    assert got[0]["lang_pred"] == "de"
+
+
+def test_shares_keep_the_bound():
+    assert langid.shares({"a": 5_000_000, "b": 500, "c": 3_000_000}, 8000) == {"a": 3750, "b": 500, "c": 3750}
+    assert langid.shares({"a": 3, "b": 2}, 8000) == {"a": 3, "b": 2}
+    assert langid.shares({"a": 9, "b": 9, "c": 9}, 2) == {"a": 1, "b": 1, "c": 1}
