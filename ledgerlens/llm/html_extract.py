@@ -14,6 +14,8 @@ of the page, a documented bound).
 Scripts, styles, comments and the head hold no blocks. Character references are decoded, white space in a block becomes one
 space, blocks are joined in page order by one space; nothing else is dropped or cut.
 
+Tags end as in browsers: quoted attribute values of any length may hold '>'; a quote that never closes is a plain character.
+
 Edge cases: null and empty html, and pages without text, give an empty text; unclosed or stray tags are closed or passed over as they
 come; if no page marks an article, blocks outside the boilerplate parts are taken; repeated rows get equal texts;
 very long pages are read as one sequence.
@@ -53,8 +55,11 @@ BOILERPLATE_WORDS = frozenset("ad ads advert advertisement banner breadcrumb com
                               "newsletter notice popup promo related share sidebar social sponsor subscribe widget".split())
 PLAIN_NAMES = ("content", "post", "entry", "story", "body", "text", "page", "wrap", "")
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
-                  r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4000}"|'[^']{0,4000}')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z])""", re.S)
+_TAG_NAME = re.compile(r"[^\s/>]*+")
+#: One attribute, or the space between two. A quote opens a value after "=" only, and only if it closes; else it is a plain character.
+_ATTR = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)"""
+_ONE_ATTR, _TAG_END = re.compile(_ATTR), re.compile(rf"{_ATTR}*+>")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 _END = {t: re.compile(rf"</{t}\s*>|</{t}\Z", re.I) for t in RAW}
@@ -76,13 +81,29 @@ def _shut(stack: list[tuple], tag: str) -> None:
         del stack[k:]
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """The end of the tag whose attributes start at ``at``. If quoted values hold every '>' up to the end of the page, it
+    is the first '>'; ``dead`` keeps the places from where that is so, and each is walked only once."""
+    if not dead and (m := _TAG_END.match(page, at)):
+        return m.end()
+    place, walked = at, []
+    while place < len(page) and place not in dead:
+        if page[place] == ">":
+            return place + 1
+        walked.append(place)
+        place = _ONE_ATTR.match(page, place).end()
+    dead.update(walked)
+    return page.index(">", at) + 1
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks with their paths: a tuple of (tag, class and id words) from the outside in."""
     page = page or ""
     out: list[Block] = []
     stack: list[tuple] = []
     parts: list[str] = []
-    linked = at = 0
+    linked = at = seek = 0
+    last, dead = page.rfind(">"), set()
 
     def close() -> None:
         nonlocal linked
@@ -93,7 +114,10 @@ def blocks_of(page: str | None) -> list[Block]:
             parts.clear()
         linked = 0
     while True:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, max(at, seek))
+        if m and m[3] and m.start() > last:     # no tag: nothing ends it
+            seek = m.start() + 1
+            continue
         if m is None or m.start() > at:
             piece = page[at:m.start() if m else None]
             parts.append(piece)
@@ -104,10 +128,11 @@ def blocks_of(page: str | None) -> list[Block]:
         at = m.end()
         if m[1] is not None:
             parts.append(m[1])
-        tag = (m[3] or m[6] or "").lower()
-        if not tag:
+        if not m[3]:
             continue
-        if m[2] or m[5]:
+        name_end = _TAG_NAME.match(page, at).end()
+        tag, at = page[m.start(3):name_end].lower(), _tag_end(page, name_end, dead)
+        if m[2]:
             if tag not in INLINE:
                 close()
             if any(x[0] == tag for x in stack):
@@ -117,7 +142,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
-        attrs = m[4] if m[3] else m[7]
+        attrs = page[name_end:at - 1]
         if tag in RAW and not attrs.rstrip().endswith("/"):
             close()
             end = _END[tag].search(page, at)

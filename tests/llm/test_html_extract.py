@@ -37,6 +37,34 @@ def test_blocks():
     assert H.blocks_of(page)[0].path[0] == ("body", ("home", "page"))
 
 
+def test_long_attributes_hold_tags():
+    """Quoted values of any length end only at their quote; a quote that never closes does not hide the page."""
+    for n in (3_000, 5_000, 100_000):
+        for quote, other in ('"\'', "'\""):
+            value = f"a > b <p>inside {other}</p> "
+            value *= n // len(value) + 1
+            page = f"<article><div data-x={quote}{value}{quote} class=k title={quote}>{quote}>One<br/>two</div x={quote}{value}{quote}><p id=z>three</p></article>"
+            got = [(b.text, b.path[1:]) for b in H.blocks_of(page)]
+            assert [t for t, _ in got] == ["One two", "three"] and got[0][1][0][0] == "div" and got[1][1] == (("p", ("z",)),)
+    texts = lambda page: [b.text for b in H.blocks_of(page)]
+    assert texts('<p title="a>one</p><p>two</p>') == ["one", "two"]
+    assert texts('<p title=\'a>one</p><p title="x>y">two</p>') == ["one", "two"]
+    assert texts('<p don\'t>one</p><p href=x">it\'s</p><p title="x">two</p>') == ["one", "it's", "two"]
+    assert texts('<p>one</p> a <b and <i') == ["one", "a <b and <i"]
+
+
+def test_broken_tags_take_linear_time():
+    import time
+    for unit in ("<a", "<a ", '<a b="', "<a b='", "<a b=\">\"c='>'", "<a b=\">\" 'c=", "<a b=\"'>\" ", "<", "</a "):
+        took = []
+        for n in (50_000, 400_000):
+            page = "<p>x</p>" + unit * (n // len(unit))
+            began = time.perf_counter()
+            H.blocks_of(page)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 40 * took[0] + 0.5, unit
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     pages = [H._inputs(H.blocks_of(f"<div><p>some words {i}</p><p>more, words here.</p></div>" * (i + 1))) for i in range(3)]
