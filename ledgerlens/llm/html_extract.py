@@ -8,8 +8,8 @@ block is judged by the whole page, and labels it main text or not.
 No page carries labels, so the labeller learns from pages that mark their article themselves (``article``, ``main``): a block is main
 text if it lies in there and in none of the boilerplate parts below. To carry over to pages without such marks, each training page
 is also shown with the marking tags renamed to plain ones, and with added sidebars, notices, adverts, forms and
-reader comments, made of other training pages' sentences. Training takes about ``MAX_FIT_PAGES`` pages (by a hash
-of the page, a documented bound).
+reader comments, made of other training pages' sentences. Training takes the first ``MAX_FIT_PAGES`` distinct marked
+pages by a hash of the page, of at most ``MAX_FIT_BYTES`` each (documented bounds).
 
 Scripts, styles, comments and the head hold no blocks. Character references are decoded, white space in a block becomes one
 space, blocks are joined in page order by one space; nothing else is dropped or cut.
@@ -363,14 +363,38 @@ def main_texts(model: dict | None, pages: list[str | None]) -> list[str]:
     return [" ".join(b.text for b, k in zip(bs, keep) if k) for bs, keep in zip(cut, label_blocks(model, cut))]
 
 
-def train(df: DataFrame, html: str = "html", max_pages: int = MAX_FIT_PAGES) -> dict | None:
-    """Fits the labeller on about ``max_pages`` pages of at most ``MAX_FIT_BYTES``."""
+def is_marked(page: str) -> bool:
+    """Whether ``fit`` can learn from the page."""
+    return any(silver(b.path) for b in blocks_of(page))
+
+
+def _marked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = pa.array([is_marked(h) for h in b.column("h").to_pylist()], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("k").filter(found)], names=["k"])
+
+
+def training_pages(df: DataFrame, html: str = "html", max_pages: int = MAX_FIT_PAGES) -> list[str]:
+    """Of the distinct pages of at most ``MAX_FIT_BYTES`` that mark an article, the ``max_pages`` smallest by a hash of the
+    page. Slices of the hash are read, eight times wider each time, until one holds enough marked pages or is the whole table."""
     text_batches(df.sparkSession)
-    rows = df.select(no_text(html).alias("h")).where((F.octet_length("h") > 0) & (F.octet_length("h") <= MAX_FIT_BYTES))
+    spread = 1 << 40
+    rows = (df.select(no_text(html).alias("h")).where((F.octet_length("h") > 0) & (F.octet_length("h") <= MAX_FIT_BYTES))
+            .where(F.col("h").rlike("(?i)<(" + "|".join(sorted(ARTICLE)) + ")")).select("h", F.pmod(F.xxhash64("h"), F.lit(spread)).alias("k")))
     n = rows.count()
-    if n > max_pages:
-        rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < int(max_pages / n * (1 << 40)))
-    return fit(sorted({r["h"] for r in rows.limit(4 * max_pages).collect()}))
+    cut = min(spread, 2 * max_pages * spread // max(1, n))
+    while True:
+        marked = rows.where(F.col("k") < cut).select("h", "k").mapInArrow(_marked_keys, "k long").distinct()
+        keys = [r["k"] for r in marked.orderBy("k").limit(max_pages).collect()]
+        if len(keys) >= max_pages or cut >= spread:
+            break
+        cut = min(spread, 8 * cut)
+    return sorted(r["h"] for r in rows.where(F.col("k").isin(keys)).groupBy("k").agg(F.first("h").alias("h")).collect()) if keys else []
+
+
+def train(df: DataFrame, html: str = "html", max_pages: int = MAX_FIT_PAGES) -> dict | None:
+    """Fits the labeller on at most ``max_pages`` marked pages of at most ``MAX_FIT_BYTES``; None if no page marks an article."""
+    return fit(training_pages(df, html, max_pages))
 
 
 def extract(df: DataFrame, model: dict | None, html: str = "html", out: str = "text") -> DataFrame:

@@ -118,3 +118,17 @@ def test_edge_cases(spark, model):
     assert len(rows) == 6 and got[1] == got[2] == got[4] == "" and got[3] in ("", "A <b>")
     assert H.train(df.limit(0)) is None and H.main_texts(None, ["<nav>x</nav><p>y</p>"]) == ["y"]
     assert H.extract(df.limit(0).withColumnRenamed("text", "url"), None).count() == 0
+
+
+def test_fitting_pages_are_distinct_marked_ones(spark, monkeypatch):
+    """Few marked pages among many, marks in comments, a large group of copies."""
+    seen = []
+    monkeypatch.setattr(H, "fit", lambda pages: seen.append(list(pages)))
+    marked = [f"<body><ARTICLE class=a><p>text {i}</p></article></body>" for i in range(4)]
+    plain = [f"<!-- <article> --><script>'<main>'</script><p>page {i}</p>" if i % 2 else f"<p>page {i}</p>" for i in range(800)]
+    H.train(spark.createDataFrame([(p,) for p in plain + marked], "html string"), max_pages=20)
+    assert seen.pop() == marked
+    many = [f"<main><p>text {i}</p></main>" for i in range(60)]
+    for rows in ([many[0]] * 500 + many, many[::-1] + [many[7]] * 500):
+        H.train(spark.createDataFrame([(p,) for p in rows], "html string").repartition(5), max_pages=10)
+    assert seen[0] == seen[1] and len(set(seen[0])) == len(seen[0]) == 10 and set(seen[0]) <= set(many)
