@@ -5,8 +5,8 @@ A document's features are the presence of its character n-grams (``ORDERS`` code
 clean training documents that hold it; a logistic regression with L2 penalty is fitted on those values. Only buckets
 whose ratio is at least ``MIN_RATIO`` on at least ``MIN_DOCS`` documents take part.
 
-Document counts per bucket come from all labelled training rows up to ``MAX_FIT_ROWS`` (taken by a hash of the id, a
-documented bound on what is fitted); the weights are fitted on those rows too. Every whole text is
+Document counts per bucket come from all labelled training rows. The weights are fitted on up to ``MAX_FIT_ROWS`` of them
+(by a hash of the id, a documented bound on what is fitted): half of each label, and all rows of a label with fewer. Every whole text is
 scored, in windows, so memory follows the window and not the text.
 
 Edge cases: null and empty texts get the score of no features; rows without label, or with a null id, are not learned
@@ -16,10 +16,10 @@ label 1 (0 without any); repeated rows score alike.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,13 +82,17 @@ def _doc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n[label][present(text, seen)] += 1
     parts = n.reshape(2, 64, -1)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(range(64), pa.int32()), pa.array([parts[:, i].tobytes() for i in range(64)], pa.binary())],
+        [pa.array(range(64), pa.int32()), pa.array([zlib.compress(parts[:, i].tobytes(), 1) for i in range(64)], pa.binary())],
         names=["slice", "n"])
 
 
-def _sum_slices(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["n"])
-    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "n": [total.tobytes()]})
+def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, n in zip(b.column("slice").to_pylist(), b.column("n").to_pylist()):
+            total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(n), np.int32).astype(np.int64)
+    for k, n in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n.tobytes()], pa.binary())], names=["slice", "n"])
 
 
 def _features(wanted: np.ndarray):
@@ -129,19 +133,25 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     text_batches(df.sparkSession)
     marked = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and i is not null")
     learn = (df.select(F.col(id_col).alias("i"), no_text(text).alias("t")).where(fold("i") != 0))
-    marked = marked.where(fold("i") != 0)
-    n = marked.count()
-    if n > max_rows:      # in expectation; by a hash of the id, so reruns agree
-        marked = marked.where(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1 << 40)) < int(max_rows / n * (1 << 40)))
-    sample = checkpoint(learn.join(marked, "i").select("t", "label").repartition(12))
-    count = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    spread = 1 << 40
+    marked = marked.where(fold("i") != 0).withColumn("h", F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(spread)))
+    found = {r["label"]: r for r in learn.select("i").join(marked, "i").groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()}
     zero = np.zeros(BUCKETS, np.float32)
-    if len(count) < 2:
-        share = 1.0 if count.get(1) else 0.0
-        return {"w": zero, "b": float(30 if share else -30)}
-    slices = (sample.mapInArrow(_doc_counts, "slice int, n binary")
-              .groupBy("slice").applyInPandas(_sum_slices, "slice int, n binary").collect())
-    docs = np.concatenate([np.frombuffer(r["n"], np.int64).reshape(2, -1) for r in sorted(slices, key=lambda r: r["slice"])], axis=1)
+    if len(found) < 2:
+        return {"w": zero, "b": float(30 if 1 in found else -30)}
+    count = {x: r["n"] for x, r in found.items()}
+    everything = learn.join(marked, "i").select("t", "label")
+    if sum(count.values()) > max_rows:      # in expectation; by a hash of the id, so reruns agree
+        take = {x: min(count[x], max(max_rows // 2, max_rows - count[1 - x])) for x in count}
+        cut = {x: max(take[x] * spread // count[x], found[x]["least"] + 1) for x in count}
+        picked = marked.where(F.col("h") < F.when(F.col("label") == 1, F.lit(cut[1])).otherwise(F.lit(cut[0])))
+        sample = checkpoint(learn.join(F.broadcast(picked), "i").select("t", "label").repartition(12))
+    else:
+        sample = everything = checkpoint(everything.repartition(12))
+    docs = np.zeros((2, 64, BUCKETS // 64), np.int64)
+    for r in everything.mapInArrow(_doc_counts, "slice int, n binary").repartition("slice").mapInArrow(_sum_slices, "slice int, n binary").collect():
+        docs[:, r["slice"]] += np.frombuffer(r["n"], np.int64).reshape(2, -1)
+    docs = docs.reshape(2, -1)
     ratio = np.log((docs[1] + 0.5) / (count[1] + 1)) - np.log((docs[0] + 0.5) / (count[0] + 1))
     wanted = np.flatnonzero((np.abs(ratio) >= MIN_RATIO) & (docs.sum(0) >= MIN_DOCS))
     place = np.full(BUCKETS, -1, np.int64)

@@ -46,3 +46,14 @@ def test_edge_cases(spark, docs):
     none = toxicity.train(bad, labels.limit(0))
     assert toxicity.score(bad.limit(0).select("text"), none).count() == 0
     assert {r["score"] for r in toxicity.score(bad.select("text").fillna(""), none).collect()} == {1 / (1 + np.exp(30))}
+
+
+def test_rare_label_is_learned_at_every_size(spark, docs):
+    """Six toxic rows among 1,500: all are fitted on, and the n-gram counts come from every labelled row."""
+    toxic = range(0, 1500, 150)
+    df = docs([(i, f"you worthless idiot number {i}" if i in toxic else f"a calm and friendly note {i}") for i in range(1500)])
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(1500)], "doc_id long, toxic int")
+    for max_rows in (60, 10_000):
+        model = toxicity.train(df, labels, max_rows=max_rows)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(df.select("doc_id", "text"), model).collect()}
+        assert all((got[i] >= 0.5) == (i in toxic) for i in range(1500))
