@@ -9,7 +9,7 @@ column p % length, and a memory-mapped file gives any sequence, or any document'
 An index (file, document, place, count) goes beside the files; a file's name holds its task attempt, and
 only files that the index names count, so a lost executor or a second attempt leaves no trace.
 
-Each worker keeps the ids of up to about ``CACHE`` stretches and ``CUT_CACHE`` cuts that it has met.
+Each worker keeps the ids of up to about ``CACHE`` words that it has met.
 
 Edge cases: null text counts as empty; an empty document has just the end id; null ids sort first; repeated rows
 are documents of their own, ordered by text hash; no rows write no file.
@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -35,32 +36,40 @@ from .common import checkpoint, no_text, shared_path, text_batches
 LENGTH = 2048
 BATCH_ROWS = 256
 END_ID = 0
-CACHE, CUT_CACHE = 500_000, 1_000_000
-LONG, LINES = 64, 128
+CACHE, LONG, GROUP = 1_000_000, 64, 1024
+#: Texts of this size are encoded at a time.
+BLOCK_BYTES = 8 << 20
+#: Stops that the splitting rule parts from the letters before them.
+STOPS = ".,;:!?|"
+#: A line end in byte letters.
+LINE_END = "\u010a"
 VOCABULARY = "byte_bpe_50k.json"
-#: White space of the tokenizer's own splitting rule (Unicode White_Space).
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Where white space doesn't stand alone between other characters.
-_RUN = re.compile(f"[{_SPACE}][{_SPACE}]")
+#: Where white space (of the tokenizer's own splitting rule, Unicode White_Space) doesn't stand alone between other
+#: characters.
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_RUN = _SPACE + _SPACE
 _worker: dict = {}
 
 
-def _plain(text: str) -> bool:
-    """A quick yes for ASCII texts whose white space is single spaces and line ends between words."""
-    return (text.isascii() and len(text.split()) == text.count(" ") + text.count("\n") + 1
-            and not any(c in text for c in "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"))
-
-
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
     return str(public_tokenizers.path(name))
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes stand for themselves,
+    the others, in order, for the letters from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
+
+
 class Encoder:
     """Ids of whole texts by the ``tokenizers`` library, without special tokens.
 
-    The library cuts a text by a public pattern and never joins ids across cuts; so a distinct cut is given to it
-    once, and, for fewer calls, many at a time on lines of their own."""
+    The library cuts a text by a public pattern and never joins ids across cuts; so a distinct cut is given to its
+    merging model once, spelt in the vocabulary's byte letters, and, for fewer calls, many at a time with a line end
+    between them."""
 
     def __init__(self, path: str, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,59 +78,120 @@ class Encoder:
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.merges = Tokenizer(self.lib.model)     # no further cutting: for cuts in byte letters
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
+        self.letters_of = np.zeros(self.lib.get_vocab_size(), np.int64)
+        for entry, i in self.lib.get_vocab().items():
+            self.letters_of[i] = len(entry)
         self.cuts = regex.compile(pattern or public_tokenizers.PATTERN).findall
-        self.line = self.lib.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}       # a piece, without the space before it -> its ids, with the space
-        self.parts: dict[str, bytes] = {}       # a cut -> its ids
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype) for x in found]
-
-    def _cut_ids(self, cuts: list[str]) -> None:
-        """Ids of new cuts. On a line of its own a cut that has no white space but one space in front stays itself."""
-        plain = [c for c in cuts if not c.isspace()]
-        groups = [plain[i:i + LINES] for i in range(0, len(plain), LINES)]
-        for group, ids in zip(groups, self._ids(["\n".join(g) for g in groups])):
-            ends = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else ids[:0]
-            if len(ends) + 1 == len(group):
-                raw, width = ids.tobytes(), self.dtype.itemsize
-                stop = [*(ends * width).tolist(), len(raw)]
-                self.parts.update(zip(group, [raw[i:j] for i, j in zip([0, *(e + width for e in stop)], stop)]))
-            else:
-                self.parts.update(zip(group, [r.tobytes() for r in self._ids(group)]))
-        rest = [c for c in cuts if c.isspace()]
-        self.parts.update(zip(rest, [r.tobytes() for r in self._ids(rest)]))
-
-    def _piece_ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of new stretches of text, each whole between two cuts."""
-        if len(self.parts) > CUT_CACHE:
-            self.parts.clear()
-        cut = [self.cuts(t) for t in texts]
-        self._cut_ids(list(set(chain.from_iterable(cut)).difference(self.parts)))
-        get = self.parts.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
-        for c in [c for c in chain.from_iterable(cut) if len(c) > LONG]:
-            self.parts.pop(c, None)
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}         # a piece, without the space before it -> its number in the store
+        self.store, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64)
+
+    def _cut(self, text: str) -> list[str] | tuple[str, ...]:
+        """The pattern's cuts; a space, letters and at most one stop need no search."""
+        word = text[1:]
+        if text[:1] == " " and word:
+            if word.isalpha():
+                return (text,)
+            if word[-1] in STOPS and word[:-1].isalpha():
+                return text[:-1], word[-1]
+        return self.cuts(text)
+
+    def _cut_ids(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct cuts, and how many each has."""
+        lines = [i for i, c in enumerate(cuts) if "\n" in c]
+        plain = list(cuts)
+        for i in lines:
+            plain[i] = ""
+        spelt = self._spelt("\n".join(plain)).split(LINE_END)
+        for i in lines:
+            spelt[i] = self._spelt(cuts[i])
+        groups = [spelt[i:i + GROUP] for i in range(0, len(cuts), GROUP)]
+        found = self.merges.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, self.dtype) for x in found])
+        ends = np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)))
+        last = np.searchsorted(np.cumsum(self.letters_of[ids]), ends, "right")     # cuts end where ids do
+        return ids, np.diff(last, prepend=0)
+
+    def _spelt(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.letters)
+
+    def piece_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of stretches of text that are whole between two cuts, and how many each has."""
+        cuts = [self._cut(t) for t in texts]
+        flat = list(chain.from_iterable(cuts))
+        if not flat:
+            return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
+        place = dict(zip(distinct := list(dict.fromkeys(flat)), range(len(flat))))
+        ids, taken = gather(*self._cut_ids(distinct), np.fromiter(map(place.__getitem__, flat), np.int64, len(flat)))
+        return ids, sums(taken, np.fromiter(map(len, cuts), np.int64, len(cuts)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """A single space or line end between other characters always begins a cut, so texts fall into pieces there; a text
-        with longer runs of white space is one piece."""
-        odd = {i for i, t in enumerate(texts) if not _plain(t) and _RUN.search(t)}
-        pieces = [[] if i in odd else t.replace("\n", " \n").split(" ") for i, t in enumerate(texts)]
-        first = [texts[i] if i in odd else p[0] for i, p in enumerate(pieces)]
-        rest = [p[1:] for p in pieces]
+        """The ids of each text."""
+        ids, sizes = self.encode_all(pa.array(texts, pa.large_string()))
+        raw, stop = ids.tobytes(), (np.cumsum(sizes) * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *stop], stop)]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and how many each has.
+
+        A single space or line end between other characters always begins a cut, so texts fall into pieces there, and
+        equal pieces are encoded once; a text with longer runs of white space is one piece."""
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        texts = texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, _RUN)
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
+        at = split.offsets.to_numpy()
+        pieces = split.flatten()
+        first = pc.if_else(odd, texts, pieces.take(pa.array(at[:-1]))).to_pylist()
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set(chain.from_iterable(rest)).difference(self.known))
-        self.known.update(zip(new, self._piece_ids([x if x[:1] == "\n" else " " + x for x in new])))
-        get = self.known.__getitem__
-        out = [b"".join((head, *map(get, r))) for head, r in zip(self._piece_ids(first), rest)]
-        for x in [x for x in new if len(x) > LONG]:
-            del self.known[x]
-        return out
+            self._forget()
+        new = [w for w in words if w not in self.known]
+        ids, sizes = self.piece_ids([w if w[:1] == "\n" else " " + w for w in new])
+        self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+        self.store, self.sizes = np.concatenate([self.store, ids]), np.concatenate([self.sizes, sizes])
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        index = number[coded.indices.to_numpy(zero_copy_only=False)]
+        index[at[:-1]] = len(self.sizes) + np.arange(len(texts))            # no space before a text's first piece
+        ids, sizes = self.piece_ids(first)
+        ids, taken = gather(np.concatenate([self.store, ids]), np.concatenate([self.sizes, sizes]), index)
+        if sum(map(len, new)) > LONG * len(new):
+            self._forget()
+        return ids, sums(taken, np.diff(at))
+
+
+def gather(store: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``store`` (one after the other, of the given sizes) that ``index`` names, and their sizes."""
+    taken = sizes[index]
+    ends = np.cumsum(taken)
+    first = (np.cumsum(sizes) - sizes)[index] - (ends - taken)
+    return store[np.repeat(first, taken) + np.arange(ends[-1] if len(ends) else 0)], taken
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of so many values each."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(counts)])])
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about ``size`` bytes or one larger given batch."""
+    held, full = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            full += b.nbytes
+        if full >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, full = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def encoder(path: str) -> Encoder:
@@ -225,15 +295,14 @@ def write_token_files(df: DataFrame, folder: str | None = None, id_col: str = "d
         part, enc = task.partitionId(), encoder(path)
         uri = f"{folder}/part-{part:05d}-{task.taskAttemptId()}.arrow"
         end = np.array([end_id], enc.dtype).tobytes()
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in blocks(batches, BLOCK_BYTES):
             out = out or TokenWriter(uri, enc.dtype, length)
-            place, count = [], []
-            for ids in enc.encode(b.column(1).to_pylist()):
-                place.append(out.count)
-                out.append(ids + end)
-                count.append(out.count - place[-1])
+            ids, sizes = enc.encode_all(b.column(1))
+            count = sizes + 1
+            place = out.count + np.cumsum(count) - count
+            raw, stop = ids.tobytes(), (np.cumsum(sizes) * enc.dtype.itemsize).tolist()
+            for s, e in zip([0, *stop], stop):
+                out.append(raw[s:e] + end)
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * n, pa.int32()), pa.array([uri] * n), pa.array(range(row, row + n), pa.int64()),
