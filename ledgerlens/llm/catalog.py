@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.sources.tables import read_table
 
-from . import ctw, decontaminate, embed_dedup, html_extract, langid, line_spread, mixing, simhash, token_files, toxicity
+from . import ctw, decontaminate, embed_dedup, html_extract, langid, line_spread, mixing, simhash, token_align, token_files, toxicity
 from .common import documents, fold, no_text
 
 QUERIES: dict = {}
@@ -135,3 +135,8 @@ named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) A
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(s.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
        sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(s.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN spots s USING (rid) LEFT JOIN named n USING (rid)"""
+
+
+@query
+def op13_token_align(spark, sf_dir):
+    return token_align.alignment_report(documents(spark, sf_dir, "doc_id", "text"))
