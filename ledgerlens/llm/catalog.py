@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.sources.tables import read_table
 
-from . import ctw, decontaminate, embed_dedup, html_extract, langid, line_spread, mixing, simhash, token_align, token_files, toxicity
-from .common import documents, fold, no_text
+from . import ctw, decontaminate, embed_dedup, html_extract, langid, line_spread, mixing, periodic_runs, simhash, token_align, token_files, toxicity
+from .common import WORD, documents, fold, no_text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -137,6 +137,33 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(s.n_hit, 0) AS n_
 FROM docs d LEFT JOIN spots s USING (rid) LEFT JOIN named n USING (rid)"""
 
 
+def with_planted_period(docs):
+    """The contract's stand-in input: in a document with h % 10 = 0, word a and all after it become the p words from a on, repeated."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    n = F.size("w")
+    docs = docs.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    docs = docs.withColumn("p", (F.lit(1) + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    period = F.slice("w", F.col("a") + 1, F.col("p"))
+    rest = n - F.col("a")
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    return docs.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(
+        F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs.collapse_runs(with_planted_period(documents(spark, sf_dir, "doc_id", "text")))
+    found = found.withColumn("best", periodic_runs.greatest())
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 @query
 def op13_token_align(spark, sf_dir):
     return token_align.alignment_report(documents(spark, sf_dir, "doc_id", "text"))
