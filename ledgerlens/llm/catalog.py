@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.sources.tables import read_table
 
-from . import ctw, decontaminate, embed_dedup, html_extract, langid, line_spread, mixing, periodic_runs, simhash, token_align, token_files, toxicity
+from . import ctw, decontaminate, embed_dedup, html_extract, langid, line_spread, mixing, periodic_runs, simhash, token_align, token_files, topk_search, toxicity
 from .common import WORD, documents, fold, no_text
 
 QUERIES: dict = {}
@@ -137,6 +137,23 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(s.n_hit, 0) AS n_
 FROM docs d LEFT JOIN spots s USING (rid) LEFT JOIN named n USING (rid)"""
 
 
+@query
+def op11_topk_search(spark, sf_dir):
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op11_topk_search"] = f"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id,
+                  list_transform(CAST(embedding AS DOUBLE[]), x -> floor(256 * x)) AS e
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.rid AS cid, c.vec_id,
+             CAST(CASE WHEN len(q.e) = 0 THEN 0 ELSE list_inner_product(q.e, c.e) END AS BIGINT) AS score
+      FROM v q JOIN v c ON q.rid <> c.rid AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id ASC NULLS LAST, cid) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= {topk_search.K}"""
+
+
 def with_planted_period(docs):
     """The contract's stand-in input: in a document with h % 10 = 0, word a and all after it become the p words from a on, repeated."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
