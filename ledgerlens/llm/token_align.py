@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,10 @@ from .common import stored, text_batches
 from .token_files import _SPACE, Encoder, blocks, gather, sums, vocabulary_path
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CACHE, LONG = 400_000, 64
-BLOCK_BYTES = 12 << 20
+CACHE, LONG = 250_000, 64
+BLOCK_BYTES = 6 << 20
+#: Stretches aligned at a time.
+LEARNT = 40_000
 #: Most pairs held by every worker (20 bytes each).
 TABLE = 1 << 19
 #: Where texts fall apart: a space after anything but white space.
@@ -45,25 +47,32 @@ _CUT = re.compile("(?<=[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 _worker: dict = {}
 
 
-def slices(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Groups: from token i to k of A and from j to l of B, between neighbouring ends of both."""
+def slices(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, ...]:
+    """Groups (i, k, j, m): tokens i to k of A and j to m of B lie between neighbouring ends of both; and those ends."""
     at_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))
     at_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    i = j = 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        yield i, at_a[end], j, at_b[end]
-        i, j = at_a[end], at_b[end]
-
-
-def links(ends_a: list[int], ends_b: list[int], i: int, k: int, j: int, m: int) -> Iterator[tuple[int, int]]:
-    """Overlapping tokens of one group."""
-    while True:
-        yield i, j
-        x, y = ends_a[i], ends_b[j]
-        i += x <= y
-        j += y <= x
-        if i >= k or j >= m:
-            return
+    common = sorted(at_a.keys() & at_b.keys())
+    k, m = (np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
+    return np.append(0, k)[:-1], k, np.append(0, m)[:-1], m, np.array(common, np.int64)
+
+
+def links(ends_a: np.ndarray, ends_b: np.ndarray, i: np.ndarray, k: np.ndarray, j: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of A and of B that overlap, group by group. A token alone on its side meets all of the other side's; otherwise both sides
+    are walked, and the token that ends first goes on. So a group has one link less than tokens."""
+    count = (k - i) + (m - j) - 1
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    x = np.repeat(i, count) + np.where(np.repeat(m - j == 1, count), step, 0)
+    y = np.repeat(j, count) + np.where(np.repeat(k - i == 1, count), step, 0)
+    first = np.cumsum(count) - count
+    for g in np.flatnonzero((k - i > 1) & (m - j > 1)).tolist():
+        a, b, at = int(i[g]), int(j[g]), int(first[g])
+        for n in range(at, at + int(count[g])):
+            x[n], y[n] = a, b
+            if ends_a[a] <= ends_b[b]:
+                a += 1
+            else:
+                b += 1
+    return x, y
 
 
 class Aligner:
@@ -72,14 +81,17 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
         self.a, self.b = Encoder(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        entries = sorted(self.a.lib.get_vocab().items(), key=lambda x: x[1])
         letters = {letter: byte for byte, letter in self.a.letters.items()}
-        self.bytes_a = {i: bytes(letters[c] for c in e) if all(c in letters for c in e) else e.encode() for e, i in entries}
+        self.bytes_a = [b""] * self.a.lib.get_vocab_size()
+        for e, i in self.a.lib.get_vocab().items():
+            self.bytes_a[i] = bytes(letters[c] for c in e) if all(c in letters for c in e) else e.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
-        self.size_a = {i: len(x) for i, x in self.bytes_a.items()}
-        self.size_b = list(map(len, self.bytes_b))
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        # an id before another of its side, and as the last of its group
+        self.text_a, self.text_b = (np.array([[f"{i}," for i in range(len(x))], [f"{i}{end}" for i in range(len(x))]], object)
+                                    for x, end in ((self.bytes_a, "|"), (self.bytes_b, ";")))
         self.space_b = self.b.piece_to_id("▁")
         # B joins nothing over "other character, space", or stretches would not be independent
         self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
@@ -92,44 +104,52 @@ class Aligner:
         self.keys = np.zeros(0, np.int64)               # links: A id << 32 | B id
         self.long = False
 
-    def ids(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Tokens of stretches that begin with a space."""
-        ids, sizes = self.a.piece_ids(stretches)
-        flat, ends = ids.tolist(), np.cumsum(sizes).tolist()
-        a = [flat[s:e] for s, e in zip([0, *ends], ends)]
-        b = self.b.encode([s[1:] for s in stretches], num_threads=1) if stretches else []
-        return a, [x if s != " " else [self.space_b] for s, x in zip(stretches, b)]
+    def ids(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of stretches that begin with a space: A's, one after the other, and how many each has; B's likewise."""
+        b = self.b.encode([s[1:] for s in stretches], num_threads=1)
+        b = [x if s != " " else [self.space_b] for s, x in zip(stretches, b)]
+        sizes = np.fromiter(map(len, b), np.int64, len(b))
+        a, of = self.a.piece_ids(stretches)
+        return a.astype(np.int64), of, np.fromiter(chain.from_iterable(b), np.int64, int(sizes.sum())), sizes
+
+    def _given_back(self, stretches: list[str], tokens: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Which stretches' tokens, of both sides, give their bytes back."""
+        a, of_a, b, of_b = tokens
+        raw = [s.encode() for s in stretches]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        good = (sums(self.size_a[a], of_a) == size) & (sums(self.size_b[b], of_b) == size)
+        for table, ids, of in ((self.bytes_a, a, of_a), (self.bytes_b, b, of_b)):
+            if not good.all() or b"".join(map(table.__getitem__, ids.tolist())) != b"".join(raw):
+                ends = np.cumsum(of)
+                good &= [x == b"".join(map(table.__getitem__, ids[e - n:e].tolist())) for x, n, e in zip(raw, of, ends)]
+        return good
 
     def _learn(self, stretches: list[str]) -> None:
-        text, facts, keys = [], [], []
-        for s, a, b in zip(stretches, *self.ids(stretches)):
-            raw = s.encode()
-            if raw != b"".join([self.bytes_a[i] for i in a]) or raw != b"".join([self.bytes_b[i] for i in b]):
-                text.append("")
-                facts.append((0, 0, 0, 0, 0))
-                continue
-            if len(a) == 1 and len(b) == 1:
-                text.append(f"{a[0]}|{b[0]}")
-                keys.append(a[0] << 32 | b[0])
-                facts.append((1, 1, 1, 1, 1))
-                continue
-            ends_a = list(accumulate([self.size_a[i] for i in a]))
-            ends_b = list(accumulate([self.size_b[i] for i in b]))
-            groups, before = [], len(keys)
-            for i, k, j, m in slices(ends_a, ends_b):
-                groups.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
-                if k - i == 1:
-                    keys += [a[i] << 32 | y for y in b[j:m]]
-                elif m - j == 1:
-                    keys += [x << 32 | b[j] for x in a[i:k]]
-                else:
-                    keys += [a[x] << 32 | b[y] for x, y in links(ends_a, ends_b, i, k, j, m)]
-            text.append(";".join(groups))
-            facts.append((len(a), len(b), len(groups), len(keys) - before, 1))
+        tokens = self.ids(stretches)
+        good = self._given_back(stretches, tokens)
+        text = np.full(len(stretches), "", object)
+        facts = np.zeros((len(stretches), 5), np.int64)
+        facts[:, 4] = good
+        if good.any():
+            a, of_a, b, of_b = tokens
+            a, b, of_a, of_b = a[np.repeat(good, of_a)], b[np.repeat(good, of_b)], of_a[good], of_b[good]
+            ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+            i, k, j, m, common = slices(ends_a.tolist(), ends_b.tolist())
+            x, y = links(ends_a, ends_b, i, k, j, m)
+            self.keys = np.concatenate([self.keys, a[x] << 32 | b[y]])
+            ends = ends_a[np.cumsum(of_a) - 1]                      # of the stretches
+            groups = np.bincount(np.searchsorted(ends, common), minlength=len(ends))
+            facts[good, :4] = np.stack([of_a, of_b, groups, sums(k - i + m - j - 1, groups)], 1)
+            pieces = np.empty(len(a) + len(b), object)
+            for ids, table, first, last, before in ((a, self.text_a, i, k, j), (b, self.text_b, j, m, k)):
+                ending = np.zeros(len(ids), np.int64)
+                ending[last - 1] = 1
+                pieces[np.arange(len(ids)) + np.repeat(before, last - first)] = table[ending, ids]
+            pieces, stop = pieces.tolist(), np.cumsum(of_a + of_b).tolist()
+            text[good] = ["".join(pieces[s:e])[:-1] for s, e in zip([0, *stop], stop)]
         self.known.update(zip(stretches, range(len(self.text), len(self.text) + len(stretches))))
-        self.text += text
-        self.facts = np.concatenate([self.facts, np.array(facts, np.int64).reshape(-1, 5)])
-        self.keys = np.concatenate([self.keys, np.array(keys, np.int64)])
+        self.text += text.tolist()
+        self.facts = np.concatenate([self.facts, facts])
 
     def stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all stretches of the texts, one after the other, and how many each text has; an empty text has none."""
@@ -143,7 +163,8 @@ class Aligner:
         whole = {i: (_CUT.split(" " + t) if self.apart else [" " + t]) if t else []
                  for i, t in zip(np.flatnonzero(odd.to_numpy(zero_copy_only=False)), texts.filter(odd).to_pylist())}
         new = [w for w in dict.fromkeys([*words, *(x for c in whole.values() for x in c)]) if w not in self.known]
-        self._learn(new)
+        for i in range(0, len(new), LEARNT):
+            self._learn(new[i:i + LEARNT])
         number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         index, at = number[coded.indices.to_numpy(zero_copy_only=False)], split.offsets.to_numpy()
         empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
