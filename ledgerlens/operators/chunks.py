@@ -75,6 +75,7 @@ _IN_STRING = re.compile(r'["\\]')
 
 
 class _KeyScan:
+    """Where a key's value begins and how far it has been read; places count from the response's first character."""
     __slots__ = ("start", "open_c", "close_c", "i", "depth", "in_str", "done")
 
     def __init__(self, start: int, open_c: str):
@@ -94,25 +95,36 @@ class FieldParser:
     ``"key":`` never moves once found, and a scan of a prefix is a prefix of
     the scan), but keys are located with one regex over the new text only,
     each located key's scan resumes where it stopped and jumps between
-    structural characters, so a response costs linear time."""
+    structural characters, so a response costs linear time.
 
-    def __init__(self):
-        self.buffer = ""
+    ``forget`` drops all text but the few characters in which a key may have begun; a parser that is restored from
+    what is left (``base``, ``buffer``, places) goes on from there, and asks ``earlier`` for the dropped text only to give out a value that
+    began in it - once for each key at most."""
+
+    def __init__(self, earlier=None):
+        self.buffer, self.base = "", 0         # text from place ``base`` on
+        self.earlier = earlier                 # () -> the text before ``base``
         self.emitted: set[str] = set()
         self.scans: dict[str, _KeyScan] = {}
-        self._located: dict[str, int] = {}     # key -> end of its first '"key":'
+        self._located: dict[str, int] = {}     # key -> end of its first '"key":' (and of white space behind it)
         self._searched = 0
+        self.looked_at = 0                     # characters searched or scanned so far, for measurements
+
+    @property
+    def length(self) -> int:
+        return self.base + len(self.buffer)
 
     def feed(self, chunk: str) -> list[tuple[str, str]]:
         self.buffer += chunk
-        buf = self.buffer
+        buf, base = self.buffer, self.base
         if len(self._located) < len(STREAM_KEYS):
-            start = max(0, self._searched - _MAX_PAT)
+            start = max(0, self._searched - _MAX_PAT - base)
+            self.looked_at += len(buf) - start
             for m in _KEY_RE.finditer(buf, start):
                 k = m.group(1)
                 if k not in self._located:
-                    self._located[k] = m.end()
-            self._searched = len(buf)
+                    self._located[k] = base + m.end()
+            self._searched = base + len(buf)
         out = []
         for key in STREAM_KEYS:
             if key in self.emitted or key not in self._located:
@@ -123,26 +135,39 @@ class FieldParser:
                 out.append((key, value))
         return out
 
+    def forget(self) -> str:
+        """Drops (and returns) the text that no search needs any more."""
+        cut = max(0, len(self.buffer) - _MAX_PAT)
+        gone, self.buffer, self.base = self.buffer[:cut], self.buffer[cut:], self.base + cut
+        return gone
+
     def _try(self, key: str):
-        buf = self.buffer
+        buf, base = self.buffer, self.base
         st = self.scans.get(key)
         if st is None:
-            start = self._located[key]
+            start = self._located[key] - base
             while start < len(buf) and buf[start].isspace():
                 start += 1
+            self._located[key] = base + start
             if start >= len(buf):
                 return None
-            self.scans[key] = st = _KeyScan(start, buf[start])
+            self.scans[key] = st = _KeyScan(base + start, buf[start])
             if buf[start] not in "{[":
                 st.done = True          # primitive value: never emitted
                 return None
-        if st.done or st.i >= len(buf):
+        if st.done or st.i >= base + len(buf):
             return None
-        close, st.i, st.depth, st.in_str = scan_value(buf, st.open_c, st.close_c, st.i, st.depth, st.in_str)
+        self.looked_at += base + len(buf) - st.i
+        close, i, st.depth, st.in_str = scan_value(buf, st.open_c, st.close_c, st.i - base, st.depth, st.in_str)
+        st.i = base + i
         if close is None:
             return None
         st.done = True
-        text = buf[st.start:close + 1]
+        if st.start >= base:
+            text = buf[st.start - base:close + 1]
+        else:
+            self.looked_at += base - st.start
+            text = self.earlier()[st.start:base] + buf[:close + 1]
         try:
             json.loads(text)
         except ValueError:
@@ -243,6 +268,7 @@ def _events_flat(it):
 #: The code and the two messages of a response that can't be used (own wording), and the cap's code.
 BAD_CODE, BAD_JSON, BAD_SCHEMA = "model-API-failure", "The response is not JSON.", "The response does not match the schema."
 CAP_CODE, CAP_MESSAGE = "cost-budget-exceeded", "Cost exceeded cap."
+TIMEOUT_CODE, TIMEOUT_MESSAGE = "extraction-timeout", "The response did not end in time."
 
 
 def whole_texts(chunks: DataFrame) -> DataFrame:
@@ -258,20 +284,20 @@ def completed(chunks: DataFrame) -> DataFrame:
     return parse_records(whole_texts(chunks), "text").select("response_id", "n_chunks", "record", "error")
 
 
-def final_outcome(done: DataFrame, calls: DataFrame, as_of: str) -> DataFrame:
-    """R2: each response ends in one event. ``done(response_id, record, error)``; ``calls(response_id, cost, cap)``, cap null before
-    enough calls are known. ``type`` complete or error, ``code`` and ``message`` of an error, ``record`` of a complete one with the rule
-    flags merged, and its ``cost``. A cost over the absolute ceiling or the cap ends in an error though the text is good; an unknown
+def final_outcome(done: DataFrame, calls: DataFrame | None, as_of: str) -> DataFrame:
+    """R2: each response ends in one event. ``done(response_id, record, error)``; ``calls(response_id, cost, cap)`` (or None, if ``done`` has these), cap null before
+    enough calls are known. ``type`` complete or error, ``code`` and ``message`` of an error (an ``error`` of ``timeout`` has its own),
+    ``record`` of a complete one with the rule flags merged, and its ``cost``. A cost over the absolute ceiling or the cap ends in an error though the text is good; an unknown
     cost passes."""
     from ledgerlens.operators.folds import ABSOLUTE_CEILING_USD
     from ledgerlens.operators.validation import validated
-    j = done.join(calls, "response_id", "left")
+    j = done if calls is None else done.join(calls, "response_id", "left")
     over = f"coalesce(cost > {ABSOLUTE_CEILING_USD}D OR cost > cap, false)"
     out = validated(j, as_of).selectExpr(
-        "*", f"CASE WHEN error IS NOT NULL THEN '{BAD_CODE}' WHEN {over} THEN '{CAP_CODE}' END AS code")
+        "*", f"CASE WHEN error = 'timeout' THEN '{TIMEOUT_CODE}' WHEN error IS NOT NULL THEN '{BAD_CODE}' WHEN {over} THEN '{CAP_CODE}' END AS code")
     return out.selectExpr(
         "response_id", "CASE WHEN code IS NULL THEN 'complete' ELSE 'error' END AS type", "code",
-        f"CASE WHEN error = 'invalid-json' THEN '{BAD_JSON}' WHEN error IS NOT NULL THEN '{BAD_SCHEMA}' "
+        f"CASE WHEN error = 'timeout' THEN '{TIMEOUT_MESSAGE}' WHEN error = 'invalid-json' THEN '{BAD_JSON}' WHEN error IS NOT NULL THEN '{BAD_SCHEMA}' "
         f"WHEN code IS NOT NULL THEN '{CAP_MESSAGE}' END AS message",
         "CASE WHEN code IS NULL THEN record END AS record", "cost")
 

@@ -1,71 +1,175 @@
-"""R1/R2 as a stream: per response id, the state holds the text received so
-far, the keys already emitted, the next expected chunk number and the chunks
-that arrived early. Field events are emitted once, in chunk order.
+"""R1/R2 as streams, with typed state per response id: the parser's places (a value), the text so far (a list that is only appended
+to), the places of the keys found (a map) and chunks that arrived early (a map). Chunks are taken in order of ``seq``, each
+once, so repeated batches and a restart change nothing. A micro-batch reads the new text and a few characters before it; the text
+is read again only to give out a value that began in an earlier batch.
 
-A response always ends in one row without a value: ``complete`` in place of the field name when all keys are out, or
-``error`` after ``idle_timeout_ms`` without chunks (processing time). A finished response keeps an empty state for one more
-timeout, so trailing or repeated chunks neither start it again nor add rows."""
+* ``stream_field_events`` (R1): an event for each field as its value closes, and one closing row: ``complete`` in place of the field
+  name when all keys are out, ``error`` after ``idle_timeout_ms`` without chunks (processing time).
+* ``stream_outcomes`` (R2): the response ends with the chunk marked ``last``; its whole text then goes on to the schema check, the
+  join with the (static) calls, the cost gate and the merge of rule flags, and one closing row comes out. A response that is idle
+  too long ends as an error of its own.
+* ``stream_gated_outcomes`` (R2 with W1): the cost gate is a second stateful operator behind the first, with the history of accepted
+  costs of each key as its state.
+
+An ended response keeps only a mark, for one more timeout (state TTL), so trailing or repeated chunks neither start it again nor add rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ledgerlens.operators.chunks import FIELD_EVENT_SCHEMA, STREAM_KEYS, FieldParser
+from ledgerlens.operators.chunks import FIELD_EVENT_SCHEMA, STREAM_KEYS, FieldParser, _KeyScan, final_outcome
+from ledgerlens.streaming.gates import MedianCap
+from ledgerlens.streaming.state import with_state
 
-STATE_SCHEMA = "buffer string, emitted array<string>, next_seq long, early_seq array<long>, early array<string>, done boolean"
 COMPLETE, ERROR = "complete", "error"
-_COLS = ["response_id", "field", "field_no", "seq", "value_chars", "value_json"]
+WHOLE_SCHEMA = "response_id string, text string, n_chunks long, timed_out boolean"
+_EVENT = [c.split()[0] for c in FIELD_EVENT_SCHEMA.split(", ")]
+_WHOLE = [c.split()[0] for c in WHOLE_SCHEMA.split(", ")]
 
 
-def _restore(state) -> tuple[FieldParser, int, dict, bool]:
-    p = FieldParser()
-    if not state.exists:
-        return p, 0, {}, False
-    buf, emitted, nxt, early_seq, early, done = state.get
-    p.buffer, p.emitted = buf, set(emitted)
-    return p, nxt, dict(zip(early_seq, early)), done
+class Responses(StatefulProcessor):
+    """Takes chunks in order. ``whole`` gives out whole texts instead of field events."""
 
+    def __init__(self, idle_ms: int, whole: bool):
+        self.idle_ms, self.whole = idle_ms, whole
 
-def _ended(rid, kind: str, seq: int) -> tuple:
-    return rid, kind, -1, seq, 0, None
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "next_seq long, last_seq long, base long, buffer string, searched long, timer long")
+        self.parts = handle.getListState("parts", "text string")
+        self.keys = handle.getMapState("keys", "field string", "located long, start long, open string, i long, depth int, "
+                                                               "in_str boolean, done boolean, emitted boolean")
+        self.early = handle.getMapState("early", "seq long", "chunk string")
+        self.ended = handle.getValueState("ended", "seq long", ttlDurationMs=self.idle_ms)
 
+    def _text(self) -> str:
+        return "".join(p[0] or "" for p in self.parts.get())
 
-def stream_field_events(chunks: DataFrame, idle_timeout_ms: int = 600_000) -> DataFrame:
-    """Streaming DataFrame of (response_id, seq, chunk) -> field events and one closing row per response."""
-    def fn(key, pdfs, state):
+    def _restore(self) -> tuple[FieldParser, int, int | None, int | None]:
+        parser, self.saved = FieldParser(self._text), {}
+        if not self.at.exists():
+            return parser, 0, None, None
+        seq, last, parser.base, parser.buffer, parser._searched, timer = self.at.get()
+        self.saved = dict((k[0], tuple(v)) for k, v in self.keys.iterator())
+        for field, (located, start, open_c, i, depth, in_str, done, emitted) in self.saved.items():
+            parser._located[field] = located
+            if emitted:
+                parser.emitted.add(field)
+            if start is not None:
+                scan = parser.scans[field] = _KeyScan(start, open_c)
+                scan.i, scan.depth, scan.in_str, scan.done = i, depth, in_str, done
+        return parser, seq, last, timer
+
+    def _save(self, parser: FieldParser, seq: int, last: int | None, timer: int) -> None:
+        if gone := parser.forget():
+            self.parts.appendValue((gone,))
+        for field, located in parser._located.items():
+            scan = parser.scans.get(field)
+            places = (scan.start, scan.open_c, scan.i, scan.depth, scan.in_str, scan.done) if scan else (None,) * 6
+            if self.saved.get(field) != (now := (located, *places, field in parser.emitted)):
+                self.keys.updateValue((field,), now)
+        self.at.update((seq, last, parser.base, parser.buffer, parser._searched, timer))
+
+    def _end(self, seq: int) -> None:
+        for state in (self.at, self.parts, self.keys, self.early):
+            state.clear()
+        self.ended.update((seq,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rid = key[0]
-        parser, nxt, early, done = _restore(state)
-        if state.hasTimedOut:
-            if done:
-                state.remove()
-            else:
-                state.update(("", [], nxt, [], [], True))
-                state.setTimeoutDuration(idle_timeout_ms)
-                yield pd.DataFrame([_ended(rid, ERROR, nxt)], columns=_COLS)
+        if self.ended.exists():
+            self.ended.update(self.ended.get())
+            for _ in rows:
+                pass
             return
-        rows = []
-        for pdf in pdfs:
-            if done:
-                continue
-            for s, c in zip(pdf["seq"].tolist(), pdf["chunk"].tolist()):
-                if s >= nxt:
-                    early[int(s)] = c or ""
-            while nxt in early and not done:
-                for k, text in parser.feed(early.pop(nxt)):
-                    rows.append((rid, k, STREAM_KEYS.index(k), nxt, len(text), text))
-                nxt += 1
-                if len(parser.emitted) == len(STREAM_KEYS):
-                    done = True
-                    rows.append(_ended(rid, COMPLETE, nxt - 1))
+        parser, seq, last, timer = self._restore()
+        given: dict[int, str] = {}
+        for pdf in rows:
+            marks = pdf["last"] if "last" in pdf else [False] * len(pdf)
+            for s, c, end in zip(pdf["seq"].tolist(), pdf["chunk"].tolist(), marks):
+                if s >= seq:
+                    given.setdefault(int(s), c or "")
+                if end:
+                    last = int(s)
+        out, done = [], False
+        while not done:
+            if seq in given:
+                chunk = given.pop(seq)
+            elif self.early.containsKey((seq,)):
+                chunk = self.early.getValue((seq,))[0]
+            else:
+                break
+            self.early.removeKey((seq,))
+            if self.whole:
+                parser.buffer += chunk
+            else:
+                out += [(rid, k, STREAM_KEYS.index(k), seq, len(v), v) for k, v in parser.feed(chunk)]
+            seq += 1
+            done = last is not None and seq > last if self.whole else len(parser.emitted) == len(STREAM_KEYS)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
         if done:
-            state.update(("", [], nxt, [], [], True))
+            out.append((rid, self._text() + parser.buffer, seq, False) if self.whole else (rid, COMPLETE, -1, seq - 1, 0, None))
+            self._end(seq)
         else:
-            # the buffer is bounded by the response cap
-            state.update((parser.buffer, sorted(parser.emitted), nxt, list(early), list(early.values()), False))
-        state.setTimeoutDuration(idle_timeout_ms)
-        if rows:
-            yield pd.DataFrame(rows, columns=_COLS)
-    return chunks.groupBy("response_id").applyInPandasWithState(
-        fn, FIELD_EVENT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+            for s, c in given.items():
+                if s >= seq and not self.early.containsKey((s,)):
+                    self.early.updateValue((s,), (c,))
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(timer)
+            self._save(parser, seq, last, timer)
+        if out:
+            yield pd.DataFrame(out, columns=_WHOLE if self.whole else _EVENT)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.at.exists():
+            seq = self.at.get()[0]
+            self._end(seq)
+            yield (pd.DataFrame([(key[0], None, seq, True)], columns=_WHOLE) if self.whole
+                   else pd.DataFrame([(key[0], ERROR, -1, seq, 0, None)], columns=_EVENT))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_field_events(chunks: DataFrame, idle_timeout_ms: int = 600_000) -> DataFrame:
+    """Streaming DataFrame of (response_id, seq, chunk) -> field events and one closing row per response."""
+    return with_state(chunks, "response_id", Responses(idle_timeout_ms, whole=False), FIELD_EVENT_SCHEMA)
+
+
+def stream_whole_texts(chunks: DataFrame, idle_timeout_ms: int = 600_000) -> DataFrame:
+    """Streaming (response_id, seq, chunk, last) -> (response_id, text, n_chunks, timed_out), once per response."""
+    return with_state(chunks, "response_id", Responses(idle_timeout_ms, whole=True), WHOLE_SCHEMA)
+
+
+def _checked(whole: DataFrame) -> DataFrame:
+    from ledgerlens.sources.records import parse_records
+    return parse_records(whole, "text").withColumn("error", F.expr("CASE WHEN timed_out THEN 'timeout' ELSE error END"))
+
+
+def stream_outcomes(chunks: DataFrame, calls: DataFrame, as_of: str, idle_timeout_ms: int = 600_000) -> DataFrame:
+    """R2: closing rows as ``operators.chunks.final_outcome`` gives them. ``calls``: static (response_id, cost, cap)."""
+    done = _checked(stream_whole_texts(chunks, idle_timeout_ms)).select("response_id", "n_chunks", "record", "error")
+    return final_outcome(done, calls, as_of)
+
+
+def stream_gated_outcomes(chunks: DataFrame, calls: DataFrame, as_of: str, idle_timeout_ms: int = 600_000,
+                          evict_after_ms: int = 30 * 86_400_000) -> DataFrame:
+    """R2 with W1: the cap follows from the last accepted costs of a response's key. ``calls``: static (response_id, key, cost), one row
+    per response; a null cost is not gated, and a text that can't be used doesn't count. Responses are decided as they end, those that end in one micro-batch
+    by id."""
+    whole = _checked(stream_whole_texts(chunks, idle_timeout_ms)).select("response_id", "text", "n_chunks", "timed_out", "error")
+    priced = whole.join(calls, "response_id", "left").withColumn("key", F.coalesce("key", F.lit("")))
+    priced = priced.withColumn("gated", F.expr("CASE WHEN error IS NULL THEN cost END"))
+    carried = "response_id string, text string, n_chunks long, timed_out boolean, cost double"
+    names = [c.split()[0] for c in carried.split(", ")]
+    gate = with_state(priced.select("key", *names, "gated"), "key",
+                      MedianCap("gated", names, ["response_id"], evict_after_ms), f"{carried}, exceeded boolean, cap double, median double")
+    done = _checked(gate).select("response_id", "n_chunks", "record", "error", "cost", "cap")
+    return final_outcome(done, None, as_of)

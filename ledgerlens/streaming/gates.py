@@ -1,4 +1,4 @@
-"""R4 / R5 as streams.
+"""R4 / R5 as streams, with typed state that lapses by its TTL.
 
 * ``stream_admission`` - W3 with the admitted times of a key as state. Every request is decided when it arrives, however late its
   own time is; a key without requests for 24 h (processing time) is dropped, as the app evicts stale buckets by its clock.
@@ -17,27 +17,34 @@ from __future__ import annotations
 import math
 import os
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerlens.operators import costs as C
 from ledgerlens.operators.folds import ABSOLUTE_CEILING_USD, CAP_MULTIPLIER, HISTORY_CAP, _median
+from ledgerlens.streaming.state import with_state
 
 ADMISSION_OUT = ("event_id long, key string, ts_us long, ok boolean, remaining long, "
                  "retry_after_s long, reset_at_us long")
 
 
-def stream_admission(requests: DataFrame, limit: int, window_us: int, evict_after_ms: int = 86_400_000) -> DataFrame:
-    """requests: streaming (event_id, key, ts_us)."""
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        for pdf in pdfs:
+class Admission(StatefulProcessor):
+    """The admitted times of a key; they lapse ``evict_after_ms`` (processing time) after the key's last request."""
+
+    def __init__(self, limit: int, window_us: int, evict_after_ms: int):
+        self.limit, self.window_us, self.evict_after_ms = limit, window_us, evict_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.times = handle.getValueState("times", "times array<long>", ttlDurationMs=self.evict_after_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = list(self.times.get()[0]) if self.times.exists() else []
+        limit, window_us = self.limit, self.window_us
+        for pdf in rows:
             pdf = pdf.sort_values(["ts_us", "event_id"])
             out = []
             for eid, t in zip(pdf["event_id"].tolist(), pdf["ts_us"].tolist()):
@@ -49,40 +56,63 @@ def stream_admission(requests: DataFrame, limit: int, window_us: int, evict_afte
                     times.append(t)
                     out.append((eid, key[0], t, True, max(0, limit - len(times)), 0, t + window_us))
             yield pd.DataFrame(out, columns=["event_id", "key", "ts_us", "ok", "remaining", "retry_after_s", "reset_at_us"])
-        state.update((times,))
-        state.setTimeoutDuration(evict_after_ms)
-    return requests.groupBy("key").applyInPandasWithState(fn, ADMISSION_OUT, "times array<long>", "append",
-                                                          GroupStateTimeout.ProcessingTimeTimeout)
+        self.times.update(([int(x) for x in times],))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_admission(requests: DataFrame, limit: int, window_us: int, evict_after_ms: int = 86_400_000) -> DataFrame:
+    """requests: streaming (event_id, key, ts_us)."""
+    return with_state(requests, "key", Admission(limit, window_us, evict_after_ms), ADMISSION_OUT)
 
 
 MEDIAN_OUT = "event_id long, key string, cost double, exceeded boolean, cap double, median double"
 
 
-def stream_median_cap(costs: DataFrame, evict_after_ms: int = 30 * 86_400_000) -> DataFrame:
-    """costs: streaming (event_id, key, ts_us, cost) with non-null cost."""
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        hist = list(state.get[0]) if state.exists else []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts_us", "event_id"])
-            out = []
-            for eid, c in zip(pdf["event_id"].tolist(), pdf["cost"].tolist()):
+class MedianCap(StatefulProcessor):
+    """The last accepted costs of a key. Rows keep the columns of ``carry`` and get ``exceeded``, ``cap`` and ``median``; a row
+    without a cost gets nulls. With ``named`` the key is given out after the first column."""
+
+    def __init__(self, cost: str, carry: list[str], order: list[str], evict_after_ms: int, named: bool = False):
+        self.cost, self.carry, self.order, self.evict_after_ms, self.named = cost, carry, order, evict_after_ms, named
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.history = handle.getValueState("history", "costs array<double>", ttlDurationMs=self.evict_after_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        hist = list(self.history.get()[0]) if self.history.exists() else []
+        for pdf in rows:
+            pdf = pdf.sort_values(self.order)
+            decided = []
+            for c in pdf[self.cost].tolist():
+                if c is None or math.isnan(c):
+                    decided.append((None, None, None))
+                    continue
                 med = _median(hist)
                 if c > ABSOLUTE_CEILING_USD:
-                    out.append((eid, key[0], c, True, ABSOLUTE_CEILING_USD, med))
+                    decided.append((True, ABSOLUTE_CEILING_USD, med))
                     continue
                 cap = None if med is None or med == 0 else med * CAP_MULTIPLIER
                 exceeded = cap is not None and c > cap
                 if not exceeded and math.isfinite(c) and c >= 0:
                     hist = (hist + [c])[-HISTORY_CAP:]
-                out.append((eid, key[0], c, exceeded, cap, med))
-            yield pd.DataFrame(out, columns=["event_id", "key", "cost", "exceeded", "cap", "median"])
-        state.update((hist,))
-        state.setTimeoutDuration(evict_after_ms)
-    return costs.groupBy("key").applyInPandasWithState(fn, MEDIAN_OUT, "hist array<double>", "append",
-                                                       GroupStateTimeout.ProcessingTimeTimeout)
+                decided.append((exceeded, cap, med))
+            out = pdf[self.carry].reset_index(drop=True)
+            if self.named:
+                out.insert(1, "key", key[0])
+            for i, name in enumerate(("exceeded", "cap", "median")):
+                out[name] = pd.Series([d[i] for d in decided], dtype="object" if name == "exceeded" else "float64")
+            yield out
+        self.history.update(([float(x) for x in hist],))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_median_cap(costs: DataFrame, evict_after_ms: int = 30 * 86_400_000) -> DataFrame:
+    """costs: streaming (event_id, key, ts_us, cost) with non-null cost."""
+    return with_state(costs, "key", MedianCap("cost", ["event_id", "cost"], ["ts_us", "event_id"], evict_after_ms, named=True), MEDIAN_OUT)
 
 
 def monthly_gate_batch(state_dir: str, out_path: str, budget: float = C.MONTHLY_BUDGET_DEFAULT):
