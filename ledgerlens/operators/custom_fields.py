@@ -44,6 +44,25 @@ def check_definitions_sql(json_col: str) -> dict[str, str]:
     return {"defs": defs, "reason": reason}
 
 
+def check_definitions(df: DataFrame, json_col: str) -> DataFrame:
+    """P5 as columns ``defs`` and ``reason``, as ``check_definitions_sql`` gives them; each list is parsed once and each entry
+    taken apart once."""
+    def text(key: str) -> str:
+        return (f"CASE WHEN schema_of_variant(try_variant_get(d, '$.{key}', 'variant')) = 'STRING' "
+                f"THEN try_variant_get(d, '$.{key}', 'string') END")
+    entry = ", ".join(f"'{k}', {text(k)}" for k in ("id", "name", "type", "description"))
+    types = ", ".join(f"'{t}'" for t in TYPES)
+    fine = (f"d -> coalesce(char_length(d.id) BETWEEN 1 AND {ID_MAX} AND char_length(d.name) BETWEEN {NAME_MIN} AND {NAME_MAX} "
+            f"AND d.type IN ({types}) AND char_length(d.description) BETWEEN {DESC_MIN} AND {DESC_MAX}, false)")
+    out = df.selectExpr("*", f"try_parse_json({json_col}) AS _v").selectExpr(
+        "*", "coalesce(schema_of_variant(_v) LIKE 'ARRAY%', false) AS _list").selectExpr(
+        "*", f"CASE WHEN _list THEN transform(try_variant_get(_v, '$', 'array<variant>'), d -> named_struct({entry})) END AS _checked")
+    return out.selectExpr(
+        *df.columns, f"CASE WHEN _list THEN from_json({json_col}, '{DEF_SCHEMA}') END AS defs",
+        f"CASE WHEN NOT _list THEN 'non-array' WHEN size(_checked) > {MAX_FIELDS} THEN 'too-many' "
+        f"WHEN NOT forall(_checked, {fine}) THEN 'invalid-entry' END AS reason")
+
+
 def extraction_schema(definitions: list[dict]) -> T.StructType:
     """The record schema extended with ``custom_fields`` (number ->
     double, string/date -> string). Built on the driver from the (at most
@@ -69,6 +88,33 @@ def prompt_sql(text: str, today: str, block: str) -> str:
             f"'\\n</invoice_text>\\n\\n{PROMPT_INSTRUCTION}', {block})")
 
 
+# What is asked about a document that is sent as an image or as a scanned PDF.
+IMAGE_INSTRUCTION = (
+    'The image above is an invoice. Extract the invoice data per the schema. For every reasoning string, prefix it with '
+    '"[bbox: x, y, w, h] " where x, y, w, h are normalized 0..1 coordinates of the region in the image (e.g., "[bbox: 0.7, 0.05, 0.25, 0.06] '
+    'Invoice number labeled at top-right..."). If you can\'t localize visually, prefix with "[bbox: none] ".')
+PDF_INSTRUCTION = (
+    'The document above is a scanned (image-only) invoice PDF. Extract the invoice data per the schema. For every reasoning string, prefix it '
+    'with "[bbox: x, y, w, h] " where x, y, w, h are normalized 0..1 coordinates of the region on the FIRST page of the document (the rendered '
+    'preview shows page 1 only). If the value doesn\'t appear on page 1, or you can\'t localize visually, prefix with "[bbox: none] ".')
+
+
+def prompt_parts_sql(kind: str, text: str, mime: str, content: str, today: str, block: str) -> str:
+    """P13 for every input kind: the parts of a prompt as an array of (type, media_type, data, text). ``kind`` is text, image or pdf
+    (others give null); files travel as base64 without line breaks."""
+    from ledgerlens.functions.sql import lit
+    data = f"regexp_replace(base64({content}), '[\\\\r\\\\n]', '')"
+
+    def part(t: str, m: str, d: str, x: str) -> str:
+        return f"named_struct('type', '{t}', 'media_type', CAST({m} AS STRING), 'data', CAST({d} AS STRING), 'text', CAST({x} AS STRING))"
+
+    def asked(instruction: str) -> str:
+        return part("text", "NULL", "NULL", f"concat('<today>', {today}, '</today>\\n\\n', {lit(instruction)}, {block})")
+    return (f"CASE {kind} WHEN 'text' THEN array({part('text', 'NULL', 'NULL', prompt_sql(text, today, block))}) "
+            f"WHEN 'image' THEN array({part('image', mime, data, 'NULL')}, {asked(IMAGE_INSTRUCTION)}) "
+            f"WHEN 'pdf' THEN array({part('document', chr(39) + 'application/pdf' + chr(39), data, 'NULL')}, {asked(PDF_INSTRUCTION)}) END")
+
+
 def value_map(values: DataFrame) -> DataFrame:
     """One MAP id -> value per document (at most ``MAX_FIELDS`` entries; null values are kept)."""
     return values.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "value"))).alias("custom_fields"))

@@ -86,6 +86,18 @@ def write_csv(records: DataFrame, path: str, fmt: str = "summary") -> None:
      .write.mode("overwrite").option("lineSep", "\r\n").text(path))
 
 
+def export_name(fmt: str, run_date: str) -> str:
+    """The name of a day's export, by format."""
+    return f"invoices-{fmt}-{run_date}.csv"
+
+
+def write_export(records: DataFrame, folder: str, run_date: str, fmt: str = "summary") -> str:
+    """The export of one day and format under its own name in ``folder``; other days and formats stay. Returns the path."""
+    path = f"{folder.rstrip('/')}/{export_name(fmt, run_date)}"
+    write_csv(records, path, fmt)
+    return path
+
+
 def redact(records: DataFrame, col: str = "record") -> DataFrame:
     """Drop ``reasoning`` from the nine header structs and every line
     item; flags kept; custom fields not carried."""

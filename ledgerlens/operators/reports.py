@@ -12,17 +12,22 @@ from ledgerlens.operators import scoring
 REPORT_ORDER = ("section", "ordinal", "name", "field_no")
 
 
+def _write_run(out: DataFrame, path: str, run_date: str) -> None:
+    """Replaces the folder of one run date; other dates stay."""
+    (out.withColumn("run_date", F.lit(run_date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_date").json(path))
+
+
 def write_results(docs: DataFrame, path: str, run_date: str) -> None:
     """One JSON object per document (fields, pass, error)."""
     out = docs.selectExpr("doc_id", "category", "passed", "error",
-                          f"{scoring.score_array_sql()} AS fields").withColumn("run_date", F.lit(run_date))
-    out.write.mode("overwrite").partitionBy("run_date").json(path)
+                          f"{scoring.score_array_sql()} AS fields")
+    _write_run(out, path, run_date)
 
 
 def write_records(records: DataFrame, path: str, run_date: str, col: str = "edited") -> None:
     """One JSON object per document with its record as shown (edits applied), nulls kept."""
-    out = records.selectExpr("doc_id", f"to_json({col}, map('ignoreNullFields', 'false')) AS record").withColumn("run_date", F.lit(run_date))
-    out.write.mode("overwrite").partitionBy("run_date").json(path)
+    _write_run(records.selectExpr("doc_id", f"to_json({col}, map('ignoreNullFields', 'false')) AS record"), path, run_date)
 
 
 def accuracy_report(docs: DataFrame) -> DataFrame:
@@ -42,9 +47,8 @@ def failure_report(docs: DataFrame, n: int = 15) -> DataFrame:
     """``section, ordinal, name, category, field_no, field, expected, actual, text``: the failed fields of the ``n`` worst
     documents (worst first), then every document with an error, by id."""
     worst = scoring.bottom_failures(docs, n).selectExpr(
-        "doc_id", "row_number() OVER (ORDER BY failed_fields DESC, doc_id) - 1 AS ordinal")      # n rows
-    detail = (scoring.field_scores(docs).where("NOT match").join(F.broadcast(worst), "doc_id")
-              .join(F.broadcast(scoring.bottom_failures(docs, n).select("doc_id", "category")), "doc_id"))
+        "doc_id", "category", "row_number() OVER (ORDER BY failed_fields DESC, doc_id) - 1 AS ordinal")      # n rows
+    detail = scoring.field_scores(docs).drop("category").where("NOT match").join(F.broadcast(worst), "doc_id")
     failed = detail.selectExpr("'failure' AS section", "ordinal", "doc_id AS name", "category", "field_no", "field", "expected", "actual",
                                "note AS text")
     errors = docs.where("error IS NOT NULL").selectExpr(

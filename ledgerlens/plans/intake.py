@@ -223,21 +223,25 @@ FROM (SELECT *, CASE WHEN err IS NOT NULL THEN 'error' WHEN img IS NOT NULL THEN
 def q_file_triage(spark, sf_dir):
     """S1-S5, P19 over binary files built from the pages (magic-byte
     prefixes, declared types, empty files, an oversized image)."""
+    t = IN.triage(page_files(spark, sf_dir))
+    return t.select("page_id", "name", "declared_mime", "length", "kind", "image_mime", "error_code",
+                    "cap_bytes", "vision_used")
+
+
+def page_files(spark, sf_dir):
+    """Files as ``read_files`` gives them, one for each page."""
     pages = read_table(spark, sf_dir, "pages", "page_id", "html")
-    files = pages.selectExpr(
+    return pages.selectExpr(
         "page_id", f"{NAME_SQL.format(s='STRING')} AS name", f"{MIME_SQL} AS declared_mime",
         f"CASE WHEN page_id % 11 = 0 THEN X'' ELSE concat(unhex({PREFIX_HEX}), "
         f"encode(repeat(html, {REPS_SQL}), 'UTF-8')) END AS content").selectExpr(
         "*", "CAST(length(content) AS BIGINT) AS length")
-    t = IN.triage(files)
-    return t.select("page_id", "name", "declared_mime", "length", "kind", "image_mime", "error_code",
-                    "cap_bytes", "vision_used")
 
 
 _TEXT_SQL = "CASE WHEN page_id % 4 = 0 THEN ' ' || {nl} || '  ' WHEN page_id % 4 = 1 THEN NULL ELSE html END"
 
 
-@query("input_routing", f"""
+_ROUTING = f"""
 SELECT page_id, outcome, error_code, input, input IN ('image', 'pdf') AS vision_used,
        CAST(CASE WHEN kind = 'pdf' AND input <> 'error' THEN coalesce(pages, 1) ELSE 1 END AS INTEGER) AS num_pages,
        CASE input WHEN 'image' THEN 'image-received' WHEN 'pdf' THEN 'pdf-vision-fallback' WHEN 'text' THEN 'pdf-parsed' ELSE error_code END AS category
@@ -246,7 +250,10 @@ FROM (SELECT page_id, kind, pages, outcome, CASE WHEN outcome = 'parse_failed' T
              WHEN outcome = 'image_only' THEN 'pdf' ELSE 'text' END AS input
       FROM (SELECT t.*, nullif(p.page_id % 6, 0) AS pages, CASE WHEN kind <> 'pdf' THEN NULL WHEN p.page_id % 10 = 3 THEN 'parse_failed'
               WHEN coalesce(regexp_replace({_TEXT_SQL.format(nl='chr(10)').replace('page_id', 'p.page_id').replace('html', 'p.html')}, '^\\s+|\\s+$', '', 'g'), '') = '' THEN 'image_only' END AS outcome
-            FROM ({_TRIAGE}) t JOIN pages p ON p.page_id = t.page_id) a) b""")
+            FROM ({_TRIAGE}) t JOIN pages p ON p.page_id = t.page_id) a) b"""
+
+
+@query("input_routing", _ROUTING)
 def q_input_routing(spark, sf_dir):
     """The files of ``file_triage`` with a text layer beside each PDF (some blank, some missing, some unreadable)."""
     text = read_table(spark, sf_dir, "pages", "page_id", "html").selectExpr(
@@ -279,17 +286,24 @@ def definition_lists(spark, sf_dir):
 
 
 def checked_definitions(spark, sf_dir):
-    c = CF.check_definitions_sql("defs_json")
-    return definition_lists(spark, sf_dir).selectExpr("conv_id", "turn", f"{c['defs']} AS defs", f"{c['reason']} AS reason")
+    return CF.check_definitions(definition_lists(spark, sf_dir), "defs_json").drop("defs_json")
+
 
+def numbered_tenants(spark, sf_dir):
+    """(conv_id, turn, tenant): every turn of a conversation once, numbered from 0 without gaps; and how many there are."""
+    from ledgerlens.operators.prefix import running_sum
+    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn").distinct().selectExpr("conv_id", "turn", "0 AS one", "1D AS w")
+    found = running_sum(turns, "w", ["one"], ["conv_id", "turn"], "before").selectExpr("conv_id", "turn", "CAST(before AS BIGINT) AS tenant")
+    return found, found.count()
 
-def document_tenants(spark, sf_dir, docs):
-    """Gives every document a tenant: conversations in turn, and within one its turns in turn."""
-    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn")
-    last = conv.selectExpr("max(conv_id) + 1 AS n").scalar()
-    sizes = conv.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
-    return (docs.withColumn("conv_id", F.expr("order_key") % last).join(sizes, "conv_id")
-            .withColumn("turn", F.expr("order_key % (last_turn + 1)")).drop("last_turn"))
+
+def document_tenants(spark, sf_dir, docs, settings=None):
+    """Deals the documents out to the tenants in turn (by order key); every document is kept, without tenants too. ``settings``
+    (conv_id, turn, ...) come along, where a tenant has them."""
+    tenants, n = numbered_tenants(spark, sf_dir)
+    if settings is not None:
+        tenants = tenants.join(settings, ["conv_id", "turn"], "left")
+    return docs.withColumn("tenant", F.expr(f"order_key % nullif({n}L, 0)")).join(tenants, "tenant", "left").drop("tenant")
 
 
 DEFS_CTE = f""",
@@ -304,9 +318,10 @@ d3 AS (SELECT conv_id, turn, i, 'cf-' || CAST(conv_id AS VARCHAR) || '-' || CAST
 tenants AS (SELECT d0.conv_id, d0.turn, len(ps) AS n_fields,
               CASE WHEN len(ps) > 10 THEN 'too-many' WHEN coalesce(b.bad, false) THEN 'invalid-entry' END AS reason
             FROM d0 LEFT JOIN (SELECT conv_id, turn, bool_or(NOT ok) AS bad FROM d3 GROUP BY ALL) b ON b.conv_id = d0.conv_id AND b.turn = d0.turn),
-doc_tenant AS (SELECT inv.k, z.conv_id, inv.k % (z.last_turn + 1) AS turn FROM inv
-               JOIN (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id) z
-                 ON z.conv_id = inv.k % (SELECT max(conv_id) + 1 FROM conversations))"""
+tenant_no AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n
+              FROM (SELECT DISTINCT conv_id, turn FROM conversations) t),
+doc_tenant AS (SELECT inv.k, z.conv_id, z.turn FROM inv
+               LEFT JOIN tenant_no z ON z.n = inv.k % (SELECT count(*) FROM tenant_no))"""
 
 
 @query("custom_fields", with_base(DEFS_CTE + """
@@ -362,8 +377,36 @@ def q_prompt_rows(spark, sf_dir):
     text, instruction, the tenant's custom-field block. One projection of the records; definitions join on the tenant."""
     blocks = checked_definitions(spark, sf_dir).filter("reason IS NULL").selectExpr(
         "conv_id", "turn", f"{CF.custom_block_sql('defs')} AS block")
-    rec = invoice_records(spark, sf_dir).select("doc_id", "order_key", "record")
-    texts = render_text(document_tenants(spark, sf_dir, rec), "conv_id", "turn")
-    p = texts.join(blocks, ["conv_id", "turn"], "left").selectExpr(
+    rec = document_tenants(spark, sf_dir, invoice_records(spark, sf_dir).select("doc_id", "order_key", "record"), blocks)
+    p = render_text(rec, "block").selectExpr(
         "doc_id", f"{CF.prompt_sql('text', repr(AS_OF), "coalesce(block, '')")} AS prompt")
     return p.selectExpr("doc_id", "CAST(char_length(prompt) AS INT) AS prompt_chars", "md5(prompt) AS prompt_md5")
+
+
+_LAYER = _TEXT_SQL.format(nl="chr(10)").replace("page_id", "p.page_id").replace("html", "p.html")
+_ASK = "'<today>" + AS_OF + "</today>' || chr(10) || chr(10) || "
+
+
+@query("prompt_parts", f"""
+WITH routed AS ({_ROUTING}),
+triaged AS ({_TRIAGE}),
+files AS (SELECT r.page_id, r.input, t.image_mime, {_LAYER} AS layer,
+            to_base64(unhex(CASE WHEN p.page_id % 11 = 0 THEN '' ELSE {PREFIX_HEX.replace("page_id", "p.page_id")} ||
+              repeat(hex(encode(p.html)), {REPS_SQL.replace("page_id", "p.page_id")}) END)) AS data
+          FROM routed r JOIN triaged t ON t.page_id = r.page_id JOIN pages p ON p.page_id = r.page_id WHERE r.input <> 'error')
+SELECT page_id, input, CASE input WHEN 'text' THEN 1 ELSE 2 END AS n_parts,
+  CASE input WHEN 'image' THEN image_mime WHEN 'pdf' THEN 'application/pdf' END AS media_type,
+  CASE WHEN input <> 'text' THEN md5(data) END AS data_md5,
+  md5(CASE input WHEN 'text' THEN '<today>{AS_OF}</today>' || chr(10) || '<invoice_text>' || chr(10) || layer || chr(10) || '</invoice_text>' ||
+        chr(10) || chr(10) || '{CF.PROMPT_INSTRUCTION}'
+      WHEN 'image' THEN {_ASK} '{CF.IMAGE_INSTRUCTION.replace("'", "''")}'
+      ELSE {_ASK} '{CF.PDF_INSTRUCTION.replace("'", "''")}' END) AS text_md5
+FROM files""")
+def q_prompt_parts(spark, sf_dir):
+    """P13 for the files of ``input_routing``: texts, images and scanned PDFs, each as the parts that a model is sent."""
+    text = read_table(spark, sf_dir, "pages", "page_id", "html").selectExpr(
+        "page_id", f"{_TEXT_SQL.format(nl='char(10)')} AS pdf_text", "CAST(nullif(page_id % 6, 0) AS INT) AS pdf_pages", "page_id % 10 = 3 AS pdf_failed")
+    routed = IN.route(IN.triage(page_files(spark, sf_dir)).join(text, "page_id")).where("input <> 'error'")
+    parts = routed.selectExpr("page_id", "input", f"{CF.prompt_parts_sql('input', 'pdf_text', 'image_mime', 'content', repr(AS_OF), chr(39) * 2)} AS parts")
+    return parts.selectExpr("page_id", "input", "size(parts) AS n_parts", "parts[0].media_type AS media_type", "md5(parts[0].data) AS data_md5",
+                            "md5(element_at(parts, -1).text) AS text_md5")
