@@ -74,6 +74,58 @@ def extraction_schema(definitions: list[dict]) -> T.StructType:
     return T.StructType(S.RECORD.fields + [T.StructField("custom_fields", T.StructType(fields), True)])
 
 
+#: The confidences that a field may have.
+CONFIDENCES = ("high", "medium", "low")
+
+
+def _field_reason(f: str, kind: str) -> str:
+    """Why a custom field's variant ``f`` is rejected, first reason first; null if it is good. ``kind`` is the definition's type."""
+    part = {k: f"schema_of_variant(try_variant_get({f}, '$.{k}', 'variant'))" for k in ("value", "confidence", "reasoning")}
+    number = f"{part['value']} RLIKE '^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$'"
+    right = f"CASE WHEN {kind} = 'number' THEN {number} ELSE {part['value']} = 'STRING' END"
+    wrong = (f"NOT schema_of_variant({f}) LIKE 'OBJECT%' OR NOT ({part['value']} = 'VOID' OR {right}) "
+             f"OR {part['confidence']} <> 'STRING' OR {part['reasoning']} <> 'STRING'")
+    absent = " OR ".join(f"{p} IS NULL" for p in part.values())
+    known = ", ".join(f"'{c}'" for c in CONFIDENCES)
+    return (f"CASE WHEN {f} IS NULL THEN 'missing-key' WHEN coalesce({wrong}, false) THEN 'wrong-type' WHEN {absent} THEN 'missing-key' "
+            f"WHEN try_variant_get({f}, '$.confidence', 'string') NOT IN ({known}) THEN 'bad-enum' END")
+
+
+def typed_values(responses: DataFrame, defs: DataFrame, text_col: str = "response") -> DataFrame:
+    """P6 + U1: custom fields read from JSON responses (doc_id, tenant, text) by the types of their tenant's definitions (tenant, pos,
+    id, type). One row per document and definition: ``number_value`` of a number, ``text_value`` of a string or date, and ``reason`` why a
+    field is rejected (``invalid-json``, ``wrong-type``, ``missing-key``, ``bad-enum``), which leaves it without a value. Kinds are read from
+    the JSON itself; a null value is good. A document whose tenant has no definitions has no rows."""
+    parsed = responses.selectExpr("doc_id", "tenant", f"try_parse_json({text_col}) AS _v").selectExpr(
+        "doc_id", "tenant", "_v IS NOT NULL AS _json", "try_variant_get(_v, '$.custom_fields', 'map<string,variant>') AS _m")
+    field = parsed.join(defs.select("tenant", "pos", "id", "type"), "tenant").selectExpr(
+        "doc_id", "tenant", "pos", "id", "type", "_json", "try_element_at(_m, id) AS _f")
+    checked = field.selectExpr("*", f"CASE WHEN NOT _json THEN 'invalid-json' ELSE {_field_reason('_f', 'type')} END AS reason")
+    return checked.selectExpr(
+        "doc_id", "tenant", "pos", "id", "type",
+        "CASE WHEN reason IS NULL AND type = 'number' THEN try_variant_get(_f, '$.value', 'double') END AS number_value",
+        "CASE WHEN reason IS NULL AND type <> 'number' THEN try_variant_get(_f, '$.value', 'string') END AS text_value",
+        "CASE WHEN reason IS NULL THEN try_variant_get(_f, '$.confidence', 'string') END AS confidence", "reason")
+
+
+def read_extractions(df: DataFrame, definitions: list[dict], text_col: str = "value") -> DataFrame:
+    """P6 for one tenant (10 definitions at most): ``record`` by the extended schema of ``extraction_schema``, its ``custom_fields`` typed;
+    ``error`` as in the S6 source, or the first reason of a custom field. A rejected response has no record."""
+    from ledgerlens.sources.records import parse_records
+    base = parse_records(df, text_col).drop("record")
+    if not definitions:
+        return parse_records(df, text_col)
+    staged = base.selectExpr("*", f"try_variant_get(try_parse_json({text_col}), '$.custom_fields', 'map<string,variant>') AS _m")
+    reasons = []
+    for i, d in enumerate(definitions):
+        staged = staged.withColumn(f"_f{i}", F.expr("try_element_at(_m, {})".format("'" + d["id"].replace("\\", "\\\\").replace("'", "\\'") + "'")))
+        reasons.append(_field_reason(f"_f{i}", f"'{d['type']}'"))
+    kept = [c for c in base.columns if c != "error"]
+    out = staged.selectExpr(*kept, f"coalesce(error, {', '.join(reasons)}) AS error")
+    schema = extraction_schema(definitions)
+    return out.withColumn("record", F.when(F.col("error").isNull(), F.from_json(F.col(text_col), schema)))
+
+
 def custom_block_sql(defs: str) -> str:
     """One line per definition after the fixed lead-in; '' when none."""
     line = (f"d -> concat('- ID \"', d.id, '\" (', d.type, ', displayed as \"', {js_trim('d.name')}, "

@@ -10,7 +10,12 @@ variants x lines, and no shuffle when text and values are in one table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.sql import js_trim, lit
 
@@ -97,3 +102,72 @@ def normalise_box_sql(x: str, y: str, width: str, height: str, t2: str, t3: str,
     h = f"greatest({height} * {scale}, hypot({t2}, {t3}))"
     return {"x": f"greatest(0D, {x} / {vw})", "y": f"greatest(0D, ({y} - {h}) / {vh})",
             "w": f"least(1D, {w} / {vw})", "h": f"least(1D, {h} / {vh})"}
+
+
+ITEM_SCHEMA = "ARRAY<STRUCT<str: STRING, width: DOUBLE, height: DOUBLE, transform: ARRAY<DOUBLE>>>"
+PAGE_SCHEMA = "STRUCT<width: DOUBLE, height: DOUBLE, scale: DOUBLE, transform: ARRAY<DOUBLE>>"
+
+
+def first_items(items: list[str | None], labels: list[list[str | None]]) -> list[tuple[int, int, int]]:
+    """(label, variant, item) for each label that is found: its first variant (of two characters or more) that lies in an item, and
+    the first such item. All variants of all labels are looked for at once, in one pass over the items."""
+    import ahocorasick
+    wanted: dict[str, list[tuple[int, int]]] = {}
+    for no, variants in enumerate(labels):
+        for v, text in enumerate(variants):
+            if text and len(text) >= 2:
+                wanted.setdefault(text, []).append((no, v))
+    if not wanted:
+        return []
+    found = ahocorasick.Automaton()
+    for text in wanted:
+        found.add_word(text, text)
+    found.make_automaton()
+    at: dict[str, int] = {}
+    for i, item in enumerate(items):
+        for _, text in found.iter(item) if item else ():
+            at.setdefault(text, i)
+        if len(at) == len(wanted):
+            break
+    best: dict[int, tuple[int, int]] = {}
+    for text, i in at.items():
+        for no, v in wanted[text]:
+            if no not in best or v < best[no][0]:
+                best[no] = (v, i)
+    return [(no, *best[no]) for no in sorted(best)]
+
+
+def _multiply(m: str, n: str) -> list[str]:
+    """The six terms of the product of two 2-D transforms, as SQL."""
+    a, b = ([f"{x}[{i}]" for i in range(6)] for x in (m, n))
+    return [f"{a[0]} * {b[0]} + {a[2]} * {b[1]}", f"{a[1]} * {b[0]} + {a[3]} * {b[1]}", f"{a[0]} * {b[2]} + {a[2]} * {b[3]}",
+            f"{a[1]} * {b[2]} + {a[3]} * {b[3]}", f"{a[0]} * {b[4]} + {a[2]} * {b[5]} + {a[4]}", f"{a[1]} * {b[4]} + {a[3]} * {b[5]} + {a[5]}"]
+
+
+def evidence_boxes(docs: DataFrame) -> DataFrame:
+    """J6 + F9: for every label of a document the item that shows its value, and the item's box on the page. ``docs`` has doc_id,
+    labels (as ``field_variants``), items (``ITEM_SCHEMA``, in page order) and page (``PAGE_SCHEMA``). One row per label found; null
+    items, texts or labels find nothing; a label with equal hits keeps the first variant, then the first item."""
+    lowered = docs.select(
+        "doc_id", F.col("items").cast(ITEM_SCHEMA).alias("items"), F.col("page").cast(PAGE_SCHEMA).alias("page"), "labels",
+        F.expr("transform(items, i -> lower(i.str))").alias("texts"),
+        F.expr(f"transform(labels, l -> transform(l.vs, v -> lower({js_trim('v')})))").alias("variants"))
+    hits = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("label", "variant", "item")]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [first_items(t or [], [x or [] for x in v or []])
+                    for t, v in zip(b.column("texts").to_pylist(), b.column("variants").to_pylist())]
+            kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("label", "variant", "item")]))
+            found = pa.array([[dict(zip(("label", "variant", "item"), r)) for r in x] for x in rows], kind)
+            keep = [n for n in b.schema.names if n not in ("texts", "variants")]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), found], names=[*keep, "hits"])
+    fields = [f for f in lowered.schema.fields if f.name not in ("texts", "variants")]
+    found = lowered.mapInArrow(run, T.StructType([*fields, T.StructField("hits", hits)]))
+    one = found.selectExpr("doc_id", "items", "page", "labels", "inline(hits)").selectExpr(
+        "doc_id", "labels[label].label_no AS label_no", "labels[label].label AS label", "variant AS variant_no", "item AS item_no",
+        "items[item] AS it", "page")
+    tx = _multiply("page.transform", "it.transform")
+    placed = one.selectExpr("*", *[f"{tx[i]} AS t{i}" for i in (2, 3, 4, 5)])
+    box = normalise_box_sql("t4", "t5", "it.width", "it.height", "t2", "t3", "page.scale", "page.width", "page.height")
+    return placed.selectExpr("doc_id", "label_no", "label", "variant_no", "item_no", *[f"{v} AS {k}" for k, v in box.items()])

@@ -129,6 +129,40 @@ def q_evidence_lookup(spark, sf_dir):
         "doc_id", "CAST(label_no AS INT) AS label_no", "label", "variant_no", "line_no")
 
 
+# stand-in for a page: a rendered line's parts (two spaces or more apart) are its items, placed line by line, some slanted
+PAGE = "named_struct('width', 918D, 'height', 1188D, 'scale', 1.5D, 'transform', array(1.5D, 0D, 0D, -1.5D, 0D, 1188D))"
+
+
+def positioned(spark, sf_dir):
+    rec = invoice_records(spark, sf_dir)
+    docs = X.render_text(rec.select("doc_id", "record"), "record").selectExpr(
+        "doc_id", f"{EV.labels_sql()} AS labels",
+        "flatten(transform(split(text, '\\n', -1), (l, i) -> transform(split(l, ' {2,}', -1), (p, j) -> named_struct('str', p, 'l', i, 'p', j)))) AS parts")
+    return docs.selectExpr(
+        "doc_id", "labels", f"{PAGE} AS page",
+        "transform(parts, (x, n) -> named_struct('str', x.str, 'width', 6D * char_length(x.str), 'height', 8D + n % 4, 'transform', "
+        "array(10D, 0D, CAST(n % 3 AS DOUBLE), 10D + n % 4, 40D + x.p * 150D, 760D - 14D * x.l))) AS items")
+
+
+@query("evidence_boxes", with_base(EVIDENCE_SQL.split("\nhits AS (")[0] + """
+pl AS (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS l FROM texts),
+pp AS (SELECT k, l, unnest(regexp_split_to_array(line, ' {2,}')) AS str, generate_subscripts(regexp_split_to_array(line, ' {2,}'), 1) - 1 AS p FROM pl),
+it AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY l, p) - 1 AS n FROM pp),
+hits AS (SELECT v.doc_id, v.k, v.label_no, v.label, v.variant_no, it.n FROM v JOIN it ON it.k = v.k
+         WHERE length(trim(v.variant)) >= 2 AND contains(lower(it.str), lower(trim(v.variant)))),
+best AS (SELECT doc_id, k, label_no, label, min(variant_no * 1000000 + n) AS code FROM hits GROUP BY ALL),
+b AS (SELECT best.*, code // 1000000 AS variant_no, it.n, it.str, it.l, it.p FROM best JOIN it ON it.k = best.k AND it.n = code % 1000000),
+t AS (SELECT *, 1.5 * (n % 3) AS t2, -1.5 * (10 + n % 4) AS t3, 1.5 * (40 + p * 150) AS t4, -1.5 * (760 - 14 * l) + 1188 AS t5 FROM b),
+h AS (SELECT *, greatest((8 + n % 4) * 1.5::DOUBLE, sqrt(CAST(t2 AS DOUBLE) * t2 + CAST(t3 AS DOUBLE) * t3)) AS hh, greatest(6.0::DOUBLE * length(str) * 1.5, 4.0) AS ww FROM t)
+SELECT doc_id, label_no, label, CAST(variant_no AS INTEGER) AS variant_no, CAST(n AS INTEGER) AS item_no,
+       round(greatest(0.0, t4 / 918.0::DOUBLE), 9) AS x, round(greatest(0.0, (t5 - hh) / 1188.0::DOUBLE), 9) AS y,
+       round(least(1.0, ww / 918.0::DOUBLE), 9) AS w, round(least(1.0, hh / 1188.0::DOUBLE), 9) AS h FROM h"""))
+def q_evidence_boxes(spark, sf_dir):
+    """J6 + F9 over positioned items: where on the page each value stands."""
+    return EV.evidence_boxes(positioned(spark, sf_dir)).selectExpr(
+        "doc_id", "label_no", "label", "variant_no", "item_no", *[f"round({c}, 9) AS {c}" for c in "xywh"])
+
+
 _BBOX = r"^\[bbox:\s*([-\d.]+)\s*,\s*([-\d.]+)\s*,\s*([-\d.]+)\s*,\s*([-\d.]+)\s*\]\s*"
 _NONE = r"(?i)^\[bbox:\s*none\s*\]\s*"
 

@@ -54,6 +54,31 @@ def q_log_rollup(spark, sf_dir):
     return ER.log_rollup(request_logs(spark, sf_dir))
 
 
+def _exact(p: float) -> str:
+    return f"CASE WHEN n <= {ER.SKETCH_K} THEN max(CASE WHEN rn = CAST(ceil({p}::DOUBLE * n) AS BIGINT) THEN duration_ms END) END"
+
+
+@query("latency_percentiles", with_usage(LOGS_CTE + f""",
+g AS (SELECT 'hour' AS level, route, category, strftime(ts, '%Y-%m-%d %H') AS period, duration_ms FROM logs2
+      UNION ALL SELECT 'day', route, category, strftime(ts, '%Y-%m-%d'), duration_ms FROM logs2
+      UNION ALL SELECT 'route', route, NULL, NULL, duration_ms FROM logs2
+      UNION ALL SELECT 'all', NULL, NULL, NULL, duration_ms FROM logs2),
+r AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY level, route, category, period) AS n FROM g WHERE duration_ms IS NOT NULL
+      WINDOW w AS (PARTITION BY level, route, category, period ORDER BY duration_ms))
+SELECT level, route, category, period, n, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, {_exact(0.5)} AS p50_ms,
+       {_exact(0.95)} AS p95_ms, {_exact(0.99)} AS p99_ms, true AS within_bound
+FROM r GROUP BY level, route, category, period, n"""))
+def q_latency_percentiles(spark, sf_dir):
+    """Latency percentiles from mergeable sketches per route, category and hour, merged to days, routes and the total. Every estimate's
+    exact rank is within the bound; groups that a sketch holds whole show their (exact) values."""
+    logs = request_logs(spark, sf_dir)
+    ranked = ER.percentile_ranks(logs, ER.latency_percentiles(ER.latency_sketches(logs)))
+    ps = "array(" + ", ".join(f"{p}D" for p in ER.PERCENTILES) + ")"
+    near = f"forall(sequence(0, {len(ER.PERCENTILES) - 1}), i -> below[i] <= {ps}[i] + {ER.RANK_ERROR}D AND upto[i] >= {ps}[i] - {ER.RANK_ERROR}D)"
+    whole = [f"CASE WHEN n <= {ER.SKETCH_K} THEN quantiles[{i}] END AS {name}_ms" for i, name in enumerate(("p50", "p95", "p99"))]
+    return ranked.selectExpr("level", "route", "category", "period", "n", "min_ms", "max_ms", *whole, f"{near} AS within_bound")
+
+
 @query("error_taxonomy_join", with_usage(LOGS_CTE + """
 SELECT event_id, category AS code, CAST(http_status AS INTEGER) AS http_status, title, message, next_step FROM logs2
 WHERE category <> 'success'"""))
@@ -410,3 +435,41 @@ def q_prompt_parts(spark, sf_dir):
     parts = routed.selectExpr("page_id", "input", f"{CF.prompt_parts_sql('input', 'pdf_text', 'image_mime', 'content', repr(AS_OF), chr(39) * 2)} AS parts")
     return parts.selectExpr("page_id", "input", "size(parts) AS n_parts", "parts[0].media_type AS media_type", "md5(parts[0].data) AS data_md5",
                             "md5(element_at(parts, -1).text) AS text_md5")
+
+
+_SLOT = "(order_key + pos) % 11"
+
+
+
+def custom_responses(spark, sf_dir, docs, defs):
+    """Stand-in for a model's answers: JSON with a custom field for each definition of the document's tenant; some are absent, of a
+    wrong kind, with an unknown confidence, without reasoning, null or no object."""
+    from ledgerlens.functions.sql import json_string
+    value = (f"CASE type WHEN 'number' THEN coalesce(CAST(record.total.value AS STRING), 'null') WHEN 'date' THEN {json_string('record.due_date.value')} "
+             f"ELSE {json_string('record.vendor.name')} END")
+    wrong = "CASE type WHEN 'number' THEN '\"12\"' ELSE '12' END"
+    body = f"""CASE {_SLOT} WHEN 5 THEN '"x"' ELSE concat('{{"value":', CASE {_SLOT} WHEN 1 THEN {wrong} WHEN 4 THEN 'null' ELSE {value} END,
+               ',"confidence":"', CASE {_SLOT} WHEN 2 THEN 'sure' ELSE 'high' END, '"', CASE {_SLOT} WHEN 3 THEN '' ELSE ',"reasoning":"r"' END, '}}') END"""
+    fields = docs.join(defs, "tenant").where(f"{_SLOT} <> 0").selectExpr("doc_id", f"concat('\"', id, '\":', {body}) AS f")
+    joined = fields.groupBy("doc_id").agg(F.expr("concat('{\"custom_fields\":{', array_join(sort_array(collect_list(f)), ','), '}}')").alias("response"))
+    return docs.select("doc_id", "tenant", "order_key").join(joined, "doc_id", "left").selectExpr(
+        "doc_id", "tenant", "CASE WHEN order_key % 29 = 0 THEN '{broken' ELSE coalesce(response, '{}') END AS response")
+
+
+@query("custom_field_records", with_base(DEFS_CTE + """,
+f AS (SELECT inv.doc_id, d3.i, d3.type, inv.k % 29 = 0 AS broken, (inv.k + d3.i) % 11 AS slot, inv.total, inv.due, inv.vendor_name
+      FROM inv JOIN doc_tenant dt ON dt.k = inv.k JOIN tenants t ON t.conv_id = dt.conv_id AND t.turn = dt.turn AND t.reason IS NULL
+      JOIN d3 ON d3.conv_id = t.conv_id AND d3.turn = t.turn),
+r AS (SELECT *, CASE WHEN broken THEN 'invalid-json' WHEN slot IN (0, 3) THEN 'missing-key' WHEN slot IN (1, 5) THEN 'wrong-type'
+                     WHEN slot = 2 THEN 'bad-enum' END AS reason FROM f)
+SELECT doc_id, CAST(i AS INTEGER) AS pos, type, CASE WHEN reason IS NULL AND slot <> 4 AND type = 'number' THEN total END AS number_value,
+       CASE WHEN reason IS NULL AND slot <> 4 THEN CASE type WHEN 'date' THEN due WHEN 'string' THEN vendor_name END END AS text_value, reason
+FROM r"""))
+def q_custom_field_records(spark, sf_dir):
+    """P6 + U1: each document's custom fields read from JSON by its tenant's types; wrong ones rejected with a reason."""
+    defs = (checked_definitions(spark, sf_dir).filter("reason IS NULL").selectExpr("conv_id", "turn", "posexplode(defs) AS (pos, d)")
+            .selectExpr("struct(conv_id, turn) AS tenant", "pos", "d.id AS id", "d.type AS type"))
+    docs = document_tenants(spark, sf_dir, invoice_records(spark, sf_dir).select("doc_id", "order_key", "record")).selectExpr(
+        "doc_id", "order_key", "struct(conv_id, turn) AS tenant", "record")
+    return CF.typed_values(custom_responses(spark, sf_dir, docs, defs), defs).selectExpr(
+        "doc_id", "CAST(pos AS INT) AS pos", "type", "number_value", "text_value", "reason")
