@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,11 +210,15 @@ def scan_value(buf: str, open_c: str, close_c: str, i: int, depth: int, in_str:
     return None, i, depth, in_str
 
 
-def final_events(text: str, seqs: list[int], lens: list[int]) -> list[tuple]:
+_DECODER = json.JSONDecoder()
+
+
+def final_events(text: str, seqs, lens) -> list[tuple]:
     """R1 outcome from the whole response at once: for each key, its first
     ``"key":``, the close of its value and whether that parses; the event's
     chunk is the one holding the close character. Equal to feeding the
-    chunks one by one (a prefix scan is a prefix of the full scan)."""
+    chunks one by one: a prefix scan is a prefix of the full scan, and a value that parses where it starts ends at the
+    bracket that closes it."""
     located = {}
     for m in _KEY_RE.finditer(text):
         located.setdefault(m.group(1), m.end())
@@ -229,40 +234,37 @@ def final_events(text: str, seqs: list[int], lens: list[int]) -> list[tuple]:
             start += 1
         if start >= len(text) or text[start] not in "{[":
             continue
-        open_c = text[start]
-        close, *_ = scan_value(text, open_c, "}" if open_c == "{" else "]", start, 0, False)
-        if close is None:
-            continue
-        value = text[start:close + 1]
         try:
-            json.loads(value)
-        except ValueError:
+            _, end = _DECODER.raw_decode(text, start)
+        except (ValueError, RecursionError):
             continue
-        j = int(np.searchsorted(ends, close, side="right"))
-        out.append((key, no, int(seqs[j]), len(value), value))
+        j = int(np.searchsorted(ends, end - 1, side="right"))
+        out.append((key, no, int(seqs[j]), end - start, text[start:end]))
     return out
 
 
 def field_events(chunks: DataFrame) -> DataFrame:
     """R1 batch form: one row per emitted field (response, field, chunk seq
     it closed in, value text). Chunks are gathered per response (bounded by
-    the response cap; the group is one response), then each whole text is
-    scanned once over Arrow batches, emitting flat rows."""
+    the response cap) and joined by the JVM; a task gets each text once, with the lengths of its chunks, and
+    reads every value where it starts."""
     whole = chunks.groupBy("response_id").agg(F.expr(
         "sort_array(collect_list(struct(seq, coalesce(chunk, '') AS c))) AS cs")).selectExpr(
-        "response_id", "cs.c AS cs_text", "cs.seq AS seqs")
-    return whole.mapInPandas(_events_flat, FIELD_EVENT_SCHEMA)
+        "response_id", "array_join(cs.c, '') AS text", "cs.seq AS seqs", "transform(cs.c, x -> char_length(x)) AS lens")
+    return whole.mapInArrow(_events_flat, FIELD_EVENT_SCHEMA)
 
 
-def _events_flat(it):
+def _events_flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole responses in, one flat row per emitted field out."""
-    cols = ["response_id", "field", "field_no", "seq", "value_chars", "value_json"]
-    for pdf in it:
-        rows = []
-        for rid, cs, sq in zip(pdf["response_id"], pdf["cs_text"], pdf["seqs"]):
-            for k, n, q, c, v in final_events("".join(cs), sq, [len(x) for x in cs]):
-                rows.append((rid, k, n, q, c, v))
-        yield pd.DataFrame(rows, columns=cols)
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+    names = [c.split()[0] for c in FIELD_EVENT_SCHEMA.split(", ")]
+    for b in batches:
+        at = b.column("seqs").offsets.to_numpy()
+        seqs, lens = (b.column(c).values.to_numpy() for c in ("seqs", "lens"))
+        rows = [(rid, *event) for rid, text, i, j in zip(b.column("response_id").to_pylist(), b.column("text").to_pylist(), at, at[1:])
+                for event in final_events(text, seqs[i:j], lens[i:j])]
+        columns = zip(*rows) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 #: The code and the two messages of a response that can't be used (own wording), and the cap's code.

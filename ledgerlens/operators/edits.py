@@ -67,8 +67,11 @@ def apply_edits(records: DataFrame, edits: DataFrame) -> DataFrame:
     """Overlay the last edits on the records; keeps ``original`` and adds
     ``edited_fields`` (P10: values that differ from the original). Documents
     without edits stay as they are; a field edited to empty is null."""
-    latest = latest_edits(edits)
-    j = records.join(latest, "doc_id", "left")
+    return overlay(records.join(latest_edits(edits), "doc_id", "left"))
+
+
+def overlay(j: DataFrame) -> DataFrame:
+    """The overlay over records that stand beside their last edits (the columns of ``latest_edits``)."""
     rec = F.col("record")
     for f, (path, _) in EDITABLE.items():
         rec = rec.withField(path, F.expr(f"CASE WHEN coalesce(has_{f}, false) THEN new_{f} "
@@ -76,7 +79,7 @@ def apply_edits(records: DataFrame, edits: DataFrame) -> DataFrame:
     marker = " + ".join(f"CASE WHEN NOT (edited.{p} <=> original.{p}) THEN 1 ELSE 0 END"
                         for p, _ in EDITABLE.values())
     return (j.select("*", F.col("record").alias("original"), rec.alias("edited"))
-            .drop("record", *[c for c in latest.columns if c != "doc_id"])
+            .drop("record", *[f"{x}_{f}" for f in EDITABLE for x in ("has", "new")])
             .selectExpr("*", f"({marker}) AS edited_fields"))
 
 
@@ -93,9 +96,10 @@ def with_display_flags(edited: DataFrame, as_of: str) -> DataFrame:
     """J7 + U2s, as column ``flags``: flags stored with the extraction (rule
     flags of the original merged with the model's) minus the original rule
     flags, merged after the rule flags of the edited record. Each rule array
-    is built once, in a projection of its own."""
+    is built once, in a projection of its own; a document whose values are unchanged has the stored flags, and no second array."""
     stored = merge_flags_sql("original.flags", "_det")
     return (edited.selectExpr("*", f"{rule_flags_sql(as_of, 'original')} AS _det",
-                              f"{rule_flags_sql(as_of, 'edited')} AS _now")
-            .selectExpr("*", f"array_except({stored}, _det) AS _model")
-            .selectExpr("*", f"{merge_flags_sql('_model', '_now')} AS flags").drop("_det", "_now", "_model"))
+                              f"CASE WHEN edited_fields > 0 THEN {rule_flags_sql(as_of, 'edited')} END AS _now")
+            .selectExpr("*", f"{stored} AS _stored").selectExpr("*", "CASE WHEN _now IS NOT NULL THEN array_except(_stored, _det) END AS _model")
+            .selectExpr("*", f"CASE WHEN _now IS NULL THEN _stored ELSE {merge_flags_sql('_model', '_now')} END AS flags")
+            .drop("_det", "_now", "_model", "_stored"))
