@@ -67,6 +67,12 @@ def no_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns but those that an operator's own results replace (in any case of letters)."""
+    own = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in own]
+
+
 def text_key(col: Column) -> Column:
     """128-bit key of a text; rows with one text share it, and every result keyed by it."""
     return F.struct(F.xxhash64(col).alias("a"), F.xxhash64(F.lit(7), col, F.length(col)).alias("b"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, fold, no_text, text_batches
+from .common import checkpoint, fold, no_text, text_batches, without
 
 ORDERS = (4, 5, 6)
 BUCKET_BITS = 20
@@ -140,7 +140,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     if len(found) < 2:
         return {"w": zero, "b": float(30 if 1 in found else -30)}
     count = {x: r["n"] for x, r in found.items()}
-    everything = learn.join(marked, "i").select("t", "label")
+    # texts are shuffled once at every size, whatever the size of the labels: disk grows in proportion
+    everything = learn.join(marked.hint("merge"), "i").select("t", "label")
     if sum(count.values()) > max_rows:      # in expectation; by a hash of the id, so reruns agree
         take = {x: min(count[x], max(max_rows // 2, max_rows - count[1 - x])) for x in count}
         cut = {x: max(take[x] * spread // count[x], found[x]["least"] + 1) for x in count}
@@ -164,10 +165,11 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def score(df: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds the probability of label 1; keeps all columns."""
+    """Adds the probability of label 1; keeps all columns, but a given column of that name is replaced."""
     spark = df.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    rest = without(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b0 = shared.value["w"], shared.value["b"]
@@ -175,8 +177,8 @@ def score(df: DataFrame, model: dict, text: str = "text", out: str = "score") ->
         for b in batches:
             z = np.array([np.sort(w[present(t, seen, ok)]).sum(dtype=np.float64) + b0 for t in b.column(text).to_pylist()])
             p = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, p], names=[*b.schema.names, out])
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), p], names=[*rest, out])
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in rest), T.StructField(out, T.DoubleType())]))
 
 
 def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

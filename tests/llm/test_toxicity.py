@@ -57,3 +57,9 @@ def test_rare_label_is_learned_at_every_size(spark, docs):
         model = toxicity.train(df, labels, max_rows=max_rows)
         got = {r["doc_id"]: r["score"] for r in toxicity.score(df.select("doc_id", "text"), model).collect()}
         assert all((got[i] >= 0.5) == (i in toxic) for i in range(1500))
+
+
+def test_clashing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a b", 5.0)], "doc_id long, text string, Score double")
+    out = toxicity.score(df, {"w": np.zeros(toxicity.BUCKETS, np.float32), "b": 0.0})
+    assert out.columns == ["doc_id", "text", "score"] and out.first()["score"] == 0.5
