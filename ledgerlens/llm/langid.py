@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, no_text, text_batches
+from .common import checkpoint, no_text, text_batches, without
 
 VOCABULARY = "piece_bpe_32k.model"
 MAX_FIT_ROWS = 8_000
-MAX_PIECE, MAX_WORD = 10, 40
+#: Words of one block take so many characters (or one longer word alone); a longer word is scored in stretches of so many.
+CELLS, STRETCH = 1 << 18, 1 << 14
 ROUNDS = 4
 PRIOR = 0.05
 UNKNOWN = -16.0
@@ -52,17 +53,22 @@ def vocabulary(path: str | None = None) -> list[str]:
     sp = sentencepiece.SentencePieceProcessor(model_file=str(path or public_tokenizers.path(VOCABULARY)))
     found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())
              if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(x for x in found if len(x) <= MAX_PIECE and (x[1:] if x[0] == _START else x).isalpha())
+    return sorted(x for x in found if (x[1:] if x[0] == _START else x).isalpha())
 
 
 class Pieces:
     """Finds pieces in words laid out as rows of code points."""
 
     def __init__(self, pieces: list[str]):
-        self.n = len(pieces)
-        key = np.array([self._key(p) for p in pieces], np.uint64)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
+        number = {p: i for i, p in enumerate(pieces)}
+        longer = {p[:k] for p in pieces for k in range(1, len(p))}
+        entries = sorted(longer | number.keys())        # pieces, and what pieces begin with
+        self.piece = np.array([number.get(e, -1) for e in entries] + [-1], np.int32)
+        self.longer = np.array([e in longer for e in entries] + [False], bool)
+        key = np.array([self._key(e) for e in entries], np.uint64)
         self.levels = []
-        left = np.arange(self.n)
+        left = np.arange(len(entries))
         for shift in (43, 44, 45, 46):          # slots taken twice go on to the next, smaller table
             slot = (key[left] * _MIX >> np.uint64(shift)).astype(np.int64)
             table = np.full(1 << (64 - shift), -1, np.int32)
@@ -82,6 +88,10 @@ class Pieces:
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Piece numbers, -1 for none."""
+        return self.piece[self.entries(key)]
+
+    def entries(self, key: np.ndarray) -> np.ndarray:
+        """Places in ``piece`` and ``longer``, -1 for none."""
         out, mixed = np.full(len(key), -1, np.int32), key * _MIX
         for shift, table in self.levels:
             at = table[(mixed >> shift).astype(np.int64)]
@@ -95,84 +105,120 @@ def pieces(path: str | None = None) -> Pieces:
     return _worker["pieces", path]
 
 
-def _spans(words: list[str], book: Pieces) -> tuple[np.ndarray, np.ndarray]:
+def _blocks(words: list[str]) -> Iterator[list[int]]:
+    """Numbers of the words, short ones first, in blocks of about ``CELLS`` characters."""
+    held: list[int] = []
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if held and (len(held) + 1) * (len(words[i]) + 1) > CELLS:
+            yield held
+            held = []
+        held.append(i)
+    if held:
+        yield held
+
+
+def _spans(marked: list[str], book: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of the marked words, and found[i, end, n - 1]: the piece of n characters that ends there."""
-    marked = [_START + w for w in words]
     size = np.array([len(w) for w in marked])
     width = int(size.max())
     code = np.frombuffer("".join(w.ljust(width, "\0") for w in marked).encode("utf-32-le", "surrogatepass"),
-                         np.uint32).reshape(len(words), width).astype(np.uint64) + np.uint64(1)
-    found = np.full((len(words), width, MAX_PIECE), -1, np.int32)
-    h = np.zeros_like(code)
-    for n in range(1, min(MAX_PIECE, width) + 1):
-        h = h[:, :width - n + 1] * _BASE + code[:, n - 1:] if n > 1 else code.copy()
-        found[:, n - 1:, n - 1] = book.find(h.ravel()).reshape(h.shape)
+                         np.uint32).reshape(len(marked), width).astype(np.uint64) + np.uint64(1)
+    most = min(book.longest, width)
+    found = np.full((len(marked), width, most), -1, np.int32)
+    flat, out = code.ravel(), found.reshape(-1, most)
+    at = np.flatnonzero(flat != 1)              # where a piece may begin; only what begins some piece is followed
+    h = flat[at]
+    for n in range(1, most + 1):
+        if n > 1:
+            room = at % width + n <= width
+            at, h = at[room], h[room]
+            h = h * _BASE + flat[at + n - 1]
+        entry = book.entries(h)
+        piece, more = book.piece[entry], book.longer[entry]
+        got = piece >= 0
+        out[at[got] + n - 1, n - 1] = piece[got]
+        at, h = at[more], h[more]
+        if not len(at):
+            break
     return size, found
 
 
-def _forward(size: np.ndarray, found: np.ndarray, logp: np.ndarray) -> np.ndarray:
-    """alpha[word, place, language]: log sum over the segmentations of the first characters. ``logp`` has a last row of
-    -inf, for no piece; a single character without a piece has ``UNKNOWN``."""
-    n, width, _ = found.shape
-    alpha = np.full((n, width + 1, logp.shape[1]), -np.inf)
-    alpha[:, 0] = 0
+def _forward(found: np.ndarray, logp: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """alpha[word, place, language]: log sum over the segmentations of the characters up to the place. ``logp`` has a last row of
+    -inf, for no piece; a single character without a piece has ``UNKNOWN``. ``before`` has alpha at the places before the first
+    character, as many as the longest piece found has characters; a word's start has 0 there and nothing before it."""
+    n, width, most = found.shape
+    if before is None:
+        before = np.full((n, most, logp.shape[1]), -np.inf)
+        before[:, -1] = 0
+    alpha = np.concatenate([before, np.full((n, width, logp.shape[1]), -np.inf)], axis=1)
     for end in range(width):
-        terms = []
-        for k in range(min(MAX_PIECE, end + 1)):
-            p = logp[found[:, end, k]]
-            if k == 0:
-                p = np.where(found[:, end, 0, None] < 0, UNKNOWN, p)
-            terms.append(alpha[:, end - k] + p)
-        top = np.maximum.reduce(terms)
-        alpha[:, end + 1] = top + np.log(sum(np.exp(t - top) for t in terms))
-    return alpha
+        at = most - 1 + end                     # of the place before this character
+        total = alpha[:, at] + np.where(found[:, end, 0, None] < 0, UNKNOWN, logp[found[:, end, 0]])
+        rows, more = np.nonzero(found[:, end, 1:] >= 0)
+        for k in range(1, most) if len(rows) else ():
+            r = rows[more == k - 1]
+            if len(r):
+                total[r] = np.logaddexp(total[r], alpha[r, at - k] + logp[found[r, end, k]])
+        alpha[:, at + 1] = total
+    return alpha[:, most - 1:]
+
+
+def _long_score(word: str, logp: np.ndarray, book: Pieces) -> np.ndarray:
+    """The forward pass over one word, a stretch at a time: the last values are carried on, so segmentations run over the borders."""
+    marked, carry = _START + word, None
+    for at in range(0, len(marked), STRETCH):
+        back = min(at, book.longest - 1)        # characters that pieces ending here may begin with
+        _, found = _spans([marked[at - back:at + STRETCH]], book)
+        found = found[:, back:]
+        if carry is not None and found.shape[2] > carry.shape[1]:
+            raise ValueError("stretches are shorter than the longest piece")
+        alpha = _forward(found, logp, None if carry is None else carry[:, carry.shape[1] - found.shape[2]:])
+        known = alpha if carry is None else np.concatenate([carry[:, :-1], alpha], axis=1)
+        pad = np.full((1, book.longest, logp.shape[1]), -np.inf)
+        carry = np.concatenate([pad, known], axis=1)[:, -book.longest:]
+    return carry[0, -1]
 
 
 def word_scores(words: list[str], logp: np.ndarray, book: Pieces) -> np.ndarray:
-    """Log probability of each word under each language; very long runs are cut into stretches."""
+    """Log probability of each word under each language."""
     out = np.zeros((len(words), logp.shape[1]))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    at = 0
-    while at < len(order):
-        block = order[at:at + 8192]
-        at += len(block)
-        part, owner = [], []
-        for i in block:
-            for j in range(0, len(words[i]), MAX_WORD):
-                part.append(words[i][j:j + MAX_WORD])
-                owner.append(i)
-        for k in range(0, len(part), 8192):
-            size, found = _spans(part[k:k + 8192], book)
-            alpha = _forward(size, found, logp)
-            np.add.at(out, owner[k:k + 8192], alpha[np.arange(len(size)), size])
+    for block in _blocks(words):
+        if len(words[block[0]]) >= STRETCH:
+            for i in block:
+                out[i] = _long_score(words[i], logp, book)
+            continue
+        size, found = _spans([_START + words[i] for i in block], book)
+        out[block] = _forward(found, logp)[np.arange(len(size)), size]
     return out
 
 
 def expected_counts(words: list[str], n: np.ndarray, lang: np.ndarray, logp: np.ndarray, book: Pieces) -> np.ndarray:
-    """Expected count of every piece in every language, over words (of ``MAX_WORD`` letters at most) with a count and a
-    language each."""
+    """Expected count of every piece in every language, over words with a count and a language each. Memory follows the longest
+    word (some 100 bytes a letter)."""
     total = np.zeros(logp.shape)
-    for at in range(0, len(words), 4096):
-        part = words[at:at + 4096]
-        weight, k = n[at:at + 4096], lang[at:at + 4096]
-        size, found = _spans(part, book)
-        for x in np.unique(k):
-            rows = k == x
+    for x in np.unique(lang):
+        mine = np.flatnonzero(lang == x)
+        for block in _blocks([words[i] for i in mine]):
+            rows = mine[block]
+            weight = n[rows]
+            s, f = _spans([_START + words[i] for i in rows], book)
             p = logp[:, x:x + 1]
-            f, s = found[rows], size[rows]
-            alpha = _forward(s, f, p)[:, :, 0]
+            alpha = _forward(f, p)[:, :, 0]
             whole = alpha[np.arange(len(s)), s]
             beta = np.full(alpha.shape, -np.inf)
             beta[np.arange(len(s)), s] = 0
+            some = (f >= 0).any(0)
+            some[:, 0] = True
             for end in range(f.shape[1], 0, -1):
-                for j in range(min(MAX_PIECE, end)):
+                for j in np.flatnonzero(some[end - 1, :end]):
                     piece = f[:, end - 1, j]
                     step = p[piece, 0]
                     if j == 0:
                         step = np.where(piece < 0, UNKNOWN, step)
                     through = step + beta[:, end]
                     beta[:, end - 1 - j] = np.logaddexp(beta[:, end - 1 - j], through)
-                    share = np.exp(alpha[:, end - 1 - j] + through - whole) * weight[rows]
+                    share = np.exp(alpha[:, end - 1 - j] + through - whole) * weight
                     ok = (piece >= 0) & (share > 0)
                     np.add.at(total[:, x], piece[ok], share[ok])
     return total
@@ -193,7 +239,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                            pa.array([held[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
     for b in batches:
         for lang, words in zip(b.column("lang").to_pylist(), _letters(b.column("t")).to_pylist()):
-            held.update((lang, w[i:i + MAX_WORD]) for w in words for i in range(0, len(w), MAX_WORD))
+            held.update((lang, w) for w in words if w)
         if len(held) > CACHE:
             yield flush()
             held.clear()
@@ -259,10 +305,12 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
 
 
 def predict(df: DataFrame, model: dict, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Adds the most likely language and its posterior under equal priors; keeps all columns."""
+    """Adds the most likely language and its posterior under equal priors; keeps all columns, but given columns of these names are
+    replaced."""
     spark = df.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    rest = without(df, out, score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logp = shared.value["langs"], shared.value["logp"]
@@ -296,7 +344,7 @@ def predict(df: DataFrame, model: dict, text: str = "text", out: str = "lang_pre
                 k = int(np.argmax(z))
                 name.append(langs[k])
                 prob.append(float(1 / np.exp(z - z[k]).sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(name, pa.string()), pa.array(prob, pa.float64())],
-                                             names=[*b.schema.names, out, score])
-    fields = [*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(score, T.DoubleType())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(name, pa.string()), pa.array(prob, pa.float64())],
+                                             names=[*rest, out, score])
+    fields = [*(df.schema[c] for c in rest), T.StructField(out, T.StringType()), T.StructField(score, T.DoubleType())]
     return df.mapInArrow(run, T.StructType(fields))

@@ -3,7 +3,9 @@
 import math
 
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 
 from ledgerlens.llm import catalog, langid
 
@@ -13,7 +15,7 @@ SF01 = "/root/testdata/sf0.01"
 def segmentations(word, pieces):
     if not word:
         yield []
-    for n in range(1, min(langid.MAX_PIECE, len(word)) + 1):
+    for n in range(1, len(word) + 1):
         if word[:n] in pieces or n == 1:
             for rest in segmentations(word[n:], pieces):
                 yield [word[:n], *rest]
@@ -22,6 +24,9 @@ def segmentations(word, pieces):
 @pytest.fixture(scope="module")
 def book():
     names = langid.vocabulary()
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(langid.VOCABULARY))
+    every = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    assert set(names) == {x for x in every if x.lstrip("▁").isalpha() and x.count("▁") <= 1} and max(map(len, names)) > 15
     return langid.pieces(), {p: i for i, p in enumerate(names)}
 
 
@@ -35,7 +40,7 @@ def test_pieces_are_found(book):
 def test_forward_and_expected_counts_match_enumeration(book):
     found, names = book
     logp = np.vstack([np.log(np.random.default_rng(0).dirichlet(np.ones(found.n), 2).T), np.full((1, 2), -np.inf)])
-    words = ["the", "station", "über", "a", "qzé", "ŧŧ"]
+    words = ["the", "station", "über", "a", "qzé", "ŧŧ", "communications", "responsibilities"]
     got = langid.word_scores(words, logp, found)
     want, count = np.zeros((len(words), 2)), np.zeros(found.n)
     for i, w in enumerate(words):
@@ -90,3 +95,22 @@ def test_shares_keep_the_bound():
     assert langid.shares({"a": 5_000_000, "b": 500, "c": 3_000_000}, 8000) == {"a": 3750, "b": 500, "c": 3750}
     assert langid.shares({"a": 3, "b": 2}, 8000) == {"a": 3, "b": 2}
     assert langid.shares({"a": 9, "b": 9, "c": 9}, 2) == {"a": 1, "b": 1, "c": 1}
+
+
+def test_long_words_are_segmented_over_every_border(book, monkeypatch):
+    found, _ = book
+    logp = np.vstack([np.log(np.random.default_rng(2).dirichlet(np.ones(found.n), 3).T), np.full((1, 3), -np.inf)])
+    words = ["communications" * 40, "überdiestation" * 9, "a" * 700, "qz" * 50]
+    size, spans = langid._spans(["▁" + w for w in words], found)
+    whole = langid._forward(spans, logp)[np.arange(len(size)), size]
+    for stretch in (17, 40, 64):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        assert np.allclose(langid.word_scores(words, logp, found), whole)
+
+
+def test_clashing_columns_are_replaced(docs, spark):
+    df = spark.createDataFrame([(1, "the station", "en", 7.0, "x"), (2, "das haus", "de", 7.0, "x")],
+                               "doc_id long, text string, lang string, score double, Lang_Pred string")
+    out = langid.predict(df, langid.train(df, rounds=1))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert {r["doc_id"]: r["lang_pred"] for r in out.collect()} == {1: "en", 2: "de"}
