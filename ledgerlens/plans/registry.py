@@ -24,10 +24,15 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+def oracle_of(name: str) -> str:
+    """The oracle of a query that is registered already, for another one that must give the same rows."""
+    return _ORACLES[name]
+
+
 def _load_all() -> None:
     # Importing the plan modules registers their queries.
     from ledgerlens.plans import (  # noqa: F401
-        evaluation, validation, exports, costs, admission, intake, evidence, streams)
+        evaluation, validation, exports, costs, admission, intake, evidence, streams, files, replays)
 
 
 def queries() -> dict[str, QueryFn]:

@@ -31,14 +31,20 @@ def read_corpus(spark: SparkSession, root: str, document_name: str = "invoice.pd
             .option("pathGlobFilter", document_name).load(root)
             .select(F.col("path").alias("document_path"),
                     F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("folder")))
-    complete = (expected.join(meta, "folder").join(docs, "folder")
-                .orderBy("id"))
-    folders = (expected.select("folder").union(meta.select("folder")).union(docs.select("folder")).distinct())
-    skipped = (folders.join(complete.select("folder"), "folder", "left_anti")
-               .join(expected.select("folder", F.lit(True).alias("has_expected")), "folder", "left")
-               .join(meta.select("folder", F.lit(True).alias("has_meta")), "folder", "left")
-               .join(docs.select("folder", F.lit(True).alias("has_document")), "folder", "left")
-               .selectExpr("folder", "concat_ws(', ', CASE WHEN has_document IS NULL THEN 'document' END, "
-                           "CASE WHEN has_expected IS NULL THEN 'expected.json' END, "
-                           "CASE WHEN has_meta IS NULL THEN 'meta.json' END) AS missing"))
-    return complete, skipped
+    complete, skipped = complete_or_skipped({"document": docs, "expected.json": expected, "meta.json": meta})
+    return complete.orderBy("id"), skipped
+
+
+def complete_or_skipped(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Tables by ``folder``, one for each part of a fixture: (folders that have every part, joined; the others with the names of the parts
+    that are ``missing``, in the given order)."""
+    tables = list(parts.values())
+    whole, folders = tables[0], tables[0].select("folder")
+    for t in tables[1:]:
+        whole, folders = whole.join(t, "folder"), folders.union(t.select("folder"))
+    skipped = folders.distinct().join(whole.select("folder"), "folder", "left_anti")
+    names = []
+    for i, (name, t) in enumerate(parts.items()):
+        skipped = skipped.join(t.select("folder", F.lit(True).alias(f"_has{i}")), "folder", "left")
+        names.append(F.when(F.col(f"_has{i}").isNull(), F.lit(name)))
+    return whole, skipped.select("folder", F.concat_ws(", ", *names).alias("missing"))
