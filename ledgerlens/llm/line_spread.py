@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, no_text, text_key
+from .common import checkpoint, no_text, text_key, without
 
 MIN_SITES = 5
-LG_K = 8
+LG_K, SALTS = 8, 32
 #: Estimates within this share of the threshold are counted exactly: over six standard errors (1.04 / 2^(LG_K/2) each).
 MARGIN = 0.4
 
@@ -29,13 +29,21 @@ def line_spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
                        .where(F.col("n") >= min_sites * (1 - MARGIN)))
     sure = sized.where(F.col("n") > min_sites * (1 + MARGIN)).select("h")
     near = sized.where(F.col("n") <= min_sites * (1 + MARGIN)).select("h")
-    exact = (lines.join(near, "h", "left_semi").distinct().groupBy("h").agg(F.count("site").alias("n"))
+    exact = (with_lines(lines, near).distinct().groupBy("h").agg(F.count("site").alias("n"))
              .where(F.col("n") >= min_sites).select("h"))
     return checkpoint(sure.union(exact))
 
 
+def with_lines(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose ``h`` is in ``wanted``; a line with many rows is dealt out over ``SALTS`` tasks."""
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64(*lines.columns, F.monotonically_increasing_id()), F.lit(SALTS)))
+    everywhere = wanted.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return salted.join(everywhere, ["h", "salt"], "left_semi").select(*lines.columns)
+
+
 def remove_spread_lines(df: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
-    """All rows and columns; ``text`` loses its boilerplate lines; ``n_lines`` and ``n_removed`` are added in struct ``spread``."""
+    """All rows and columns; ``text`` loses its boilerplate lines; ``n_lines`` and ``n_removed`` are added in struct
+    ``spread`` (a given column of that name is replaced)."""
     split = F.split(F.col("t"), "\n")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), no_text(text).alias("t"),
                      F.col(site).cast("string").alias("site"))
@@ -45,10 +53,10 @@ def remove_spread_lines(df: DataFrame, site: str = "source", text: str = "text",
              .select("key", "site", "pos", trimmed.alias("line")).where("line != ''")
              .select("key", "site", "pos", F.struct(F.xxhash64("line").alias("a"), F.hash("line").alias("b")).alias("h")))
     bad = line_spread(lines.select("h", "site"), min_sites)
-    gone = lines.join(bad, "h", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("gone"))
+    gone = with_lines(lines, bad).groupBy("key").agg(F.collect_set("pos").alias("gone"))
     out = keyed.join(gone, "key", "left").withColumn("lines", split)
     kept = F.when(F.col("gone").isNull(), F.col("t")).otherwise(
-        F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    cols = [kept.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns]
+        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i)), "\n"))
+    cols = [kept.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in without(df, "spread")]
     return out.select(*cols, F.struct(F.size("lines").cast("long").alias("n_lines"),
                                       F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")).alias("spread"))

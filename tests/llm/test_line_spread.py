@@ -21,3 +21,17 @@ def test_threshold_is_exact(spark):
     df = spark.createDataFrame(rows, "h long, site string").repartition(4)
     for least in (5, 20):
         assert {r["h"] for r in line_spread.line_spread(df, least).collect()} == set(range(least, 40))
+
+
+def test_clashing_columns_are_replaced(spark):
+    rows = [(i, f"own {i}\nshared line", f"s{i}", "x") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, spread string")
+    out = line_spread.remove_spread_lines(df)
+    assert out.columns == ["doc_id", "text", "source", "spread"]
+    assert {(r["doc_id"], r["text"], r["spread"]["n_removed"]) for r in out.collect()} == {(i, f"own {i}", 1) for i in range(12)}
+
+
+def test_long_documents_keep_their_order(spark):
+    rows = [(i, "\n".join(["shared line" if j % 3 == 0 else f"own {i} {j}" for j in range(3000)]), f"s{i}") for i in range(6)]
+    out = line_spread.remove_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(i, "\n".join(f"own {i} {j}" for j in range(3000) if j % 3)) for i in range(6)}
