@@ -110,7 +110,7 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: boo
 
 
 def _round(units: DataFrame, seed: int, level: int, one: int) -> DataFrame:
-    """One round: units(rid, source, skey, size, pi, ord, n) in blocks of about ``one``."""
+    """One round: units(rid, skey, size, pi, ord, n), n at least the units of a source, in blocks of about ``one`` at most."""
     units = units.withColumn("blocks", F.ceil(F.col("n") / one)).withColumn(
         "block", F.pmod(F.xxhash64("ord", F.lit(seed + level)), F.col("blocks")))
 
@@ -119,18 +119,17 @@ def _round(units: DataFrame, seed: int, level: int, one: int) -> DataFrame:
         key = [seed, level, int(pdf["skey"].iloc[0]) & 0xFFFFFFFF, int(pdf["block"].iloc[0])]
         pi = flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(), np.random.default_rng(key),
                     int(pdf["blocks"].iloc[0]) == 1)
-        return pdf[["rid", "skey", "size", "ord"]].assign(pi=pi)
-    # dealt out by block: the join before leaves a source's rows together
-    return units.repartition("skey", "block").groupBy("skey", "block").applyInPandas(fly, "rid long, skey long, size long, ord long, pi double")
+        # a block leaves two units at most
+        return pdf[["rid", "skey", "size", "ord"]].assign(pi=pi, n=2 * pdf["blocks"])
+    return units.groupBy("skey", "block").applyInPandas(fly, "rid long, skey long, size long, ord long, pi double, n long")
 
 
 def choose(units: DataFrame, seed: int = 8) -> DataFrame:
-    """``units(rid, skey, size, pi, ord)``, 0 < pi < 1 -> ``(rid, extra)`` with extra 0 or 1."""
+    """``units(rid, skey, size, pi, ord, n)``, n at least the units of the row's source, 0 < pi < 1 -> ``(rid, extra)`` with extra 0 or 1."""
     done, level = None, 0
     todo = units
     while True:
-        counts = todo.groupBy("skey").agg(F.count("*").alias("n"))
-        out = checkpoint(_round(todo.join(counts, "skey"), seed, level, BLOCK))
+        out = checkpoint(_round(todo, seed, level, BLOCK))
         fixed = out.where("pi = 0 or pi = 1").select("rid", F.col("pi").cast("long").alias("extra"))
         done = fixed if done is None else done.union(fixed)
         todo, level = out.where("pi > 0 and pi < 1"), level + 1
@@ -144,11 +143,11 @@ def mix(rows: DataFrame, seed: int = 8) -> DataFrame:
     goal = checkpoint(source_targets(sizes).withColumn(
         "e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
     planned = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).select(
-        "rid", "size", "source_size", "target", "e", F.xxhash64(rows["source"], F.isnull(rows["source"])).alias("skey"),
+        "rid", "size", "source_size", "target", "e", F.col("n_docs").alias("n"), F.xxhash64(rows["source"], F.isnull(rows["source"])).alias("skey"),
         F.xxhash64(F.col("id").cast("string"), "size").alias("ord"))
     whole = F.floor(F.col("e") + EPS)
     planned = planned.withColumn("whole", whole).withColumn("pi", F.greatest(F.col("e") - whole, F.lit(0.0)))
-    units = planned.where((F.col("pi") > EPS) & (F.col("size") > 0)).select("rid", "skey", "size", "pi", "ord")
+    units = planned.where((F.col("pi") > EPS) & (F.col("size") > 0)).select("rid", "skey", "size", "pi", "ord", "n")
     extra = choose(units, seed)
     return planned.join(extra, "rid", "left").select(
         "rid", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("long").alias("copies"))
