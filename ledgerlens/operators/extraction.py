@@ -133,6 +133,19 @@ def bbox_sql(reasoning: str) -> dict[str, str]:
     return out
 
 
+def with_boxes(df: DataFrame, reasoning: str) -> DataFrame:
+    """P8 as columns ``x, y, w, h, text`` (see ``bbox_sql``): each tag is matched once and each number read once."""
+    number = f"p -> try_cast(nullif(regexp_extract(trim(p), '{NUM_PREFIX}', 0), '') AS DOUBLE)"
+    staged = df.selectExpr(
+        "*", f"{reasoning} RLIKE '{BBOX_NONE_RE}' AS _none", f"nullif(regexp_extract({reasoning}, '{BBOX_RE}', 0), '') AS _tag").selectExpr(
+        "*", f"CASE WHEN NOT _none AND _tag IS NOT NULL THEN transform(split(substring_index(substring_index(_tag, ']', 1), ':', -1), ','), {number}) END AS _box"
+    ).selectExpr("*", "coalesce(forall(_box, v -> v IS NOT NULL AND v >= -0.1D AND v <= 1.1D), false) AS _ok")
+    return staged.selectExpr(
+        *[f"`{c}`" for c in df.columns], *[f"CASE WHEN _ok THEN _box[{i}] END AS {n}" for i, n in enumerate(("x", "y", "w", "h"))],
+        f"CASE WHEN _none THEN regexp_replace({reasoning}, '{BBOX_NONE_RE}', '') WHEN _tag IS NOT NULL THEN substr({reasoning}, char_length(_tag) + 1) "
+        f"ELSE {reasoning} END AS text")
+
+
 def extract_with(docs: DataFrame, extractor: Callable[[pd.DataFrame], pd.DataFrame],
                  schema: str) -> DataFrame:
     """Run a user extractor (text rows -> record rows) over Arrow

@@ -6,7 +6,7 @@ from __future__ import annotations
 from ledgerlens.operators import evidence as EV
 from ledgerlens.operators import extraction as X
 from ledgerlens.plans.oracle_base import js_num, with_base
-from ledgerlens.plans.registry import query
+from ledgerlens.plans.registry import oracle_of, query
 from ledgerlens.sources.invoices import invoice_records
 
 
@@ -60,6 +60,28 @@ def q_rule_extraction(spark, sf_dir):
     return _texts(spark, sf_dir).selectExpr("doc_id", *[f"{v} AS {k}" for k, v in ex.items()])
 
 
+# a user's extractor: labelled lines of a text, as columns
+_LINES = {"invoice_number": "Invoice Number", "bill_date": "Bill Date", "due_date": "Due Date", "po_number": "PO Number", "currency": "Currency",
+          "subtotal": "Subtotal", "tax": r"Tax \([^)]*\)", "total": "Total"}
+
+
+def labelled_lines(texts):
+    import pandas as pd
+    out = pd.DataFrame({"doc_id": texts["doc_id"], "vendor_name": texts["text"].str.split("\n").str[1]})
+    for column, label in _LINES.items():
+        out[column] = texts["text"].str.extract(f"(?m)^{label}: (.*)$", expand=False)
+    for column in ("subtotal", "tax", "total"):
+        out[column] = pd.to_numeric(out[column], errors="coerce")
+    return out.astype(object).where(out.notna() & (out != ""), None)
+
+
+@query("plugged_extraction", oracle_of("rule_extraction"))
+def q_plugged_extraction(spark, sf_dir):
+    """A user's extractor over batches of rendered texts."""
+    schema = "doc_id string, vendor_name string, " + ", ".join(f"{c} {'double' if c in ('subtotal', 'tax', 'total') else 'string'}" for c in _LINES)
+    return X.extract_with(_texts(spark, sf_dir).select("doc_id", "text"), labelled_lines, schema)
+
+
 @query("rule_records", with_base(TEXT_CTE + """,
 it AS (SELECT k, count(*) AS n, round(sum(CAST(printf('%.2f', quantity * unit_price) AS DOUBLE)), 2) AS amount, sum(quantity) AS quantity,
               md5(string_agg(coalesce(nullif(rtrim(description), ''), '-'), '|' ORDER BY pos)) AS names FROM items GROUP BY k)
@@ -187,6 +209,4 @@ def q_box_tags(spark, sf_dir):
     fields = ("invoice_number", "vendor", "bill_date", "due_date", "po_number", "subtotal", "tax",
               "total", "currency")
     arr = "array(" + ", ".join(f"record.{f}.reasoning" for f in fields) + ")"
-    b = X.bbox_sql("rsn")
-    return (rec.selectExpr("doc_id", f"posexplode({arr}) AS (field_no, rsn)")
-            .selectExpr("doc_id", "field_no", *[f"{b[n]} AS {n}" for n in ("x", "y", "w", "h", "text")]))
+    return X.with_boxes(rec.selectExpr("doc_id", f"posexplode({arr}) AS (field_no, rsn)"), "rsn").drop("rsn")

@@ -56,3 +56,13 @@ def test_bbox(spark):
     got = [tuple(r) for r in df.selectExpr(b["x"], b["h"], b["text"]).collect()]
     assert got == [(0.1, 0.4, "Found"), (None, None, "x"), (None, None, "y"), (None, None, "plain"),
                    (None, None, "[bbox: a, 0, 0, 0] z")]
+
+
+def test_staged_boxes_equal_the_expressions(spark):
+    from ledgerlens.operators import extraction as X
+    texts = ["[bbox: 0.1, 0.2,0.3 , 0.4] a", "[bbox:0,0,1,1]", "[BBOX: 0,0,1,1] x", "[bbox: none] n", "[BBOX: None]  m", "[bbox: 1.5, 0, 0, 0] big", "[bbox: -, 1, 1, 1] bad",
+             "[bbox: 1.2.3, 0, 0, 0] odd", "plain", "", None, " [bbox: 0,0,0,0] late", "[bbox: 0, 0, 0] three", "[bbox: -0.05, .5, 1., 0] edge"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, r string")
+    b = X.bbox_sql("r")
+    want = [tuple(r) for r in df.selectExpr("i", "r", *[f"{b[n]} AS {n}" for n in ("x", "y", "w", "h", "text")]).collect()]
+    assert [tuple(r) for r in X.with_boxes(df, "r").collect()] == want
