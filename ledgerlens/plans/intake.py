@@ -314,20 +314,27 @@ def checked_definitions(spark, sf_dir):
     return CF.check_definitions(definition_lists(spark, sf_dir), "defs_json").drop("defs_json")
 
 
-def numbered_tenants(spark, sf_dir):
-    """(conv_id, turn, tenant): every turn of a conversation once, numbered from 0 without gaps; and how many there are."""
+def numbered_tenants(spark, sf_dir, settings=None):
+    """(conv_id, turn, tenant): every turn of a conversation once, numbered from 0 without gaps, with its ``settings`` (conv_id, turn,
+    ...); and how many there are. Written to the shared folder, so that the planner knows its size when it chooses a join."""
+    import uuid
+
     from ledgerlens.operators.prefix import running_sum
+    from ledgerlens.session import ensure_checkpoint_dir
     turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn").distinct().selectExpr("conv_id", "turn", "0 AS one", "1D AS w")
     found = running_sum(turns, "w", ["one"], ["conv_id", "turn"], "before").selectExpr("conv_id", "turn", "CAST(before AS BIGINT) AS tenant")
-    return found, found.count()
+    if settings is not None:
+        found = found.join(settings, ["conv_id", "turn"], "left")
+    path = f"{ensure_checkpoint_dir(spark)}/tenants-{uuid.uuid4().hex}"
+    found.write.parquet(path)
+    stored = spark.read.schema(found.schema).parquet(path)
+    return stored, stored.count()
 
 
 def document_tenants(spark, sf_dir, docs, settings=None):
     """Deals the documents out to the tenants in turn (by order key); every document is kept, without tenants too. ``settings``
     (conv_id, turn, ...) come along, where a tenant has them."""
-    tenants, n = numbered_tenants(spark, sf_dir)
-    if settings is not None:
-        tenants = tenants.join(settings, ["conv_id", "turn"], "left")
+    tenants, n = numbered_tenants(spark, sf_dir, settings)
     return docs.withColumn("tenant", F.expr(f"order_key % nullif({n}L, 0)")).join(tenants, "tenant", "left").drop("tenant")
 
 
