@@ -9,7 +9,7 @@ No page carries labels, so the labeller learns from pages that mark their articl
 text if it lies in there and in none of the boilerplate parts below. To carry over to pages without such marks, each training page
 is also shown with the marking tags renamed to plain ones, and with added sidebars, notices, adverts, forms and
 reader comments, made of other training pages' sentences. Training takes the first ``MAX_FIT_PAGES`` distinct marked
-pages by a hash of the page, of at most ``MAX_FIT_BYTES`` each (documented bounds).
+pages by a hash of the page (a documented bound).
 
 Scripts, styles, comments and the head hold no blocks. Character references are decoded, white space in a block becomes one
 space, blocks are joined in page order by one space; nothing else is dropped or cut.
@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import no_text, text_batches
+from .common import no_text, text_batches, without
 
-MAX_FIT_PAGES, MAX_FIT_BYTES = 200, 1 << 16
+MAX_FIT_PAGES = 200
 PATH_BUCKETS, WORD_BUCKETS, WIDTH, HIDDEN = 512, 1024, 12, 16
 NUMBERS = 6
 ROUNDS, BATCH, RATE = 5, 16, 0.01
@@ -44,8 +44,11 @@ SIDE_BY_SIDE = 64
 
 #: Elements that stay inside a block, elements without text, elements without an end tag (fixed values of HTML).
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span "
-                   "strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template title textarea svg math iframe object select head".split())
+                   "strike strong sub sup time tt u var wbr object "
+                   "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom "
+                   "menclose merror mspace mmultiscripts semantics svg g text tspan textpath desc path rect circle ellipse line polygon "
+                   "polyline use defs symbol marker lineargradient radialgradient stop clippath mask pattern image".split())
+RAW = frozenset("script style noscript template title textarea iframe select head".split())
 TO_THE_END = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and words of classes or ids that mark an article, or boilerplate.
@@ -277,13 +280,18 @@ def _gradients(model: dict, pages: list[tuple], labels: list[np.ndarray]) -> dic
     return grad
 
 
-def _sentences(blocks: list[Block]) -> list[str]:
-    return [b.text for b in blocks if silver(b.path)]
+def ruled(path: tuple) -> int:
+    """The label of a block on pages that mark no article: not boilerplate by its tags and class words."""
+    return int(not is_boilerplate(path))
 
 
-def _varied(blocks: list[Block], rng: np.random.Generator, texts: list[str]) -> tuple[list[Block], np.ndarray]:
+def _sentences(blocks: list[Block], label=silver) -> list[str]:
+    return [b.text for b in blocks if label(b.path)]
+
+
+def _varied(blocks: list[Block], rng: np.random.Generator, texts: list[str], label=silver) -> tuple[list[Block], np.ndarray]:
     """A page in another shape: marking tags renamed, boilerplate parts added; labels stay those of the original."""
-    y = [silver(b.path) for b in blocks]
+    y = [label(b.path) for b in blocks]
     plain = rng.random() < 0.7
     name = str(rng.choice(PLAIN_NAMES))
     alias = {t: ("div", (str(rng.choice(sorted(BOILERPLATE_WORDS))),) if rng.random() < 0.7 else ()) for t in BOILERPLATE}
@@ -316,16 +324,19 @@ def _varied(blocks: list[Block], rng: np.random.Generator, texts: list[str]) ->
 
 
 def fit(pages: list[str], seed: int = 7) -> dict | None:
-    """A labeller from pages that mark their article; None if none does."""
+    """A labeller from pages that mark their article; if none does, from what the rule on tags and class words says of their blocks.
+    None without a block to learn from."""
     rng = np.random.default_rng(seed)
-    cut = [b for b in map(blocks_of, pages) if any(silver(x.path) for x in b)]
+    every = [b for b in map(blocks_of, pages) if b]
+    label = silver if any(silver(x.path) for b in every for x in b) else ruled
+    cut = [b for b in every if any(label(x.path) for x in b)]
     if not cut:
         return None
-    texts = [t for b in cut for t in _sentences(b)][:4000]
+    texts = [t for b in cut for t in _sentences(b, label)][:4000]
     shown = []
     for b in cut:
-        shown.append((b, np.array([silver(x.path) for x in b], np.float32)))
-        shown += [_varied(b, rng, texts) for _ in range(2)]
+        shown.append((b, np.array([label(x.path) for x in b], np.float32)))
+        shown += [_varied(b, rng, texts, label) for _ in range(2)]
     data = [(_inputs(b), y) for b, y in shown]
     model = new_model(seed)
     first = {k: np.zeros_like(v) for k, v in model.items()}
@@ -375,12 +386,12 @@ def _marked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_pages(df: DataFrame, html: str = "html", max_pages: int = MAX_FIT_PAGES) -> list[str]:
-    """Of the distinct pages of at most ``MAX_FIT_BYTES`` that mark an article, the ``max_pages`` smallest by a hash of the
-    page. Slices of the hash are read, eight times wider each time, until one holds enough marked pages or is the whole table."""
+    """Of the distinct pages that mark an article, the ``max_pages`` smallest by a hash of the page; of all distinct pages, if none does.
+    Slices of the hash are read, eight times wider each time, until one holds enough marked pages or is the whole table."""
     text_batches(df.sparkSession)
     spread = 1 << 40
-    rows = (df.select(no_text(html).alias("h")).where((F.octet_length("h") > 0) & (F.octet_length("h") <= MAX_FIT_BYTES))
-            .where(F.col("h").rlike("(?i)<(" + "|".join(sorted(ARTICLE)) + ")")).select("h", F.pmod(F.xxhash64("h"), F.lit(spread)).alias("k")))
+    every = df.select(no_text(html).alias("h")).where(F.octet_length("h") > 0).select("h", F.pmod(F.xxhash64("h"), F.lit(spread)).alias("k"))
+    rows = (every.where(F.col("h").rlike("(?i)<(" + "|".join(sorted(ARTICLE)) + ")")))
     n = rows.count()
     cut = min(spread, 2 * max_pages * spread // max(1, n))
     while True:
@@ -389,20 +400,24 @@ def training_pages(df: DataFrame, html: str = "html", max_pages: int = MAX_FIT_P
         if len(keys) >= max_pages or cut >= spread:
             break
         cut = min(spread, 8 * cut)
+    if not keys:
+        rows = every
+        keys = [r["k"] for r in every.select("k").distinct().orderBy("k").limit(max_pages).collect()]
     return sorted(r["h"] for r in rows.where(F.col("k").isin(keys)).groupBy("k").agg(F.first("h").alias("h")).collect()) if keys else []
 
 
 def train(df: DataFrame, html: str = "html", max_pages: int = MAX_FIT_PAGES) -> dict | None:
-    """Fits the labeller on at most ``max_pages`` marked pages of at most ``MAX_FIT_BYTES``; None if no page marks an article."""
+    """Fits the labeller on at most ``max_pages`` marked pages, whole ones of any length (or as many others, if none
+    is marked); None if no page has a block."""
     return fit(training_pages(df, html, max_pages))
 
 
 def extract(df: DataFrame, model: dict | None, html: str = "html", out: str = "text") -> DataFrame:
-    """Replaces ``html`` by the main text; keeps the other columns."""
+    """Replaces ``html`` by the main text; keeps the other columns, but a given column named as the result is replaced."""
     spark = df.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rest = [c for c in df.columns if c != html]
+    rest = without(df, html, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -132,3 +132,27 @@ def test_fitting_pages_are_distinct_marked_ones(spark, monkeypatch):
     for rows in ([many[0]] * 500 + many, many[::-1] + [many[7]] * 500):
         H.train(spark.createDataFrame([(p,) for p in rows], "html string").repartition(5), max_pages=10)
     assert seen[0] == seen[1] and len(set(seen[0])) == len(seen[0]) == 10 and set(seen[0]) <= set(many)
+
+
+def test_text_inside_formulas_and_drawings_stays_in_its_block():
+    page = ("<article><p>Area is <math><mi>x</mi><mo>+</mo><mn>2</mn></math> units</p><p><object data='a'><param name=b>Shown instead</object></p>"
+            "<svg><path d='M0 0'/><text>Label</text></svg></article>")
+    assert [b.text for b in H.blocks_of(page)] == ["Area is x+2 units", "Shown instead", "Label"]
+
+
+def test_clashing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(1, "<p>a</p>", "old")], "page_id long, html string, Text string")
+    out = H.extract(df, None)
+    assert out.columns == ["page_id", "text"] and out.first()["text"] == "a"
+
+
+def test_pages_without_marks_teach_by_the_rule(spark):
+    def page(i):
+        words = " ".join(f"word{(i * 7 + j) % 50}" for j in range(40))
+        return (f"<body><div class='menu'><ul><li><a href='/'>Home</a></li><li><a href='/n'>News {i}</a></li></ul></div><div class='content'><p>{words}.</p>"
+                f"<p>Second {words} part.</p></div><div class='footer'>Terms {i}</div></body>")
+    df = spark.createDataFrame([(i, page(i)) for i in range(60)], "page_id long, html string")
+    model = H.train(df)
+    assert model is not None
+    found = H.main_texts(model, [page(100)])[0]
+    assert "word" in found and "Second" in found and "Home" not in found and "Terms" not in found
