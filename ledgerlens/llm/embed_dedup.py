@@ -149,6 +149,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     fine = ("label is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) "
             "and abs(x) < double('infinity')) and exists(v, x -> x != 0)")
     good = F.coalesce(F.expr(fine), F.lit(False))
+    # a square must not overflow or vanish; other vectors stay as they are
+    largest = F.array_max(F.transform("v", F.abs))
+    rows = rows.withColumn("v", F.when(good & ((largest > 1e100) | (largest < 1e-100)), F.transform("v", lambda x: x / largest)).otherwise(F.col("v")))
     valid = rows.where(good)
     vectors = checkpoint(valid.groupBy("label", "v").agg(F.min("id").alias("low"), F.count("*").alias("n"))
                          .select("label", F.size("v").alias("dim"), "v", "low", "n", F.monotonically_increasing_id().alias("nid")))

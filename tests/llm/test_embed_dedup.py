@@ -57,3 +57,10 @@ def test_edge_cases(spark):
     assert embed_dedup.near_duplicates(df).count() == 0
     null_id = spark.createDataFrame([(None, 0, [1.0]), (4, 0, [2.0])], "vec_id long, label int, embedding array<float>")
     assert {r["component_id"] for r in embed_dedup.near_duplicates(null_id).collect()} == {4}
+
+
+def test_huge_and_tiny_components_keep_their_links(spark):
+    rows = [(1, 0, [1e200, 2e200]), (2, 0, [1.0, 2.0]), (3, 0, [1e-200, 2e-200]), (4, 0, [2e200, -1e200]), (5, 0, [0.0, 1e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
