@@ -144,7 +144,7 @@ def op11_topk_search(spark, sf_dir):
 
 ORACLES["op11_topk_search"] = f"""
 WITH v AS (SELECT row_number() OVER () AS rid, vec_id,
-                  list_transform(CAST(embedding AS DOUBLE[]), x -> floor(256 * x)) AS e
+                  [floor(256 * x) FOR x IN CAST(embedding AS DOUBLE[])] AS e
            FROM embeddings
            WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT q.rid, q.vec_id AS query_id, c.rid AS cid, c.vec_id,
