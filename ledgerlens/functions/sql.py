@@ -36,7 +36,7 @@ def js_number(x: str) -> str:
     s = f"CAST({x} AS STRING)"
     plain = f"regexp_replace(CAST(try_cast({s} AS DECIMAL(38,18)) AS STRING), '\\\\.?0+$', '')"
     return (f"(CASE WHEN instr({s}, 'E') > 0 THEN coalesce({plain}, {s}) "
-            f"ELSE regexp_replace({s}, '\\\\.0$', '') END)")
+            f"WHEN {s} LIKE '%.0' THEN substr({s}, 1, char_length({s}) - 2) ELSE {s} END)")
 
 
 def fixed2(x: str) -> str:
@@ -97,8 +97,8 @@ def json_string(x: str) -> str:
     full = s
     for c in range(32):
         full = f"replace({full}, char({c}), '\\\\{_SHORT.get(c, f'u{c:04x}')}')"
-    return (f"(CASE WHEN {x} IS NULL THEN 'null' WHEN {x} RLIKE '[\\\\x00-\\\\x1f]' THEN concat('\"', {full}, '\"') "
-            f"ELSE concat('\"', {s}, '\"') END)")
+    return (f"(CASE WHEN {x} IS NULL THEN 'null' WHEN NOT {x} RLIKE '[\"\\\\\\\\\\\\x00-\\\\x1f]' THEN concat('\"', {x}, '\"') "
+            f"WHEN {x} RLIKE '[\\\\x00-\\\\x1f]' THEN concat('\"', {full}, '\"') ELSE concat('\"', {s}, '\"') END)")
 
 
 def pct(n: str, d: str) -> str:

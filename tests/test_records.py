@@ -60,3 +60,27 @@ def test_control_characters_round_trip(spark):
     assert json.loads(v)["vendor"]["name"] == odd and json.loads(v)["line_items"][0]["description"] == "a\nb\tc"
     assert json.dumps(odd, ensure_ascii=False) in v
     assert parse_records(df).first()["record"]["vendor"]["name"] == odd
+
+
+def test_a_record_that_only_looks_whole_is_taken_apart(spark):
+    good = record(items=[{"description": "a", "quantity": 1.0, "unit_price": 2.0, "amount": 2.0, "reasoning": "r"}], flags=[])
+    hidden = {k: v for k, v in good.items() if k not in ("invoice_number", "line_items")}
+    spoof = dict(hidden, flags=[{"message": "m", "severity": "info", "invoice_number": good["invoice_number"], "line_items": []}])
+    loose = dict(good, line_items=[*good["line_items"], {"description": "b"}])        # the merged kinds of a list hide a missing key
+    null = dict(good, line_items=[None])
+    quoted = dict(good, **{"vendor: OBJECT<": 1})
+    mark = dict(good, flags=[{"message": "m", "severity": "fatal"}])
+    cases = [(good, None), (spoof, "missing-key"), (loose, "missing-key"), (null, "wrong-type"), (quoted, None), (mark, "bad-enum"),
+             (dict(good, total=dict(good["total"], value=None)), None), (dict(good, total=dict(good["total"], value="1")), "wrong-type")]
+    rows = spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(cases)], "i int, value string")
+    got = {r.i: r.error for r in parse_records(rows).collect()}
+    assert got == {i: e for i, (_, e) in enumerate(cases)}
+
+
+def test_kinds_are_read_once(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = parse_records(spark.createDataFrame([("{}",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert 0 < plan.count("schemaOfVariant") < 80         # 108 when each condition read its kind again
