@@ -63,12 +63,12 @@ def record_json_sql(r: str = "record") -> str:
     return "concat('{', concat_ws(',', " + ", ".join(parts) + "), '}')"
 
 
-def chunk_rows(responses: DataFrame, text: str = "text", size_sql: str = "size") -> DataFrame:
+def chunk_rows(responses: DataFrame, text: str = "text", size_sql: str = "size", keep: tuple[str, ...] = ()) -> DataFrame:
     """Cut each response text into chunks of ``size`` characters:
-    response_id, seq, chunk (one regex split per response, no lambda)."""
+    response_id, seq, chunk and the columns to ``keep`` (one regex split per response, no lambda)."""
     return responses.selectExpr(
-        "response_id", f"posexplode(regexp_extract_all({text}, concat('(?s).{{1,', CAST({size_sql} AS STRING), '}}'), 0)) "
-        "AS (seq, chunk)").selectExpr("response_id", "CAST(seq AS BIGINT) AS seq", "chunk")
+        "response_id", *keep, f"posexplode(regexp_extract_all({text}, concat('(?s).{{1,', CAST({size_sql} AS STRING), '}}'), 0)) "
+        "AS (seq, chunk)").selectExpr("response_id", "CAST(seq AS BIGINT) AS seq", "chunk", *keep)
 
 
 _SPECIAL = re.compile(r'[{}\[\]"\\]')

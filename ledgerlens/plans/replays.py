@@ -19,24 +19,25 @@ from ledgerlens.sources.usage import usage_rows
 IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
-def replay(parts: list[DataFrame], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Writes the parts as files, one after the other, reads them as a stream of one part per micro-batch, and returns what the
-    stream has written. Everything lies in the shared folder. (Runs the stream while the plan is built.)"""
+def replay(parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], key: str | None = None) -> DataFrame:
+    """Writes the parts as files, one after the other, and lets the stream take each as one micro-batch before the next arrives;
+    returns what the stream has written. A part is written by as many tasks as its rows need; with ``key`` a key's rows lie in one file,
+    by time. Everything lies in the shared folder. (Runs the stream while the plan is built.)"""
     import uuid
     spark: SparkSession = parts[0].sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/replay-{uuid.uuid4().hex}"
-    for i, part in enumerate(parts):
-        part.coalesce(1).sortWithinPartitions(*[c for c in ("ts_us", "event_id") if c in part.columns] or part.columns[:1]).write.parquet(f"{folder}/in/part={i}")
-    source = (spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
-              .parquet(f"{folder}/in"))
     given = spark.conf.get(IDLE, "true")
     spark.conf.set(IDLE, "false")       # an available-now run ends with its data, though its state has timers
     try:
-        run = (make(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
-               .outputMode("append").trigger(availableNow=True).start())
-        run.awaitTermination()
-        if run.exception():
-            raise run.exception()
+        for i, part in enumerate(parts):
+            rows = part.repartition(key).sortWithinPartitions("ts_us", "event_id") if key else part
+            rows.write.parquet(f"{folder}/in/part={i}")
+            source = spark.readStream.schema(parts[0].schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+            run = (make(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+                   .outputMode("append").trigger(availableNow=True).start())
+            run.awaitTermination()
+            if run.exception():
+                raise run.exception()
     finally:
         spark.conf.set(IDLE, given)
     return spark.read.parquet(f"{folder}/out")
@@ -56,7 +57,7 @@ def q_stream_rate_admission(spark, sf_dir):
     from ledgerlens.streaming.gates import stream_admission
     requests = usage_rows(spark, sf_dir).selectExpr("event_id", "CAST(user_id AS STRING) AS key", "ts_us")
     kind = dict(usage_rows(spark, sf_dir).dtypes)["user_id"]
-    return replay(by_time(requests), lambda s: stream_admission(s, PA.LIMIT, PA.WINDOW_US)).selectExpr(
+    return replay(by_time(requests), lambda s: stream_admission(s, PA.LIMIT, PA.WINDOW_US), "key").selectExpr(
         "event_id", f"CAST(key AS {kind}) AS user_id", "ok", "remaining", "retry_after_s", "reset_at_us")
 
 
@@ -67,7 +68,7 @@ def q_stream_median_cap(spark, sf_dir):
     priced = PC.priced_usage(spark, sf_dir).where("cost IS NOT NULL")
     kind = dict(priced.dtypes)["user_id"]
     costs = priced.selectExpr("event_id", "CAST(user_id AS STRING) AS key", "ts_us", "cost")
-    return replay(by_time(costs), stream_median_cap).selectExpr("event_id", f"CAST(key AS {kind}) AS user_id", "cost", "exceeded", "cap", "median")
+    return replay(by_time(costs), stream_median_cap, "key").selectExpr("event_id", f"CAST(key AS {kind}) AS user_id", "cost", "exceeded", "cap", "median")
 
 
 @query("stream_completion", oracle_of("response_completion"))
@@ -75,9 +76,9 @@ def q_stream_completion(spark, sf_dir):
     """R2: responses completed as their chunks arrive, the odd chunks of each before the even ones."""
     from ledgerlens.streaming.chunks import stream_outcomes
     src = PS.broken_responses(spark, sf_dir)
-    chunks = CH.chunk_rows(src.selectExpr("doc_id AS response_id", "value AS text", "2048 AS size"))
-    ends = src.selectExpr("doc_id AS response_id", "CAST(greatest(ceil(char_length(value) / 2048), 1) - 1 AS BIGINT) AS last_seq")
-    chunks = chunks.join(ends, "response_id").selectExpr("response_id", "seq", "chunk", "seq = last_seq AS last")
+    # the last chunk is known where the text is cut: no join
+    ends = src.selectExpr("doc_id AS response_id", "value AS text", "2048 AS size", "CAST(greatest(ceil(char_length(value) / 2048), 1) - 1 AS BIGINT) AS last_seq")
+    chunks = CH.chunk_rows(ends, keep=("last_seq",)).selectExpr("response_id", "seq", "chunk", "seq = last_seq AS last")
     calls = src.selectExpr("doc_id AS response_id", "(order_key % 90) / 75D AS cost", "CASE WHEN order_key % 3 = 0 THEN 0.5D END AS cap")
     return replay([chunks.where("seq % 2 = 1"), chunks.where("seq % 2 = 0")], lambda s: stream_outcomes(s, calls, AS_OF).selectExpr(
         "response_id", "type", "code", "message", "CASE WHEN type = 'complete' THEN size(record.flags) END AS n_flags"))
