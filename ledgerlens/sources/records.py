@@ -112,9 +112,16 @@ def parse_records(df: DataFrame, text_col: str = "value") -> DataFrame:
         *df.columns, f"CASE WHEN error IS NULL THEN from_json({text_col}, '{S.RECORD.simpleString()}') END AS record", "error")
 
 
+def checked_once(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed rows that are good, and those that are not. The filters take ``error`` as it was computed: beside a column that
+    isn't deterministic they are not moved below the checks, which would put a copy of all checks into each filter."""
+    p = parsed.selectExpr("*", "rand() AS _row")
+    return (p.filter("error IS NULL AND _row >= 0").drop("error", "_row"), p.filter("error IS NOT NULL AND _row >= 0").drop("_row"))
+
+
 def split_records(df: DataFrame, text_col: str = "value") -> tuple[DataFrame, DataFrame]:
-    p = parse_records(df, text_col)
-    return p.filter("error IS NULL").drop("error"), p.filter("error IS NOT NULL").select(text_col, "error")
+    good, dead = checked_once(parse_records(df, text_col))
+    return good, dead.select(text_col, "error")
 
 
 # The keys a structured log line may carry (besides ts, level,

@@ -8,16 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ledgerlens.operators import validation as V
-from ledgerlens.sources.records import parse_records
+from ledgerlens.sources.records import checked_once, parse_records
 
 
 def validate_stream(raw: DataFrame, as_of: str, text_col: str = "value", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """raw: streaming rows with a JSON text column. Returns (good, dead); ``keep`` names columns that dead letters keep too."""
-    parsed = parse_records(raw, text_col)
-    good = parsed.filter("error IS NULL").drop("error")
+    good, dead = checked_once(parse_records(raw, text_col))
     good = V.validated(good, as_of).selectExpr("*", *V.confidence_counts_sql())
-    dead = parsed.filter("error IS NOT NULL").select(*keep, text_col, "error")
-    return good, dead
+    return good, dead.select(*keep, text_col, "error")
 
 
 def start(raw: DataFrame, as_of: str, good_path: str, dead_path: str, checkpoint: str,

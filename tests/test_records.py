@@ -84,3 +84,10 @@ def test_kinds_are_read_once(spark):
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert 0 < plan.count("schemaOfVariant") < 80         # 108 when each condition read its kind again
+
+
+def test_a_filter_holds_no_copy_of_the_checks(spark):
+    for part in split_records(spark.createDataFrame([("{}",)], "value string")):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if "Filter" in line]
+        assert filters and all(len(line) < 400 for line in filters)
