@@ -21,9 +21,11 @@ oracle (``ledgerlens.plans.oracle_base``):
 space, date formats, +0.005, +0.02, nulls) and marks every 101st document as
 a failed extraction.
 
-Plan: orders ⋈ customer and lineitem ⋈ part are equi joins (Catalyst/AQE
-choose broadcast only under the size threshold); items are aggregated per
-order with a partial aggregate, then joined to orders on the order key.
+Plan: orders ⋈ customer and lineitem ⋈ part are equi joins of one kind at
+every size (by hash in shuffled partitions, no broadcast that a larger table
+loses). Items travel to their order as narrow rows in as many partitions as
+the input's bytes ask for, and are collected there: a partial aggregate over a
+scan's rows would sort (and spill) them without making them fewer.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from __future__ import annotations
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens import schemas as S
 from ledgerlens.functions.sql import fixed2, round2
@@ -65,23 +68,23 @@ def _field(i: int, value: str, shown: str) -> str:
 
 
 def line_item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item: k, ln, pk, px, dc, description, quantity,
-    unit_price, amount."""
+    """One row per line item: k, ln, pk, px, dc, quantity, p_name."""
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber",
                     "l_quantity", "l_extendedprice", "l_discount")
-    part = read_table(spark, sf_dir, "part", "p_partkey", "p_name")
-    j = li.join(part, li.l_partkey == part.p_partkey, "left")
-    r = "(l_orderkey + l_linenumber)"
-    amount = round2("l_extendedprice * (1 - l_discount)")
-    return j.selectExpr(
-        "l_orderkey AS k", "l_linenumber AS ln", "l_partkey AS pk", "l_extendedprice AS px",
-        "l_discount AS dc",
-        f"CASE WHEN {r} % 29 = 0 THEN CAST(NULL AS STRING) "
-        f"WHEN {r} % 10 = 0 THEN concat(p_name, ', \"bulk\"') "
-        f"WHEN {r} % 10 = 5 THEN concat(' ', p_name) ELSE p_name END AS description",
-        "l_quantity AS quantity",
-        f"{round2(f'try_divide({amount}, l_quantity)')} AS unit_price",
-        f"{amount} AS amount")
+    part = read_table(spark, sf_dir, "part", "p_partkey", "p_name").hint("shuffle_hash")
+    return li.join(part, li.l_partkey == part.p_partkey, "left").selectExpr(
+        "l_orderkey AS k", "l_linenumber AS ln", "l_partkey AS pk", "l_extendedprice AS px", "l_discount AS dc",
+        "l_quantity AS quantity", "p_name")
+
+
+#: Bytes of the item table that one partition of orders is made from.
+_PART_BYTES = 8 << 20
+
+
+def _partitions(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions of the orders with their items: by the bytes of the item table, so none outgrows a task's memory."""
+    size = sum(s.getLen() for s in _files(spark, sf_dir, "lineitem"))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // _PART_BYTES))
 
 
 _VIEWS: dict = {}
@@ -116,32 +119,35 @@ def _view_key(spark: SparkSession, sf_dir: str) -> str:
     """Hash of the input folder and its files' names, sizes and modification times, by Spark's own file system."""
     import hashlib
     h = hashlib.sha1(sf_dir.encode())
-    sc = spark.sparkContext
     for t in ("orders", "lineitem", "part", "customer"):
-        path = sc._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, t))
-        found = path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
-        for x in sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in found):
+        for x in sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in _files(spark, sf_dir, t)):
             h.update(f"{t}:{x}".encode())
     return h.hexdigest()[:16]
 
 
+def _files(spark: SparkSession, sf_dir: str, table: str) -> list:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, table))
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
+
+
 def build_invoice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derivation itself (joins + per-order aggregate + record build)."""
     ensure_utc(spark)
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
     # Per order: items in line order + exact (decimal) sum. The array holds the
-    # items of one invoice (bounded by what one document can list); the sum
-    # is a partial (map-side) aggregate.
-    items = line_item_rows(spark, sf_dir)
-    per_order = items.selectExpr(
-        "k", "named_struct('ln', ln, 'pk', pk, 'px', px, 'dc', dc, 'quantity', quantity, "
-        "'description', description, 'unit_price', unit_price, 'amount', amount) AS it",
-        "CAST(amount AS DECIMAL(18,2)) AS amt").groupBy("k").agg(
+    # items of one invoice (bounded by what one document can list).
+    n = _partitions(spark, sf_dir)
+    amount = round2("px * (1 - dc)")
+    per_order = line_item_rows(spark, sf_dir).repartition(n, "k").selectExpr(
+        "k", "named_struct('ln', ln, 'pk', pk, 'px', px, 'dc', dc, 'quantity', quantity, 'p_name', p_name) AS it",
+        f"CAST({amount} AS DECIMAL(18,2)) AS amt").groupBy("k").agg(
         {"it": "collect_list", "amt": "sum"}).withColumnsRenamed(
         {"collect_list(it)": "its", "sum(amt)": "item_sum"})
-    base = (orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
-            .join(per_order, orders.o_orderkey == per_order.k, "left"))
+    base = (orders.join(customer.hint("shuffle_hash"), orders.o_custkey == customer.c_custkey, "left")
+            .repartition(n, "o_orderkey").hint("shuffle_hash")
+            .join(per_order, F.col("o_orderkey") == per_order.k, "left"))
     stage = base.selectExpr(
         "o_orderkey AS k",
         "concat('INV-', CAST(o_orderkey AS STRING)) AS inv",
@@ -163,8 +169,12 @@ def build_invoice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
              "+ CASE WHEN k % 11 = 0 THEN 1.0D ELSE 0.0D END END AS total")
     vendor = (f"named_struct('name', vname, 'address', vaddr, 'confidence', {_conf(1)}, "
               f"'reasoning', concat({_box(1)}, 'Vendor: ', coalesce(vname, 'not shown')))")
-    items_sql = ("coalesce(transform(sort_array(its), x -> named_struct('description', x.description, "
-                 "'quantity', x.quantity, 'unit_price', x.unit_price, 'amount', x.amount, "
+    r = "(k + x.ln)"
+    paid = round2("x.px * (1 - x.dc)")
+    described = (f"CASE WHEN {r} % 29 = 0 THEN CAST(NULL AS STRING) WHEN {r} % 10 = 0 THEN concat(x.p_name, ', \"bulk\"') "
+                 f"WHEN {r} % 10 = 5 THEN concat(' ', x.p_name) ELSE x.p_name END")
+    items_sql = (f"coalesce(transform(sort_array(its), x -> named_struct('description', {described}, "
+                 f"'quantity', x.quantity, 'unit_price', {round2(f'try_divide({paid}, x.quantity)')}, 'amount', {paid}, "
                  "'reasoning', concat('Line ', CAST(x.ln AS STRING)))), "
                  "CAST(array() AS ARRAY<STRUCT<description:STRING,quantity:DOUBLE,unit_price:DOUBLE,"
                  "amount:DOUBLE,reasoning:STRING>>))")
