@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,14 +244,51 @@ def final_events(text: str, seqs, lens) -> list[tuple]:
     return out
 
 
+def gathered(chunks: DataFrame) -> DataFrame:
+    """One row per response: its text, chunks in order, and the chunks' numbers and lengths (``seqs``, ``lens``). Chunks that stand
+    one behind the other in their input become one row before they travel, and are sorted only where they arrive, in small
+    partitions; chunks in any other order are cut apart there and put in order."""
+    kind = chunks.schema["response_id"].dataType.simpleString()
+    pieces = chunks.selectExpr("response_id", "CAST(seq AS BIGINT) AS seq", "chunk").mapInArrow(
+        _pieces, f"response_id {kind}, seq bigint, text string, lens array<int>")
+    n = _SPREAD * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = pieces.repartition(n, "response_id").groupBy("response_id").agg(F.expr("collect_list(struct(seq, text, lens)) AS ps"))
+    cut = ("sort_array(flatten(transform(ps, p -> transform(p.lens, (l, i) -> named_struct('seq', p.seq + i, 'c', "
+           "substr(p.text, 1 + aggregate(slice(p.lens, 1, i), 0, (a, x) -> a + x), l))))))")
+    return met.selectExpr("response_id", "ps", f"CASE WHEN size(ps) > 1 THEN {cut} END AS cs").selectExpr(
+        "response_id", "CASE WHEN cs IS NULL THEN ps[0].text ELSE array_join(cs.c, '') END AS text",
+        "CASE WHEN cs IS NULL THEN transform(ps[0].lens, (l, i) -> ps[0].seq + i) ELSE cs.seq END AS seqs",
+        "CASE WHEN cs IS NULL THEN ps[0].lens ELSE transform(cs.c, c -> char_length(c)) END AS lens")
+
+
+#: Partitions for whole responses, times the session's: a task sorts them by response, and they are wide.
+_SPREAD = 4
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a response's consecutive chunks, each as one row with the first one's number."""
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        ids, seq, chunk = b.columns
+        first = np.ones(n, bool)
+        if n > 1:
+            goes_on = pc.and_(pc.equal(ids.slice(1), ids.slice(0, n - 1)), pc.equal(pc.subtract(seq.slice(1), seq.slice(0, n - 1)), 1))
+            first[1:] = ~pc.fill_null(goes_on, False).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(first)
+        ends, chunk = pa.array(np.append(at, n), pa.int32()), pc.fill_null(chunk, "")
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(at)), seq.take(pa.array(at)), pc.binary_join(pa.ListArray.from_arrays(ends, chunk), ""),
+             pa.ListArray.from_arrays(ends, pc.utf8_length(chunk))], names=["response_id", "seq", "text", "lens"])
+
+
 def field_events(chunks: DataFrame) -> DataFrame:
     """R1 batch form: one row per emitted field (response, field, chunk seq
     it closed in, value text). Chunks are gathered per response (bounded by
     the response cap) and joined by the JVM; a task gets each text once, with the lengths of its chunks, and
     reads every value where it starts."""
-    whole = chunks.groupBy("response_id").agg(F.expr(
-        "sort_array(collect_list(struct(seq, coalesce(chunk, '') AS c))) AS cs")).selectExpr(
-        "response_id", "array_join(cs.c, '') AS text", "cs.seq AS seqs", "transform(cs.c, x -> char_length(x)) AS lens")
+    whole = gathered(chunks)
     return whole.mapInArrow(_events_flat, FIELD_EVENT_SCHEMA)
 
 
@@ -275,9 +313,7 @@ TIMEOUT_CODE, TIMEOUT_MESSAGE = "extraction-timeout", "The response did not end
 
 def whole_texts(chunks: DataFrame) -> DataFrame:
     """One row per response: its text, chunks in order (a response is bounded by the output cap)."""
-    return chunks.groupBy("response_id").agg(
-        F.expr("array_join(sort_array(collect_list(struct(seq, coalesce(chunk, '') AS c))).c, '')").alias("text"),
-        F.count("*").alias("n_chunks"))
+    return gathered(chunks).selectExpr("response_id", "text", "CAST(size(lens) AS BIGINT) AS n_chunks")
 
 
 def completed(chunks: DataFrame) -> DataFrame:
@@ -293,7 +329,7 @@ def final_outcome(done: DataFrame, calls: DataFrame | None, as_of: str) -> DataF
     cost passes."""
     from ledgerlens.operators.folds import ABSOLUTE_CEILING_USD
     from ledgerlens.operators.validation import validated
-    j = done if calls is None else done.join(calls, "response_id", "left")
+    j = done if calls is None else done.join(calls.hint("shuffle_hash"), "response_id", "left")     # whole records stay where they are
     over = f"coalesce(cost > {ABSOLUTE_CEILING_USD}D OR cost > cap, false)"
     out = validated(j, as_of).selectExpr(
         "*", f"CASE WHEN error = 'timeout' THEN '{TIMEOUT_CODE}' WHEN error IS NOT NULL THEN '{BAD_CODE}' WHEN {over} THEN '{CAP_CODE}' END AS code")
