@@ -30,11 +30,12 @@ def pad_end(s: str, n: int) -> str:
     return f"(CASE WHEN char_length({s}) >= {n} THEN {s} ELSE rpad({s}, {n}, ' ') END)"
 
 
-def item_line_sql(x: str = "x") -> str:
-    desc = f"coalesce({x}.description, '')"
-    amount = f"{x}.quantity * {x}.unit_price"
-    return (f"concat({pad_end(desc, 48)}, '  ', {pad_start(js_number(f'{x}.quantity'), 3)}, '   ', "
-            f"{pad_start(fixed2(f'{x}.unit_price'), 10)}, '   ', {pad_start(fixed2(amount), 10)})")
+def item_lines_sql(items: str) -> str:
+    """The lines of the item table: each cell's text is made once, then padded."""
+    cells = (f"transform({items}, x -> named_struct('d', coalesce(x.description, ''), 'q', {js_number('x.quantity')}, "
+             f"'p', {fixed2('x.unit_price')}, 'a', {fixed2('x.quantity * x.unit_price')}))")
+    return (f"transform({cells}, x -> concat({pad_end('x.d', 48)}, '  ', {pad_start('x.q', 3)}, '   ', "
+            f"{pad_start('x.p', 10)}, '   ', {pad_start('x.a', 10)}))")
 
 
 def render_lines_sql(r: str = "record", tax_pct: str = "8") -> str:
@@ -46,7 +47,7 @@ def render_lines_sql(r: str = "record", tax_pct: str = "8") -> str:
             f"concat('Bill Date: ', coalesce({r}.bill_date.value, '')), "
             f"{opt('Due Date', f'{r}.due_date.value')}, {opt('PO Number', f'{r}.po_number.value')}, "
             f"concat('Currency: ', coalesce({r}.currency.value, '')), '', '{ITEM_HEADER}')")
-    items = f"transform({r}.line_items, x -> {item_line_sql('x')})"
+    items = item_lines_sql(f"{r}.line_items")
     tail = (f"array('', concat('Subtotal: ', {fixed2(f'{r}.subtotal.value')}), "
             f"concat('Tax ({tax_pct}%): ', {fixed2(f'{r}.tax.value')}), "
             f"concat('Total: ', {fixed2(f'{r}.total.value')}))")
