@@ -23,13 +23,21 @@ def line_sum_sql(r: str = "record") -> str:
     return f"aggregate({r}.line_items, 0D, (acc, x) -> acc + coalesce(x.amount, 0D))"
 
 
-def rule_flags_sql(as_of: str, r: str = "record", with_rule: bool = False) -> str:
-    """Array of the flags the rules raise, in rule order."""
+def _staged(records: DataFrame, r: str = "record") -> DataFrame:
+    """Adds the dates, the line sum and the computed total that several rules look at, each read once."""
+    line_sum = f"{r}.line_items IS NOT NULL AND {r}.subtotal.value IS NOT NULL"
+    return records.selectExpr(
+        "*", *[f"CASE WHEN coalesce({r}.{f}_date.value, '') <> '' THEN {parsed_date(f'{r}.{f}_date.value')} END AS _{f}_d" for f in ("bill", "due")],
+        f"CASE WHEN {line_sum} THEN {round2(line_sum_sql(r))} END AS _line_sum", f"{round2(f'{r}.subtotal.value + {r}.tax.value')} AS _computed")
+
+
+def rule_flags_sql(as_of: str, r: str = "record", with_rule: bool = False, staged: bool = False) -> str:
+    """Array of the flags the rules raise, in rule order; ``staged``: over the columns of ``_staged``."""
     sub, tax, tot = f"{r}.subtotal.value", f"{r}.tax.value", f"{r}.total.value"
     bill, due = f"{r}.bill_date.value", f"{r}.due_date.value"
-    bill_d, due_d = parsed_date(bill), parsed_date(due)
-    computed = round2(f"{sub} + {tax}")
-    line_sum = round2(line_sum_sql(r))
+    bill_d, due_d = ("_bill_d", "_due_d") if staged else (parsed_date(bill), parsed_date(due))
+    computed = "_computed" if staged else round2(f"{sub} + {tax}")
+    line_sum = "_line_sum" if staged else round2(line_sum_sql(r))
 
     def flag(rule: str, sev: str, msg: str) -> str:
         head = f"'rule', '{rule}', " if with_rule else ""
@@ -75,13 +83,17 @@ def confidence_counts_sql(r: str = "record") -> list[str]:
 def with_rule_flags(records: DataFrame, as_of: str) -> DataFrame:
     """Adds ``det_flags`` (with rule ids) and ``merged_flags`` to records."""
     det = "transform(det_flags, f -> named_struct('severity', f.severity, 'message', f.message))"
-    return (records.selectExpr("*", f"{rule_flags_sql(as_of, with_rule=True)} AS det_flags")
+    return (_staged(records).selectExpr(*_names(records), f"{rule_flags_sql(as_of, with_rule=True, staged=True)} AS det_flags")
             .selectExpr("*", f"{merge_flags_sql('record.flags', det)} AS merged_flags"))
 
 
+def _names(records: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in records.columns]
+
+
 def validated(records: DataFrame, as_of: str) -> DataFrame:
     """Records with the merged flag list written back into the record, as
     the extraction route returns them."""
-    det = rule_flags_sql(as_of)
-    return records.withColumn(
-        "record", F.col("record").withField("flags", F.expr(merge_flags_sql("record.flags", det))))
+    det = rule_flags_sql(as_of, staged=True)
+    return _staged(records).withColumn(
+        "record", F.col("record").withField("flags", F.expr(merge_flags_sql("record.flags", det)))).select(*_names(records))

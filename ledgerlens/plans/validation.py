@@ -15,6 +15,7 @@ from ledgerlens.sources.invoices import AS_OF, derived_edits, extracted_sql, inv
 
 
 def _flagged(spark, sf_dir):
+    # exploded as "outer", then without the empty ones: of a plain explode Spark makes a filter that holds two more copies of all rules
     return V.with_rule_flags(invoice_records(spark, sf_dir), AS_OF)
 
 
@@ -64,7 +65,7 @@ det AS ({det_rows('src')})
 SELECT doc_id, row_number() OVER (PARTITION BY k ORDER BY rule_no) - 1 AS pos, rule, severity, message
 FROM det"""))
 def q_validation_flags(spark, sf_dir):
-    return (_flagged(spark, sf_dir).selectExpr("doc_id", "posexplode(det_flags) AS (pos, f)")
+    return (_flagged(spark, sf_dir).selectExpr("doc_id", "posexplode_outer(det_flags) AS (pos, f)").where("pos IS NOT NULL")
             .selectExpr("doc_id", "CAST(pos AS BIGINT) AS pos", "f.rule AS rule",
                         "f.severity AS severity", "f.message AS message"))
 
@@ -73,7 +74,7 @@ def q_validation_flags(spark, sf_dir):
 det AS ({det_rows('src')})
 SELECT rule, severity, count(*) AS n_flags FROM det GROUP BY rule, severity"""))
 def q_flag_rule_counts(spark, sf_dir):
-    return (_flagged(spark, sf_dir).selectExpr("explode(det_flags) AS f")
+    return (_flagged(spark, sf_dir).selectExpr("explode_outer(det_flags) AS f").where("f IS NOT NULL")
             .groupBy("f.rule", "f.severity").agg(F.count("*").alias("n_flags"))
             .withColumnsRenamed({"f.rule": "rule", "f.severity": "severity"}))
 
@@ -92,7 +93,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS pos, severit
 @query("merged_flags", with_base(LINE_SUMS + f""",
 det AS ({det_rows('src')})""" + MERGE_SQL))
 def q_merged_flags(spark, sf_dir):
-    return (_flagged(spark, sf_dir).selectExpr("doc_id", "posexplode(merged_flags) AS (pos, f)")
+    return (_flagged(spark, sf_dir).selectExpr("doc_id", "posexplode_outer(merged_flags) AS (pos, f)").where("pos IS NOT NULL")
             .selectExpr("doc_id", "CAST(pos AS BIGINT) AS pos", "f.severity AS severity",
                         "f.message AS message"))
 
