@@ -176,5 +176,12 @@ def display_values(defs: DataFrame, values: DataFrame) -> DataFrame:
     """J5 + P7: definitions (tenant, pos, id, name) joined with extracted
     values (doc_id, tenant, id, value) by (tenant, id); a field without a
     value row is absent and skipped, one whose value is null is shown; label = trimmed name, or the id when that is empty."""
-    j = defs.join(values, ["tenant", "id"])
-    return j.selectExpr("doc_id", "pos", f"coalesce(nullif({js_trim('name')}, ''), id) AS label", "value")
+    return (values.join(definition_arrays(defs, "id", "pos", "name"), "tenant")
+            .selectExpr("doc_id", "value", "inline(filter(ds, d -> d.id = id))")
+            .selectExpr("doc_id", "pos", f"coalesce(nullif({js_trim('name')}, ''), id) AS label", "value"))
+
+
+def definition_arrays(defs: DataFrame, *cols: str) -> DataFrame:
+    """One row per tenant: its definitions (at most ``MAX_FIELDS``) as an array, so that values meet them by the tenant alone and
+    need not travel again for the id."""
+    return defs.groupBy("tenant").agg(F.collect_list(F.struct(*cols)).alias("ds"))

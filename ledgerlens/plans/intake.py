@@ -364,6 +364,13 @@ def q_custom_fields(spark, sf_dir):
         "conv_id", "turn", "size(defs) AS n_fields", "reason IS NULL AS valid", "reason")
 
 
+def _shown_fields(spark, sf_dir):
+    """The records with the values that custom fields show, and no others: they travel to their tenants."""
+    return invoice_records(spark, sf_dir).selectExpr(
+        "doc_id", "order_key", "named_struct('total', named_struct('value', record.total.value), 'due_date', named_struct('value', record.due_date.value), "
+        "'vendor', named_struct('name', record.vendor.name)) AS record")
+
+
 def _value_sql(kind: str, r: str = "record") -> str:
     from ledgerlens.functions.sql import js_number
     return (f"CASE {kind} WHEN 'number' THEN {js_number(f'{r}.total.value')} "
@@ -384,7 +391,7 @@ def q_custom_field_values(spark, sf_dir):
     defs = (checked_definitions(spark, sf_dir).filter("reason IS NULL")
             .selectExpr("conv_id", "turn", "posexplode(defs) AS (pos, d)")
             .selectExpr("struct(conv_id, turn) AS tenant", "pos", "d.id AS id", "d.name AS name", "d.type AS type"))
-    docs = document_tenants(spark, sf_dir, invoice_records(spark, sf_dir).select("doc_id", "order_key", "record")).selectExpr(
+    docs = document_tenants(spark, sf_dir, _shown_fields(spark, sf_dir)).selectExpr(
         "doc_id", "order_key", "struct(conv_id, turn) AS tenant", "record")
     values = (docs.join(defs.select("tenant", "pos", "id", "type"), "tenant").where("(order_key + pos) % 5 <> 0")
               .selectExpr("doc_id", "tenant", "id", f"{_value_sql('type')} AS value"))
@@ -452,15 +459,18 @@ def custom_responses(spark, sf_dir, docs, defs):
     """Stand-in for a model's answers: JSON with a custom field for each definition of the document's tenant; some are absent, of a
     wrong kind, with an unknown confidence, without reasoning, null or no object."""
     from ledgerlens.functions.sql import json_string
-    value = (f"CASE type WHEN 'number' THEN coalesce(CAST(record.total.value AS STRING), 'null') WHEN 'date' THEN {json_string('record.due_date.value')} "
+    slot = _SLOT.replace("pos", "d.pos")
+    value = (f"CASE d.type WHEN 'number' THEN coalesce(CAST(record.total.value AS STRING), 'null') WHEN 'date' THEN {json_string('record.due_date.value')} "
              f"ELSE {json_string('record.vendor.name')} END")
-    wrong = "CASE type WHEN 'number' THEN '\"12\"' ELSE '12' END"
-    body = f"""CASE {_SLOT} WHEN 5 THEN '"x"' ELSE concat('{{"value":', CASE {_SLOT} WHEN 1 THEN {wrong} WHEN 4 THEN 'null' ELSE {value} END,
-               ',"confidence":"', CASE {_SLOT} WHEN 2 THEN 'sure' ELSE 'high' END, '"', CASE {_SLOT} WHEN 3 THEN '' ELSE ',"reasoning":"r"' END, '}}') END"""
-    fields = docs.join(defs, "tenant").where(f"{_SLOT} <> 0").selectExpr("doc_id", f"concat('\"', id, '\":', {body}) AS f")
-    joined = fields.groupBy("doc_id").agg(F.expr("concat('{\"custom_fields\":{', array_join(sort_array(collect_list(f)), ','), '}}')").alias("response"))
-    return docs.select("doc_id", "tenant", "order_key").join(joined, "doc_id", "left").selectExpr(
-        "doc_id", "tenant", "CASE WHEN order_key % 29 = 0 THEN '{broken' ELSE coalesce(response, '{}') END AS response")
+    wrong = "CASE d.type WHEN 'number' THEN '\"12\"' ELSE '12' END"
+    body = f"""CASE {slot} WHEN 5 THEN '"x"' ELSE concat('{{"value":', CASE {slot} WHEN 1 THEN {wrong} WHEN 4 THEN 'null' ELSE {value} END,
+               ',"confidence":"', CASE {slot} WHEN 2 THEN 'sure' ELSE 'high' END, '"', CASE {slot} WHEN 3 THEN '' ELSE ',"reasoning":"r"' END, '}}') END"""
+    # a document meets its tenant's definitions as one array: no row for each field, nothing to gather again by document
+    fields = docs.join(CF.definition_arrays(defs, "pos", "id", "type"), "tenant", "left").selectExpr(
+        "doc_id", "tenant", "order_key", f"transform(filter(ds, d -> {slot} <> 0), d -> concat('\"', d.id, '\":', {body})) AS fs")
+    return fields.selectExpr(
+        "doc_id", "tenant", "CASE WHEN order_key % 29 = 0 THEN '{broken' WHEN coalesce(size(fs), 0) <= 0 THEN '{}' "
+        "ELSE concat('{\"custom_fields\":{', array_join(sort_array(fs), ','), '}}') END AS response")
 
 
 @query("custom_field_records", with_base(DEFS_CTE + """,
@@ -476,7 +486,7 @@ def q_custom_field_records(spark, sf_dir):
     """P6 + U1: each document's custom fields read from JSON by its tenant's types; wrong ones rejected with a reason."""
     defs = (checked_definitions(spark, sf_dir).filter("reason IS NULL").selectExpr("conv_id", "turn", "posexplode(defs) AS (pos, d)")
             .selectExpr("struct(conv_id, turn) AS tenant", "pos", "d.id AS id", "d.type AS type"))
-    docs = document_tenants(spark, sf_dir, invoice_records(spark, sf_dir).select("doc_id", "order_key", "record")).selectExpr(
+    docs = document_tenants(spark, sf_dir, _shown_fields(spark, sf_dir)).selectExpr(
         "doc_id", "order_key", "struct(conv_id, turn) AS tenant", "record")
     return CF.typed_values(custom_responses(spark, sf_dir, docs, defs), defs).selectExpr(
         "doc_id", "CAST(pos AS INT) AS pos", "type", "number_value", "text_value", "reason")
