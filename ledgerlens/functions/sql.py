@@ -53,8 +53,11 @@ def js_trim(x: str) -> str:
 
 def csv_cell(x: str, numeric: bool = False) -> str:
     """RFC-4180 cell: null -> ''; quoted if it has a quote, comma, CR or LF
-    or leading/trailing white space; inner quotes doubled."""
-    s = js_number(x) if numeric else f"CAST({x} AS STRING)"
+    or leading/trailing white space; inner quotes doubled. A number's text
+    has none of them."""
+    if numeric:
+        return f"coalesce({js_number(x)}, '')"
+    s = f"CAST({x} AS STRING)"
     return (f"(CASE WHEN {s} IS NULL THEN '' "
             f"WHEN {s} RLIKE '[\",\\r\\n]' OR {js_trim(s)} <> {s} "
             f"THEN concat('\"', replace({s}, '\"', '\"\"'), '\"') ELSE {s} END)")

@@ -5,7 +5,8 @@ CSV lines are built as text columns (not the built-in CSV writer, which
 escapes quotes with a backslash, trims cells and rewrites LF inside cells)
 and written with ``write.text(lineSep='\\r\\n')``. The header is written by
 the sink once. Everything is a per-row projection (line items by
-``posexplode_outer``); no shuffle.
+``posexplode_outer``); no shuffle but the sink's, in which a document's
+lines travel as one row.
 """
 
 from __future__ import annotations
@@ -52,21 +53,37 @@ def summary_lines(records: DataFrame) -> DataFrame:
     return records.selectExpr("doc_id", "concat_ws(',', " + ", ".join(cells) + ") AS line")
 
 
+def _invoice_cells(r: str = "record") -> list[str]:
+    """The cells that every line of an invoice repeats."""
+    return [csv_cell(f"{r}.invoice_number.value"), csv_cell(f"{r}.vendor.name"),
+            csv_cell(f"{r}.bill_date.value"), csv_cell(f"{r}.due_date.value"),
+            csv_cell(f"{r}.total.value", True), csv_cell(f"{r}.currency.value")]
+
+
+def _item_cells(li: str) -> list[str]:
+    return [csv_cell(f"{li}.description"), csv_cell(f"{li}.quantity", True),
+            csv_cell(f"{li}.unit_price", True), csv_cell(f"{li}.amount", True)]
+
+
 def line_item_lines(records: DataFrame) -> DataFrame:
     """doc_id, item_pos, line - one CSV row per line item, header
     fields repeated; an invoice without items gives one row with four
     empty cells (item_pos null)."""
-    r = "record"
-    x = records.selectExpr("doc_id", "record", f"posexplode_outer({r}.line_items) AS (item_pos, li)")
-    cells = [csv_cell(f"{r}.invoice_number.value"), csv_cell(f"{r}.vendor.name"),
-             csv_cell(f"{r}.bill_date.value"), csv_cell(f"{r}.due_date.value"),
-             csv_cell(f"{r}.total.value", True), csv_cell(f"{r}.currency.value"),
-             csv_cell("li.description"), csv_cell("li.quantity", True),
-             csv_cell("li.unit_price", True), csv_cell("li.amount", True)]
+    x = records.selectExpr("doc_id", "record", "posexplode_outer(record.line_items) AS (item_pos, li)")
+    cells = _invoice_cells() + _item_cells("li")
     return x.selectExpr("doc_id", "CAST(item_pos AS BIGINT) AS item_pos",
                         "concat_ws(',', " + ", ".join(cells) + ") AS line")
 
 
+def line_item_blocks(records: DataFrame) -> DataFrame:
+    """S11 for the sink: doc_id, line - the lines of ``line_item_lines`` of one document, in item order, as one text
+    with CRLF between them. The repeated cells are built once per document."""
+    x = records.selectExpr("doc_id", "concat_ws(',', " + ", ".join(_invoice_cells()) + ") AS head", "record.line_items AS its")
+    line = "concat_ws(',', head, " + ", ".join(_item_cells("x")) + ")"
+    return x.selectExpr("doc_id", f"CASE WHEN size(its) > 0 THEN array_join(transform(its, x -> {line}), '\\r\\n') "
+                                  "ELSE concat(head, ',,,,') END AS line")
+
+
 def to_csv_lines(records: DataFrame, fmt: str = "summary") -> DataFrame:
     """Format dispatch (``summary`` default, or ``line_items``)."""
     return line_item_lines(records) if fmt == "line_items" else summary_lines(records)
@@ -74,14 +91,14 @@ def to_csv_lines(records: DataFrame, fmt: str = "summary") -> DataFrame:
 
 def write_csv(records: DataFrame, path: str, fmt: str = "summary") -> None:
     """S12 / S13 sink: the lines of ``records`` in one format under its own header, in document order and, within a document,
-    item order; CRLF between rows. The header row carries null sort keys (nulls sort first), and the output is
-    range-partitioned on them, so the part files concatenate to one file. (The text sink ends the last row with CRLF too.)"""
-    lines = to_csv_lines(records, fmt)
-    keys = [c for c in lines.columns if c != "line"]
-    order = [F.col("is_row"), *[F.col(k).asc_nulls_first() for k in keys]]
+    item order; CRLF between rows. A document's lines travel and are sorted as one row. The header row carries a null sort key
+    (nulls sort first), and the output is range-partitioned on it, so the part files concatenate to one file. (The text sink
+    ends the last row with CRLF too.)"""
+    lines = line_item_blocks(records) if fmt == "line_items" else summary_lines(records)
+    order = [F.col("is_row"), F.col("doc_id").asc_nulls_first()]
     hdr = records.sparkSession.createDataFrame([(header_line(fmt),)], "line string").selectExpr(
-        "false AS is_row", *[f"CAST(NULL AS {dict(lines.dtypes)[k]}) AS {k}" for k in keys], "line")
-    body = lines.selectExpr("true AS is_row", *keys, "line").unionByName(hdr)
+        "false AS is_row", f"CAST(NULL AS {dict(lines.dtypes)['doc_id']}) AS doc_id", "line")
+    body = lines.selectExpr("true AS is_row", "doc_id", "line").unionByName(hdr)
     (body.repartitionByRange(*order).sortWithinPartitions(*order).select("line")
      .write.mode("overwrite").option("lineSep", "\r\n").text(path))
 
