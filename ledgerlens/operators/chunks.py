@@ -322,22 +322,26 @@ def completed(chunks: DataFrame) -> DataFrame:
     return parse_records(whole_texts(chunks), "text").select("response_id", "n_chunks", "record", "error")
 
 
-def final_outcome(done: DataFrame, calls: DataFrame | None, as_of: str) -> DataFrame:
+def final_outcome(done: DataFrame, calls: DataFrame | None, as_of: str, shown: str = "record") -> DataFrame:
     """R2: each response ends in one event. ``done(response_id, record, error)``; ``calls(response_id, cost, cap)`` (or None, if ``done`` has these), cap null before
     enough calls are known. ``type`` complete or error, ``code`` and ``message`` of an error (an ``error`` of ``timeout`` has its own),
     ``record`` of a complete one with the rule flags merged, and its ``cost``. A cost over the absolute ceiling or the cap ends in an error though the text is good; an unknown
-    cost passes."""
+    cost passes. ``shown``: what a complete response shows in place of its whole record (``<expression of record> AS <name>``); where ``done`` has to
+    travel to its calls, only that travels."""
     from ledgerlens.operators.folds import ABSOLUTE_CEILING_USD
     from ledgerlens.operators.validation import validated
-    j = done if calls is None else done.join(calls.hint("shuffle_hash"), "response_id", "left")     # whole records stay where they are
+    name = shown.rsplit(" AS ", 1)[-1]
+    j = validated(done, as_of).selectExpr("response_id", shown, "error", *(["cost", "cap"] if calls is None else []))
+    if calls is not None:
+        j = j.join(calls.hint("shuffle_hash"), "response_id", "left")
     over = f"coalesce(cost > {ABSOLUTE_CEILING_USD}D OR cost > cap, false)"
-    out = validated(j, as_of).selectExpr(
+    out = j.selectExpr(
         "*", f"CASE WHEN error = 'timeout' THEN '{TIMEOUT_CODE}' WHEN error IS NOT NULL THEN '{BAD_CODE}' WHEN {over} THEN '{CAP_CODE}' END AS code")
     return out.selectExpr(
         "response_id", "CASE WHEN code IS NULL THEN 'complete' ELSE 'error' END AS type", "code",
         f"CASE WHEN error = 'timeout' THEN '{TIMEOUT_MESSAGE}' WHEN error = 'invalid-json' THEN '{BAD_JSON}' WHEN error IS NOT NULL THEN '{BAD_SCHEMA}' "
         f"WHEN code IS NOT NULL THEN '{CAP_MESSAGE}' END AS message",
-        "CASE WHEN code IS NULL THEN record END AS record", "cost")
+        f"CASE WHEN code IS NULL THEN {name} END AS {name}", "cost")
 
 
 def progress_rollup(stream_events: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
-"""R1/R2 as streams, with typed state per response id: the parser's places (a value), the text so far (a list that is only appended
-to), the places of the keys found (a map) and chunks that arrived early (a map). Chunks are taken in order of ``seq``, each
-once, so repeated batches and a restart change nothing. A micro-batch reads the new text and a few characters before it; the text
-is read again only to give out a value that began in an earlier batch.
+"""R1/R2 as streams, with typed state. Chunks are taken in order of ``seq``, each once, so repeated batches and a restart change nothing.
 
 * ``stream_field_events`` (R1): an event for each field as its value closes, and one closing row: ``complete`` in place of the field
-  name when all keys are out, ``error`` after ``idle_timeout_ms`` without chunks (processing time).
+  name when all keys are out, ``error`` after ``idle_timeout_ms`` without chunks (processing time). State per response id: the parser's
+  places (a value), the text so far (a list that is only appended to), the places of the keys found (a map) and chunks that arrived
+  early (a map). A micro-batch reads the new text and a few characters before it; the text is read again only to give out a value
+  that began in an earlier batch.
 * ``stream_outcomes`` (R2): the response ends with the chunk marked ``last``; its whole text then goes on to the schema check, the
-  join with the (static) calls, the cost gate and the merge of rule flags, and one closing row comes out. A response that is idle
-  too long ends as an error of its own.
+  merge of rule flags, the join with the (static) calls and the cost gate, and one closing row comes out. A response that is idle
+  too long ends as an error of its own. State per bucket of response ids: which chunks of its open responses are there (a value), their
+  text (a map that is only added to) and the ended ones (a list). A response that begins and ends in one micro-batch costs no call of
+  the state store of its own.
 * ``stream_gated_outcomes`` (R2 with W1): the cost gate is a second stateful operator behind the first, with the history of accepted
   costs of each key as its state.
 
@@ -16,6 +18,7 @@ An ended response keeps only a mark, for one more timeout (state TTL), so traili
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,14 +37,14 @@ _WHOLE = [c.split()[0] for c in WHOLE_SCHEMA.split(", ")]
 
 
 class Responses(StatefulProcessor):
-    """Takes chunks in order. ``whole`` gives out whole texts instead of field events."""
+    """Takes chunks in order and gives out field events."""
 
-    def __init__(self, idle_ms: int, whole: bool):
-        self.idle_ms, self.whole = idle_ms, whole
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "next_seq long, last_seq long, base long, buffer string, searched long, timer long")
+        self.at = handle.getValueState("at", "next_seq long, base long, buffer string, searched long, timer long")
         self.parts = handle.getListState("parts", "text string")
         self.keys = handle.getMapState("keys", "field string", "located long, start long, open string, i long, depth int, "
                                                                "in_str boolean, done boolean, emitted boolean")
@@ -51,11 +54,11 @@ class Responses(StatefulProcessor):
     def _text(self) -> str:
         return "".join(p[0] or "" for p in self.parts.get())
 
-    def _restore(self) -> tuple[FieldParser, int, int | None, int | None]:
+    def _restore(self) -> tuple[FieldParser, int, int | None]:
         parser, self.saved = FieldParser(self._text), {}
         if not self.at.exists():
-            return parser, 0, None, None
-        seq, last, parser.base, parser.buffer, parser._searched, timer = self.at.get()
+            return parser, 0, None
+        seq, parser.base, parser.buffer, parser._searched, timer = self.at.get()
         self.saved = dict((k[0], tuple(v)) for k, v in self.keys.iterator())
         for field, (located, start, open_c, i, depth, in_str, done, emitted) in self.saved.items():
             parser._located[field] = located
@@ -64,9 +67,9 @@ class Responses(StatefulProcessor):
             if start is not None:
                 scan = parser.scans[field] = _KeyScan(start, open_c)
                 scan.i, scan.depth, scan.in_str, scan.done = i, depth, in_str, done
-        return parser, seq, last, timer
+        return parser, seq, timer
 
-    def _save(self, parser: FieldParser, seq: int, last: int | None, timer: int) -> None:
+    def _save(self, parser: FieldParser, seq: int, timer: int) -> None:
         if gone := parser.forget():
             self.parts.appendValue((gone,))
         for field, located in parser._located.items():
@@ -74,7 +77,7 @@ class Responses(StatefulProcessor):
             places = (scan.start, scan.open_c, scan.i, scan.depth, scan.in_str, scan.done) if scan else (None,) * 6
             if self.saved.get(field) != (now := (located, *places, field in parser.emitted)):
                 self.keys.updateValue((field,), now)
-        self.at.update((seq, last, parser.base, parser.buffer, parser._searched, timer))
+        self.at.update((seq, parser.base, parser.buffer, parser._searched, timer))
 
     def _end(self, seq: int) -> None:
         for state in (self.at, self.parts, self.keys, self.early):
@@ -88,15 +91,12 @@ class Responses(StatefulProcessor):
             for _ in rows:
                 pass
             return
-        parser, seq, last, timer = self._restore()
+        parser, seq, timer = self._restore()
         given: dict[int, str] = {}
         for pdf in rows:
-            marks = pdf["last"] if "last" in pdf else [False] * len(pdf)
-            for s, c, end in zip(pdf["seq"].tolist(), pdf["chunk"].tolist(), marks):
+            for s, c in zip(pdf["seq"].tolist(), pdf["chunk"].tolist()):
                 if s >= seq:
                     given.setdefault(int(s), c or "")
-                if end:
-                    last = int(s)
         out, done = [], False
         while not done:
             if seq in given:
@@ -106,16 +106,13 @@ class Responses(StatefulProcessor):
             else:
                 break
             self.early.removeKey((seq,))
-            if self.whole:
-                parser.buffer += chunk
-            else:
-                out += [(rid, k, STREAM_KEYS.index(k), seq, len(v), v) for k, v in parser.feed(chunk)]
+            out += [(rid, k, STREAM_KEYS.index(k), seq, len(v), v) for k, v in parser.feed(chunk)]
             seq += 1
-            done = last is not None and seq > last if self.whole else len(parser.emitted) == len(STREAM_KEYS)
+            done = len(parser.emitted) == len(STREAM_KEYS)
         if timer is not None:
             self.handle.deleteTimer(timer)
         if done:
-            out.append((rid, self._text() + parser.buffer, seq, False) if self.whole else (rid, COMPLETE, -1, seq - 1, 0, None))
+            out.append((rid, COMPLETE, -1, seq - 1, 0, None))
             self._end(seq)
         else:
             for s, c in given.items():
@@ -123,16 +120,133 @@ class Responses(StatefulProcessor):
                     self.early.updateValue((s,), (c,))
             timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(timer)
-            self._save(parser, seq, last, timer)
+            self._save(parser, seq, timer)
         if out:
-            yield pd.DataFrame(out, columns=_WHOLE if self.whole else _EVENT)
+            yield pd.DataFrame(out, columns=_EVENT)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.at.exists():
             seq = self.at.get()[0]
             self._end(seq)
-            yield (pd.DataFrame([(key[0], None, seq, True)], columns=_WHOLE) if self.whole
-                   else pd.DataFrame([(key[0], ERROR, -1, seq, 0, None)], columns=_EVENT))
+            yield pd.DataFrame([(key[0], ERROR, -1, seq, 0, None)], columns=_EVENT)
+
+    def close(self) -> None:
+        pass
+
+
+def _with(runs: list[int], seqs: list[int]) -> list[int]:
+    """Runs of chunk numbers (from, to, from, to ...; the end is not part of a run) with more numbers."""
+    out: list[int] = []
+    for a, b in sorted([*zip(runs[::2], runs[1::2]), *((s, s + 1) for s in seqs)]):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += (a, b)
+    return out
+
+
+class WholeTexts(StatefulProcessor):
+    """The responses of a bucket: gives out the whole text of each that ends. All that a micro-batch brings for the bucket is taken at
+    once, so the calls of the state store do not grow with the responses: which chunks are there is one value for all open
+    responses, those that ended are a list with TTL. Only the text of a response that stays open is put down by itself, one entry for each micro-batch
+    that brings some of it, and read once, when it ends."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "ids array<string>, runs array<array<long>>, last array<long>, parts array<int>, "
+                                                 "until array<long>, timer long")
+        self.texts = handle.getMapState("texts", "response_id string, part int", "seqs array<long>, chunks array<string>")
+        self.ended = handle.getListState("ended", "ids array<string>", ttlDurationMs=self.idle_ms)
+
+    def _restore(self) -> None:
+        """``at``: id -> runs of the chunks that are there, number of the last one, entries of its text, when it has been idle too long."""
+        saved = self.open.get()
+        self.at = dict(zip(saved[0], zip(*saved[1:5]))) if saved else {}
+        self.known, self.timer = bool(saved), saved[5] if saved else None
+
+    def _texts(self, ended: list) -> dict[str | None, dict[int, str]]:
+        """Removes the responses from those open and returns their chunks."""
+        held = [(rid, part) for rid in ended for part in range(self.at[rid][2])]
+        for rid in ended:
+            del self.at[rid]
+        found: dict[str | None, dict[int, str]] = {rid: {} for rid in ended}
+        if held and not self.at:            # all at once
+            entries = [(k[0], v) for k, v in self.texts.iterator()]
+            self.texts.clear()
+        else:
+            entries = [(k[0], self.texts.getValue(k)) for k in held]
+            for k in held:
+                self.texts.removeKey(k)
+        for rid, (seqs, chunks) in entries:
+            found[rid].update(zip(seqs, chunks))
+        return found
+
+    def _save(self, ended: list) -> None:
+        if ended:
+            self.ended.appendValue((ended,))
+        due = min((p[3] for p in self.at.values()), default=None)
+        # a time stays set while it is not later than the first that is due
+        if self.timer is not None and (due is None or due < self.timer):
+            self.handle.deleteTimer(self.timer)
+            self.timer = None
+        if due is not None and self.timer is None:
+            self.handle.registerTimer(due)
+            self.timer = due
+        if self.at:
+            self.open.update((list(self.at), *(list(x) for x in zip(*self.at.values())), self.timer))
+        elif self.known:
+            self.open.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self._restore()
+        gone = {rid for row in self.ended.get() for rid in row[0]}
+        given: dict[str | None, dict[int, str]] = {}
+        lasts: dict[str | None, int] = {}
+        again: dict[str | None, None] = {}
+        for pdf in rows:
+            for rid, s, c, end in zip(*(pdf[x].tolist() for x in ("response_id", "seq", "chunk", "last"))):
+                if rid in gone:
+                    again[rid] = None
+                    continue
+                mine = given.setdefault(rid, {})
+                if s >= 0:
+                    mine.setdefault(int(s), c or "")
+                if end:
+                    lasts[rid] = int(s)
+        until, done = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms, []
+        for rid, mine in given.items():
+            runs, last, parts, _ = self.at.get(rid, ([], None, 0, None))
+            last = lasts.get(rid, last)
+            for s in [s for s in mine if bisect_right(runs, s) % 2]:     # is there already
+                del mine[s]
+            runs = _with(runs, list(mine))
+            if last is not None and runs and runs[0] == 0 and runs[1] > last:
+                done.append(rid)
+            elif mine:
+                self.texts.updateValue((rid, parts), (list(mine), list(mine.values())))
+                parts += 1
+            self.at[rid] = (runs, last, parts, until)
+        ends = {rid: self.at[rid][1] for rid in done}
+        whole = self._texts(done)
+        self._save([*again, *done])
+        if done:
+            out = []
+            for rid, last in ends.items():
+                chunks = whole[rid] | given[rid]
+                out.append((rid, "".join(chunks[s] for s in range(last + 1)), last + 1, False))
+            yield pd.DataFrame(out, columns=_WHOLE)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._restore()
+        now, self.timer = timerValues.getCurrentProcessingTimeInMs(), None      # the time that came is unset by the engine
+        late = {rid: runs[1] if runs and runs[0] == 0 else 0 for rid, (runs, _, _, until) in self.at.items() if until <= now}
+        self._texts(list(late))
+        self._save(list(late))
+        if late:
+            yield pd.DataFrame([(rid, None, n, True) for rid, n in late.items()], columns=_WHOLE)
 
     def close(self) -> None:
         pass
@@ -140,12 +254,17 @@ class Responses(StatefulProcessor):
 
 def stream_field_events(chunks: DataFrame, idle_timeout_ms: int = 600_000) -> DataFrame:
     """Streaming DataFrame of (response_id, seq, chunk) -> field events and one closing row per response."""
-    return with_state(chunks, "response_id", Responses(idle_timeout_ms, whole=False), FIELD_EVENT_SCHEMA)
+    return with_state(chunks, "response_id", Responses(idle_timeout_ms), FIELD_EVENT_SCHEMA)
+
+
+#: Buckets of response ids. A response's state is found by its bucket, so a checkpoint keeps the number it began with.
+BUCKETS = 8192
 
 
-def stream_whole_texts(chunks: DataFrame, idle_timeout_ms: int = 600_000) -> DataFrame:
+def stream_whole_texts(chunks: DataFrame, idle_timeout_ms: int = 600_000, buckets: int = BUCKETS) -> DataFrame:
     """Streaming (response_id, seq, chunk, last) -> (response_id, text, n_chunks, timed_out), once per response."""
-    return with_state(chunks, "response_id", Responses(idle_timeout_ms, whole=True), WHOLE_SCHEMA)
+    dealt = chunks.selectExpr(f"CAST(pmod(xxhash64(response_id), {buckets}) AS INT) AS bucket", "response_id", "seq", "chunk", "last")
+    return with_state(dealt, "bucket", WholeTexts(idle_timeout_ms), WHOLE_SCHEMA)
 
 
 def _checked(whole: DataFrame) -> DataFrame:
@@ -153,10 +272,10 @@ def _checked(whole: DataFrame) -> DataFrame:
     return parse_records(whole, "text").withColumn("error", F.expr("CASE WHEN timed_out THEN 'timeout' ELSE error END"))
 
 
-def stream_outcomes(chunks: DataFrame, calls: DataFrame, as_of: str, idle_timeout_ms: int = 600_000) -> DataFrame:
+def stream_outcomes(chunks: DataFrame, calls: DataFrame, as_of: str, idle_timeout_ms: int = 600_000, shown: str = "record") -> DataFrame:
     """R2: closing rows as ``operators.chunks.final_outcome`` gives them. ``calls``: static (response_id, cost, cap)."""
     done = _checked(stream_whole_texts(chunks, idle_timeout_ms)).select("response_id", "n_chunks", "record", "error")
-    return final_outcome(done, calls, as_of)
+    return final_outcome(done, calls, as_of, shown)
 
 
 def stream_gated_outcomes(chunks: DataFrame, calls: DataFrame, as_of: str, idle_timeout_ms: int = 600_000,
