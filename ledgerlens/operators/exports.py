@@ -5,8 +5,8 @@ CSV lines are built as text columns (not the built-in CSV writer, which
 escapes quotes with a backslash, trims cells and rewrites LF inside cells)
 and written with ``write.text(lineSep='\\r\\n')``. The header is written by
 the sink once. Everything is a per-row projection (line items by
-``posexplode_outer``); no shuffle but the sink's, in which a document's
-lines travel as one row.
+``posexplode_outer``); no shuffle but the sink's, in which a document
+travels once for all formats, as one text.
 """
 
 from __future__ import annotations
@@ -41,23 +41,28 @@ def flag_string_sql(flags: str = "record.flags") -> str:
     return f"array_join(transform({flags}, f -> concat(f.severity, ': ', f.message)), '; ')"
 
 
+def _header_cells(r: str = "record") -> list[str]:
+    """The cells of the summary line before the memo."""
+    return [csv_cell(f"{r}.invoice_number.value"), csv_cell(f"{r}.vendor.name"),
+            csv_cell(f"{r}.vendor.address"), csv_cell(f"{r}.bill_date.value"),
+            csv_cell(f"{r}.due_date.value"), csv_cell(f"{r}.po_number.value"),
+            csv_cell(f"{r}.subtotal.value", True), csv_cell(f"{r}.tax.value", True),
+            csv_cell(f"{r}.total.value", True), csv_cell(f"{r}.currency.value")]
+
+
 def summary_lines(records: DataFrame) -> DataFrame:
     """doc_id, line - one CSV row per invoice."""
-    r = "record"
-    cells = [csv_cell(f"{r}.invoice_number.value"), csv_cell(f"{r}.vendor.name"),
-             csv_cell(f"{r}.vendor.address"), csv_cell(f"{r}.bill_date.value"),
-             csv_cell(f"{r}.due_date.value"), csv_cell(f"{r}.po_number.value"),
-             csv_cell(f"{r}.subtotal.value", True), csv_cell(f"{r}.tax.value", True),
-             csv_cell(f"{r}.total.value", True), csv_cell(f"{r}.currency.value"),
-             csv_cell(memo_sql(r)), csv_cell(flag_string_sql(f"{r}.flags"))]
+    cells = [*_header_cells(), csv_cell(memo_sql()), csv_cell(flag_string_sql())]
     return records.selectExpr("doc_id", "concat_ws(',', " + ", ".join(cells) + ") AS line")
 
 
-def _invoice_cells(r: str = "record") -> list[str]:
+#: Places of the header cells that every line of an invoice repeats.
+_REPEATED = (0, 1, 3, 4, 8, 9)
+
+
+def _invoice_cells() -> list[str]:
     """The cells that every line of an invoice repeats."""
-    return [csv_cell(f"{r}.invoice_number.value"), csv_cell(f"{r}.vendor.name"),
-            csv_cell(f"{r}.bill_date.value"), csv_cell(f"{r}.due_date.value"),
-            csv_cell(f"{r}.total.value", True), csv_cell(f"{r}.currency.value")]
+    return [_header_cells()[i] for i in _REPEATED]
 
 
 def _item_cells(li: str) -> list[str]:
@@ -75,13 +80,17 @@ def line_item_lines(records: DataFrame) -> DataFrame:
                         "concat_ws(',', " + ", ".join(cells) + ") AS line")
 
 
+def _item_block(cells: list[str]) -> str:
+    """The lines of a document's items, of its repeated cells ``head``, its items ``its`` and the cells of an item ``x``."""
+    line = "concat_ws(',', head, " + ", ".join(cells) + ")"
+    return f"CASE WHEN size(its) > 0 THEN array_join(transform(its, x -> {line}), '\\r\\n') ELSE concat(head, ',,,,') END"
+
+
 def line_item_blocks(records: DataFrame) -> DataFrame:
     """S11 for the sink: doc_id, line - the lines of ``line_item_lines`` of one document, in item order, as one text
     with CRLF between them. The repeated cells are built once per document."""
     x = records.selectExpr("doc_id", "concat_ws(',', " + ", ".join(_invoice_cells()) + ") AS head", "record.line_items AS its")
-    line = "concat_ws(',', head, " + ", ".join(_item_cells("x")) + ")"
-    return x.selectExpr("doc_id", f"CASE WHEN size(its) > 0 THEN array_join(transform(its, x -> {line}), '\\r\\n') "
-                                  "ELSE concat(head, ',,,,') END AS line")
+    return x.selectExpr("doc_id", f"{_item_block(_item_cells('x'))} AS line")
 
 
 def to_csv_lines(records: DataFrame, fmt: str = "summary") -> DataFrame:
@@ -89,18 +98,53 @@ def to_csv_lines(records: DataFrame, fmt: str = "summary") -> DataFrame:
     return line_item_lines(records) if fmt == "line_items" else summary_lines(records)
 
 
+FORMATS = ("summary", "line_items")
+_GAP, _MARK = "char(1)", "char(2)"
+
+
+def _packed() -> str:
+    """What the lines of all formats show of a document, as one text: the header cells, the flags' cell and, for each item, its description and
+    its cells of numbers, with a control character between them (and that written as a pair where a text has it). One text takes
+    two thirds of the bytes that the fields, or the lines of each format, take on the way."""
+    def plain(x: str) -> str:
+        return f"replace(replace({x}, {_MARK}, concat({_MARK}, 'b')), {_GAP}, concat({_MARK}, 'a'))"
+    cells = [plain(c) for c in (*_header_cells(), csv_cell(flag_string_sql()))]
+    numbers = "concat_ws(',', " + ", ".join(_item_cells("x")[1:]) + ")"
+    items = f"transform(record.line_items, x -> concat({_GAP}, {plain('coalesce(x.description, {0})'.format(repr('')))}, {_GAP}, {numbers}))"
+    return f"concat(concat_ws({_GAP}, {', '.join(cells)}), coalesce(array_join({items}, ''), ''))"
+
+
+def _unpacked(docs: DataFrame) -> DataFrame:
+    """summary, block - the line of each document in the one format, and its lines in the other, of its packed text. (To a line, no
+    description and an empty one are the same.)"""
+    n = len(_header_cells()) + 1
+    parts = docs.selectExpr(f"transform(split(text, {_GAP}), p -> replace(replace(p, concat({_MARK}, 'a'), {_GAP}), concat({_MARK}, 'b'), {_MARK})) AS cells")
+    parts = parts.selectExpr(
+        "cells", "concat_ws(',', " + ", ".join(f"cells[{i}]" for i in _REPEATED) + ") AS head",
+        f"CASE WHEN size(cells) > {n} THEN transform(sequence({n}, size(cells) - 2, 2), i -> named_struct('description', cells[i], 'numbers', cells[i + 1])) "
+        "ELSE CAST(array() AS ARRAY<STRUCT<description: STRING, numbers: STRING>>) END AS its")
+    parts = parts.selectExpr("*", "array_join(filter(transform(its, x -> x.description), d -> d <> ''), ' | ') AS memo")
+    header = ", ".join(f"cells[{i}]" for i in range(n - 1))
+    return parts.selectExpr(f"concat_ws(',', {header}, {csv_cell('memo')}, cells[{n - 1}]) AS summary",
+                            f"{_item_block([csv_cell('x.description'), 'x.numbers'])} AS line_items")
+
+
+def _texts(records: DataFrame, formats: tuple[str, ...]) -> DataFrame:
+    """fmt, line - the header and the lines of each format, in document order and, within a document, item order; a line-items row is all lines of
+    a document. Documents travel and are sorted once, as one text. The headers lie in the first partition."""
+    order = F.col("doc_id").asc_nulls_first()
+    docs = records.selectExpr("doc_id", f"{_packed()} AS text").repartitionByRange(order).sortWithinPartitions(order)
+    texts = ", ".join(f"named_struct('fmt', '{f}', 'line', {f})" for f in formats)
+    rows = _unpacked(docs).selectExpr(f"inline(array({texts}))")
+    heads = records.sparkSession.createDataFrame([(f, header_line(f)) for f in formats], "fmt string, line string").coalesce(1)
+    return heads.union(rows)
+
+
 def write_csv(records: DataFrame, path: str, fmt: str = "summary") -> None:
     """S12 / S13 sink: the lines of ``records`` in one format under its own header, in document order and, within a document,
-    item order; CRLF between rows. A document's lines travel and are sorted as one row. The header row carries a null sort key
-    (nulls sort first), and the output is range-partitioned on it, so the part files concatenate to one file. (The text sink
-    ends the last row with CRLF too.)"""
-    lines = line_item_blocks(records) if fmt == "line_items" else summary_lines(records)
-    order = [F.col("is_row"), F.col("doc_id").asc_nulls_first()]
-    hdr = records.sparkSession.createDataFrame([(header_line(fmt),)], "line string").selectExpr(
-        "false AS is_row", f"CAST(NULL AS {dict(lines.dtypes)['doc_id']}) AS doc_id", "line")
-    body = lines.selectExpr("true AS is_row", "doc_id", "line").unionByName(hdr)
-    (body.repartitionByRange(*order).sortWithinPartitions(*order).select("line")
-     .write.mode("overwrite").option("lineSep", "\r\n").text(path))
+    item order; CRLF between rows. The output is range-partitioned by document and its header is the first part, so the part files
+    concatenate to one file. (The text sink ends the last row with CRLF too.)"""
+    _texts(records, (fmt if fmt == "line_items" else "summary",)).select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def export_name(fmt: str, run_date: str) -> str:
@@ -115,6 +159,33 @@ def write_export(records: DataFrame, folder: str, run_date: str, fmt: str = "sum
     return path
 
 
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+def write_exports(records: DataFrame, folder: str, run_date: str, formats: tuple[str, ...] = FORMATS, compression: str = "none") -> dict[str, str]:
+    """The exports of one day in several formats, each as ``write_export`` writes it. Documents travel once for all formats; a
+    task writes a file of each, beside the exports, which take the place of earlier ones when all are whole. Returns the paths.
+    With ``compression`` ``gzip`` the part files concatenate to one gzip file of the same text."""
+    import uuid
+    spark = records.sparkSession
+    aside = f"{folder.rstrip('/')}/_exports-{uuid.uuid4().hex}"
+    given = spark.conf.get(_WRITERS, "0")
+    spark.conf.set(_WRITERS, str(len(formats)))     # files stand open side by side: nothing is sorted by format
+    try:
+        _texts(records, formats).write.partitionBy("fmt").option("lineSep", "\r\n").option("compression", compression).text(aside)
+    finally:
+        spark.conf.set(_WRITERS, given)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(aside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    paths = {f: f"{folder.rstrip('/')}/{export_name(f, run_date)}" for f in formats}
+    for f, path in paths.items():
+        fs.delete(hadoop.Path(path), True)
+        if not fs.rename(hadoop.Path(f"{aside}/fmt={f}"), hadoop.Path(path)):
+            raise OSError(f"{path} can't be written")
+    fs.delete(hadoop.Path(aside), True)
+    return paths
+
+
 def redact(records: DataFrame, col: str = "record") -> DataFrame:
     """Drop ``reasoning`` from the nine header structs and every line
     item; flags kept; custom fields not carried."""
