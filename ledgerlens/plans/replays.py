@@ -12,7 +12,7 @@ from ledgerlens.plans import admission as PA
 from ledgerlens.plans import costs as PC
 from ledgerlens.plans import streams as PS
 from ledgerlens.plans.registry import oracle_of, query
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.session import ensure_checkpoint_dir, open_files
 from ledgerlens.sources.invoices import AS_OF
 from ledgerlens.sources.usage import usage_rows
 
@@ -31,7 +31,8 @@ def replay(parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], key:
     spark.conf.set(IDLE, "false")       # an available-now run ends with its data, though its state has timers
     try:
         if deal:
-            parts[0].selectExpr("*", f"CAST({deal[0]} AS INT) AS part").write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/in")
+            with open_files(spark, deal[1]):
+                parts[0].selectExpr("*", f"CAST({deal[0]} AS INT) AS part").write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/in")
         for i in range(deal[1] if deal else len(parts)):
             if not deal:
                 rows = parts[i].repartition(key).sortWithinPartitions("ts_us", "event_id") if key else parts[i]

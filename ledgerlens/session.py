@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -43,6 +45,19 @@ def ensure_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+@contextmanager
+def open_files(spark: SparkSession, n: int) -> Iterator[None]:
+    """While it holds, a task that writes by a column of up to ``n`` values keeps a file open for each and leaves its rows in their order. (At the
+    setting's number of files the engine begins to sort what is left, so that is one more.)"""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    given = spark.conf.get(key, "0")
+    spark.conf.set(key, str(n + 1))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, given)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 

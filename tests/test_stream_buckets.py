@@ -185,3 +185,29 @@ def test_dealt_rows_are_computed_once_and_arrive_part_by_part(spark):
     odd, even = got.groupBy((F.col("id") % 2).alias("odd")).agg(
         F.count("*").alias("n"), F.count_distinct("batch").alias("batches"), F.min("batch").alias("at")).orderBy(F.desc("odd")).collect()
     assert seen.value == 1000 and (odd.n, even.n, odd.batches, even.batches) == (500, 500, 1, 1) and odd["at"] < even["at"]
+
+
+def test_dealt_rows_are_not_sorted_by_their_part(spark):
+    """A sort of whole texts spills; the setting that spares it is put back."""
+    import glob
+    import json
+    import os
+    import subprocess
+    import sys
+    import tempfile
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    code = f"""
+from ledgerlens.plans.replays import replay
+from ledgerlens.session import get_spark
+s = get_spark("local[2]", extra={{"spark.eventLog.enabled": "true", "spark.eventLog.dir": "file://{d}", "spark.eventLog.compress": "false",
+                                 "spark.eventLog.rolling.enabled": "false", "spark.checkpoint.dir": "file://{d}/shared",
+                                 "spark.shuffle.spill.numElementsForceSpillThreshold": "10"}})
+assert replay([s.range(1000)], lambda x: x.select("id"), deal=("id % 2", 2)).count() == 1000
+assert s.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0") == "0"
+s.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, env=os.environ | {"PYTHONPATH": os.getcwd()}, timeout=200)
+    events = [json.loads(x) for x in open(glob.glob(f"{d}/local-*")[0])]
+    first = next(e["physicalPlanDescription"] for e in events if "InsertIntoHadoopFsRelationCommand" in e.get("physicalPlanDescription", ""))
+    assert "Sort" not in first
+    assert sum(e["Task Metrics"]["Memory Bytes Spilled"] for e in events if e["Event"] == "SparkListenerTaskEnd") == 0
