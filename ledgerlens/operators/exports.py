@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.sql import csv_cell
 from ledgerlens.schemas import CONFIDENCE_FIELDS
+from ledgerlens.session import open_files
 
 # Column headers of the two CSV formats.
 SUMMARY_HEADERS = ("invoice_number", "vendor_name", "vendor_address", "bill_date", "due_date",
@@ -159,9 +160,6 @@ def write_export(records: DataFrame, folder: str, run_date: str, fmt: str = "sum
     return path
 
 
-_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
-
-
 def write_exports(records: DataFrame, folder: str, run_date: str, formats: tuple[str, ...] = FORMATS, compression: str = "none") -> dict[str, str]:
     """The exports of one day in several formats, each as ``write_export`` writes it. Documents travel once for all formats; a
     task writes a file of each, beside the exports, which take the place of earlier ones when all are whole. Returns the paths.
@@ -169,12 +167,8 @@ def write_exports(records: DataFrame, folder: str, run_date: str, formats: tuple
     import uuid
     spark = records.sparkSession
     aside = f"{folder.rstrip('/')}/_exports-{uuid.uuid4().hex}"
-    given = spark.conf.get(_WRITERS, "0")
-    spark.conf.set(_WRITERS, str(len(formats)))     # files stand open side by side: nothing is sorted by format
-    try:
+    with open_files(spark, len(formats)):
         _texts(records, formats).write.partitionBy("fmt").option("lineSep", "\r\n").option("compression", compression).text(aside)
-    finally:
-        spark.conf.set(_WRITERS, given)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(aside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     paths = {f: f"{folder.rstrip('/')}/{export_name(f, run_date)}" for f in formats}
